@@ -79,3 +79,36 @@ select q.uid, q.label, arg_min(p.label, struct_pack(d := round(list_distance(CAS
        round(min(round(list_distance(CAST(q.vec AS DOUBLE[]), p.proto), 9)), 6) as score
 from ({queries}) q, ({protos}) p group by q.uid, q.label
 """
+
+
+def DEDUP(src: str) -> str:
+    """A2: last label wins, first position kept."""
+    return (f"select arg_min(uid, ord) as uid, utterance, arg_max(label, ord) as label, min(ord) as ord "
+            f"from ({src}) group by utterance")
+
+
+def ROLES(src: str, pct: int = 33) -> str:
+    """Labels in seeded order, the first (n * pct) div 100 are novel."""
+    return (f"select label, case when r <= floor(CAST(cnt * {pct} AS DOUBLE) / 100.0) then 'novel' else 'seen' end as role, "
+            f"case when r <= floor(CAST(cnt * {pct} AS DOUBLE) / 100.0) then CAST(r AS BIGINT) end as novel_rank from ("
+            f"select label, row_number() over (order by {H('novel', 'label')}, label) as r, count(*) over () as cnt "
+            f"from (select distinct label from ({src}) where label is not null))")
+
+
+def RANKED(src: str, salt: str = "split") -> str:
+    return (f"select *, CAST(row_number() over (partition by label order by {H(salt, 'uid')}, uid) AS BIGINT) as rn, "
+            f"count(*) over (partition by label) as n from ({src})")
+
+
+def SPLIT(src: str, pct: int = 33, shots=(1, 5), num: int = 2, den: int = 3) -> str:
+    """The whole split table: uid, utterance, label, ord, role, part, k."""
+    ks = ", ".join(str(k) for k in (0, *shots))
+    return f"""
+select uid, utterance, label, ord, role, part, CAST(k AS INTEGER) as k from (
+  select *, case when k = 0 then
+      (case when role = 'seen' then (case when rn <= tt then 'train_seen' else 'test_seen' end)
+            else (case when rn > tt then 'test_novel' end) end)
+    else (case when rn <= least(k, tt) then 'support_' || role end) end as part
+  from (select *, floor(CAST(n * {num} AS DOUBLE) / {float(den)}) as tt, unnest([{ks}]) as k
+        from ({RANKED(f"select d.*, r.role from ({DEDUP(src)}) d join ({ROLES(src, pct)}) r using (label)")})))
+where part is not null"""
