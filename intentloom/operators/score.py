@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentloom.functions import vectors as V
+from intentloom.operators.joins import checked_broadcast
 
 TIE_DIGITS = 9  # distances are rounded before comparing so ties are engine-independent
 
@@ -42,7 +43,7 @@ def nearest_prototype(queries: DataFrame, protos: DataFrame, scope_col: str = "s
     Returns ``(key, pred, score)`` with score = the winning distance.
     """
     p = protos.select(scope_col, F.col("label").alias("__cand"), F.col(proto).alias("__p"))
-    j = queries.select(key, scope_col, vec).join(p, scope_col)
+    j = queries.select(key, scope_col, vec).join(checked_broadcast(p), scope_col)
     j = j.withColumn("__d", F.round(V.l2_dist(vec, "__p"), TIE_DIGITS))
     return j.groupBy(key).agg(
         F.min_by("__cand", F.struct("__d", "__cand")).alias("pred"),
@@ -54,7 +55,7 @@ def zero_shot_cosine(queries: DataFrame, label_vecs: DataFrame, scope_col: str =
     """J7 + W6: cosine of each query to every label-name vector; best = largest
     cosine, ties to the lowest label.  Returns ``(key, pred, score)``."""
     p = label_vecs.select(scope_col, F.col("label").alias("__cand"), F.col(lvec).alias("__l"))
-    j = queries.select(key, scope_col, vec).join(p, scope_col)
+    j = queries.select(key, scope_col, vec).join(checked_broadcast(p), scope_col)
     j = j.withColumn("__s", F.round(F.coalesce(V.cosine(vec, "__l"), F.lit(-2.0)), TIE_DIGITS))
     return j.groupBy(key).agg(
         F.min_by("__cand", F.struct(-F.col("__s"), F.col("__cand"))).alias("pred"),
@@ -65,7 +66,7 @@ def pair_scores(queries: DataFrame, cands: DataFrame, scorer, scope_col: str = "
                 key: str = "uid") -> DataFrame:
     """Long form ``(key, label, score)`` of every query against the candidate
     labels of its scope; ``scorer(cols)`` is a Column over the joined row."""
-    j = queries.join(cands.withColumnRenamed("label", "__cand"), scope_col)
+    j = queries.join(checked_broadcast(cands.withColumnRenamed("label", "__cand")), scope_col)
     return j.select(key, F.col("__cand").alias("label"), scorer.alias("score"))
 
 
