@@ -47,7 +47,7 @@ def kshot_support(df: DataFrame, k: int, label: str = "label", key: str = "uid",
 
 
 def split_sets(utts: DataFrame, roles: DataFrame, shots=(1, 5), num: int = 2, den: int = 3,
-               seed: int = DEFAULT_SEED) -> DataFrame:
+               seed: int = DEFAULT_SEED, keep_rank: bool = False) -> DataFrame:
     """Build every part of a few-shot split in one pass.
 
     ``utts``: canonical utterances (deduplicated); ``roles``: ``(label, role)``
@@ -76,8 +76,9 @@ def split_sets(utts: DataFrame, roles: DataFrame, shots=(1, 5), num: int = 2, de
                    .otherwise(F.when(~is_train, F.lit("test_novel"))))
             .otherwise(F.when(F.col("rn") <= F.least(F.col("k").cast("long"), F.col("__t")),
                               F.concat(F.lit("support_"), F.col("role")))))
+    extra = [F.col("rn"), F.col("__t").alias("train_n")] if keep_rank else []
     return (x.withColumn("part", part).where(F.col("part").isNotNull())
-            .select("uid", "utterance", "label", "ord", "role", "part", F.col("k").cast("int").alias("k")))
+            .select("uid", "utterance", "label", "ord", "role", "part", F.col("k").cast("int").alias("k"), *extra))
 
 
 def test_joint(split: DataFrame) -> DataFrame:
