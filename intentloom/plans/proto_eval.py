@@ -37,3 +37,33 @@ def nearest_predictions(vecs: DataFrame, k: int = 5) -> DataFrame:
 
 def report(vecs: DataFrame, k: int = 5) -> DataFrame:
     return evaluate.class_report(nearest_predictions(vecs, k))
+
+
+def distance_scores(vecs: DataFrame, k: int = 5) -> DataFrame:
+    """Long form ``(uid, truth, label, score)``: score = minus the Euclidean
+    distance of a non-support row to each prototype (logits of X7)."""
+    from intentloom.functions import vectors as V
+    sup = support_of(vecs, k)
+    protos = score.with_scope(prototypes_of(sup), "all")
+    queries = score.with_scope(vecs.join(sup.select("uid"), "uid", "left_anti"), "all")
+    s = score.pair_scores(queries.withColumnRenamed("label", "truth"), protos.select("scope", "label", "proto"),
+                          -F.round(V.l2_dist("vec", "proto"), 9))
+    return s.join(queries.select("uid", F.col("label").alias("truth")), "uid")
+
+
+def run_predictions(vecs: DataFrame, k: int = 5, runs: int = 5) -> DataFrame:
+    """The whole prototype evaluation repeated for ``runs`` seeds in
+    one job; the seed is part of the support draw's hash.  Returns
+    ``(run, uid, label, pred)``."""
+    from intentloom.functions import vectors as V
+    from intentloom.functions.order import seeded_key
+    from intentloom.operators.rank import group_top
+    x = vecs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    x = x.withColumn("__h", seeded_key("run", "uid", salt="run-shot"))
+    sup = group_top(x, ["run", "label"], [F.col("__h"), F.col("uid")], k).drop("__h", "rn")
+    protos = score.prototypes(sup, by=("run", "label"))
+    queries = x.drop("__h").join(sup.select("run", "uid"), ["run", "uid"], "left_anti")
+    p = protos.select("run", F.col("label").alias("__cand"), F.col("proto").alias("__p"))
+    from intentloom.operators.joins import checked_broadcast
+    j = queries.join(checked_broadcast(p), "run").withColumn("__d", F.round(V.l2_dist("vec", "__p"), 9))
+    return j.groupBy("run", "uid", "label").agg(F.min_by("__cand", F.struct("__d", "__cand")).alias("pred"))

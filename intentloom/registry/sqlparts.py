@@ -112,3 +112,17 @@ select uid, utterance, label, ord, role, part, CAST(k AS INTEGER) as k from (
   from (select *, floor(CAST(n * {num} AS DOUBLE) / {float(den)}) as tt, unnest([{ks}]) as k
         from ({RANKED(f"select d.*, r.role from ({DEDUP(src)}) d join ({ROLES(src, pct)}) r using (label)")})))
 where part is not null"""
+
+
+def QUERY_ROWS(k: int = 5) -> str:
+    return f"select * from ({VEC}) where uid not in (select uid from ({SUPPORT(VEC, k)}))"
+
+
+def NEAREST_VEC(k: int = 5) -> str:
+    return NEAREST.format(queries=QUERY_ROWS(k), protos=PROTOS(SUPPORT(VEC, k)))
+
+
+def DIST_SCORES(k: int = 5) -> str:
+    """(uid, truth, label, score = -distance)."""
+    return (f"select q.uid, q.label as truth, p.label, -round(list_distance(CAST(q.vec AS DOUBLE[]), p.proto), 9) as score "
+            f"from ({QUERY_ROWS(k)}) q, ({PROTOS(SUPPORT(VEC, k))}) p")
