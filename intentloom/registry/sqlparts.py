@@ -126,3 +126,45 @@ def DIST_SCORES(k: int = 5) -> str:
     """(uid, truth, label, score = -distance)."""
     return (f"select q.uid, q.label as truth, p.label, -round(list_distance(CAST(q.vec AS DOUBLE[]), p.proto), 9) as score "
             f"from ({QUERY_ROWS(k)}) q, ({PROTOS(SUPPORT(VEC, k))}) p")
+
+
+def HASHED_IDS(tok_list: str, vocab: int = 30000) -> str:
+    return f"list_transform({tok_list}, lambda t: CAST(1000 + {HINT('t')} % {vocab} AS INTEGER))"
+
+
+def IDSTR(lst: str) -> str:
+    return f"array_to_string({lst}, ',')"
+
+
+def TOKROWS(src: str, text: str = "utterance", key: str = "uid") -> str:
+    """posexplode of blank tokens: (uid, pos, token), pos 0-based."""
+    return (f"select {key} as uid, unnest(range(len(t))) as pos, unnest(t) as token from "
+            f"(select {key}, {TOKENS(text)} as t from ({src}))")
+
+
+BOW = "list_filter(string_split({strip}, ' '), lambda t: t <> '')"
+
+
+def BOW_TOKENS(x: str) -> str:
+    return BOW.format(strip=STRIP.format(x=f"lower({x})"))
+
+
+TOK_VEC = f"""
+select w.word, e.embedding as vec from
+  (select distinct token as word from ({TOKROWS("select p_partkey as uid, p_name as utterance from part")}) where token <> '') w
+  join embeddings e on e.vec_id = {HINT('w.word')} % (select count(*) from embeddings)
+"""
+
+
+def ANYVEC(words: str) -> str:
+    """hashed word vectors for the distinct words of a relation with column word."""
+    return (f"select w.word, e.embedding as vec from (select distinct word from ({words})) w "
+            f"join embeddings e on e.vec_id = {HINT('w.word')} % (select count(*) from embeddings)")
+
+
+def VSUM(x: str) -> str:
+    return f"list_reduce(list_transform({x}, lambda v: CAST(v AS DOUBLE)), lambda a, b: a + b)"
+
+
+def VNORM(x: str) -> str:
+    return f"sqrt(list_reduce(list_transform({x}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda a, b: a + b))"
