@@ -168,3 +168,35 @@ def VSUM(x: str) -> str:
 
 def VNORM(x: str) -> str:
     return f"sqrt(list_reduce(list_transform({x}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda a, b: a + b))"
+
+
+def EPISODES(src: str, E: int, N: int, K: int, Q: int, cols: str = "uid, vec") -> str:
+    """Episode samples (W12/W13/W14): episode, class_id, label, slot, role + cols."""
+    return f"""
+select sl.episode, sl.class_id, sl.label, CAST(sl.slot AS INTEGER) as slot,
+       case when sl.slot < {K} then 'support' else 'query' end as role, {', '.join('rk.' + c.strip() for c in cols.split(','))}
+from (select c.episode, c.class_id, c.label, s.slot,
+             ({HEXINT(H('ep-off', 'c.episode', 'c.label'))} % z.n + s.slot) % z.n + 1 as rn
+      from (select CAST(episode AS INTEGER) as episode, label, CAST(rn - 1 AS INTEGER) as class_id from (
+              select e.episode, l.label, row_number() over (partition by e.episode order by {H('ep-class', 'e.episode', 'l.label')}, l.label) as rn
+              from (select distinct label from ({src})) l, (select unnest(range({E})) as episode) e) where rn <= {N}) c
+      join (select label, count(*) as n from ({src}) group by label) z using (label),
+      (select unnest(range({K + Q})) as slot) s) sl
+join (select *, row_number() over (partition by label order by {H('ep-perm', 'uid')}, uid) as rn from ({src})) rk
+  on rk.label = sl.label and rk.rn = sl.rn
+"""
+
+
+VEC_HEADS = ("select vec_id as uid, CAST(label AS VARCHAR) as label, "
+             "list_transform(range(4), lambda h: list_slice(CAST(embedding AS DOUBLE[]), h * 16 + 1, h * 16 + 16)) as heads "
+             "from embeddings")
+
+
+def DCOS(a: str, b: str) -> str:
+    """cosine with the divisor floored at 1e-8 (DuckDB)."""
+    return (f"(list_dot_product({a}, {b}) / (case when sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) > 1e-8 "
+            f"then sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) else 1e-8 end))")
+
+
+def DFLOOR(x: str) -> str:
+    return f"(case when ({x}) > 1e-8 then ({x}) else 1e-8 end)"
