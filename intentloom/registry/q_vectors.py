@@ -1 +1,121 @@
-"""(filled in below)"""
+"""Proofs for vector expressions: cosine, safe division, (masked) softmax,
+log-softmax, one-hot, fuse, score maps; and null dropping."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from intentloom.functions import vectors as V
+from intentloom.operators import labels as L
+from intentloom.plans import proto_eval
+from intentloom.registry import query
+from intentloom.registry.sqlparts import DIST_SCORES, PROTOS, SUPPORT, VEC
+from intentloom.sources import views
+
+WITH_PROTO = f"""
+with v as ({VEC}), p as ({PROTOS(SUPPORT(VEC, 5))}),
+vp as (select v.uid, v.label, CAST(v.vec AS DOUBLE[]) as x, p.proto from v join p using (label))
+"""
+
+
+def with_proto(spark, d):
+    v = views.vec(spark, d)
+    p = proto_eval.prototypes_of(proto_eval.support_of(v, 5))
+    return v.join(p.select("label", "proto"), "label")
+
+
+@query("x5_cosine", sql=WITH_PROTO + """
+select uid, round(list_dot_product(x, proto) / nullif(sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(proto, proto)), 0), 6) as cos
+from vp
+""")
+def x5_cosine(spark, d):
+    return with_proto(spark, d).select("uid", F.round(V.cosine("vec", "proto"), 6).alias("cos"))
+
+
+@query("x6_l2_dist", sql=WITH_PROTO + "select uid, round(list_distance(x, proto), 6) as dist from vp")
+def x6_l2_dist(spark, d):
+    return with_proto(spark, d).select("uid", F.round(V.l2_dist("vec", "proto"), 6).alias("dist"))
+
+
+@query("x8_safe_div", sql=f"""
+select uid, round(CAST(vec[1] AS DOUBLE) / (case when abs(CAST(vec[2] AS DOUBLE)) - 0.5 > 1e-8
+                                                   then abs(CAST(vec[2] AS DOUBLE)) - 0.5 else 1e-8 end), 6) as q
+from ({VEC})
+""")
+def x8_safe_div(spark, d):
+    v = views.vec(spark, d)
+    return v.select("uid", F.round(V.safe_div(F.col("vec")[0].cast("double"),
+                                              F.abs(F.col("vec")[1].cast("double")) - 0.5), 6).alias("q"))
+
+
+@query("x9_masked_softmax", sql=f"""
+with s as (select uid, list_slice(CAST(vec AS DOUBLE[]), 1, 8) as a from ({VEC})),
+m as (select uid, a, list_transform(a, lambda x: CAST(x > 0 AS INTEGER)) as mk from s),
+e as (select uid, list_transform(list_zip(a, mk), lambda z: exp(z[1] * z[2] - list_max(list_transform(list_zip(a, mk), lambda y: y[1] * y[2]))) * z[2]) as ex from m),
+p as (select uid, list_transform(ex, lambda x: x / (case when list_sum(ex) = 0 then 1 else list_sum(ex) end)) as p from e)
+select uid, CAST(unnest(range(8)) AS INTEGER) as i, round(unnest(p), 6) as p from p
+""")
+def x9_masked_softmax(spark, d):
+    v = views.vec(spark, d).select("uid", F.slice("vec", 1, 8).alias("a"))
+    p = v.select("uid", V.masked_softmax("a", F.transform("a", lambda x: (x > 0).cast("int"))).alias("p"))
+    return p.select("uid", F.posexplode("p").alias("i", "p")).select(
+        "uid", F.col("i").cast("int").alias("i"), F.round("p", 6).alias("p"))
+
+
+@query("x10_log_softmax", sql=f"""
+with s as (select uid, list_transform(range(4), lambda h: case when h = 0 then 0.0 else
+              list_sum(list_slice(CAST(vec AS DOUBLE[]), h * 16 + 1, h * 16 + 16)) end) as a from ({VEC})),
+m as (select uid, list_transform(a, lambda x: case when x <> 0 then x else x + ln(1e-45) end) as b from s),
+l as (select uid, list_transform(b, lambda x: x - (list_max(b) + ln(list_sum(list_transform(b, lambda y: exp(y - list_max(b))))))) as lp from m)
+select uid, CAST(unnest(range(4)) AS INTEGER) as i, round(unnest(lp), 6) as logp from l
+""")
+def x10_log_softmax(spark, d):
+    h = views.vec_heads(spark, d)
+    sums = F.transform("heads", lambda a, i: F.when(i == 0, F.lit(0.0)).otherwise(V.vsum(a)))
+    p = h.select("uid", V.nonzero_log_softmax(sums).alias("lp"))
+    return p.select("uid", F.posexplode("lp").alias("i", "logp")).select(
+        "uid", F.col("i").cast("int").alias("i"), F.round("logp", 6).alias("logp"))
+
+
+@query("x11_one_hot", sql=f"""
+with ids as (select label, CAST(row_number() over (order by label) - 1 AS INTEGER) as label_id from (select distinct label from ({VEC})))
+select v.uid, array_to_string(list_transform(range(10), lambda i: CAST(i = ids.label_id AS INTEGER)), ',') as one_hot
+from ({VEC}) v join ids using (label)
+""")
+def x11_one_hot(spark, d):
+    v = views.vec(spark, d)
+    ids = L.label_ids(L.distinct_labels(v))
+    j = v.join(ids, "label")
+    return j.select("uid", F.array_join(F.transform(V.one_hot("label_id", 10), lambda x: x.cast("string")), ",").alias("one_hot"))
+
+
+@query("x14_fuse", sql=WITH_PROTO + """
+, f as (select uid, list_concat(x, proto, list_transform(list_zip(x, proto), lambda z: abs(z[1] - z[2])),
+                                list_transform(list_zip(x, proto), lambda z: z[1] * z[2])) as f from vp)
+select uid, CAST(len(f) AS INTEGER) as width, round(list_sum(f), 6) as fused_sum,
+       round(sqrt(list_dot_product(f, f)), 6) as fused_norm from f
+""")
+def x14_fuse(spark, d):
+    f = with_proto(spark, d).select("uid", V.fuse("vec", "proto").alias("f"))
+    return f.select("uid", F.size("f").alias("width"), F.round(V.vsum("f"), 6).alias("fused_sum"),
+                    F.round(V.norm("f"), 6).alias("fused_norm"))
+
+
+@query("x23_score_map", sql=f"""
+with s as ({DIST_SCORES()}),
+m as (select uid, any_value(truth) as truth, map_from_entries(list(struct_pack(k := label, v := score))) as m from s group by uid)
+select uid, CAST(cardinality(m) AS INTEGER) as n_labels, round(m[truth], 6) as truth_score from m
+""")
+def x23_score_map(spark, d):
+    s = proto_eval.distance_scores(views.vec(spark, d), 5)
+    m = s.groupBy("uid").agg(F.first("truth").alias("truth"),
+                             F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("m"))
+    return m.select("uid", F.size("m").alias("n_labels"), F.round(F.element_at("m", F.col("truth")), 6).alias("truth_score"))
+
+
+@query("f1_dropna", sql="""
+select d.doc_id, l.quality, l.toxic from documents d left join labels l using (doc_id)
+where d.doc_id is not null and d.text is not null and d.source is not null and l.quality is not null and l.toxic is not null
+""")
+def f1_dropna(spark, d):
+    return views.lab(spark, d).na.drop().select("doc_id", "quality", "toxic")
