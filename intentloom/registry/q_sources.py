@@ -1 +1,149 @@
-"""(filled in below)"""
+"""Proofs for sources and sinks: each writes a layout from the test tables to
+a fresh folder under the shared checkpoint root, reads it back with the
+reader, and returns what was read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from intentloom.functions.order import hash_int
+from intentloom.operators import labels as L
+from intentloom.operators import split as S
+from intentloom.operators import sweeps as W
+from intentloom.plans import split_build
+from intentloom.registry import query
+from intentloom.registry.sqlparts import CONV, DEDUP, HINT, RANKED, ROLES, SPLIT, TOK_VEC, UTT, VSUM
+from intentloom.session import shared_dir
+from intentloom.sources import exporters as X
+from intentloom.sources import readers as R
+from intentloom.sources import sinks as K
+from intentloom.sources import views
+
+
+@query("s1_tsv_roundtrip", sql="""
+select CAST(row_number() over (order by p_partkey) - 1 AS BIGINT) as ord, p_type as label, p_name as utterance from part
+""")
+def s1_tsv_roundtrip(spark, d):
+    path = shared_dir(spark, "s1")
+    X.write_tsv(views.part_utt(spark, d), path, order="uid")
+    return R.read_tsv(spark, path, ordered=True).select("ord", "label", "utterance")
+
+
+@query("s2_line_scan", sql=f"""
+select p_type as label, p_name as utterance, CAST(len(string_split(p_name, ' ')) AS INTEGER) as n_tokens from part
+""")
+def s2_line_scan(spark, d):
+    path = shared_dir(spark, "s2")
+    X.write_lines(views.part_utt(spark, d), path)
+    r = R.read_lines(spark, path)
+    return r.select("label", "utterance", F.size(F.split("utterance", " ")).alias("n_tokens"))
+
+
+@query("s3_csv_header", sql="select source as label, md5(text) as text_md5 from documents")
+def s3_csv_header(spark, d):
+    path = shared_dir(spark, "s3")
+    X.write_csv_header(views.utt(spark, d), path)
+    r = R.read_csv_header(spark, path, "text", "category")
+    return r.select("label", F.md5("utterance").alias("text_md5"))
+
+
+@query("s3_csv_custom_columns", sql="select p_type as label, p_name as utterance from part")
+def s3_csv_custom_columns(spark, d):
+    path = shared_dir(spark, "s3c")
+    X.write_csv_header(views.part_utt(spark, d), path, text_col="1", label_col="0")
+    return R.read_csv_header(spark, path, "1", "0").select("label", "utterance")
+
+
+@query("s4_json_pairs", sql=f"""
+select p_type as label, p_name as utterance, ['val', 'test', 'train'][CAST({HINT('p_partkey')} % 3 + 1 AS INTEGER)] as split
+from part
+""")
+def s4_json_pairs(spark, d):
+    path = shared_dir(spark, "s4")
+    X.write_json_pairs(views.part_utt(spark, d), path)
+    return R.read_json_pairs(spark, path).select("label", "utterance", "split")
+
+
+@query("s5_json_struct", sql="select role as label, md5(text) as text_md5 from conversations")
+def s5_json_struct(spark, d):
+    path = shared_dir(spark, "s5")
+    X.write_json_examples(views.conv(spark, d), path)
+    return R.read_json_examples(spark, path).select("label", F.md5("utterance").alias("text_md5"))
+
+
+@query("s6_label_list", sql=f"""
+select label, CAST(row_number() over (order by label) - 1 AS INTEGER) as label_id from (select distinct label from ({UTT}))
+""")
+def s6_label_list(spark, d):
+    path = shared_dir(spark, "s6")
+    X.write_label_list(L.distinct_labels(views.utt(spark, d)), path)
+    return L.label_ids(R.read_label_list(spark, path))
+
+
+@query("s7_word_vectors", sql=f"""
+select word, CAST(row_number() over (order by word) - 1 AS INTEGER) as word_id, round({VSUM('vec')}, 6) as vec_sum
+from ({TOK_VEC}) order by word limit 11
+""")
+def s7_word_vectors(spark, d):
+    path = shared_dir(spark, "s7")
+    X.write_word_vectors_json(views.tok_vec(spark, d), path)
+    from intentloom.functions import vectors as V
+    r = R.read_word_vectors_json(spark, path, nmax=10)
+    return r.select("word", "word_id", F.round(V.vsum("vec"), 6).alias("vec_sum"))
+
+
+@query("s8_word2vec_text", sql=f"""
+select word, CAST(row_number() over (order by word) - 1 AS INTEGER) as word_id, round({VSUM('vec')}, 6) as vec_sum
+from ({TOK_VEC}) order by word limit 10
+""")
+def s8_word2vec_text(spark, d):
+    path = shared_dir(spark, "s8")
+    X.write_word2vec_text(views.tok_vec(spark, d), path)
+    from intentloom.functions import vectors as V
+    r = R.read_word2vec_text(spark, path, nmax=10)
+    return r.select("word", "word_id", F.round(V.vsum("vec"), 6).alias("vec_sum"))
+
+
+@query("s9_folds", sql=f"""
+select CAST({HINT('p_partkey')} % 10 + 1 AS INTEGER) as fold, p_type as label, count(*) as n from part group by all
+""")
+def s9_folds(spark, d):
+    path = shared_dir(spark, "s9")
+    K.write_folds(views.part_utt(spark, d), path)
+    r = R.read_folds(spark, path)
+    return r.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_split_sink", sql=f"""
+with sp as ({SPLIT(UTT)})
+select 'test_joint' as part_read, label, count(*) as n from sp where part in ('test_seen', 'test_novel') group by all
+union all select 'support_joint', label, count(*) from sp where part in ('support_seen', 'support_novel') and k = 5 group by all
+union all select part, label, count(*) from sp where k = 0 group by all
+""")
+def s10_split_sink(spark, d):
+    path = shared_dir(spark, "s10")
+    sp, _ = split_build.build(views.utt(spark, d))
+    K.write_split(sp, path)
+    tj = K.read_split(spark, path, "test_joint").groupBy(F.lit("test_joint").alias("part_read"), "label").count()
+    sj = K.read_split(spark, path, "support_joint", k=5).groupBy(F.lit("support_joint").alias("part_read"), "label").count()
+    dp = K.read_split(spark, path, k=0).groupBy(F.col("part").alias("part_read"), "label").count()
+    return tj.unionByName(sj).unionByName(dp).withColumnRenamed("count", "n")
+
+
+@query("s11_sweep_sink", sql=f"""
+with sp as ({SPLIT(UTT)}),
+rk as (select uid, rn, floor(CAST(n * 2 AS DOUBLE) / 3.0) as tt from ({RANKED(f"select d.* from ({DEDUP(UTT)}) d")})),
+w as (select p.pct, sp.part from sp join rk using (uid), (select unnest([20, 40, 60, 80, 100]) as pct) p
+      where sp.part <> 'train_seen' or rk.rn <= floor(CAST(p.pct * rk.tt AS DOUBLE) / 100.0))
+select CAST(pct AS INTEGER) as pct, part, count(*) as n from w group by all
+""")
+def s11_sweep_sink(spark, d):
+    path = shared_dir(spark, "s11")
+    u = views.utt(spark, d)
+    sp = S.split_sets(L.dedup_last_wins(u), split_build.roles_of(u), keep_rank=True)
+    sweep = W.seen_fraction_sweep(sp).drop("utterance")
+    K.write_split(sweep, path, partition_by=("pct", "part"))
+    # Rewrite one step only; dynamic partition overwrite keeps the others
+    K.write_split(sweep.where(F.col("pct") == 100), path, partition_by=("pct", "part"))
+    r = spark.read.parquet(path)
+    return r.groupBy(F.col("pct").cast("int").alias("pct"), "part").agg(F.count(F.lit(1)).alias("n"))
