@@ -1 +1,44 @@
-"""(filled in below)"""
+"""Proofs for model plug points (rows-only checks: model output is not SQL)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from intentloom.operators import encode as EN
+from intentloom.operators import models as MD
+from intentloom.operators import pairs as P
+from intentloom.operators import score as SC
+from intentloom.plans import split_build
+from intentloom.registry import query
+from intentloom.sources import views
+
+
+@query("p1_encode_batch")
+def p1_encode_batch(spark, d):
+    return MD.encode(views.utt(spark, d), MD.numpy_hash_encoder(64), dim=64)
+
+
+@query("m1_seen_classifier")
+def m1_seen_classifier(spark, d):
+    sp, _ = split_build.build(views.utt_lang(spark, d), m=1)
+    train = sp.where(F.col("part") == "train_seen")
+    model = MD.seen_classifier(train)
+    return MD.classify(model, sp.where(F.col("part") == "test_seen"))
+
+
+@query("m2_pair_classifier")
+def m2_pair_classifier(spark, d):
+    sp, _ = split_build.build(views.part_utt(spark, d), m=2)
+    train = sp.where(F.col("part") == "train_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
+    tv = EN.hash_encode(train, 64).withColumnRenamed("vec", "tvec")
+    pairs = P.sample_negatives(P.entailment_pairs(train, scope="origin"))
+    lv = EN.hash_encode(pairs.select(F.col("label_name").alias("uid"), F.col("label_name").alias("utterance"))
+                        .distinct(), 64).select(F.col("uid").alias("label_name"), F.col("vec").alias("lvec"))
+    feats = MD.pair_features(pairs.join(tv, "uid").join(lv, "label_name"))
+    model = MD.pair_classifier(feats)
+    test = sp.where(F.col("part") == "test_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
+    tp = P.entailment_pairs(test, scope="origin")
+    tt = EN.hash_encode(test, 64).withColumnRenamed("vec", "tvec")
+    scored = MD.entail_prob(model, MD.pair_features(tp.join(tt, "uid").join(lv, "label_name")))
+    best = SC.best_from_scores(scored.select("uid", F.col("label_name").alias("label"), "score"))
+    return test.select("uid", "label").join(best, "uid")
