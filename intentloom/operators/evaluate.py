@@ -32,40 +32,39 @@ def class_report(pred: DataFrame, truth: str = "label", guess: str = "pred") ->
     accuracy in ``f1`` and the total in ``support``.  Rows whose truth or
     prediction is NULL (e.g. a query with no candidate label) count against
     recall but are not a class.
+
+    One aggregation of (truth, pred) counts; each count row feeds its truth
+    class (support, tp) and its predicted class (predicted count); one rollup
+    over the label-sized class table gives the class rows and the total row,
+    which is exploded into the three summary rows.
     """
     pc = pair_counts(pred, truth, guess)
-    tp = pc.where(F.col("label") == F.col("pred")).select("label", F.col("n").alias("tp"))
-    sup = pc.where(F.col("label").isNotNull()).groupBy("label").agg(F.sum("n").alias("support"))
-    pp = pc.where(F.col("pred").isNotNull()).groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("npred"))
-    cls = sup.join(pp, "label", "full").join(tp, "label", "left").select(
-        "label",
-        F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("npred", F.lit(0)).alias("npred"))
-    p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred").cast("double")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
-    cls = cls.withColumn("precision", p).withColumn("recall", r).withColumn(
-        "f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
-                                      F.col("precision") + F.col("recall")), F.lit(0.0)))
-    total = F.sum("support")
-    summ = cls.agg(
-        total.alias("total"), F.sum("tp").alias("tps"), F.count(F.lit(1)).alias("nc"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = summ.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                      F.lit(None).cast("double").alias("recall"),
-                      F.coalesce(F.try_divide(F.col("tps").cast("double"), F.col("total").cast("double")),
-                                 F.lit(0.0)).alias("f1"),
-                      F.col("total").alias("support"))
-    macro = summ.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                        F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("total").alias("support"))
+    contrib = F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("np"),
+                 F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("np"),
+                 F.lit(0).cast("long").alias("tp")))
+    cls = (pc.select(F.explode(contrib).alias("e")).where(F.col("e.cls").isNotNull())
+           .groupBy(F.col("e.cls").alias("label"))
+           .agg(F.sum("e.sup").alias("support"), F.sum("e.np").alias("npred"), F.sum("e.tp").alias("tp")))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    cls = cls.withColumn("p", ratio("tp", "npred")).withColumn("r", ratio("tp", "support"))
+    cls = cls.withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
+    g = cls.rollup("label").agg(
+        F.grouping("label").alias("g"), F.avg("p").alias("p"), F.avg("r").alias("r"), F.avg("f").alias("f"),
+        F.sum("support").alias("total"), F.sum("tp").alias("tps"),
+        F.sum(F.col("p") * F.col("support")).alias("wp"), F.sum(F.col("r") * F.col("support")).alias("wr"),
+        F.sum(F.col("f") * F.col("support")).alias("wf"))
     wdiv = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total").cast("double")), F.lit(0.0))
-    weighted = summ.select(F.lit("weighted avg").alias("label"), wdiv("wp").alias("precision"),
-                           wdiv("wr").alias("recall"), wdiv("wf").alias("f1"), F.col("total").alias("support"))
-    rows = cls.select("label", "precision", "recall", "f1", "support").unionByName(acc) \
-        .unionByName(macro).unionByName(weighted)
+    nul = F.lit(None).cast("double")
+    row = lambda name, p, r, f: F.struct(name.alias("label"), p.alias("precision"), r.alias("recall"),
+                                         f.alias("f1"), F.col("total").alias("support"))
+    out = F.when(F.col("g") == 0, F.array(row(F.col("label"), F.col("p"), F.col("r"), F.col("f")))).otherwise(F.array(
+        row(F.lit("accuracy"), nul, nul, F.coalesce(F.try_divide(F.col("tps").cast("double"),
+                                                                 F.col("total").cast("double")), F.lit(0.0))),
+        row(F.lit("macro avg"), F.col("p"), F.col("r"), F.col("f")),
+        row(F.lit("weighted avg"), wdiv("wp"), wdiv("wr"), wdiv("wf"))))
+    rows = g.select(F.explode(out).alias("o")).select("o.*")
     return rows.select("label", _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"),
                        _r(F.col("f1")).alias("f1"), F.col("support").cast("long").alias("support"))
 

@@ -20,3 +20,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     p = df.persist()
     n = p.count()
     return F.broadcast(p) if n <= max_rows else p
+
+
+def label_array(df: DataFrame, cols: list[str], max_rows: int = MAX_BROADCAST_ROWS):
+    """A label-sized table as one ``ARRAY<STRUCT<cols>>`` scalar-subquery Column,
+    or ``None`` when the table has more than ``max_rows`` rows.
+
+    The table is persisted and counted first, so the bound is proven before
+    anything is gathered; the subquery then reads the cached rows once per
+    plan.  Use it with ``attach_array`` (subqueries may not sit inside
+    higher-order functions, so the array is projected as a column first).
+    """
+    p = df.select(*cols).persist()
+    if p.count() > max_rows:
+        return None
+    return p.agg(F.collect_list(F.struct(*cols)).alias("__arr")).scalar()
+
+
+def attach_array(df: DataFrame, arr, name: str = "__cands") -> DataFrame:
+    return df.withColumn(name, arr)

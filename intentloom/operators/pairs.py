@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
-from intentloom.operators.joins import checked_broadcast
+from intentloom.operators.joins import attach_array, label_array
 from intentloom.operators.rank import class_rank
 
 
@@ -20,11 +20,20 @@ def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
     """``(key, scope, label_name, label INT)`` for each row and each
     distinct label of the same ``scope``; label = 1 where they are equal.
 
-    The candidate table ``(scope, label)`` is label-sized and broadcast after a
-    count; the rows are never shuffled for this join.
+    The candidate table ``(scope, label)`` is label-sized: after a row-count
+    check it travels as one array and each row explodes its scope's labels (a
+    generator, no join, no shuffle of the rows).  Above the bound it is an
+    equi-join on ``scope``.
     """
     cands = df.select(scope, F.col(label).alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
-    j = df.select(key, scope, F.col(label).alias("__truth")).join(checked_broadcast(cands), scope)
+    rows = df.select(key, scope, F.col(label).alias("__truth"))
+    arr = label_array(cands, [scope, "label_name"])
+    if arr is not None:
+        x = attach_array(rows, arr).select(
+            key, scope, "__truth", F.explode(F.filter("__cands", lambda c: c[scope] == F.col(scope))).alias("__c"))
+        j = x.select(key, scope, "__truth", F.col("__c.label_name").alias("label_name"))
+    else:
+        j = rows.join(cands, scope)
     return j.select(key, scope, "label_name",
                     F.coalesce((F.col("__truth") == F.col("label_name")).cast("int"), F.lit(0)).alias("label"))
 

@@ -46,9 +46,10 @@ def distance_scores(vecs: DataFrame, k: int = 5) -> DataFrame:
     sup = support_of(vecs, k)
     protos = score.with_scope(prototypes_of(sup), "all")
     queries = score.with_scope(vecs.join(sup.select("uid"), "uid", "left_anti"), "all")
-    s = score.pair_scores(queries.withColumnRenamed("label", "truth"), protos.select("scope", "label", "proto"),
-                          -F.round(V.l2_dist("vec", "proto"), 9))
-    return s.join(queries.select("uid", F.col("label").alias("truth")), "uid")
+    s = score.pair_scores(queries.select("uid", F.col("label").alias("truth"), "scope", "vec"),
+                          protos.select("scope", "label", "proto"),
+                          lambda c: -F.round(V.l2_dist("vec", c["proto"]), 9))
+    return s.drop("vec")
 
 
 def run_predictions(vecs: DataFrame, k: int = 5, runs: int = 5) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from intentloom.functions import vectors as V
 from intentloom.operators import encode as EN
 from intentloom.operators import score as SC
-from intentloom.operators.joins import checked_broadcast
 
 
 def _vectors(utts: DataFrame, emb: DataFrame):
@@ -43,7 +42,6 @@ def pair_table(spark: SparkSession, utts: DataFrame, emb: DataFrame) -> DataFram
     label, score = cosine (NULL-safe, -2 for a zero vector)."""
     qv, lv = _vectors(utts, emb)
     q = SC.with_scope(qv.withColumnRenamed("label", "truth"), "all")
-    c = checked_broadcast(SC.with_scope(lv, "all").withColumnRenamed("label", "label_name"))
-    j = q.join(c, "scope")
-    return j.select("uid", "truth", "label_name",
-                    F.round(F.coalesce(V.cosine("vec", "lvec"), F.lit(-2.0)), 9).alias("score"))
+    s = SC.pair_scores(q, SC.with_scope(lv, "all"),
+                       lambda c: F.round(F.coalesce(V.cosine("vec", c["lvec"]), F.lit(-2.0)), 9))
+    return s.select("uid", "truth", F.col("label").alias("label_name"), "score")
