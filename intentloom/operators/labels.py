@@ -114,3 +114,15 @@ def drop_labels(df: DataFrame, labels: DataFrame, label: str = "label") -> DataF
 def normalize_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """X1: '+' and '_' in labels become blanks."""
     return df.withColumn(label, norm_label(label))
+
+
+def label_text(df: DataFrame, mapping: DataFrame | None = None, label: str = "label",
+               out: str = "label_text") -> DataFrame:
+    """the text an encoder sees for a label: the mapped text when the
+    optional ``(label, label_text)`` table has one, else the label with '_'
+    as blanks.  The mapping is label-sized (left join, AQE broadcasts it)."""
+    fallback = F.translate(F.col(label), "_", " ")
+    if mapping is None:
+        return df.withColumn(out, fallback)
+    m = mapping.select(F.col("label").alias(label), F.col("label_text").alias("__lt"))
+    return df.join(m, label, "left").withColumn(out, F.coalesce(F.col("__lt"), fallback)).drop("__lt")

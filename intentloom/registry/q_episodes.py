@@ -218,3 +218,20 @@ def x22_pair_divergence(spark, d):
     g = k.agg(F.avg(F.when(F.col("same"), F.col("kl"))).alias("s"), F.avg(F.when(~F.col("same"), F.col("kl"))).alias("o"))
     return g.select(F.round("s", 6).alias("same_mean"), F.round("o", 6).alias("other_mean"),
                     F.round(F.col("s") - F.col("o"), 6).alias("separation"))
+
+
+@query("a11_match_mean", sql=f"""
+with {HEAD_PAIRS},
+ps as (select {KEYS},
+        list_avg(list_transform(A, lambda a: list_max(list_transform(B, lambda b: {DCOS('a', 'b')})))) as m from pr),
+cs as (select episode, q_class, q_slot, s_class, round(avg(m), 9) as score from ps group by all)
+select episode, q_class, q_slot, arg_min(s_class, struct_pack(ns := -score, c := s_class)) as pred,
+       round(max(score), 6) as score from cs group by all
+""")
+def a11_match_mean(spark, d):
+    p = M.with_alignment(head_pairs(spark, d))
+    ps = p.select("episode", "q_class", "q_slot", "s_class", M.maxsim("att").alias("m"))
+    cs = ps.groupBy("episode", "q_class", "q_slot", "s_class").agg(F.round(F.avg("m"), 9).alias("score"))
+    return cs.groupBy("episode", "q_class", "q_slot").agg(
+        F.min_by("s_class", F.struct(-F.col("score"), F.col("s_class"))).alias("pred"),
+        F.round(F.max("score"), 6).alias("score"))

@@ -142,3 +142,15 @@ def f2_label_filter(spark, d):
     u = views.utt_lang(spark, d).select("uid", "label")
     return (u.where(F.col("label") == "en").withColumn("op", F.lit("keep"))
             .unionByName(u.where(F.col("label") != "en").withColumn("op", F.lit("drop"))))
+
+
+@query("f11_label_text", sql=f"""
+with r as ({ROLES(UTT, 33)})
+select label, coalesce(case when role = 'novel' then 'new intent ' || label end, translate(label, '_', ' ')) as label_text
+from r
+""")
+def f11_label_text(spark, d):
+    roles = split_build.roles_of(views.utt(spark, d))
+    mapping = roles.where(F.col("role") == "novel").select(
+        "label", F.concat(F.lit("new intent "), F.col("label")).alias("label_text"))
+    return L.label_text(roles.select("label"), mapping)
