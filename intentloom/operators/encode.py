@@ -40,20 +40,33 @@ def max_len(*dfs: DataFrame, text: str = "utterance") -> DataFrame:
     return u.agg(F.max("n").cast("long").alias("max_len"))
 
 
-def vocab_ids(toks: DataFrame, min_count: int = 1, first_id: int = 2) -> DataFrame:
+def word_counts(toks: DataFrame, min_count: int = 1) -> DataFrame:
+    """Token frequencies ``(word, n)`` (partial aggregate before the shuffle)."""
+    return toks.where(F.col("token") != "").groupBy(F.col("token").alias("word")) \
+        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+
+
+def vocab_ids(toks: DataFrame, min_count: int = 1, first_id: int = 2, nmax: int | None = None) -> DataFrame:
     """Vocabulary ``(word, n, word_id)`` ranked by frequency, then word.
 
-    Counting is a partial aggregate; ranking is a distributed total order
-    (``global_rank``), never a one-task window over the vocabulary.
+    The full ranking is a distributed total order (``global_rank``), never a
+    one-task window over the vocabulary.  With ``nmax`` (L4, the vocabulary
+    cap) only the top ``nmax`` words are kept, by a distributed top-K
+    (TakeOrderedAndProject), and numbered in that small result.
     """
-    counts = toks.where(F.col("token") != "").groupBy(F.col("token").alias("word")) \
-        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    r = global_rank(counts, [F.col("n").desc(), F.col("word")], out="__r")
+    counts = word_counts(toks, min_count)
+    order = [F.col("n").desc(), F.col("word")]
+    if nmax is not None:
+        top = counts.orderBy(*order).limit(nmax)
+        from intentloom.operators.rank import small_rank
+        r = small_rank(top, order, out="__r")  # nmax rows: bounded by the cap
+    else:
+        r = global_rank(counts, order, out="__r")
     return r.select("word", "n", (F.col("__r") + F.lit(first_id - 1)).cast("int").alias("word_id"))
 
 
 def vocab_cap(vocab: DataFrame, nmax: int, order: str = "word_id") -> DataFrame:
-    """L4: the first ``nmax`` vocabulary rows (TakeOrderedAndProject)."""
+    """L4: the first ``nmax`` rows of an existing vocabulary (TakeOrderedAndProject)."""
     return vocab.orderBy(order).limit(nmax)
 
 

@@ -16,9 +16,10 @@ from intentloom.operators.rank import class_rank
 
 
 def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
-                     label: str = "label") -> DataFrame:
+                     label: str = "label", carry=()) -> DataFrame:
     """``(key, scope, label_name, label INT)`` for each row and each
     distinct label of the same ``scope``; label = 1 where they are equal.
+    ``carry`` columns of the row are copied into each of its pairs.
 
     The candidate table ``(scope, label)`` is label-sized: after a row-count
     check it travels as one array and each row explodes its scope's labels (a
@@ -26,16 +27,19 @@ def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
     equi-join on ``scope``.
     """
     cands = df.select(scope, F.col(label).alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
-    rows = df.select(key, scope, F.col(label).alias("__truth"))
+    carry = list(carry)
+    rows = df.select(key, scope, F.col(label).alias("__truth"), *carry)
     arr = label_array(cands, [scope, "label_name"])
     if arr is not None:
         x = attach_array(rows, arr).select(
-            key, scope, "__truth", F.explode(F.filter("__cands", lambda c: c[scope] == F.col(scope))).alias("__c"))
-        j = x.select(key, scope, "__truth", F.col("__c.label_name").alias("label_name"))
+            key, scope, "__truth", *carry,
+            F.explode(F.filter("__cands", lambda c: c[scope] == F.col(scope))).alias("__c"))
+        j = x.select(key, scope, "__truth", *carry, F.col("__c.label_name").alias("label_name"))
     else:
         j = rows.join(cands, scope)
     return j.select(key, scope, "label_name",
-                    F.coalesce((F.col("__truth") == F.col("label_name")).cast("int"), F.lit(0)).alias("label"))
+                    F.coalesce((F.col("__truth") == F.col("label_name")).cast("int"), F.lit(0)).alias("label"),
+                    *carry)
 
 
 def sample_negatives(pairs: DataFrame, ratio: int = 2, key: str = "uid", seed: int = DEFAULT_SEED) -> DataFrame:
@@ -43,9 +47,9 @@ def sample_negatives(pairs: DataFrame, ratio: int = 2, key: str = "uid", seed: i
     seeded random order (exact count, ranks computed skew-safe)."""
     pos = pairs.where(F.col("label") == 1)
     neg = pairs.where(F.col("label") == 0)
-    n_pos = pos.select(F.count(F.lit(1))).scalar()
-    n_neg = neg.select(F.count(F.lit(1))).scalar()
-    take = F.least(n_pos * F.lit(ratio), n_neg)
+    counts = pairs.select(F.struct(F.count(F.when(F.col("label") == 1, 1)).alias("pos"),
+                                   F.count(F.when(F.col("label") == 0, 1)).alias("neg"))).scalar()
+    take = F.least(counts["pos"] * F.lit(ratio), counts["neg"])
     h = neg.withColumn("__h", seeded_key(key, "label_name", salt="neg", seed=seed))
     r = class_rank(h, [], "__h", [key, "label_name"], out="__rn")
     kept = r.where(F.col("__rn") <= take).drop("__h", "__rn")

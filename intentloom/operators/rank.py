@@ -48,20 +48,26 @@ def class_rank(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
     ``functions.order.seeded_key``) and then ``tiebreak``.  If ``total`` is
     given, the group size is added under that name too.  ``by`` may be empty
     (one global order).
+
+    The group key is packed into one struct column: struct equality treats
+    NULL fields as equal (rows with a NULL label form their own group), and
+    the join to the offsets and the final window partition on the same
+    ``(group, bucket)`` columns, so the rows are shuffled once.
     """
     by = list(by)
     tiebreak = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    x = df.withColumn("__bkt", F.substring(F.col(order_key), 1, prefix_len))
-    counts = x.groupBy(*by, "__bkt").agg(F.count(F.lit(1)).alias("__bc"))
-    wb = Window.partitionBy(*by).orderBy("__bkt")
-    cols = [*by, "__bkt",
+    g = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+    x = df.withColumn("__grp", g).withColumn("__bkt", F.substring(F.col(order_key), 1, prefix_len))
+    counts = x.groupBy("__grp", "__bkt").agg(F.count(F.lit(1)).alias("__bc"))
+    wb = Window.partitionBy("__grp").orderBy("__bkt")
+    cols = ["__grp", "__bkt",
             F.coalesce(F.sum("__bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off")]
     if total:
-        cols.append(F.sum("__bc").over(Window.partitionBy(*by)).cast("long").alias(total))
+        cols.append(F.sum("__bc").over(Window.partitionBy("__grp")).cast("long").alias(total))
     offsets = counts.select(*cols)
-    j = null_safe_join(x, offsets, by + ["__bkt"])
-    wr = Window.partitionBy(*by, "__bkt").orderBy(F.col(order_key), *[F.col(t) for t in tiebreak])
-    return j.withColumn(out, (F.col("__off") + F.row_number().over(wr)).cast("long")).drop("__bkt", "__off")
+    j = x.join(offsets, ["__grp", "__bkt"])
+    wr = Window.partitionBy("__grp", "__bkt").orderBy(F.col(order_key), *[F.col(t) for t in tiebreak])
+    return j.withColumn(out, (F.col("__off") + F.row_number().over(wr)).cast("long")).drop("__grp", "__bkt", "__off")
 
 
 def group_top(df: DataFrame, by: list[str], order: list, k, out: str = "rn") -> DataFrame:

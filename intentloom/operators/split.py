@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
+from intentloom.operators.joins import checked_broadcast
 from intentloom.operators.rank import class_rank, global_rank, group_top
 
 DATA_PARTS = ("train_seen", "test_seen", "test_novel")
@@ -64,7 +65,7 @@ def split_sets(utts: DataFrame, roles: DataFrame, shots=(1, 5), num: int = 2, de
     is read once.  test_joint and support_joint are unions of parts (see
     ``test_joint`` / ``support_joint``).
     """
-    d = utts.join(roles.select("label", "role"), "label")
+    d = utts.join(checked_broadcast(roles.select("label", "role")), "label")
     r = shuffle_rank(d, by="label", seed=seed)
     t = train_size(F.col("n"), num, den)
     ks = F.array(F.lit(0), *[F.lit(int(k)) for k in shots])

@@ -49,8 +49,8 @@ def w4_vocab_ids(spark, d):
 
 @query("l4_vocab_cap", sql=f"select word, word_id from ({VOCAB}) order by word_id limit 2000")
 def l4_vocab_cap(spark, d):
-    v = EN.vocab_ids(EN.tokens(views.utt(spark, d)))
-    return EN.vocab_cap(v, 2000).select("word", "word_id")
+    v = EN.vocab_ids(EN.tokens(views.utt(spark, d)), nmax=2000)
+    return v.select("word", "word_id")
 
 
 @query("j3_token_lookup", sql=f"""
@@ -62,7 +62,7 @@ from t left join v on v.word = t.token group by t.uid
 def j3_token_lookup(spark, d):
     u = views.utt(spark, d)
     toks = EN.tokens(u)
-    v = EN.vocab_cap(EN.vocab_ids(toks), 2000)
+    v = EN.vocab_ids(toks, nmax=2000)
     return EN.token_ids(toks, v).select("uid", idstr(F.col("ids")).alias("ids"))
 
 
@@ -94,9 +94,10 @@ select uid, label_name, {IDSTR('list_resize(full_, 64, 0)')} as input_ids,
 def x12_pair_encode(spark, d):
     sp, _ = split_build.build(views.utt(spark, d))
     s = sp.where(F.col("part") == "train_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
-    pairs = P.entailment_pairs(s, scope="origin").select("uid", "label_name")
-    ids = EN.hashed_token_ids(s).withColumnRenamed("ids", "sid")
-    j = pairs.join(ids, "uid").withColumn("lid", T.hashed_ids(T.blank_tokens("label_name")))
+    # every token of the whole text is hashed; the ids ride along the pair explode (no join)
+    s = s.withColumn("sid", T.hashed_ids(T.blank_tokens("utterance")))
+    pairs = P.entailment_pairs(s, scope="origin", carry=("sid",))
+    j = pairs.withColumn("lid", T.hashed_ids(T.blank_tokens("label_name")))
     e = j.select("uid", "label_name", T.pair_encode("sid", "lid", 64).alias("e"))
     return e.select("uid", "label_name", idstr(F.col("e.input_ids")).alias("input_ids"),
                     idstr(F.col("e.token_type_ids")).alias("token_type_ids"),
