@@ -106,18 +106,29 @@ def batch_mean(df: DataFrame, value: str, batch: str = "batch", by=()) -> DataFr
 
 
 def running_best(trace: DataFrame, step: str = "episode", value: str = "acc", every: int = 100,
-                 by=()) -> DataFrame:
-    """Running mean accuracy after each step, read every ``every`` steps,
-    with a flag where it reaches a new best (>= best so far).
+                 by=(), bucket: int = 4096) -> DataFrame:
+    """Running mean of ``value`` after each step, read every ``every``
+    steps, with a flag where it reaches a new best (>= best so far).
 
-    The running window is ordered by step within ``by`` (one series per run:
-    bounded by the number of steps, not by the data).
+    Prefix sums and prefix maxima are computed the skew-safe way: per step
+    bucket (``step div bucket``) totals, running sums over the bucket table,
+    then a window inside each bucket.  No window ever spans the whole trace.
     """
-    w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    r = trace.withColumn("running", F.avg(value).over(w))
-    r = r.where((F.col(step) % every) == (every - 1))
-    wb = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("best_so_far", F.max("running").over(wb))
+    by = list(by)
+    b = F.floor(F.col(step) / F.lit(bucket)).cast("long")
+    x = trace.withColumn("__b", b)
+    tot = x.groupBy(*by, "__b").agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"))
+    wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*by, "__b", F.coalesce(F.sum("__s").over(wb), F.lit(0.0)).alias("__so"),
+                      F.coalesce(F.sum("__c").over(wb), F.lit(0)).alias("__co"))
+    j = x.join(offs, [*by, "__b"])
+    wi = Window.partitionBy(*by, "__b").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("running", (F.col("__so") + F.sum(value).over(wi)) / (F.col("__co") + F.count(F.lit(1)).over(wi)))
+    r = j.where((F.col(step) % every) == (every - 1)).select(*by, step, "__b", "running")
+    bm = r.groupBy(*by, "__b").agg(F.max("running").alias("__m"))
+    bo = bm.select(*by, "__b", F.max("__m").over(wb).alias("__mo"))
+    r = r.join(bo, [*by, "__b"]).withColumn(
+        "best_so_far", F.greatest(F.coalesce(F.col("__mo"), F.col("running")), F.max("running").over(wi)))
     return r.select(*by, step, _r(F.col("running")).alias("running"),
                     (F.col("running") >= F.col("best_so_far")).alias("is_best"))
 

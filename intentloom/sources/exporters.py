@@ -35,20 +35,29 @@ def write_csv_header(df: DataFrame, path: str, text_col: str = "text", label_col
     w.option("header", True).csv(path)
 
 
-def write_json_pairs(df: DataFrame, path: str, chunks: int = 16, key: str = "uid",
+def chunk_of(df: DataFrame, key: str, rows_per_chunk: int):
+    """A stable chunk id with about ``rows_per_chunk`` rows per chunk: the
+    number of chunks grows with the table (row count as a scalar subquery)."""
+    n = df.select(F.count(F.lit(1))).scalar()
+    chunks = F.greatest(F.ceil(n.cast("double") / F.lit(float(rows_per_chunk))), F.lit(1))
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), chunks)
+
+
+def write_json_pairs(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key: str = "uid",
                      splits=("val", "test", "train")) -> None:
     """S4 layout: objects ``{val: [[utt, label]...], test: [...], train: [...]}``,
-    one per chunk of rows; a row's split and chunk come from stable hashes."""
+    one per chunk of about ``rows_per_chunk`` rows; a row's split and chunk
+    come from stable hashes."""
     n = len(splits)
     x = df.withColumn("__split", F.element_at(F.array(*[F.lit(s) for s in splits]), (hash_int(key) % n + 1).cast("int")))
-    x = x.withColumn("__chunk", F.xxhash64(F.col(key).cast("string")) % chunks)
+    x = x.withColumn("__chunk", chunk_of(df, key, rows_per_chunk))
     aggs = [F.collect_list(F.when(F.col("__split") == s, F.array("utterance", "label"))).alias(s) for s in splits]
     x.groupBy("__chunk").agg(*aggs).drop("__chunk").write.mode("overwrite").json(path)
 
 
-def write_json_examples(df: DataFrame, path: str, chunks: int = 16, key: str = "uid") -> None:
+def write_json_examples(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key: str = "uid") -> None:
     """S5 layout: ``{rasa_nlu_data: {common_examples: [{text, intent}]}}`` per chunk."""
-    x = df.withColumn("__chunk", F.xxhash64(F.col(key).cast("string")) % chunks)
+    x = df.withColumn("__chunk", chunk_of(df, key, rows_per_chunk))
     g = x.groupBy("__chunk").agg(F.collect_list(F.struct(F.col("utterance").alias("text"),
                                                          F.col("label").alias("intent"))).alias("ex"))
     g.select(F.struct(F.col("ex").alias("common_examples")).alias("rasa_nlu_data")).write.mode("overwrite").json(path)

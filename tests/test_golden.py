@@ -154,3 +154,20 @@ def test_global_rank_is_dense_and_ordered(spark):
     got = sorted((row.rn, row.x) for row in r.collect())
     assert [g[0] for g in got] == list(range(1, 5001))
     assert [g[1] for g in got] == sorted(range(5000), reverse=True)
+
+
+def test_running_best_bucketed_equals_naive(spark):
+    import random
+    rnd = random.Random(7)
+    vals = [float(rnd.random() < 0.6) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(vals)), "episode long, acc double")
+    got = {r.episode: (r.running, r.is_best) for r in E.running_best(df, every=50, bucket=37).collect()}
+    best, s = -1.0, 0.0
+    for i, v in enumerate(vals):
+        s += v
+        if i % 50 == 49:
+            run = s / (i + 1)
+            best = max(best, run)
+            assert got[i][0] == pytest.approx(round(run, 6))
+            assert got[i][1] == (run >= best)
+    assert len(got) == 20
