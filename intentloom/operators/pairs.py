@@ -16,17 +16,20 @@ from intentloom.operators.rank import class_rank
 
 
 def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
-                     label: str = "label", carry=()) -> DataFrame:
+                     label: str = "label", carry=(), candidates: DataFrame | None = None) -> DataFrame:
     """``(key, scope, label_name, label INT)`` for each row and each
     distinct label of the same ``scope``; label = 1 where they are equal.
-    ``carry`` columns of the row are copied into each of its pairs.
+    ``carry`` columns of the row are copied into each of its pairs.  With
+    ``candidates`` the labels come from that table instead (inference: the
+    support set of the evaluation scope).
 
     The candidate table ``(scope, label)`` is label-sized: after a row-count
     check it travels as one array and each row explodes its scope's labels (a
     generator, no join, no shuffle of the rows).  Above the bound it is an
     equi-join on ``scope``.
     """
-    cands = df.select(scope, F.col(label).alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
+    src = df if candidates is None else candidates
+    cands = src.select(scope, F.col(label).alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
     carry = list(carry)
     rows = df.select(key, scope, F.col(label).alias("__truth"), *carry)
     arr = label_array(cands, [scope, "label_name"])
