@@ -27,7 +27,8 @@ def prototypes_of(support: DataFrame) -> DataFrame:
 
 def nearest_predictions(vecs: DataFrame, k: int = 5) -> DataFrame:
     """``(uid, label, pred, score)`` for every row not drawn as support."""
-    sup = support_of(vecs, k)
+    # K rows per label: bounded, kept once for the prototypes and the anti join
+    sup = support_of(vecs, k).persist()
     protos = score.with_scope(prototypes_of(sup), "all")
     queries = score.with_scope(vecs.join(sup.select("uid"), "uid", "left_anti"), "all")
     best = score.nearest_prototype(queries, protos)
@@ -43,7 +44,7 @@ def distance_scores(vecs: DataFrame, k: int = 5) -> DataFrame:
     """Long form ``(uid, truth, label, score)``: score = minus the Euclidean
     distance of a non-support row to each prototype (logits of X7)."""
     from intentloom.functions import vectors as V
-    sup = support_of(vecs, k)
+    sup = support_of(vecs, k).persist()
     protos = score.with_scope(prototypes_of(sup), "all")
     queries = score.with_scope(vecs.join(sup.select("uid"), "uid", "left_anti"), "all")
     s = score.pair_scores(queries.select("uid", F.col("label").alias("truth"), "scope", "vec"),

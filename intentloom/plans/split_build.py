@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from intentloom.functions.order import DEFAULT_SEED
 from intentloom.operators import labels as L
 from intentloom.operators import split as S
+from intentloom.session import materialize
 
 
 def roles_of(utts: DataFrame, pct: int | None = 33, m: int | None = None,
@@ -21,9 +22,14 @@ def roles_of(utts: DataFrame, pct: int | None = 33, m: int | None = None,
 
 
 def build(utts: DataFrame, pct: int | None = 33, m: int | None = None, shots=(1, 5),
-          num: int = 2, den: int = 3, seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+          num: int = 2, den: int = 3, seed: int = DEFAULT_SEED,
+          materialized: bool = False) -> tuple[DataFrame, DataFrame]:
     """Return ``(split, roles)``; ``split`` has columns
-    uid, utterance, label, ord, role, part, k."""
+    uid, utterance, label, ord, role, part, k.
+
+    ``materialized=True`` writes the split once to the shared checkpoint
+    folder (for plans where several branches read it)."""
     roles = roles_of(utts, pct, m, seed)
     dedup = L.dedup_last_wins(utts)
-    return S.split_sets(dedup, roles, shots=shots, num=num, den=den, seed=seed), roles
+    sp = S.split_sets(dedup, roles, shots=shots, num=num, den=den, seed=seed)
+    return (materialize(sp) if materialized else sp), roles

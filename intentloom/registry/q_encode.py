@@ -92,7 +92,7 @@ select uid, label_name, {IDSTR('list_resize(full_, 64, 0)')} as input_ids,
        CAST(least(len(full_), 64) AS INTEGER) as len from f
 """)
 def x12_pair_encode(spark, d):
-    sp, _ = split_build.build(views.utt(spark, d))
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
     s = sp.where(F.col("part") == "train_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
     # every token of the whole text is hashed; the ids ride along the pair explode (no join)
     s = s.withColumn("sid", T.hashed_ids(T.blank_tokens("utterance")))

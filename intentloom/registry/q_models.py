@@ -20,7 +20,7 @@ def p1_encode_batch(spark, d):
 
 @query("m1_seen_classifier")
 def m1_seen_classifier(spark, d):
-    sp, _ = split_build.build(views.utt_lang(spark, d), m=1)
+    sp, _ = split_build.build(views.utt_lang(spark, d), m=1, materialized=True)
     train = sp.where(F.col("part") == "train_seen")
     model = MD.seen_classifier(train)
     return MD.classify(model, sp.where(F.col("part") == "test_seen"))
@@ -28,7 +28,7 @@ def m1_seen_classifier(spark, d):
 
 @query("m2_pair_classifier")
 def m2_pair_classifier(spark, d):
-    sp, _ = split_build.build(views.part_utt(spark, d), m=2)
+    sp, _ = split_build.build(views.part_utt(spark, d), m=2, materialized=True)
     train = sp.where(F.col("part") == "train_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
     tv = EN.hash_encode(train, 64).withColumnRenamed("vec", "tvec")
     pairs = P.sample_negatives(P.entailment_pairs(train, scope="origin"))

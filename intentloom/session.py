@@ -73,3 +73,14 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    For intermediate tables with several consumers (a split feeding pairs,
+    counts and ranks): computed once, read back by every consumer, and safe
+    when executors are lost (unlike a local checkpoint).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
