@@ -18,15 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread rows over the cores when the scan is too narrow.
+
+    A file with one row group is read by one task, and per-token work before
+    the first shuffle would then run on one core.  Only in that case are the
+    rows hash-partitioned on ``key`` (deterministic, so retries see the same
+    rows); a wide scan (many files or row groups, any real cluster input) is
+    left untouched.  Filters and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def utt(spark, d) -> DataFrame:
     """documents as labelled utterances: label = source."""
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("uid"), F.col("text").alias("utterance"),
         F.col("source").alias("label"), F.col("doc_id").alias("ord"))
 
 
 def utt_lang(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("uid"), F.col("text").alias("utterance"),
         F.col("lang").alias("label"), F.col("doc_id").alias("ord"))
 
@@ -40,7 +55,7 @@ def part_utt(spark, d) -> DataFrame:
 
 def conv(spark, d) -> DataFrame:
     """conversation turns: label = role, uid = conv_id * 1000 + turn."""
-    return table(spark, d, "conversations").select(
+    return spread(table(spark, d, "conversations"), "conv_id").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), F.col("text").alias("utterance"),
         F.col("role").alias("label"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
 
