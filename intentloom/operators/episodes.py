@@ -62,4 +62,10 @@ def episode_pairs(samples: DataFrame, cols=("vec",)) -> DataFrame:
     s = samples.where(F.col("role") == "support").select(
         "episode", F.col("class_id").alias("s_class"), F.col("slot").alias("s_slot"), F.col("uid").alias("s_uid"),
         *[F.col(c).alias(f"s_{c}") for c in cols])
-    return q.join(s, "episode").withColumn("same", (F.col("q_class") == F.col("s_class")).cast("int"))
+    # Pair work is compute-heavy and its size is set by the episode parameters
+    # (episodes x N*Q x N*K), not by the data: spread the query rows over all
+    # cores explicitly (AQE would coalesce the small input into one task) and
+    # broadcast the support rows (episodes x N x K, checked).
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    q = q.repartition(cores, "episode", "q_class", "q_slot")
+    return q.join(checked_broadcast(s), "episode").withColumn("same", (F.col("q_class") == F.col("s_class")).cast("int"))

@@ -31,6 +31,18 @@ def cos_matrix(A, B) -> Column:
     return F.transform(A, lambda a: F.transform(B, lambda b: _cos(a, b)))
 
 
+def with_norms(M) -> Column:
+    """Rows of a matrix paired with their L2 norms (computed once per row)."""
+    return F.transform(M, lambda r: F.struct(V.as_double(r).alias("v"), V.norm(r).alias("n")))
+
+
+def cos_matrix_normed(An, Bn) -> Column:
+    """att[i][j] from ``with_norms`` matrices: each norm is computed once, not
+    once per pair of rows."""
+    return F.transform(An, lambda a: F.transform(
+        Bn, lambda b: V.safe_div(V.dot(a["v"], b["v"]), a["n"] * b["n"], EPS)))
+
+
 def transpose(M) -> Column:
     """Columns of a rectangular matrix as rows."""
     first = F.element_at(M, 1)
@@ -40,7 +52,8 @@ def transpose(M) -> Column:
 
 def with_alignment(df: DataFrame, A: str = "A", B: str = "B") -> DataFrame:
     """Add ``att`` (cosine matrix A x B), ``attT`` and ``Bt`` (B transposed)."""
-    df = df.withColumn("att", cos_matrix(A, B))
+    df = df.withColumn("__An", with_norms(A)).withColumn("__Bn", with_norms(B))
+    df = df.withColumn("att", cos_matrix_normed("__An", "__Bn")).drop("__An", "__Bn")
     return df.withColumn("attT", transpose("att")).withColumn("Bt", transpose(B))
 
 

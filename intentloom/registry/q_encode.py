@@ -12,7 +12,7 @@ from intentloom.operators import score as SC
 from intentloom.plans import split_build
 from intentloom.registry import query
 from intentloom.registry.sqlparts import (ANYVEC, BOW_TOKENS, CONV, HASHED_IDS, HINT, IDSTR, PART_UTT, SPLIT,
-                                          TOK_VEC, TOKENS, TOKROWS, UTT, VNORM, VSUM)
+                                          TOK_VEC, TOKENS, TOKROWS, UTT, VSUM)
 from intentloom.sources import views
 
 

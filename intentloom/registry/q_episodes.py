@@ -11,7 +11,7 @@ from intentloom.operators import matching as M
 from intentloom.operators import score as SC
 from intentloom.plans import episodic
 from intentloom.registry import query
-from intentloom.registry.sqlparts import DCOS, DFLOOR, EPISODES, VEC, VEC_HEADS, VNORM, VSUM
+from intentloom.registry.sqlparts import DCOS, DFLOOR, EPISODES, VEC, VEC_HEADS
 from intentloom.sources import views
 
 EPS20 = EPISODES(VEC, 20, 5, 5, 5)

@@ -10,7 +10,7 @@ from intentloom.operators import score as SC
 from intentloom.operators.batches import eval_batches
 from intentloom.plans import proto_eval
 from intentloom.registry import query
-from intentloom.registry.sqlparts import DIST_SCORES, H, NEAREST_VEC, PROTOS, VEC
+from intentloom.registry.sqlparts import DIST_SCORES, H, NEAREST_VEC, VEC
 from intentloom.sources import views
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intentloom.registry import query
-from intentloom.registry.sqlparts import H, NEAREST, PROTOS, REPORT, SUPPORT, VEC
+from intentloom.registry.sqlparts import NEAREST, PROTOS, REPORT, SUPPORT, VEC
 from intentloom.sources import views
 from intentloom.plans import proto_eval
 

@@ -6,13 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from intentloom.functions.order import hash_int
 from intentloom.operators import labels as L
 from intentloom.operators import split as S
 from intentloom.operators import sweeps as W
 from intentloom.plans import split_build
 from intentloom.registry import query
-from intentloom.registry.sqlparts import CONV, DEDUP, HINT, RANKED, ROLES, SPLIT, TOK_VEC, UTT, VSUM
+from intentloom.registry.sqlparts import DEDUP, HINT, RANKED, SPLIT, TOK_VEC, UTT, VSUM
 from intentloom.session import shared_dir
 from intentloom.sources import exporters as X
 from intentloom.sources import readers as R

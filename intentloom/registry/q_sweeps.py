@@ -9,7 +9,7 @@ from intentloom.operators import split as S
 from intentloom.operators import sweeps as W
 from intentloom.plans import split_build
 from intentloom.registry import query
-from intentloom.registry.sqlparts import DEDUP, H, RANKED, ROLES, SPLIT, UTT
+from intentloom.registry.sqlparts import DEDUP, RANKED, ROLES, SPLIT, UTT
 from intentloom.sources import views
 
 

@@ -48,7 +48,7 @@ def utt_lang(spark, d) -> DataFrame:
 
 def part_utt(spark, d) -> DataFrame:
     """part names as utterances, part type as label (many conflicting copies)."""
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part"), "p_partkey").select(
         F.col("p_partkey").alias("uid"), F.col("p_name").alias("utterance"),
         F.col("p_type").alias("label"), F.col("p_partkey").alias("ord"))
 
