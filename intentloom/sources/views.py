@@ -62,7 +62,7 @@ def conv(spark, d) -> DataFrame:
 
 def vec(spark, d) -> DataFrame:
     """embeddings: ``(uid, label STRING, vec ARRAY<FLOAT>)``."""
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("uid"), F.col("label").cast("string").alias("label"),
         F.col("embedding").alias("vec"))
 
