@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from intentloom.registry import (  # noqa: F401
         q_split, q_labels, q_pairs, q_score, q_eval, q_encode, q_episodes, q_sources, q_vectors, q_models,
-        q_sweeps, q_streaming, q_nli)
+        q_sweeps, q_streaming, q_nli, q_datasets)

@@ -87,10 +87,11 @@ def DEDUP(src: str) -> str:
             f"from ({src}) group by utterance")
 
 
-def ROLES(src: str, pct: int = 33) -> str:
-    """Labels in seeded order, the first (n * pct) div 100 are novel."""
-    return (f"select label, case when r <= floor(CAST(cnt * {pct} AS DOUBLE) / 100.0) then 'novel' else 'seen' end as role, "
-            f"case when r <= floor(CAST(cnt * {pct} AS DOUBLE) / 100.0) then CAST(r AS BIGINT) end as novel_rank from ("
+def ROLES(src: str, pct: int = 33, m: int | None = None) -> str:
+    """Labels in seeded order, the first m (or (n * pct) div 100) are novel."""
+    lim = str(m) if m is not None else f"floor(CAST(cnt * {pct} AS DOUBLE) / 100.0)"
+    return (f"select label, case when r <= {lim} then 'novel' else 'seen' end as role, "
+            f"case when r <= {lim} then CAST(r AS BIGINT) end as novel_rank from ("
             f"select label, row_number() over (order by {H('novel', 'label')}, label) as r, count(*) over () as cnt "
             f"from (select distinct label from ({src}) where label is not null))")
 
@@ -100,7 +101,8 @@ def RANKED(src: str, salt: str = "split") -> str:
             f"count(*) over (partition by label) as n from ({src})")
 
 
-def SPLIT(src: str, pct: int = 33, shots=(1, 5), num: int = 2, den: int = 3) -> str:
+def SPLIT(src: str, pct: int = 33, shots=(1, 5), num: int = 2, den: int = 3, m: int | None = None,
+          roles_src: str | None = None, dedup: str | None = None) -> str:
     """The whole split table: uid, utterance, label, ord, role, part, k."""
     ks = ", ".join(str(k) for k in (0, *shots))
     return f"""
@@ -110,7 +112,7 @@ select uid, utterance, label, ord, role, part, CAST(k AS INTEGER) as k from (
             else (case when rn > tt then 'test_novel' end) end)
     else (case when rn <= least(k, tt) then 'support_' || role end) end as part
   from (select *, floor(CAST(n * {num} AS DOUBLE) / {float(den)}) as tt, unnest([{ks}]) as k
-        from ({RANKED(f"select d.*, r.role from ({DEDUP(src)}) d join ({ROLES(src, pct)}) r using (label)")})))
+        from ({RANKED(f"select d.*, r.role from ({dedup or DEDUP(src)}) d join ({ROLES(roles_src or src, pct, m)}) r using (label)")})))
 where part is not null"""
 
 

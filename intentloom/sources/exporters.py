@@ -55,11 +55,21 @@ def write_json_pairs(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key
     x.groupBy("__chunk").agg(*aggs).drop("__chunk").write.mode("overwrite").json(path)
 
 
-def write_json_examples(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key: str = "uid") -> None:
-    """S5 layout: ``{rasa_nlu_data: {common_examples: [{text, intent}]}}`` per chunk."""
-    x = df.withColumn("__chunk", chunk_of(df, key, rows_per_chunk))
-    g = x.groupBy("__chunk").agg(F.collect_list(F.struct(F.col("utterance").alias("text"),
-                                                         F.col("label").alias("intent"))).alias("ex"))
+def write_json_examples(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key: str = "uid",
+                        order: str | None = None) -> None:
+    """S5 layout: ``{rasa_nlu_data: {common_examples: [{text, intent}]}}`` per chunk.
+
+    With ``order`` the chunks are consecutive ranges of that order and the
+    examples keep it, so the files read back in that order."""
+    ex = F.struct(F.col("utterance").alias("text"), F.col("label").alias("intent"))
+    if order is None:
+        x = df.withColumn("__chunk", chunk_of(df, key, rows_per_chunk))
+        g = x.groupBy("__chunk").agg(F.collect_list(ex).alias("ex"))
+    else:
+        r = global_rank(df.withColumn("__o", F.col(order)), [F.col("__o")], out="__r")
+        x = r.withColumn("__chunk", F.floor((F.col("__r") - 1) / F.lit(rows_per_chunk)))
+        g = (x.groupBy("__chunk").agg(F.array_sort(F.collect_list(F.struct("__r", ex.alias("e")))).alias("__a"))
+             .select("__chunk", F.transform("__a", lambda s: s["e"]).alias("ex")).orderBy("__chunk"))
     g.select(F.struct(F.col("ex").alias("common_examples")).alias("rasa_nlu_data")).write.mode("overwrite").json(path)
 
 
