@@ -41,7 +41,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def class_rank(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str] | str,
-               out: str = "rn", total: str | None = None, prefix_len: int = 4) -> DataFrame:
+               out: str = "rn", total: str | None = None, prefix_len: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based rank of each row inside its ``by`` group.
 
     Rows are ordered by ``order_key`` (a hex hash string, see
@@ -56,6 +56,10 @@ def class_rank(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
     """
     by = list(by)
     tiebreak = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    if prefix_len is None:
+        # per-class ranks: 16**4 buckets per class; one global order (pairs can
+        # number 10**13): 16**6 buckets, still one small running sum per group
+        prefix_len = 4 if by else 6
     g = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
     x = df.withColumn("__grp", g).withColumn("__bkt", F.substring(F.col(order_key), 1, prefix_len))
     counts = x.groupBy("__grp", "__bkt").agg(F.count(F.lit(1)).alias("__bc"))

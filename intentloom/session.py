@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -66,15 +65,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/intentloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python-side file writes work in local tests."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 
