@@ -171,3 +171,13 @@ def test_running_best_bucketed_equals_naive(spark):
             assert got[i][0] == pytest.approx(round(run, 6))
             assert got[i][1] == (run >= best)
     assert len(got) == 20
+
+
+def test_python_encoder_plugin_matches_jvm_hash_encoder(spark):
+    from intentloom.operators import encode as EN
+    from intentloom.operators import models as MD
+    df = spark.createDataFrame([(1, "Hello hello  world"), (2, " a b c "), (3, "Ünïcode Ünïcode x")],
+                               "uid long, utterance string")
+    py = {r.uid: [float(x) for x in r.vec] for r in MD.encode(df, MD.numpy_hash_encoder(16), dim=16).collect()}
+    jvm = {r.uid: list(r.vec) for r in EN.hash_encode(df, 16).collect()}
+    assert py == jvm
