@@ -144,11 +144,18 @@ def splice(base: DataFrame, insert: DataFrame, at: int, order: str = "ord") -> D
     return b.drop("__p").unionByName(i.drop("__p"))
 
 
-def validation_slice(df: DataFrame, den: int = 9, order: str = "ord") -> DataFrame:
+def validation_slice(df: DataFrame, den: int = 9, order: str = "ord", held_out: bool = False,
+                     key: str = "uid", seed: int = DEFAULT_SEED) -> DataFrame:
     """The first ``n div den`` rows (by ``order``) are 'valid', the rest
-    'train' (the reference validates on a leading slice of its train rows)."""
+    'train' (the reference validates on a leading slice of its train rows).
+    With ``held_out=True`` the validation rows are a seeded random draw of
+    the same size instead of the leading slice."""
     n = df.select(F.count(F.lit(1))).scalar()
-    r = global_rank(df, [F.col(order)], out="pos")
+    if held_out:
+        x = df.withColumn("__h", seeded_key(key, salt="valid", seed=seed))
+        r = class_rank(x, [], "__h", key, out="pos").drop("__h")
+    else:
+        r = global_rank(df, [F.col(order)], out="pos")
     lim = F.floor(n.cast("double") / F.lit(float(den))).cast("long")
     return r.withColumn("part", F.when(F.col("pos") <= lim, F.lit("valid")).otherwise(F.lit("train")))
 

@@ -69,3 +69,21 @@ def run_predictions(vecs: DataFrame, k: int = 5, runs: int = 5) -> DataFrame:
     from intentloom.operators.joins import checked_broadcast
     j = queries.join(checked_broadcast(p), "run").withColumn("__d", F.round(V.l2_dist("vec", "__p"), 9))
     return j.groupBy("run", "uid", "label").agg(F.min_by("__cand", F.struct("__d", "__cand")).alias("pred"))
+
+
+def fold_predictions(vecs: DataFrame, k: int = 5, folds: int = 10) -> DataFrame:
+    """E5 over folds: rows fall into ``folds`` folds by a stable hash; inside
+    each fold, K support rows per label make the prototypes and the fold's
+    other rows are classified.  Returns ``(fold, uid, label, pred)``."""
+    from intentloom.functions import vectors as V
+    from intentloom.functions.order import hash_int, seeded_key
+    from intentloom.operators.joins import checked_broadcast
+    from intentloom.operators.rank import group_top
+    x = vecs.withColumn("fold", (hash_int("uid") % folds + 1).cast("int"))
+    x = x.withColumn("__h", seeded_key("fold", "uid", salt="fold-shot"))
+    sup = group_top(x, ["fold", "label"], [F.col("__h"), F.col("uid")], k).drop("__h", "rn").persist()
+    protos = score.prototypes(sup, by=("fold", "label"))
+    queries = x.drop("__h").join(sup.select("fold", "uid"), ["fold", "uid"], "left_anti")
+    p = protos.select("fold", F.col("label").alias("__cand"), F.col("proto").alias("__p"))
+    j = queries.join(checked_broadcast(p), "fold").withColumn("__d", F.round(V.l2_dist("vec", "__p"), 9))
+    return j.groupBy("fold", "uid", "label").agg(F.min_by("__cand", F.struct("__d", "__cand")).alias("pred"))

@@ -10,7 +10,7 @@ from intentloom.operators import score as SC
 from intentloom.operators.batches import eval_batches
 from intentloom.plans import proto_eval
 from intentloom.registry import query
-from intentloom.registry.sqlparts import DIST_SCORES, H, NEAREST_VEC, VEC
+from intentloom.registry.sqlparts import DIST_SCORES, H, HINT, NEAREST_VEC, VEC
 from intentloom.sources import views
 
 
@@ -133,3 +133,23 @@ select round(avg(-ln(prob)), 6) as log_loss, count(*) as n from p where label =
 def x26_log_loss(spark, d):
     s = SC.group_softmax(proto_eval.distance_scores(views.vec(spark, d), 5))
     return E.log_loss(s)
+
+
+FOLDS = f"""
+with v as (select *, CAST({HINT('uid')} % 10 + 1 AS INTEGER) as fold from ({VEC})),
+s as (select * from (select *, row_number() over (partition by fold, label order by {H('fold-shot', 'fold', 'uid')}, uid) as rn from v) where rn <= 5),
+pe as (select fold, label, dim, avg(x) as x from (select fold, label, unnest(range(len(vec))) as dim, CAST(unnest(vec) AS DOUBLE) as x from s) group by all),
+p as (select fold, label, list(x order by dim) as proto from pe group by fold, label),
+q as (select * from v where (fold, uid) not in (select (fold, uid) from s)),
+pr as (select q.fold, q.uid, q.label, arg_min(p.label, struct_pack(d := round(list_distance(CAST(q.vec AS DOUBLE[]), p.proto), 9), c := p.label)) as pred
+       from q join p on q.fold = p.fold group by all),
+acc as (select fold, avg(CAST(label = pred AS DOUBLE)) as acc, count(*) as n from pr group by fold)
+"""
+
+
+@query("e5_fold_summary", sql=FOLDS + """
+select round(avg(acc), 6) as mean, round(stddev_pop(acc), 6) as std, count(*) as count from acc
+""")
+def e5_fold_summary(spark, d):
+    pr = proto_eval.fold_predictions(views.vec(spark, d), 5, folds=10)
+    return E.mean_std(E.accuracy(pr, by=("fold",)), "acc")

@@ -145,3 +145,13 @@ where pos >= 381
 """)
 def f5_position_slice(spark, d):
     return S.position_slice(views_utt(spark, d), 381).select("uid", "pos")
+
+
+@query("w9_validation_held_out", sql=f"""
+with dd as ({DEDUP(UTT)})
+select uid, CAST(row_number() over (order by {H('valid', 'uid')}, uid) AS BIGINT) as pos,
+       case when row_number() over (order by {H('valid', 'uid')}, uid) <= floor(CAST((select count(*) from dd) AS DOUBLE) / 9.0)
+            then 'valid' else 'train' end as part from dd
+""")
+def w9_validation_held_out(spark, d):
+    return S.validation_slice(L.dedup_last_wins(views_utt(spark, d)), held_out=True).select("uid", "pos", "part")
