@@ -61,17 +61,17 @@ def class_rank(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
         # number 10**13): 16**6 buckets, still one small running sum per group
         prefix_len = 4 if by else 6
     g = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
-    x = df.withColumn("__grp", g).withColumn("__bkt", F.substring(F.col(order_key), 1, prefix_len))
-    counts = x.groupBy("__grp", "__bkt").agg(F.count(F.lit(1)).alias("__bc"))
-    wb = Window.partitionBy("__grp").orderBy("__bkt")
-    cols = ["__grp", "__bkt",
-            F.coalesce(F.sum("__bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off")]
+    x = df.withColumn("__cr_g", g).withColumn("__cr_b", F.substring(F.col(order_key), 1, prefix_len))
+    counts = x.groupBy("__cr_g", "__cr_b").agg(F.count(F.lit(1)).alias("__cr_c"))
+    wb = Window.partitionBy("__cr_g").orderBy("__cr_b")
+    cols = ["__cr_g", "__cr_b",
+            F.coalesce(F.sum("__cr_c").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__cr_o")]
     if total:
-        cols.append(F.sum("__bc").over(Window.partitionBy("__grp")).cast("long").alias(total))
+        cols.append(F.sum("__cr_c").over(Window.partitionBy("__cr_g")).cast("long").alias(total))
     offsets = counts.select(*cols)
-    j = x.join(offsets, ["__grp", "__bkt"])
-    wr = Window.partitionBy("__grp", "__bkt").orderBy(F.col(order_key), *[F.col(t) for t in tiebreak])
-    return j.withColumn(out, (F.col("__off") + F.row_number().over(wr)).cast("long")).drop("__grp", "__bkt", "__off")
+    j = x.join(offsets, ["__cr_g", "__cr_b"])
+    wr = Window.partitionBy("__cr_g", "__cr_b").orderBy(F.col(order_key), *[F.col(t) for t in tiebreak])
+    return j.withColumn(out, (F.col("__cr_o") + F.row_number().over(wr)).cast("long")).drop("__cr_g", "__cr_b", "__cr_o")
 
 
 def group_top(df: DataFrame, by: list[str], order: list, k, out: str = "rn") -> DataFrame:
@@ -117,3 +117,56 @@ def small_rank(df: DataFrame, order: list, out: str = "rn", by: list[str] | None
     """
     w = Window.partitionBy(*(by or [])).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w).cast("long"))
+
+
+def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str] | str,
+              cuts: dict, total: str = "n", prefix_len: int = 2,
+              max_bucket_rows: int = 200_000) -> DataFrame:
+    """Flags ``<name> = rank <= cut`` for each named cut, without ranking every row.
+
+    ``cuts`` maps a flag name to a function of the group-size Column (e.g.
+    ``lambda n: floor(2n/3)``).  Rows are counted per (group, hash-prefix
+    bucket); a bucket wholly below a cut has all its rows inside, one wholly
+    above has none, and only the bucket holding the cut needs exact ranks.
+    The bucket table (groups x 16**prefix_len rows, size-checked) is
+    broadcast, so rows outside boundary buckets are classified where they
+    are, with no shuffle; boundary rows (about (#cuts)/16**prefix_len of each
+    group) are ranked with ``class_rank``.  Above the bound every row is
+    ranked with ``class_rank`` instead.  Adds the flags and ``total``.
+    """
+    by = list(by)
+    tiebreak = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    g = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    x = df.withColumn("__grp", g).withColumn("__b1", F.substring(F.col(order_key), 1, prefix_len))
+    counts = x.groupBy("__grp", "__b1").agg(F.count(F.lit(1)).alias("__bc"))
+    wb = Window.partitionBy("__grp").orderBy("__b1")
+    b = counts.select("__grp", "__b1", "__bc",
+                      F.coalesce(F.sum("__bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                 F.lit(0)).alias("__off"),
+                      F.sum("__bc").over(Window.partitionBy("__grp")).cast("long").alias(total))
+    need = F.lit(False)
+    for name, cut in cuts.items():
+        thr = cut(F.col(total))
+        b = b.withColumn(f"__thr_{name}", thr.cast("long"))
+        full = F.col("__off") + F.col("__bc") <= F.col(f"__thr_{name}")
+        none = F.col("__off") >= F.col(f"__thr_{name}")
+        b = b.withColumn(f"__st_{name}", F.when(full, F.lit(1)).when(none, F.lit(0)).otherwise(F.lit(2)))
+        need = need | (F.col(f"__st_{name}") == 2)
+    b = b.withColumn("__need", need).persist()
+    if b.count() > max_bucket_rows:
+        # too many buckets to broadcast: rank every row (one shuffle)
+        r = class_rank(df, by, order_key, tiebreak, out="__rn", total=total)
+        for name, cut in cuts.items():
+            r = r.withColumn(name, F.col("__rn") <= cut(F.col(total)))
+        return r.drop("__rn")
+    j = x.join(F.broadcast(b), ["__grp", "__b1"])  # bounded by the count above
+    helper = ["__grp", "__b1", "__bc", "__off", "__need"] + [f"__thr_{n}" for n in cuts] + [f"__st_{n}" for n in cuts]
+    settled = j.where(~F.col("__need"))
+    for name in cuts:
+        settled = settled.withColumn(name, F.col(f"__st_{name}") == 1)
+    edge = j.where(F.col("__need"))
+    edge = class_rank(edge, ["__grp", "__b1"], order_key, tiebreak, out="__rn", prefix_len=prefix_len + 4)
+    for name in cuts:
+        st, thr = F.col(f"__st_{name}"), F.col(f"__thr_{name}")
+        edge = edge.withColumn(name, (st == 1) | ((st == 2) & (F.col("__off") + F.col("__rn") <= thr)))
+    return settled.drop(*helper).unionByName(edge.drop(*helper, "__rn"))

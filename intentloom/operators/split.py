@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
 from intentloom.operators.joins import checked_broadcast
-from intentloom.operators.rank import class_rank, global_rank, group_top
+from intentloom.operators.rank import class_rank, global_rank, group_top, rank_cuts
 
 DATA_PARTS = ("train_seen", "test_seen", "test_novel")
 SUPPORT_PARTS = ("support_novel", "support_seen")
@@ -66,18 +66,31 @@ def split_sets(utts: DataFrame, roles: DataFrame, shots=(1, 5), num: int = 2, de
     ``test_joint`` / ``support_joint``).
     """
     d = utts.join(checked_broadcast(roles.select("label", "role")), "label")
-    r = shuffle_rank(d, by="label", seed=seed)
-    t = train_size(F.col("n"), num, den)
-    ks = F.array(F.lit(0), *[F.lit(int(k)) for k in shots])
-    x = r.withColumn("k", F.explode(ks)).withColumn("__t", t)
-    is_train = F.col("rn") <= F.col("__t")
+    shots = [int(k) for k in shots]
+    if keep_rank:
+        r = shuffle_rank(d, by="label", seed=seed)
+        t = train_size(F.col("n"), num, den)
+        r = r.withColumn("__tr", F.col("rn") <= t)
+        for k in shots:
+            r = r.withColumn(f"__s{k}", F.col("rn") <= F.least(F.lit(k).cast("long"), t))
+    else:
+        # only the comparisons with the cut points matter: rank just the rows
+        # near each cut (see rank.rank_cuts), the texts of all others stay put
+        cuts = {"__tr": lambda n: train_size(n, num, den)}
+        for k in shots:
+            cuts[f"__s{k}"] = (lambda kk: (lambda n: F.least(F.lit(kk).cast("long"), train_size(n, num, den))))(k)
+        x = d.withColumn("__h", seeded_key("uid", salt="split", seed=seed))
+        r = rank_cuts(x, ["label"], "__h", "uid", cuts, total="n").drop("__h")
+    ks = F.array(F.lit(0), *[F.lit(k) for k in shots])
+    flags = F.array(F.col("__tr"), *[F.col(f"__s{k}") for k in shots])
+    x = r.select("*", F.posexplode(ks).alias("__i", "k")).withColumn("__f", F.element_at(flags, F.col("__i") + 1))
+    is_train = F.col("__tr")
     part = (F.when(F.col("k") == 0,
                    F.when(F.col("role") == "seen",
                           F.when(is_train, F.lit("train_seen")).otherwise(F.lit("test_seen")))
                    .otherwise(F.when(~is_train, F.lit("test_novel"))))
-            .otherwise(F.when(F.col("rn") <= F.least(F.col("k").cast("long"), F.col("__t")),
-                              F.concat(F.lit("support_"), F.col("role")))))
-    extra = [F.col("rn"), F.col("__t").alias("train_n")] if keep_rank else []
+            .otherwise(F.when(F.col("__f"), F.concat(F.lit("support_"), F.col("role")))))
+    extra = [F.col("rn"), train_size(F.col("n"), num, den).alias("train_n")] if keep_rank else []
     return (x.withColumn("part", part).where(F.col("part").isNotNull())
             .select("uid", "utterance", "label", "ord", "role", "part", F.col("k").cast("int").alias("k"), *extra))
 

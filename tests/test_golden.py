@@ -181,3 +181,19 @@ def test_python_encoder_plugin_matches_jvm_hash_encoder(spark):
     py = {r.uid: [float(x) for x in r.vec] for r in MD.encode(df, MD.numpy_hash_encoder(16), dim=16).collect()}
     jvm = {r.uid: list(r.vec) for r in EN.hash_encode(df, 16).collect()}
     assert py == jvm
+
+
+@pytest.mark.parametrize("max_rows", [1, 200_000])
+def test_rank_cuts_equal_plain_window(spark, max_rows):
+    from intentloom.operators.rank import rank_cuts
+    rows = [(i, "hot" if i % 4 else f"c{i % 5}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "uid long, label string").withColumn("h", seeded_key("uid", salt="t"))
+    cuts = {"a": lambda n: F.floor(n * 2 / 3).cast("long"), "b": lambda n: F.least(F.lit(5).cast("long"), n),
+            "c": lambda n: F.lit(0).cast("long")}
+    got = rank_cuts(df, ["label"], "h", "uid", cuts, prefix_len=1, max_bucket_rows=max_rows)
+    w = Window.partitionBy("label").orderBy("h", "uid")
+    ref = df.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("label")))
+    ref = ref.select("uid", (F.col("rn") <= F.floor(F.col("n") * 2 / 3)).alias("ra"), (F.col("rn") <= F.least(F.lit(5), F.col("n"))).alias("rb"))
+    j = got.join(ref, "uid")
+    assert j.count() == 4000
+    assert j.where("a <> ra or b <> rb or c").count() == 0

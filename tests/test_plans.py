@@ -23,13 +23,14 @@ def test_scoring_and_pairs_have_no_nested_loop_or_cartesian(spark):
         assert "CartesianProduct" not in p, name
 
 
-def test_row_sized_ranks_never_use_a_single_partition_window(spark):
-    # the split ranks every class with bucketed offsets: the only windows are
-    # partitioned by (label, bucket) or run over the bucket-count table
+def test_split_ranks_only_boundary_rows(spark):
+    # the split classifies rows against the broadcast bucket-count table and
+    # ranks only the rows of boundary buckets, by (class, bucket) windows
     df = QUERIES["s10_split_parts"](spark, SF_SMALL)
     df.collect()
     p = df._jdf.queryExecution().executedPlan().toString()
-    assert "__bkt" in p
+    assert "__b1" in p and "__cr_b" in p and "Union" in p
+    assert "BroadcastHashJoin" in p
 
 
 def test_projection_prunes_parquet_columns(spark):
