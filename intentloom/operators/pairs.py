@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
 from intentloom.operators.joins import attach_array, label_array
-from intentloom.operators.rank import class_rank
+from intentloom.operators.rank import rank_cuts
 
 
 def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
@@ -47,15 +47,16 @@ def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
 
 def sample_negatives(pairs: DataFrame, ratio: int = 2, key: str = "uid", seed: int = DEFAULT_SEED) -> DataFrame:
     """All positives plus ``least(ratio * n_pos, n_neg)`` negatives drawn in
-    seeded random order (exact count, ranks computed skew-safe)."""
+    seeded random order (exact count; only pairs near the cut are ranked)."""
     pos = pairs.where(F.col("label") == 1)
     neg = pairs.where(F.col("label") == 0)
     counts = pairs.select(F.struct(F.count(F.when(F.col("label") == 1, 1)).alias("pos"),
                                    F.count(F.when(F.col("label") == 0, 1)).alias("neg"))).scalar()
-    take = F.least(counts["pos"] * F.lit(ratio), counts["neg"])
     h = neg.withColumn("__h", seeded_key(key, "label_name", salt="neg", seed=seed))
-    r = class_rank(h, [], "__h", [key, "label_name"], out="__rn")
-    kept = r.where(F.col("__rn") <= take).drop("__h", "__rn")
+    # keep the `take` smallest hashes: only the pairs of the boundary bucket are ranked
+    cut = {"__keep": lambda n: F.least(counts["pos"] * F.lit(ratio), n)}
+    r = rank_cuts(h, [], "__h", [key, "label_name"], cut, total="__n")
+    kept = r.where(F.col("__keep")).drop("__h", "__keep", "__n")
     return pos.unionByName(kept)
 
 
