@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
 from intentloom.functions.text import norm_label
+from intentloom.operators.joins import checked_broadcast
 from intentloom.operators.rank import small_rank
 
 
@@ -34,21 +35,26 @@ def label_except(all_labels: DataFrame, minus: DataFrame) -> DataFrame:
     return all_labels.select("label").join(minus.select("label"), "label", "left_anti")
 
 
-def dedup_last_wins(df: DataFrame) -> DataFrame:
+def dedup_last_wins(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """A2: one row per utterance; the label of its *last* occurrence, the
     position (ord, uid) of its *first*.
 
     Partial aggregation runs before the shuffle, so a text copied a billion
-    times sends one row per task, not a billion.
+    times sends one row per task, not a billion.  Labels travel as dense int
+    ids (a size-checked broadcast of the label table) so every aggregate
+    buffer is fixed-width and Spark plans a hash aggregate: the texts are
+    hashed, never sorted.  A 64-bit text hash leads the key; grouping stays
+    exact because the text is in the key too.
     """
-    # A 64-bit hash leads the key: partitioning and the aggregate's sort
-    # compare one long first and touch the (up to 20,000-word) text only on a
-    # hash tie; grouping stays exact because the text is still in the key.
-    return (df.groupBy(F.xxhash64("utterance").alias("__th"), "utterance")
-            .agg(F.min_by("uid", "ord").alias("uid"),
-                 F.max_by("label", "ord").alias("label"),
-                 F.min("ord").alias("ord"))
-            .select("uid", "utterance", "label", "ord"))
+    if ids is None:
+        ids = label_ids(distinct_labels(df))
+    ib = checked_broadcast(ids.select("label", "label_id"))
+    x = df.join(ib, "label", "left")
+    g = (x.groupBy(F.xxhash64("utterance").alias("__th"), "utterance")
+         .agg(F.min_by("uid", "ord").alias("uid"),
+              F.max_by("label_id", "ord").alias("label_id"),
+              F.min("ord").alias("ord")))
+    return g.join(ib, "label_id", "left").select("uid", "utterance", "label", "ord")
 
 
 def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
