@@ -22,6 +22,18 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(p) if n <= max_rows else p
 
 
+def sized_broadcast(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a size bound known without running it (e.g. labels
+    x buckets, from an earlier count) is within ``max_rows``."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
+def persisted_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist a small table and count it once: ``(table, rows)``."""
+    p = df.persist()
+    return p, p.count()
+
+
 def label_array(df: DataFrame, cols: list[str], max_rows: int = MAX_BROADCAST_ROWS):
     """A label-sized table as one ``ARRAY<STRUCT<cols>>`` scalar-subquery Column,
     or ``None`` when the table has more than ``max_rows`` rows.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
 from intentloom.functions.text import norm_label
-from intentloom.operators.joins import checked_broadcast
+from intentloom.operators.joins import checked_broadcast, sized_broadcast
 from intentloom.operators.rank import small_rank
 
 
@@ -35,7 +35,7 @@ def label_except(all_labels: DataFrame, minus: DataFrame) -> DataFrame:
     return all_labels.select("label").join(minus.select("label"), "label", "left_anti")
 
 
-def dedup_last_wins(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def dedup_last_wins(df: DataFrame, ids: DataFrame | None = None, n_labels: int | None = None) -> DataFrame:
     """A2: one row per utterance; the label of its *last* occurrence, the
     position (ord, uid) of its *first*.
 
@@ -48,7 +48,10 @@ def dedup_last_wins(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """
     if ids is None:
         ids = label_ids(distinct_labels(df))
-    ib = checked_broadcast(ids.select("label", "label_id"))
+    if n_labels is not None:  # one row per label, count known
+        ib = sized_broadcast(ids.select("label", "label_id"), n_labels)
+    else:
+        ib = checked_broadcast(ids.select("label", "label_id"))
     x = df.join(ib, "label", "left")
     g = (x.groupBy(F.xxhash64("utterance").alias("__th"), "utterance")
          .agg(F.min_by("uid", "ord").alias("uid"),

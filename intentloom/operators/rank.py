@@ -121,7 +121,7 @@ def small_rank(df: DataFrame, order: list, out: str = "rn", by: list[str] | None
 
 def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str] | str,
               cuts: dict, total: str = "n", prefix_len: int = 2,
-              max_bucket_rows: int = 200_000) -> DataFrame:
+              max_bucket_rows: int = 200_000, n_groups: int | None = None) -> DataFrame:
     """Flags ``<name> = rank <= cut`` for each named cut, without ranking every row.
 
     ``cuts`` maps a flag name to a function of the group-size Column (e.g.
@@ -133,6 +133,9 @@ def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
     are, with no shuffle; boundary rows (about (#cuts)/16**prefix_len of each
     group) are ranked with ``class_rank``.  Above the bound every row is
     ranked with ``class_rank`` instead.  Adds the flags and ``total``.
+
+    The bound is ``n_groups * 16**prefix_len`` when the number of groups is
+    known (no extra job); otherwise the bucket table is counted first.
     """
     by = list(by)
     tiebreak = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
@@ -152,14 +155,21 @@ def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
         none = F.col("__off") >= F.col(f"__thr_{name}")
         b = b.withColumn(f"__st_{name}", F.when(full, F.lit(1)).when(none, F.lit(0)).otherwise(F.lit(2)))
         need = need | (F.col(f"__st_{name}") == 2)
-    b = b.withColumn("__need", need).persist()
-    if b.count() > max_bucket_rows:
+    b = b.withColumn("__need", need)
+    if not by:
+        n_groups = 1
+    if n_groups is not None:
+        too_big = n_groups * 16 ** prefix_len > max_bucket_rows
+    else:
+        b = b.persist()
+        too_big = b.count() > max_bucket_rows
+    if too_big:
         # too many buckets to broadcast: rank every row (one shuffle)
         r = class_rank(df, by, order_key, tiebreak, out="__rn", total=total)
         for name, cut in cuts.items():
             r = r.withColumn(name, F.col("__rn") <= cut(F.col(total)))
         return r.drop("__rn")
-    j = x.join(F.broadcast(b), ["__grp", "__b1"])  # bounded by the count above
+    j = x.join(F.broadcast(b), ["__grp", "__b1"])  # bounded above
     helper = ["__grp", "__b1", "__bc", "__off", "__need"] + [f"__thr_{n}" for n in cuts] + [f"__st_{n}" for n in cuts]
     settled = j.where(~F.col("__need"))
     for name in cuts:

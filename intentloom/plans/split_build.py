@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from intentloom.functions.order import DEFAULT_SEED
 from intentloom.operators import labels as L
 from intentloom.operators import split as S
+from intentloom.operators.joins import persisted_count
 from intentloom.session import materialize
 
 
@@ -29,7 +30,9 @@ def build(utts: DataFrame, pct: int | None = 33, m: int | None = None, shots=(1,
 
     ``materialized=True`` writes the split once to the shared checkpoint
     folder (for plans where several branches read it)."""
-    roles = roles_of(utts, pct, m, seed)
-    dedup = L.dedup_last_wins(utts)
-    sp = S.split_sets(dedup, roles, shots=shots, num=num, den=den, seed=seed)
+    # the label table is counted once; that count bounds every label-sized
+    # broadcast below (label ids, roles, labels x buckets) without more jobs
+    roles, n_labels = persisted_count(roles_of(utts, pct, m, seed))
+    dedup = L.dedup_last_wins(utts, ids=L.label_ids(roles), n_labels=n_labels)
+    sp = S.split_sets(dedup, roles, shots=shots, num=num, den=den, seed=seed, n_labels=n_labels)
     return (materialize(sp) if materialized else sp), roles

@@ -23,14 +23,19 @@ def test_scoring_and_pairs_have_no_nested_loop_or_cartesian(spark):
         assert "CartesianProduct" not in p, name
 
 
-def test_split_ranks_only_boundary_rows(spark):
-    # the split classifies rows against the broadcast bucket-count table and
-    # ranks only the rows of boundary buckets, by (class, bucket) windows
+def test_split_ranks_by_class_and_bucket(spark):
+    # every class is ranked in (class, hash bucket) windows, never one window per class
     df = QUERIES["s10_split_parts"](spark, SF_SMALL)
     df.collect()
     p = df._jdf.queryExecution().executedPlan().toString()
-    assert "__b1" in p and "__cr_b" in p and "Union" in p
-    assert "BroadcastHashJoin" in p
+    assert "__cr_b" in p and "BroadcastHashJoin" in p
+
+
+def test_negative_sampling_ranks_only_boundary_pairs(spark):
+    df = QUERIES["a13_neg_sample"](spark, SF_SMALL)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "__b1" in p and "Union" in p
 
 
 def test_projection_prunes_parquet_columns(spark):
