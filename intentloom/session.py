@@ -52,8 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        # unset (local tests only): a fresh folder of our own; the core config
+        # itself cannot change at run time, the context's directory can
         root = tempfile.mkdtemp(prefix="intentloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
