@@ -39,3 +39,39 @@ def parquet_stream(spark: SparkSession, directory: str, schema, glob: str | None
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.parquet(directory)
+
+
+def prototype_constant(protos: DataFrame, max_rows: int = 10_000):
+    """The label-sized prototype table as one array literal (for stateless
+    scoring inside a streaming query, where subqueries are not available).
+    Counted first; above ``max_rows`` it refuses rather than gather it."""
+    from intentloom.operators.joins import persisted_count
+    p, n = persisted_count(protos.select("label", "proto"))
+    if n > max_rows:
+        raise ValueError(f"{n} prototypes exceed the bound {max_rows}")
+    rows = p.collect()
+    return F.array(*[F.struct(F.lit(r.label).alias("label"),
+                              F.array(*[F.lit(float(x)) for x in r.proto]).alias("proto")) for r in rows])
+
+
+def running_confusion(spark: SparkSession, stream: DataFrame, protos: DataFrame, out_path: str,
+                      checkpoint: str) -> None:
+    """Stateful: ``(label, pred, n)`` counts over everything that has arrived.
+
+    Each row is scored against the prototype constant (stateless, ties to the
+    lowest label); ``groupBy(label, pred).count()`` keeps its running counts
+    in the state store (labels x labels entries, bounded).  Every micro-batch
+    rewrites the complete table (idempotent on retry)."""
+    from intentloom.functions import vectors as V
+    arr = prototype_constant(protos)
+    best = F.array_min(F.transform(arr, lambda c: F.struct(F.round(V.l2_dist("vec", c["proto"]), 9).alias("d"),
+                                                           c["label"].alias("label"))))
+    scored = stream.select("label", best["label"].alias("pred"))
+    counts = scored.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    q = (counts.writeStream.outputMode("complete").foreachBatch(handle)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
