@@ -1,8 +1,9 @@
 """Label dictionary work: distinct labels, dedup, ids, seen/novel choice.
 
-Label tables hold one row per label; they are small by construction, and AQE
-broadcasts them at run time once the aggregate that makes them has measured
-their real size.
+Label tables hold one row per label.  Joins to them are broadcast behind a
+row count (``joins.checked_broadcast``, or ``sized_broadcast`` when the label
+count is already known); the remaining semi/anti joins are left to AQE, which
+broadcasts from the measured size of the aggregate that makes the table.
 """
 
 from __future__ import annotations
@@ -132,9 +133,9 @@ def label_text(df: DataFrame, mapping: DataFrame | None = None, label: str = "la
                out: str = "label_text") -> DataFrame:
     """the text an encoder sees for a label: the mapped text when the
     optional ``(label, label_text)`` table has one, else the label with '_'
-    as blanks.  The mapping is label-sized (left join, AQE broadcasts it)."""
+    as blanks.  The mapping is label-sized (left join, size-checked broadcast)."""
     fallback = F.translate(F.col(label), "_", " ")
     if mapping is None:
         return df.withColumn(out, fallback)
-    m = mapping.select(F.col("label").alias(label), F.col("label_text").alias("__lt"))
+    m = checked_broadcast(mapping.select(F.col("label").alias(label), F.col("label_text").alias("__lt")))
     return df.join(m, label, "left").withColumn(out, F.coalesce(F.col("__lt"), fallback)).drop("__lt")

@@ -1,9 +1,11 @@
 """Scoring: prototypes, nearest prototype, zero-shot cosine, label ranking,
 group softmax, pair scoring, dispersion and query-attentive prototypes.
 
-Candidate labels are joined to queries on a *scope* column (an equi-join, not
-a cross join): each query meets only the labels of its own evaluation scope.
-The label side has one row per label; AQE broadcasts it after measuring it.
+Candidate labels (prototypes, label-name vectors) are label-sized.  After a
+row-count check they travel as one array (a scalar subquery, computed once)
+and every query is scored inside its own row against the labels of its
+scope: no query x label join, no shuffle of query rows.  Above the bound the
+code falls back to an equi-join on the scope column.
 """
 
 from __future__ import annotations

@@ -3,10 +3,10 @@
 vectors -> K-shot support per label -> class prototypes -> nearest prototype
 for every non-support row -> classification report.
 
-Shuffles: the support top-K (partial limit before the exchange), the
-prototype aggregate (partial), the anti join of support ids (broadcast once
-AQE has measured it: labels x K rows) and the per-query min.  The label x d
-prototype table is the only thing that meets every query.
+Shuffles: the support top-K (partial limit before the exchange) and the
+prototype aggregate (partial); the support (labels x K rows) is persisted for
+the prototypes and the anti join; the prototypes (labels x d) travel as one
+size-checked array and every other row is scored inside its own row.
 """
 
 from __future__ import annotations
