@@ -67,11 +67,14 @@ def soft_align(A: str = "A", att: str = "att", Bt: str = "Bt") -> Column:
     """For each row A_i, the attentive mean of B
     (``sum_j att_ij B_j / max(sum_j att_ij, eps)``), compared with A_i by
     cosine; averaged over i."""
-    def one(a, r):
-        tot = V.vsum(r)
-        h = F.transform(Bt, lambda col: V.safe_div(V.dot(r, col), tot, EPS))
-        return _cos(a, h)
-    return _mean(F.zip_with(A, att, one))
+    # each attention row's sum is computed once, next to the row, not once
+    # per output element
+    z = F.arrays_zip(F.col(A).alias("a"), F.col(att).alias("r"), F.transform(att, lambda r: V.vsum(r)).alias("t"))
+
+    def one(e):
+        h = F.transform(Bt, lambda col: V.safe_div(V.dot(e["r"], col), e["t"], EPS))
+        return _cos(e["a"], h)
+    return V.vsum(F.transform(z, one)) / F.size(A)
 
 
 def max_attentive(A: str = "A", att: str = "att", Bt: str = "Bt") -> Column:
