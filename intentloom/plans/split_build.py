@@ -24,15 +24,18 @@ def roles_of(utts: DataFrame, pct: int | None = 33, m: int | None = None,
 
 def build(utts: DataFrame, pct: int | None = 33, m: int | None = None, shots=(1, 5),
           num: int = 2, den: int = 3, seed: int = DEFAULT_SEED,
-          materialized: bool = False) -> tuple[DataFrame, DataFrame]:
+          materialized: bool = False, columns=None) -> tuple[DataFrame, DataFrame]:
     """Return ``(split, roles)``; ``split`` has columns
     uid, utterance, label, ord, role, part, k.
 
     ``materialized=True`` writes the split once to the shared checkpoint
-    folder (for plans where several branches read it)."""
+    folder (for plans where several branches read it); ``columns`` keeps only
+    those columns (e.g. no texts when only keys and labels are read)."""
     # the label table is counted once; that count bounds every label-sized
     # broadcast below (label ids, roles, labels x buckets) without more jobs
     roles, n_labels = persisted_count(roles_of(utts, pct, m, seed))
     dedup = L.dedup_last_wins(utts, ids=L.label_ids(roles), n_labels=n_labels)
     sp = S.split_sets(dedup, roles, shots=shots, num=num, den=den, seed=seed, n_labels=n_labels)
+    if columns is not None:
+        sp = sp.select(*columns)
     return (materialize(sp) if materialized else sp), roles

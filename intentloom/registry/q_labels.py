@@ -46,7 +46,7 @@ select distinct label from (select label from ({SPLIT(UTT)}) where part = 'train
   union all select label from ({SPLIT(UTT)}) where part = 'support_novel' and k = 5)
 """)
 def a17_label_union(spark, d):
-    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     return L.label_union(sp.where(F.col("part") == "train_seen"),
                          sp.where((F.col("part") == "support_novel") & (F.col("k") == 5)))
 
@@ -105,7 +105,7 @@ select t.uid, t.label, ids.label_id, CAST(count(*) filter (where ids.label_id is
 from t left join ids using (label)
 """)
 def j2_label_lookup(spark, d):
-    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     ids = L.label_ids(sp.where((F.col("part") == "support_novel") & (F.col("k") == 5)).select("label"))
     t = sp.where(F.col("part").isin("test_seen", "test_novel")).select("uid", "label")
     j = L.lookup_ids(t, ids)

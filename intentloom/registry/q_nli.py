@@ -50,7 +50,7 @@ c as (select distinct label as label_name from sp where part = 'support_novel' a
 select t.uid, 'novel' as origin, c.label_name, CAST(t.label = c.label_name AS INTEGER) as label from t, c
 """)
 def nli_inference_pairs(spark, d):
-    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     return nli.inference_pairs(sp, "novel", 1)
 
 
@@ -62,7 +62,7 @@ select origin, label, count(*) as n from (
 group by all
 """)
 def nli_training_table(spark, d):
-    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     t = nli.training_table(sp)
     # positives per origin and label equal the subset's row counts
     return t.where(F.col("label") == 1).groupBy("origin", F.col("label_name").alias("label")) \

@@ -29,7 +29,7 @@ sampled as (select uid, origin, label_name, label from pos union all
 
 
 def subsets(spark, d):
-    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     train = sp.where(F.col("part") == "train_seen").select("uid", "label").withColumn("origin", F.lit("train"))
     sup = (sp.where((F.col("part") == "support_novel") & (F.col("k") == 5)).select("uid", "label")
            .withColumn("origin", F.lit("support")))

@@ -60,7 +60,7 @@ def u2_support_joint(spark, d):
 select uid, label, part, k from ({SPLIT_UTT}) where part = 'test_novel' or (part = 'support_novel' and k = 1)
 """)
 def s13_eval_scope(spark, d):
-    sp, _ = split_build.build(views_utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views_utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     test, sup = S.eval_scope(sp, "novel", k=1)
     return test.unionByName(sup).select("uid", "label", "part", "k")
 
@@ -75,7 +75,7 @@ select uid, label, case when label in (select label from mv) then 'novel' else r
 from sp where not (label in (select label from mv) and part = 'train_seen')
 """)
 def f3_reassign_class(spark, d):
-    sp, _ = split_build.build(views_utt(spark, d), materialized=True)
+    sp, _ = split_build.build(views_utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
     moved = sp.where(F.col("role") == "seen").agg(F.min("label").alias("label"))
     return S.reassign_class(sp, moved).select("uid", "label", "role", "part", "k")
 
@@ -93,7 +93,7 @@ union all select label, 'none', 0, 0, 0, true from roles where label not in (sel
 """)
 def e7_split_audit(spark, d):
     u = views_utt(spark, d)
-    sp, roles = split_build.build(u, materialized=True)
+    sp, roles = split_build.build(u, materialized=True, columns=("uid", "label", "role", "part", "k"))
     return S.split_audit(sp, roles, shots=(1, 5))
 
 
