@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from intentloom.functions import vectors as V
 from intentloom.operators import encode as EN
 from intentloom.operators import score as SC
+from intentloom.operators.joins import checked_broadcast
 
 
 def _vectors(utts: DataFrame, emb: DataFrame):
     t = utts.select("uid", "label", F.explode(EN.bow_tokens("utterance")).alias("word"))
     lw = utts.select("label").distinct().withColumn("word", F.lower("label"))
-    wv = EN.hashed_word_vectors(t.select("word").unionByName(lw.select("word")), emb)
-    qv = (t.join(wv, "word").groupBy("uid", "label")
-          .agg(Summarizer.mean(array_to_vector(V.as_double("vec"))).alias("__m"))
+    wv = checked_broadcast(EN.hashed_word_vectors(t.select("word").unionByName(lw.select("word")), emb))
+    # each distinct word of a text meets its vector once; the mean is weighted by its count
+    c = t.groupBy("uid", "label", "word").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    qv = (c.join(wv, "word").groupBy("uid", "label")
+          .agg(Summarizer.mean(array_to_vector(V.as_double("vec")), F.col("__n")).alias("__m"))
           .select("uid", "label", vector_to_array("__m").alias("vec")))
     lv = lw.join(wv, "word").select("label", V.as_double("vec").alias("lvec"))
     return qv, lv
