@@ -15,6 +15,12 @@ of the group key.  The result equals the plain window exactly.
 ``global_rank`` does the same for an arbitrary sort order by range-partitioning,
 checkpointing the sorted rows with their partition index, and adding the
 per-partition offsets (the DataFrame form of ``zipWithIndex``).
+
+``rank_cuts`` answers only "is the rank <= cut" for a few cuts: rows in
+buckets wholly below or above every cut are settled against a broadcast
+bucket table, and only the boundary buckets are ranked.
+
+``group_top`` is the top-K form (partial WindowGroupLimit before the shuffle).
 """
 
 from __future__ import annotations
