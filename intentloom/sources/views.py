@@ -27,8 +27,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     rows); a wide scan (many files or row groups, any real cluster input) is
     left untouched.  Filters and column pruning still reach the scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave the plan as it is
+        return df
+    if parts >= cores:
         return df
     return df.repartition(cores, key)
 
