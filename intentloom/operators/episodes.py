@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from intentloom.functions.order import DEFAULT_SEED, hex_to_int, seeded_key
 from intentloom.operators.joins import checked_broadcast
 from intentloom.operators.rank import class_rank, group_top
+from intentloom.session import cores
 
 
 def episode_classes(labels: DataFrame, episodes: int, n_way: int, extra: int = 0,
@@ -66,6 +67,5 @@ def episode_pairs(samples: DataFrame, cols=("vec",)) -> DataFrame:
     # (episodes x N*Q x N*K), not by the data: spread the query rows over all
     # cores explicitly (AQE would coalesce the small input into one task) and
     # broadcast the support rows (episodes x N x K, checked).
-    cores = samples.sparkSession.sparkContext.defaultParallelism
-    q = q.repartition(cores, "episode", "q_class", "q_slot")
+    q = q.repartition(cores(samples.sparkSession), "episode", "q_class", "q_slot")
     return q.join(checked_broadcast(s), "episode").withColumn("same", (F.col("q_class") == F.col("s_class")).cast("int"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.order import hash_int
 from intentloom.functions.text import blank_tokens
+from intentloom.session import cores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +28,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     rows); a wide scan (many files or row groups, any real cluster input) is
     left untouched.  Filters and column pruning still reach the scan.
     """
+    n = cores(df.sparkSession)
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()
     except Exception:  # e.g. a Spark Connect session: leave the plan as it is
         return df
-    if parts >= cores:
+    if parts >= n:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(n, key)
 
 
 def utt(spark, d) -> DataFrame:
