@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from intentloom.operators.joins import attach_array, label_array
+
 DIGITS = 6
 
 
@@ -78,9 +80,13 @@ def confusion(pred: DataFrame, labels: DataFrame | None = None, truth: str = "la
     if labels is None:
         labels = pc.select("label").unionByName(pc.select(F.col("pred").alias("label"))).distinct()
     lab = labels.select("label").distinct()
-    # label x label grid from the one-row label list (label-sized), no join
-    lst = lab.agg(F.collect_list("label").alias("__all"))
-    grid = lst.select(F.explode("__all").alias("label"), "__all").select("label", F.explode("__all").alias("pred"))
+    # label x label grid: every truth label row explodes the (size-checked)
+    # label list, so the L*L cells are generated across tasks, without a join
+    arr = label_array(lab, ["label"])
+    if arr is None:
+        raise ValueError("too many labels for a zero-filled confusion matrix")
+    grid = attach_array(lab, arr).select("label", F.explode("__cands").alias("__c")) \
+        .select("label", F.col("__c.label").alias("pred"))
     return grid.join(pc, ["label", "pred"], "left").select(
         "label", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
