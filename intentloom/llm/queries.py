@@ -45,3 +45,9 @@ from s
 def op2(spark, sf_dir):
     from intentloom.llm.warc import round_trip
     return round_trip(table(spark, sf_dir, "pages")).drop("file", "offset")
+
+
+@query("op3_ann")
+def op3(spark, sf_dir):
+    from intentloom.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
