@@ -51,3 +51,58 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     from intentloom.llm.ann import nearest
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op4_hilbert_shards")
+def op4(spark, sf_dir):
+    from intentloom.llm.sharding import hilbert_shards
+    return hilbert_shards(table(spark, sf_dir, "documents"), 40)
+
+
+@query("op7_bottom_k")
+def op7(spark, sf_dir):
+    from intentloom.llm.fingerprints import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_sainte_lague_mix", r"""
+with r as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, text from documents),
+h as (select *, md5('11|' || coalesce(doc_id::varchar, '') || '|' || size) as h from r),
+src as (select source, sum(size)::bigint as source_size from r group by source),
+w as (select *, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, sum(source_size) over () as total from src),
+f as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / weight as fill from w),
+lv as (select *, (1.5::double * total - coalesce(sum(cap) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0))
+              / sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as level from f),
+t as (select *, least(cap, max(level) over () * weight) as target, greatest(1, ceil(source_size / (10 * sqrt(total) + 1)))::bigint as shards from lv),
+t2 as (select *, round(sum(target) over () / 16)::bigint as seats from t),
+q1 as (select source, seats, target / (2 * j + 1) as q, j from t2, range(0, 1 + seats) x(j)
+       where j <= 1 + ceil(target * (seats + (select count(*) from t2)) / (1 + (select sum(target) from t2)))),
+won as (select source, count(*) as quota from (
+          select source, q, seats, row_number() over (order by q desc, source nulls last, j) as n from q1 where q > 0) where n <= seats group by source),
+sq as (select t2.*, coalesce(won.quota, 0) as quota from t2 left join won on t2.source is not distinct from won.source),
+p as (select h.*, sq.source_size, sq.target, sq.quota, ('0x' || substr(h, 1, 12))::bigint % sq.shards as shard
+      from h join sq on h.source is not distinct from sq.source),
+sh as (select source, shard, sum(size)::bigint as shard_size, any_value(quota) as quota from p group by source, shard),
+q2 as (select source, shard, quota, shard_size / (2 * j + 1) as q, j from (select *, count(*) over (partition by source) as n, sum(shard_size) over (partition by source) as z from sh) y,
+       range(0, 1 + quota) x(j) where j <= 2 + ceil(shard_size * (quota + n) / (1 + z))),
+won2 as (select source, shard, count(*) as quota from (
+          select *, row_number() over (partition by source order by q desc, shard, j) as n from q2 where q > 0) where n <= quota group by source, shard),
+k as (select sh.source, sh.shard, sh.shard_size, ceil(sh.shard_size / 16)::bigint as blocks,
+             least(coalesce(won2.quota, 0), 2 * ceil(sh.shard_size / 16)::bigint) as quota,
+             ('0x' || substr(md5('11|run|' || coalesce(sh.source, '') || '|' || sh.shard), 1, 12))::bigint as seed
+      from sh left join won2 on sh.source is not distinct from won2.source and sh.shard = won2.shard),
+d as (select p.doc_id, p.size, p.source_size, p.target, k.blocks, k.quota,
+             case when k.blocks > 0 then k.quota // k.blocks else 0 end as passes, case when k.blocks > 0 then k.quota % k.blocks else 0 end as rest,
+             case when k.blocks > 0 then k.seed % k.blocks else 0 end as begin_,
+             sum(p.size) over (partition by p.source, p.shard order by p.h, p.doc_id nulls last, p.size rows between unbounded preceding and current row) as stop
+      from p join k on p.source is not distinct from k.source and p.shard = k.shard)
+select doc_id, size, source_size, target,
+       (passes * size
+        + greatest(0, least(stop, (begin_ + rest) * 16) - greatest(stop - size, begin_ * 16))
+        + greatest(0, least(stop, greatest(begin_ + rest - blocks, 0) * 16) - (stop - size)))::bigint as taken
+from d
+""")
+def op9(spark, sf_dir):
+    from intentloom.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
