@@ -20,6 +20,8 @@ empty table gives no rows; extra columns play no part.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +43,9 @@ def quantise(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     at = [i / cells for i in range(1, cells)]
     cuts = df.agg(*(F.percentile_approx(F.coalesce(F.col(d), F.lit(float("-inf"))), at, 1000).alias(d) for d in dims)).first()
     for d in dims:
-        edges = sorted(set(cuts[d] or []))
+        edges = Counter(cuts[d] or [])  # a value that holds many rows spans many cells
         v = F.coalesce(F.col(d), F.lit(float("-inf")))
-        df = df.withColumn(d, sum((F.when(v > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)).cast("int"))
+        df = df.withColumn(d, sum((F.when(v > F.lit(e), n).otherwise(0) for e, n in sorted(edges.items())), F.lit(0)).cast("int"))
     return df
 
 
