@@ -106,3 +106,29 @@ from d
 def op9(spark, sf_dir):
     from intentloom.llm.mixing import mix
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op5_path_templates")
+def op5(spark, sf_dir):
+    from intentloom.llm.url_filter import judge_urls, labelled_pages
+    pages = labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judge_urls(pages, RULES).drop("bad_share")
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    from intentloom.llm.langid import held_out, identify, learn
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = learn(docs.filter(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
+
+
+@query("op10_best_two_fit")
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    from intentloom.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -43,7 +43,7 @@ def quantise(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     at = [i / cells for i in range(1, cells)]
     cuts = df.agg(*(F.percentile_approx(F.coalesce(F.col(d), F.lit(float("-inf"))), at, 1000).alias(d) for d in dims)).first()
     for d in dims:
-        edges = Counter(cuts[d] or [])  # a value that holds many rows spans many cells
+        edges = Counter(cuts[d] or [float("inf")])  # a value that holds many rows spans many cells
         v = F.coalesce(F.col(d), F.lit(float("-inf")))
         df = df.withColumn(d, sum((F.when(v > F.lit(e), n).otherwise(0) for e, n in sorted(edges.items())), F.lit(0)).cast("int"))
     return df
