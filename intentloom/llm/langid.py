@@ -162,16 +162,17 @@ def identify(docs: DataFrame, model: dict, carry: list[str] | None = None) -> Da
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     carry = list(docs.columns) if carry is None else carry
+    source = "text" if "text" in carry else "_text"
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         predict = Classifier(shared.value)
         for b in batches:
-            got = [predict(t.as_py()) for t in b.column("_text")]
+            got = [predict(t.as_py()) for t in b.column(source)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array([g[0] for g in got], pa.string()),
                                               pa.array([g[1] for g in got], pa.float64())], names=[*carry, "lang_pred", "score"])
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if source == "text" else [F.col("text").alias(source)])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -132,3 +132,21 @@ def op10(spark, sf_dir):
 
     from intentloom.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_chosen_path_join", r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, unnest(list_distinct(case
+        when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n na on na.doc_id = x join n nb on nb.doc_id = y where 5 * c >= 4 * (na.n + nb.n - c)),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from r join l on l.x = r.y),
+k as (select x, min(y) as class_id from r group by x),
+d as (select x, count(*) as n_links from l group by x)
+select k.x as doc_id, k.class_id, coalesce(d.n_links, 0) as n_links from k left join d on d.x = k.x
+""")
+def op8(spark, sf_dir):
+    from intentloom.llm.jaccard_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

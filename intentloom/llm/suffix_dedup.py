@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intentloom.llm.common import MAX_LONG, PrefixHash, bytes_of, doc_key, mix, stored, whole_groups
+from intentloom.llm.common import PrefixHash, bytes_of, doc_key, mix, stored, whole_groups
 
 K = 32                    # bytes of an anchor string
 SEGMENT = 1 << 20         # bytes hashed at a time
@@ -379,10 +379,10 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, by).sortWithinPartitions("kind", "bucket", "ctx", "doc", "loc")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(doc_key().alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 14) - 1)).cast("int").alias("tag"),
-                       text.alias("text"))
+                       text.alias("text"), F.struct(*carry).alias("carry"))
 
 
 def repeated_spans(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET_CAP) -> DataFrame:
@@ -392,15 +392,19 @@ def repeated_spans(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET
     earliest occurrence; ``tag`` tells rows that repeat a doc_id apart.  Groups are maximal within
     an anchor's context, so a longer repeat is a chain of overlapping groups.
     """
+    return _spans(_keyed(docs, ["doc_id"]), min_len, bucket_cap)
+
+
+def _spans(texts: DataFrame, min_len: int, bucket_cap: int) -> DataFrame:
     if min_len < K + 8 or min_len - K > 127:
         raise ValueError("min_len must lie between 40 and 159")
-    texts = _keyed(docs)
-    events = stored(_by_bucket(texts.mapInArrow(_find_contexts(min_len), _ROWS)).mapInArrow(
+    events = stored(_by_bucket(texts.select("doc", "tag", "text").mapInArrow(_find_contexts(min_len), _ROWS)).mapInArrow(
         _split_spans(lambda b: _meet(b, min_len, bucket_cap)), _ROWS).drop("bytes"), "suffix-events")
     asks = (events.filter(F.col("kind") >= _ASK)
             .select("doc", F.shiftright("loc", 49).cast("int").alias("tag"),
                     F.struct("bucket", "loc", (F.col("kind") == _ASK_WINDOWS).alias("windows")).alias("ask"))
             .groupBy("doc", "tag").agg(F.collect_list("ask").alias("asks")))
+    # all columns of the texts go along, so that this shuffle of texts also serves the final join
     fetched = texts.join(asks, ["doc", "tag"]).mapInArrow(_fetch(min_len), _ROWS)
 
     def trees_and_windows(batches):
@@ -450,49 +454,55 @@ def _split_spans(work):
     return run
 
 
-_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+def _strip(as_text):
+    """Texts with their spans -> what is left."""
+    def run(batches):
+        for b in batches:
+            yield _stripped(b, as_text)
+    return run
 
 
-def _strip(batches):
-    """Texts with their spans -> what is left."""
-    for b in batches:
-        data, off = bytes_of(b.column("text"))
-        spans = b.column("spans")
-        at = np.asarray(spans.offsets, np.int64)
-        lo, hi = (spans.values.field(x).to_numpy(zero_copy_only=False)[at[0]:at[-1]] for x in range(2))
-        owner = np.repeat(np.arange(b.num_rows), np.diff(at))
-        mark = np.zeros(len(data) + 1, np.int32)
-        np.add.at(mark, off[owner] + lo, 1)
-        np.add.at(mark, off[owner] + hi, -1)
-        gone = np.cumsum(mark)[:-1] > 0
-        total = np.concatenate(([0], np.cumsum(gone)))
-        begin = gone.copy()
-        begin[1:] &= ~gone[:-1]
-        edges = off[:-1][off[:-1] < len(data)]
-        begin[edges] = gone[edges]  # runs do not cross texts
-        runs = np.concatenate(([0], np.cumsum(begin)))
-        kept, sha = [], []
-        for i in range(b.num_rows):
-            left = data[off[i]:off[i + 1]]
-            left = left.tobytes() if total[off[i]] == total[off[i + 1]] else left[~gone[off[i]:off[i + 1]]].tobytes()
-            kept.append(left)
-            sha.append(hashlib.sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]),
-             pa.array(runs[off[1:]] - runs[off[:-1]]), pa.array(kept, pa.binary()), pa.array(sha)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-
-def suffix_dedup(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+def _stripped(b, as_text):
+    data, off = bytes_of(b.column("text"))
+    spans = b.column("spans")
+    at = np.asarray(spans.offsets, np.int64)
+    lo, hi = (spans.values.field(x).to_numpy(zero_copy_only=False)[at[0]:at[-1]] for x in range(2))
+    owner = np.repeat(np.arange(b.num_rows), np.diff(at))
+    mark = np.zeros(len(data) + 1, np.int32)
+    np.add.at(mark, off[owner] + lo, 1)
+    np.add.at(mark, off[owner] + hi, -1)
+    gone = np.cumsum(mark)[:-1] > 0
+    total = np.concatenate(([0], np.cumsum(gone)))
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1]
+    edges = off[:-1][off[:-1] < len(data)]
+    begin[edges] = gone[edges]  # runs do not cross texts
+    runs = np.concatenate(([0], np.cumsum(begin)))
+    kept, sha = [], []
+    for i in range(b.num_rows):
+        left = data[off[i]:off[i + 1]]
+        left = left.tobytes() if total[off[i]] == total[off[i + 1]] else left[~gone[off[i]:off[i + 1]]].tobytes()
+        kept.append(left.decode("utf-8", "ignore") if as_text else left)
+        sha.append(hashlib.sha256(left).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [b.column("carry"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]),
+         pa.array(runs[off[1:]] - runs[off[:-1]]), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sha, pa.string())],
+        names=["carry", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+
+def suffix_dedup(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET_CAP, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Remove each byte covered by a ``min_len``-byte string that also starts earlier.
 
-    Returns per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the
-    bytes left), kept_sha256.
+    Returns per row of ``docs``: the columns ``carry`` (by default doc_id), n_bytes, n_removed, n_spans (maximal
+    removed runs), kept (the bytes left; ``as_text``: as a string, without characters that were cut in two) and
+    kept_sha256 (of the bytes).
     """
-    spans = (repeated_spans(docs, min_len, bucket_cap).filter(~F.col("first"))
+    carry = carry or ["doc_id"]
+    texts = _keyed(docs, carry)
+    spans = (_spans(texts, min_len, bucket_cap).filter(~F.col("first"))
              .groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    texts = _keyed(docs)
     joined = texts.join(spans, ["doc", "tag"], "left").select(
-        F.when(F.col("doc") != F.lit(MAX_LONG), F.col("doc")).alias("doc_id"), "text",
-        F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
-    return joined.mapInArrow(_strip, _KEPT)
+        "carry", "text", F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
+    fields = docs.select(F.struct(*carry).alias("carry")).schema["carry"].dataType.simpleString()
+    out = joined.mapInArrow(_strip(as_text), f"carry {fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string")
+    return out.select(*(F.col("carry")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
