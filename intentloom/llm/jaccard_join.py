@@ -8,7 +8,8 @@ similarity J share each sampled token with probability J.
   by one or (every fourth node) two further tokens, chosen by a hash of the path, so that a pair
   at the threshold expects to stay together about once per level.
 * Buckets of at most ``limit`` sets are compared by brute force; so are, block against block, buckets
-  that ``depth`` splits leave large (sets that are alike indeed).
+  that ``depth`` further splits leave large: sets that are alike indeed, which more splits would only
+  copy, at some loss of recall.
 * Runs repeat until the target recall: a pair at the threshold shares no first token in all of
   ``runs`` with probability (1 - J)^runs; 12 runs miss 4e-9 of such pairs, and about 1e-5 of
   those that only meet after two further splits.
@@ -337,7 +338,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, runs: int = 12, limit: int = 64, depth: int = 3, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, runs: int = 12, limit: int = 64, depth: int = 2, block: int = 256) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id, n_links (documents at similarity ``threshold`` or
     more), n_set_links (different shingle sets among them), n_shingles, th (the text's xxhash64, null as empty)."""
     text = F.coalesce("text", F.lit(""))
