@@ -45,6 +45,7 @@ def main() -> None:
         runs = []
         try:
             for _ in range(repeat):
+                spark.catalog.clearCache()  # what an earlier repeat persisted must not help
                 t0 = time.perf_counter()
                 QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
                 runs.append(time.perf_counter() - t0)

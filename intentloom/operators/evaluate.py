@@ -139,9 +139,20 @@ def running_best(trace: DataFrame, step: str = "episode", value: str = "acc", ev
                     (F.col("running") >= F.col("best_so_far")).alias("is_best"))
 
 
+LEAST_PROB = 2.2250738585072014e-308  # the smallest normal double: an underflow to 0 costs about 708
+
+
 def log_loss(probs: DataFrame, key: str = "uid", truth: str = "truth", prob: str = "prob",
              by=()) -> DataFrame:
-    """Cross-entropy: mean of -ln(probability given to the true class)."""
+    """Cross-entropy: mean of -ln(probability given to the true class); a
+    probability that underflowed to 0 counts with the least positive one."""
     t = probs.where(F.col("label") == F.col(truth))
-    return t.groupBy(*by).agg(_r(F.avg(-F.log(F.col(prob)))).alias("log_loss"),
+    return t.groupBy(*by).agg(_r(F.avg(-F.log(F.greatest(F.col(prob), F.lit(LEAST_PROB))))).alias("log_loss"),
                               F.count(F.lit(1)).alias("n"))
+
+
+def log_loss_known(probs: DataFrame, key: str = "uid", truth: str = "truth", prob: str = "prob") -> DataFrame:
+    """X26 with the queries whose truth is not a candidate counted: log_loss, n, n_unknown."""
+    q = probs.groupBy(key).agg(F.max(F.when(F.col("label") == F.col(truth), F.col(prob))).alias("__p"))
+    known = q.withColumn("__l", F.when(F.col("__p").isNotNull(), -F.log(F.greatest(F.col("__p"), F.lit(LEAST_PROB)))))
+    return known.agg(_r(F.avg("__l")).alias("log_loss"), F.count("__p").alias("n"), F.count_if(F.col("__p").isNull()).alias("n_unknown"))

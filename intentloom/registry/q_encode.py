@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from intentloom.constants import VOCAB_CAP
 from intentloom.functions import text as T
 from intentloom.functions import vectors as V
 from intentloom.operators import encode as EN
@@ -41,10 +42,9 @@ select word, n, CAST(row_number() over (order by n desc, word) + 1 AS INTEGER) a
 """
 
 
-@query("w4_vocab_ids", sql=f"select word, n, word_id from ({VOCAB}) where n >= 2")
+@query("w4_vocab_ids", sql=f"select word, n, word_id from ({VOCAB})")
 def w4_vocab_ids(spark, d):
-    v = EN.vocab_ids(EN.tokens(views.utt(spark, d)))
-    return v.where(F.col("n") >= 2)
+    return EN.vocab_ids(EN.tokens(views.utt(spark, d)))
 
 
 @query("l4_vocab_cap", sql=f"select word, word_id from ({VOCAB}) order by word_id limit 2000")
@@ -54,7 +54,7 @@ def l4_vocab_cap(spark, d):
 
 
 @query("j3_token_lookup", sql=f"""
-with v as (select word, word_id from ({VOCAB}) order by word_id limit 2000),
+with v as (select word, word_id from ({VOCAB}) order by word_id limit {VOCAB_CAP}),
 t as ({TOKROWS(UTT)})
 select t.uid, {IDSTR("list(coalesce(v.word_id, 1) order by t.pos)")} as ids
 from t left join v on v.word = t.token group by t.uid
@@ -62,7 +62,7 @@ from t left join v on v.word = t.token group by t.uid
 def j3_token_lookup(spark, d):
     u = views.utt(spark, d)
     toks = EN.tokens(u)
-    v = EN.vocab_ids(toks, nmax=2000)
+    v = EN.vocab_ids(toks, nmax=VOCAB_CAP)
     return EN.token_ids(toks, v).select("uid", idstr(F.col("ids")).alias("ids"))
 
 

@@ -135,6 +135,19 @@ def x26_log_loss(spark, d):
     return E.log_loss(s)
 
 
+@query("x26_log_loss_underflow", sql=f"""
+with s as ({DIST_SCORES()}),
+e as (select *, exp(800 * (score - max(score) over (partition by uid))) as e from s),
+p as (select *, e / sum(e) over (partition by uid) as prob from e),
+q as (select uid, max(case when label = truth and label <> '3' then prob end) as prob from p where label <> '3' group by uid)
+select round(avg(case when prob is not null then -ln(greatest(prob, 2.2250738585072014e-308)) end), 6) as log_loss, count(prob) as n, count(*) - count(prob) as n_unknown from q
+""")
+def x26_log_loss_underflow(spark, d):
+    """Scores sharpened until probabilities underflow, and label 3 no candidate: nothing may be lost."""
+    s = proto_eval.distance_scores(views.vec(spark, d), 5).withColumn("score", F.col("score") * 800)
+    return E.log_loss_known(SC.group_softmax(s).where(F.col("label") != "3"))
+
+
 FOLDS = f"""
 with v as (select *, CAST({HINT('uid')} % 10 + 1 AS INTEGER) as fold from ({VEC})),
 s as (select * from (select *, row_number() over (partition by fold, label order by {H('fold-shot', 'fold', 'uid')}, uid) as rn from v) where rn <= 5),

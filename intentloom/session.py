@@ -61,7 +61,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        # unset (local tests only): a fresh folder of our own; the core config
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # local runs (tests): a fresh folder of our own; the core config
         # itself cannot change at run time, the context's directory can
         root = tempfile.mkdtemp(prefix="intentloom-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:

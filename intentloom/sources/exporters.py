@@ -15,11 +15,14 @@ from intentloom.operators.rank import global_rank
 
 CSV_OPTS = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
+# lossless: blanks at the ends stay, quotes are doubled, tabs and newlines are quoted
+TSV_OPTS = {"sep": "\t", "header": False, **CSV_OPTS}
+
 
 def write_tsv(df: DataFrame, path: str, order: str | None = None) -> None:
     """S1 layout: label TAB utterance, no header (rows in ``order`` if given)."""
     d = df.orderBy(order) if order else df
-    d.select("label", "utterance").write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
+    d.select("label", "utterance").write.mode("overwrite").options(**TSV_OPTS).csv(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:

@@ -34,10 +34,14 @@ def with_ord(df: DataFrame, keys=("__file", "__block", "__row"), out: str = "ord
     return r.withColumn(out, F.col(out) - 1).drop(*[k for k in keys if k.startswith("__")])
 
 
-def read_tsv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """Headerless TSV, label then utterance (quotes honoured, as pandas)."""
+def read_tsv(spark: SparkSession, path: str, ordered: bool = False, multi_line: bool = False) -> DataFrame:
+    """Headerless TSV, label then utterance (quotes honoured, as pandas; empty cells are null).
+
+    ``multi_line`` reads quoted newlines back, at the price of one task per file.
+    """
     df = (spark.read.schema("label STRING, utterance STRING").option("sep", "\t")
-          .option("header", False).csv(path))
+          .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+          .option("multiLine", multi_line).option("header", False).csv(path))
     return with_ord(arrival_key(df)) if ordered else df
 
 
@@ -53,10 +57,11 @@ def read_lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFra
 
 
 def read_csv_header(spark: SparkSession, path: str, text_col: str = "text", label_col: str = "category",
-                    ordered: bool = False) -> DataFrame:
+                    ordered: bool = False, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; project the named text and label columns
-    (``text``/``category``, or ``"1"``/``"0"`` for the custom layout)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    (``text``/``category``, or ``"1"``/``"0"`` for the custom layout).  Without
+    ``multi_line`` large files are split over tasks."""
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     if ordered:
         df = arrival_key(df)
