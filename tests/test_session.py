@@ -38,3 +38,11 @@ def test_unset_gets_own_folder_without_touching_conf():
     s = _Spark(None, None)
     root = session.checkpoint_root(s)
     assert root.startswith("/") and s.sparkContext.getCheckpointDir() == root
+
+
+def test_unset_on_a_cluster_is_refused():
+    import pytest
+    s = _Spark(None, None)
+    s.conf.get = lambda key, default=None: "spark://host:7077" if key == "spark.master" else default
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(s)
