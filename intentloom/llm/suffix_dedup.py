@@ -41,7 +41,7 @@ from intentloom.llm.common import PrefixHash, bytes_of, doc_key, mix, stored, wh
 
 K = 32                    # bytes of an anchor string
 SEGMENT = 1 << 20         # bytes hashed at a time
-FLUSH = 1 << 20           # anchors held by a task before it pre-aggregates them
+FLUSH = 1 << 19           # anchors held by a task before it pre-aggregates them
 BUCKET_CAP = 512          # different contexts of a bucket for one interval tree
 CHUNK = 1 << 16           # contexts whose interval trees are built at a time
 _ROWS = ("kind int, bucket long, ctx long, doc long, loc long, bytes binary, "
