@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intentloom.operators.joins import attach_array, label_array
+from intentloom.operators.joins import candidate_blocks, each_candidate
 
 DIGITS = 6
 
@@ -72,21 +72,18 @@ def class_report(pred: DataFrame, truth: str = "label", guess: str = "pred") ->
 
 
 def confusion(pred: DataFrame, labels: DataFrame | None = None, truth: str = "label",
-              guess: str = "pred") -> DataFrame:
+              guess: str = "pred", block_bytes: int | None = None) -> DataFrame:
     """Zero-filled confusion matrix in long form ``(label, pred, n)``, truth
-    in rows; classes = ``labels`` or truth union prediction.  The label x label
-    grid is label-sized (one self-join of the class list)."""
+    in rows; classes = ``labels`` or truth union prediction.  Zeros are the
+    feature, so it has label x label rows."""
     pc = pair_counts(pred, truth, guess).where(F.col("label").isNotNull() & F.col("pred").isNotNull())
     if labels is None:
         labels = pc.select("label").unionByName(pc.select(F.col("pred").alias("label"))).distinct()
     lab = labels.select("label").distinct()
-    # label x label grid: every truth label row explodes the (size-checked)
-    # label list, so the L*L cells are generated across tasks, without a join
-    arr = label_array(lab, ["label"])
-    if arr is None:
-        raise ValueError("too many labels for a zero-filled confusion matrix")
-    grid = attach_array(lab, arr).select("label", F.explode("__cands").alias("__c")) \
-        .select("label", F.col("__c.label").alias("pred"))
+    # every truth label row explodes the label list (in bounded blocks), so the
+    # L*L cells are generated across tasks, without a join
+    grid = each_candidate(lab, candidate_blocks(lab, ["label"], block_bytes), lambda a: a,
+                          lambda x: x.select("label", F.col("__c.label").alias("pred")))
     return grid.join(pc, ["label", "pred"], "left").select(
         "label", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -1,53 +1,108 @@
-"""Join helpers with an explicit size check behind every broadcast."""
+"""Join helpers with an explicit size check, in bytes, behind everything that is broadcast.
+
+A table is written once to the shared folder, measured there, and only then broadcast or packed
+into arrays.  Candidate tables (labels, prototypes, label vectors) travel as blocks of bounded
+bytes: one block in practice, several passes over the rows above the bound, with the same rows
+and results either way.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from intentloom.session import materialize, shared_dir
+
+MAX_BROADCAST_BYTES = 128 << 20
+BLOCK_BYTES = 32 << 20  # of candidates that a task holds at a time
+ROW_BYTES = 32  # per row, besides its values
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """An estimate of each row's size in memory, from its values."""
+    total = F.lit(ROW_BYTES).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            n = F.octet_length(c) + 16
+        elif isinstance(f.dataType, VectorUDT):
+            n = F.size(vector_to_array(c)) * 8 + 32
+        elif isinstance(f.dataType, T.ArrayType):
+            text = isinstance(f.dataType.elementType, (T.StringType, T.BinaryType))
+            n = F.octet_length(F.concat_ws("", c.cast("array<string>"))) + F.size(c) * 16 if text else F.size(c) * 8 + 32
+        else:
+            n = F.lit(8)
+        total = total + F.coalesce(n, F.lit(8))
+    return total
 
-# Label-sized tables (labels, prototypes, candidate lists) stay far below this.
-MAX_BROADCAST_ROWS = 200_000
 
+def table_bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it.
 
-    The table is persisted first so the count materializes it once and the
-    join reads the same rows (a lost executor just recomputes it from
-    lineage).  Above ``max_rows`` the plain DataFrame is returned and Spark
-    plans a shuffle join, with AQE splitting skewed partitions.
+def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` where its measured size is within ``max_bytes``.
+
+    The table is written once to the shared folder, so measuring and joining read the same rows and
+    nothing stays cached.  Above the bound Spark plans a shuffle join, with AQE splitting skewed
+    partitions.
     """
-    p = df.persist()
-    n = p.count()
-    return F.broadcast(p) if n <= max_rows else p
+    t = materialize(df)
+    return F.broadcast(t) if table_bytes(t) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes) else t
 
 
-def sized_broadcast(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a size bound known without running it (e.g. labels
-    x buckets, from an earlier count) is within ``max_rows``."""
+def sized_broadcast(df: DataFrame, n_rows: int, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast narrow rows when a bound on their number known without running them (e.g. labels x
+    buckets, from an earlier count) is within ``max_rows``."""
     return F.broadcast(df) if n_rows <= max_rows else df
 
 
-def persisted_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist a small table and count it once: ``(table, rows)``."""
-    p = df.persist()
-    return p, p.count()
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write a small table once and count it: ``(table, rows)``."""
+    t = materialize(df)
+    return t, t.count()
 
 
-def label_array(df: DataFrame, cols: list[str], max_rows: int = MAX_BROADCAST_ROWS):
-    """A label-sized table as one ``ARRAY<STRUCT<cols>>`` scalar-subquery Column,
-    or ``None`` when the table has more than ``max_rows`` rows.
+def candidate_blocks(df: DataFrame, cols: list[str], block_bytes: int | None = None) -> list[DataFrame]:
+    """``df`` as one-row tables with an ``ARRAY<STRUCT<cols>>`` column ``__arr`` of about ``block_bytes`` each.
 
-    The table is persisted and counted first, so the bound is proven before
-    anything is gathered; the subquery then reads the cached rows once per
-    plan.  Use it with ``attach_array`` (subqueries may not sit inside
-    higher-order functions, so the array is projected as a column first).
-    """
-    p = df.select(*cols).persist()
-    if p.count() > max_rows:
-        return None
-    return p.agg(F.collect_list(F.struct(*cols)).alias("__arr")).scalar()
+    Rows are dealt to blocks by a hash of their values, so a scope that holds most candidates is
+    split like any other."""
+    t = materialize(df.select(*cols))
+    n = max(1, math.ceil(table_bytes(t) / (block_bytes or BLOCK_BYTES)))
+    block = F.pmod(F.xxhash64(*cols), F.lit(n))
+    return [(t if n == 1 else t.where(block == i)).agg(F.collect_list(F.struct(*cols)).alias("__arr")) for i in range(n)]
+
+
+def best_candidate(rows: DataFrame, blocks: list[DataFrame], choose, out: str = "__best") -> DataFrame:
+    """``rows`` with ``out``: the least of the structs that ``choose(candidates)`` finds in each block (null: none).
+
+    Every row is judged in place: none is lost, repeated or merged, and nothing is joined or
+    shuffled.  Between blocks the rows are written, so a plan holds one block."""
+    for i, block in enumerate(blocks):
+        if i:
+            rows = materialize(rows)
+        x = rows.withColumn("__cands", block.scalar())
+        found = choose(F.col("__cands"))
+        rows = x.withColumn(out, F.least(F.col(out), found) if i else found).drop("__cands")
+    return rows
 
 
-def attach_array(df: DataFrame, arr, name: str = "__cands") -> DataFrame:
-    return df.withColumn(name, arr)
+def each_candidate(rows: DataFrame, blocks: list[DataFrame], mine, select) -> DataFrame:
+    """One row per row and candidate in ``mine(candidates)``, as ``select(table with the candidate __c)`` gives it
+    (a generator, not a join).  With several blocks, each one's pairs are written to the shared folder."""
+    if len(blocks) > 1:
+        rows = materialize(rows)
+    parts = [select(rows.withColumn("__cands", b.scalar()).withColumn("__c", F.explode(mine(F.col("__cands")))).drop("__cands"))
+             for b in blocks]
+    if len(parts) == 1:
+        return parts[0]
+    path = shared_dir(rows.sparkSession, "pairs")
+    for i, p in enumerate(parts):
+        p.write.parquet(f"{path}/block={i}")
+    return rows.sparkSession.read.schema(parts[0].schema).parquet(*[f"{path}/block={i}" for i in range(len(parts))])

@@ -11,38 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
-from intentloom.operators.joins import attach_array, label_array
+from intentloom.operators.joins import candidate_blocks, each_candidate
 from intentloom.operators.rank import rank_cuts
 
 
 def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
-                     label: str = "label", carry=(), candidates: DataFrame | None = None) -> DataFrame:
+                     label: str = "label", carry=(), candidates: DataFrame | None = None,
+                     label_cols=None, block_bytes: int | None = None) -> DataFrame:
     """``(key, scope, label_name, label INT)`` for each row and each
     distinct label of the same ``scope``; label = 1 where they are equal.
     ``carry`` columns of the row are copied into each of its pairs.  With
     ``candidates`` the labels come from that table instead (inference: the
     support set of the evaluation scope).
 
-    The candidate table ``(scope, label)`` is label-sized: after a row-count
-    check it travels as one array and each row explodes its scope's labels (a
-    generator, no join, no shuffle of the rows).  Above the bound it is an
-    equi-join on ``scope``.
+    ``label_cols`` (name -> Column of ``label_name``) are computed once per
+    candidate label and copied into its pairs.
+
+    The candidates travel as arrays of bounded bytes and each row explodes its
+    scope's labels (a generator, no join, no shuffle of the rows).
     """
     src = df if candidates is None else candidates
     cands = src.select(scope, F.col(label).alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
+    extra = dict(label_cols or {})
+    cands = cands.withColumns(extra) if extra else cands
     carry = list(carry)
     rows = df.select(key, scope, F.col(label).alias("__truth"), *carry)
-    arr = label_array(cands, [scope, "label_name"])
-    if arr is not None:
-        x = attach_array(rows, arr).select(
-            key, scope, "__truth", *carry,
-            F.explode(F.filter("__cands", lambda c: c[scope] == F.col(scope))).alias("__c"))
-        j = x.select(key, scope, "__truth", *carry, F.col("__c.label_name").alias("label_name"))
-    else:
-        j = rows.join(cands, scope)
+    j = each_candidate(rows, candidate_blocks(cands, cands.columns, block_bytes),
+                       lambda a: F.filter(a, lambda c: c[scope] == F.col(scope)),
+                       lambda x: x.select(key, scope, "__truth", *carry, *[F.col(f"__c.{c}").alias(c) for c in ("label_name", *extra)]))
     return j.select(key, scope, "label_name",
                     F.coalesce((F.col("__truth") == F.col("label_name")).cast("int"), F.lit(0)).alias("label"),
-                    *carry)
+                    *carry, *extra)
 
 
 def sample_negatives(pairs: DataFrame, ratio: int = 2, key: str = "uid", seed: int = DEFAULT_SEED) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intentloom.session import checkpoint_root
+from intentloom.session import checkpoint_root, materialize
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -167,7 +167,7 @@ def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
     if n_groups is not None:
         too_big = n_groups * 16 ** prefix_len > max_bucket_rows
     else:
-        b = b.persist()
+        b = materialize(b)
         too_big = b.count() > max_bucket_rows
     if too_big:
         # too many buckets to broadcast: rank every row (one shuffle)

@@ -1,11 +1,11 @@
 """Scoring: prototypes, nearest prototype, zero-shot cosine, label ranking,
 group softmax, pair scoring, dispersion and query-attentive prototypes.
 
-Candidate labels (prototypes, label-name vectors) are label-sized.  After a
-row-count check they travel as one array (a scalar subquery, computed once)
-and every query is scored inside its own row against the labels of its
-scope: no query x label join, no shuffle of query rows.  Above the bound the
-code falls back to an equi-join on the scope column.
+Candidate labels (prototypes, label-name vectors) travel as arrays of bounded
+bytes (scalar subqueries, computed once), and every query is scored inside its
+own row against the labels of its scope: no query x label join, no shuffle of
+query rows.  More candidates than a block holds take further passes over the
+rows; results are the same at every size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentloom.functions import vectors as V
-from intentloom.operators.joins import attach_array, label_array
+from intentloom.operators.joins import best_candidate, candidate_blocks, each_candidate
 
 TIE_DIGITS = 9  # distances are rounded before comparing so ties are engine-independent
 
@@ -37,77 +37,60 @@ def with_scope(df: DataFrame, scope: str | None) -> DataFrame:
     return df if scope in df.columns else df.withColumn("scope", F.lit(scope or "all"))
 
 
-def _best(q: DataFrame, key: str, cand_scores, smaller_is_better: bool) -> DataFrame:
-    """Pick the best (score, label) struct of an array column: ``array_min``
-    compares structs field by field, so ties go to the lowest label."""
-    if smaller_is_better:
-        arr = F.transform(cand_scores, lambda c: F.struct(c["s"].alias("o"), c["label"].alias("label"), c["s"].alias("s")))
-    else:
-        arr = F.transform(cand_scores, lambda c: F.struct((-c["s"]).alias("o"), c["label"].alias("label"), c["s"].alias("s")))
-    b = q.withColumn("__best", F.array_min(arr))
-    return b.select(key, F.col("__best.label").alias("pred"), F.col("__best.s").alias("score"))
+def _best(queries: DataFrame, cands: DataFrame, score_of, smaller_is_better: bool, scope_col: str,
+          key: str, vec: str, carry, block_bytes) -> DataFrame:
+    """The best candidate of each query's scope.  ``array_min`` compares (order, label) structs field
+    by field, so ties go to the lowest label."""
+    carry = [c for c in carry if c != key]
+    q = queries.select(*dict.fromkeys([key, *carry, scope_col, vec]))
+
+    def choose(arr):
+        mine = F.filter(arr, lambda c: c[scope_col] == F.col(scope_col))
+        order = (lambda c: score_of(c)) if smaller_is_better else (lambda c: -score_of(c))
+        return F.array_min(F.transform(mine, lambda c: F.struct(order(c).alias("o"), c["label"].alias("label"))))
+
+    b = best_candidate(q, candidate_blocks(cands, cands.columns, block_bytes), choose)
+    found = F.col("__best.o") if smaller_is_better else -F.col("__best.o")
+    return b.select(key, *carry, F.col("__best.label").alias("pred"), found.alias("score"))
 
 
 def nearest_prototype(queries: DataFrame, protos: DataFrame, scope_col: str = "scope",
-                      key: str = "uid", vec: str = "vec", proto: str = "proto") -> DataFrame:
+                      key: str = "uid", vec: str = "vec", proto: str = "proto", carry=(),
+                      block_bytes: int | None = None) -> DataFrame:
     """J6 + W6: Euclidean distance of each query to every prototype of its scope;
     predicted label = smallest distance, ties to the lowest label.
 
-    The prototypes (one row per label) travel as one array, after a row-count
-    check, and every query is scored inside its own row: no join, no shuffle
-    of query rows, no query x label rows.  Above the bound it falls back to
-    an equi-join on the scope.  Returns ``(key, pred, score)``.
+    Returns ``(key, carry..., pred, score)``, one row per query row: repeated keys stay apart, and a
+    query whose scope has no candidate gets a NULL prediction.
     """
     p = protos.select(scope_col, F.col("label"), F.col(proto).alias("__p"))
-    arr = label_array(p, [scope_col, "label", "__p"])
-    if arr is not None:
-        q = attach_array(queries.select(key, scope_col, vec), arr)
-        mine = F.filter("__cands", lambda c: c[scope_col] == F.col(scope_col))
-        sc = F.transform(mine, lambda c: F.struct(c["label"].alias("label"),
-                                                  F.round(V.l2_dist(vec, c["__p"]), TIE_DIGITS).alias("s")))
-        return _best(q.withColumn("__sc", sc), key, F.col("__sc"), True)
-    j = queries.select(key, scope_col, vec).join(p.withColumnRenamed("label", "__cand"), scope_col)
-    j = j.withColumn("__d", F.round(V.l2_dist(vec, "__p"), TIE_DIGITS))
-    return j.groupBy(key).agg(F.min_by("__cand", F.struct("__d", "__cand")).alias("pred"), F.min("__d").alias("score"))
+    return _best(queries, p, lambda c: F.round(V.l2_dist(vec, c["__p"]), TIE_DIGITS), True, scope_col, key, vec, carry, block_bytes)
 
 
 def zero_shot_cosine(queries: DataFrame, label_vecs: DataFrame, scope_col: str = "scope",
-                     key: str = "uid", vec: str = "vec", lvec: str = "lvec") -> DataFrame:
+                     key: str = "uid", vec: str = "vec", lvec: str = "lvec", carry=(),
+                     block_bytes: int | None = None) -> DataFrame:
     """J7 + W6: cosine of each query to every label-name vector of its scope;
-    best = largest cosine (a zero vector scores -2), ties to the lowest label.
-    Same array-in-row evaluation as ``nearest_prototype``.  Returns
-    ``(key, pred, score)``."""
+    best = largest cosine (a zero or NULL vector scores -2), ties to the lowest label.
+    Rows as in ``nearest_prototype``."""
     p = label_vecs.select(scope_col, F.col("label"), F.col(lvec).alias("__l"))
-    arr = label_array(p, [scope_col, "label", "__l"])
-    if arr is not None:
-        q = attach_array(queries.select(key, scope_col, vec), arr)
-        mine = F.filter("__cands", lambda c: c[scope_col] == F.col(scope_col))
-        sc = F.transform(mine, lambda c: F.struct(
-            c["label"].alias("label"),
-            F.round(F.coalesce(V.cosine(vec, c["__l"]), F.lit(-2.0)), TIE_DIGITS).alias("s")))
-        return _best(q.withColumn("__sc", sc), key, F.col("__sc"), False)
-    j = queries.select(key, scope_col, vec).join(p.withColumnRenamed("label", "__cand"), scope_col)
-    j = j.withColumn("__s", F.round(F.coalesce(V.cosine(vec, "__l"), F.lit(-2.0)), TIE_DIGITS))
-    return j.groupBy(key).agg(F.min_by("__cand", F.struct(-F.col("__s"), F.col("__cand"))).alias("pred"),
-                              F.max("__s").alias("score"))
+    score_of = lambda c: F.round(F.coalesce(V.cosine(vec, c["__l"]), F.lit(-2.0)), TIE_DIGITS)
+    return _best(queries, p, score_of, False, scope_col, key, vec, carry, block_bytes)
 
 
 def pair_scores(queries: DataFrame, cands: DataFrame, scorer, scope_col: str = "scope",
-                key: str = "uid", cand_cols=None) -> DataFrame:
+                key: str = "uid", cand_cols=None, block_bytes: int | None = None) -> DataFrame:
     """Long form ``(key, label, score)`` of every query against the candidate
     labels of its scope.  ``scorer(c)`` builds the score Column from the
     candidate struct ``c`` (fields: label and ``cand_cols``) and the query's
-    columns.  Candidates come as a checked label-sized array and are exploded
+    columns.  Candidates come in bounded blocks and are exploded
     per query (a generator, not a join)."""
     cand_cols = list(cand_cols or [c for c in cands.columns if c not in (scope_col, "label")])
-    arr = label_array(cands, [scope_col, "label", *cand_cols])
-    if arr is None:
-        raise ValueError("candidate label table exceeds the broadcast bound")
-    q = attach_array(queries, arr)
-    mine = F.filter("__cands", lambda c: c[scope_col] == F.col(scope_col))
-    x = q.withColumn("__sc", F.transform(mine, lambda c: F.struct(c["label"].alias("label"), scorer(c).alias("score"))))
-    keep = [c for c in queries.columns if c not in (scope_col,)]
-    return x.select(*keep, F.explode("__sc").alias("__e")).select(*keep, "__e.label", "__e.score")
+    keep = [c for c in queries.columns if c != scope_col]
+    return each_candidate(queries, candidate_blocks(cands, [scope_col, "label", *cand_cols], block_bytes),
+                          lambda a: F.transform(F.filter(a, lambda c: c[scope_col] == F.col(scope_col)),
+                                                lambda c: F.struct(c["label"].alias("label"), scorer(c).alias("score"))),
+                          lambda x: x.select(*keep, "__c.label", "__c.score"))
 
 
 def label_ranking(scores: DataFrame, key: str = "uid", higher_is_better: bool = True,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
-from intentloom.operators.joins import persisted_count, sized_broadcast
+from intentloom.operators.joins import counted, sized_broadcast
 from intentloom.operators.rank import class_rank, global_rank, group_top
 
 DATA_PARTS = ("train_seen", "test_seen", "test_novel")
@@ -66,7 +66,7 @@ def split_sets(utts: DataFrame, roles: DataFrame, shots=(1, 5), num: int = 2, de
     ``test_joint`` / ``support_joint``).
     """
     if n_labels is None:
-        roles, n_labels = persisted_count(roles.select("label", "role"))
+        roles, n_labels = counted(roles.select("label", "role"))
     d = utts.join(sized_broadcast(roles.select("label", "role"), n_labels), "label")
     shots = [int(k) for k in shots]
     # One bucketed rank per class (a single shuffle of the deduplicated rows,

@@ -48,8 +48,8 @@ def cosine_predictions(split: DataFrame, scope: str = "joint", k: int = 5, dim:
     sv = EN.hash_encode(sup.select("uid", "utterance"), dim).join(sup.select("uid", "label"), "uid")
     protos = SC.prototypes(sv).select("label", F.col("proto").alias("lvec"))
     tv = test.select("uid", "label", "utterance").join(EN.hash_encode(test.select("uid", "utterance"), dim), "uid", "left")
-    best = SC.zero_shot_cosine(SC.with_scope(tv, "all"), SC.with_scope(protos, "all"))
-    return tv.select("uid", "label").join(best, "uid").select("uid", "label", "pred", F.round("score", 6).alias("score"))
+    best = SC.zero_shot_cosine(SC.with_scope(tv, "all"), SC.with_scope(protos, "all"), carry=("label",))
+    return best.withColumn("score", F.round("score", 6))
 
 
 def cosine_report(split: DataFrame, scope: str = "joint", k: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from intentloom.functions.order import DEFAULT_SEED
 from intentloom.operators import labels as L
 from intentloom.operators import split as S
-from intentloom.operators.joins import persisted_count
+from intentloom.operators.joins import counted
 from intentloom.session import materialize
 
 
@@ -33,7 +33,7 @@ def build(utts: DataFrame, pct: int | None = 33, m: int | None = None, shots=(1,
     those columns (e.g. no texts when only keys and labels are read)."""
     # the label table is counted once; that count bounds every label-sized
     # broadcast below (label ids, roles, labels x buckets) without more jobs
-    roles, n_labels = persisted_count(roles_of(utts, pct, m, seed))
+    roles, n_labels = counted(roles_of(utts, pct, m, seed))
     dedup = L.dedup_last_wins(utts, ids=L.label_ids(roles), n_labels=n_labels)
     sp = S.split_sets(dedup, roles, shots=shots, num=num, den=den, seed=seed, n_labels=n_labels)
     if columns is not None:

@@ -21,14 +21,16 @@ from intentloom.operators.joins import checked_broadcast
 
 
 def _vectors(utts: DataFrame, emb: DataFrame):
-    t = utts.select("uid", "label", F.explode(EN.bow_tokens("utterance")).alias("word"))
+    t = utts.select("uid", F.explode(EN.bow_tokens("utterance")).alias("word"))
     lw = utts.select("label").distinct().withColumn("word", F.lower("label"))
     wv = checked_broadcast(EN.hashed_word_vectors(t.select("word").unionByName(lw.select("word")), emb))
     # each distinct word of a text meets its vector once; the mean is weighted by its count
-    c = t.groupBy("uid", "label", "word").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    qv = (c.join(wv, "word").groupBy("uid", "label")
+    c = t.groupBy("uid", "word").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    known = (c.join(wv, "word").groupBy("uid")
           .agg(Summarizer.mean(array_to_vector(V.as_double("vec")), F.col("__n")).alias("__m"))
-          .select("uid", "label", vector_to_array("__m").alias("vec")))
+          .select("uid", vector_to_array("__m").alias("vec")))
+    # a text without a known word stays, with a NULL vector (score -2)
+    qv = utts.select("uid", "label").join(known, "uid", "left")
     lv = lw.join(wv, "word").select("label", V.as_double("vec").alias("lvec"))
     return qv, lv
 
@@ -36,8 +38,8 @@ def _vectors(utts: DataFrame, emb: DataFrame):
 def predictions(spark: SparkSession, utts: DataFrame, emb: DataFrame) -> DataFrame:
     """J7 + W6: ``(uid, label, pred, score)``."""
     qv, lv = _vectors(utts, emb)
-    best = SC.zero_shot_cosine(SC.with_scope(qv, "all"), SC.with_scope(lv, "all"))
-    return qv.select("uid", "label").join(best, "uid").select("uid", "label", "pred", F.round("score", 6).alias("score"))
+    best = SC.zero_shot_cosine(SC.with_scope(qv, "all"), SC.with_scope(lv, "all"), carry=("label",))
+    return best.withColumn("score", F.round("score", 6))
 
 
 def pair_table(spark: SparkSession, utts: DataFrame, emb: DataFrame) -> DataFrame:

@@ -94,10 +94,9 @@ select uid, label_name, {IDSTR('list_resize(full_, 64, 0)')} as input_ids,
 def x12_pair_encode(spark, d):
     sp, _ = split_build.build(views.utt(spark, d), materialized=True)
     s = sp.where(F.col("part") == "train_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
-    # every token of the whole text is hashed; the ids ride along the pair explode (no join)
-    s = s.withColumn("sid", T.hashed_ids(T.blank_tokens("utterance")))
-    pairs = P.entailment_pairs(s, scope="origin", carry=("sid",))
-    j = pairs.withColumn("lid", T.hashed_ids(T.blank_tokens("label_name")))
+    # an encoded pair holds at most 61 ids of the text: no pair carries more; labels are hashed once each
+    s = s.withColumn("sid", F.slice(T.hashed_ids(T.blank_tokens("utterance")), 1, 61))
+    j = P.entailment_pairs(s, scope="origin", carry=("sid",), label_cols={"lid": T.hashed_ids(T.blank_tokens("label_name"))})
     e = j.select("uid", "label_name", T.pair_encode("sid", "lid", 64).alias("e"))
     return e.select("uid", "label_name", idstr(F.col("e.input_ids")).alias("input_ids"),
                     idstr(F.col("e.token_type_ids")).alias("token_type_ids"),

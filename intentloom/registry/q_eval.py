@@ -25,6 +25,17 @@ def e2_confusion(spark, d):
     return E.confusion(proto_eval.nearest_predictions(views.vec(spark, d), 5))
 
 
+@query("e2_confusion_blocks", sql=f"""
+with p as ({NEAREST_VEC()}),
+pc as (select label, pred, count(*) as n from p group by label, pred),
+l as (select label from pc union select pred from pc)
+select a.label, b.label as pred, CAST(coalesce(pc.n, 0) AS BIGINT) as n
+from l a cross join l b left join pc on pc.label = a.label and pc.pred = b.label
+""")
+def e2_confusion_blocks(spark, d):
+    return E.confusion(proto_eval.nearest_predictions(views.vec(spark, d), 5), block_bytes=200)
+
+
 @query("e4_full_eval", sql=f"""
 select round(avg(CAST(label = pred AS DOUBLE)), 6) as acc, count(*) as n from ({NEAREST_VEC()})
 """)
@@ -103,6 +114,16 @@ def w19_label_ranking(spark, d):
     return r.select("uid", "label", F.round("score", 6).alias("score"), "rank")
 
 
+@query("w19_label_ranking_blocks", sql=f"""
+select uid, label, round(score, 6) as score,
+       CAST(row_number() over (partition by uid order by score desc, label) AS BIGINT) as rank
+from ({DIST_SCORES()})
+""")
+def w19_label_ranking_blocks(spark, d):
+    s = proto_eval.distance_scores(views.vec(spark, d), 5, block_bytes=2048)
+    return SC.label_ranking(s).select("uid", "label", F.round("score", 6).alias("score"), "rank")
+
+
 @query("w19_top3_accuracy", sql=f"""
 with r as (select *, row_number() over (partition by uid order by score desc, label) as rank from ({DIST_SCORES()}))
 select round(avg(CAST(hit AS DOUBLE)), 6) as top3_acc, count(*) as n from

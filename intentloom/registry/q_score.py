@@ -30,6 +30,14 @@ def j6_nearest_proto(spark, d):
     return proto_eval.nearest_predictions(views.vec(spark, d), 5)
 
 
+@query("j6_nearest_proto_blocks", sql=NEAREST.format(
+    queries=f"select * from ({VEC}) where uid not in (select uid from ({SUPPORT(VEC, 5)}))",
+    protos=PROTOS(SUPPORT(VEC, 5))))
+def j6_nearest_proto_blocks(spark, d):
+    """The candidates in several blocks, as above the size bound."""
+    return proto_eval.nearest_predictions(views.vec(spark, d), 5, block_bytes=2048)
+
+
 @query("e1_class_report", sql=REPORT(NEAREST.format(
     queries=f"select * from ({VEC}) where uid not in (select uid from ({SUPPORT(VEC, 5)}))",
     protos=PROTOS(SUPPORT(VEC, 5)))))

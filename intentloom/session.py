@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins from real stage sizes
 # (this is the size check behind every broadcast we do not hint ourselves),
@@ -77,12 +77,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/intentloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder as Parquet and read it back.
 
-    For intermediate tables with several consumers (a split feeding pairs,
-    counts and ranks): computed once, read back by every consumer, and safe
-    when executors are lost (unlike a local checkpoint).
+    For tables with several consumers: computed once, read with column pruning and filter
+    pushdown by every consumer, and safe when executors are lost (unlike a local checkpoint).
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,19 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intentloom.functions import vectors as V
 from intentloom.operators import score as SC
+from intentloom.operators.joins import candidate_blocks
+from intentloom.session import materialize
 
 
 def score_stream(spark: SparkSession, stream: DataFrame, protos: DataFrame, out_path: str,
                  checkpoint: str, key: str = "uid") -> None:
     """Run ``stream`` (rows with key, label, vec) to completion (availableNow)
     and write ``(key, label, pred, score)`` per batch."""
-    protos = SC.with_scope(protos, "all").persist()
+    protos = materialize(SC.with_scope(protos, "all"), "prototypes")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = SC.with_scope(batch.select(key, "label", "vec"), "all")
-        best = SC.nearest_prototype(rows, protos)
-        out = rows.select(key, "label").join(best, key).select(key, "label", "pred", F.round("score", 6).alias("score"))
+        out = SC.nearest_prototype(rows, protos, key=key, carry=("label",)).withColumn("score", F.round("score", 6))
         out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -41,32 +43,21 @@ def parquet_stream(spark: SparkSession, directory: str, schema, glob: str | None
     return r.parquet(directory)
 
 
-def prototype_constant(protos: DataFrame, max_rows: int = 10_000):
-    """The label-sized prototype table as one array literal (for stateless
-    scoring inside a streaming query, where subqueries are not available).
-    Counted first; above ``max_rows`` it refuses rather than gather it."""
-    from intentloom.operators.joins import persisted_count
-    p, n = persisted_count(protos.select("label", "proto"))
-    if n > max_rows:
-        raise ValueError(f"{n} prototypes exceed the bound {max_rows}")
-    rows = p.collect()
-    return F.array(*[F.struct(F.lit(r.label).alias("label"),
-                              F.array(*[F.lit(float(x)) for x in r.proto]).alias("proto")) for r in rows])
-
-
 def running_confusion(spark: SparkSession, stream: DataFrame, protos: DataFrame, out_path: str,
                       checkpoint: str) -> None:
     """Stateful: ``(label, pred, n)`` counts over everything that has arrived.
 
-    Each row is scored against the prototype constant (stateless, ties to the
-    lowest label); ``groupBy(label, pred).count()`` keeps its running counts
+    Each row is scored against the prototypes, which come in size-checked blocks by
+    stream-static broadcast joins (stateless, ties to the lowest label); ``groupBy(label, pred).count()`` keeps its running counts
     in the state store (labels x labels entries, bounded).  Every micro-batch
     rewrites the complete table (idempotent on retry)."""
-    from intentloom.functions import vectors as V
-    arr = prototype_constant(protos)
-    best = F.array_min(F.transform(arr, lambda c: F.struct(F.round(V.l2_dist("vec", c["proto"]), 9).alias("d"),
-                                                           c["label"].alias("label"))))
-    scored = stream.select("label", best["label"].alias("pred"))
+    rows = stream.select("label", "vec", F.lit(0).alias("__one"))
+    for i, block in enumerate(candidate_blocks(protos.select("label", "proto"), ["label", "proto"])):
+        rows = rows.join(F.broadcast(block.withColumn("__one", F.lit(0))), "__one")
+        found = F.array_min(F.transform("__arr", lambda c: F.struct(F.round(V.l2_dist("vec", c["proto"]), 9).alias("d"),
+                                                                    c["label"].alias("label"))))
+        rows = rows.withColumn("__best", F.least("__best", found) if i else found).drop("__arr")
+    scored = rows.select("label", F.col("__best.label").alias("pred"))
     counts = scored.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
