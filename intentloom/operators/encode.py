@@ -26,8 +26,9 @@ UNKNOWN_ID = 1  # the reference maps unknown words to the id of its 'null' word
 
 
 def tokens(df: DataFrame, text: str = "utterance", key: str = "uid", keep_empty: bool = True) -> DataFrame:
-    """X2 long form: ``(key, pos, token)`` with blank tokenization (0-based pos)."""
-    t = df.select(key, F.posexplode(T.blank_tokens(text)).alias("pos", "token"))
+    """X2 long form: ``(key, pos, token)`` with blank tokenization (0-based pos).
+    An empty or null text has one empty token, so its key stays."""
+    t = df.select(key, F.posexplode(T.blank_tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token"))
     return t if keep_empty else t.where(F.col("token") != "")
 
 
@@ -65,11 +66,6 @@ def vocab_ids(toks: DataFrame, min_count: int = 1, first_id: int = 2, nmax: int
     return r.select("word", "n", (F.col("__r") + F.lit(first_id - 1)).cast("int").alias("word_id"))
 
 
-def vocab_cap(vocab: DataFrame, nmax: int, order: str = "word_id") -> DataFrame:
-    """L4: the first ``nmax`` rows of an existing vocabulary (TakeOrderedAndProject)."""
-    return vocab.orderBy(order).limit(nmax)
-
-
 def token_ids(toks: DataFrame, vocab: DataFrame, key: str = "uid", unknown_id: int = UNKNOWN_ID) -> DataFrame:
     """Id sequence per text, unknown words -> ``unknown_id``.
 
@@ -125,6 +121,12 @@ def word_vectors(toks: DataFrame, wv: DataFrame, key: str = "uid") -> DataFrame:
     return toks.join(v, "token", "left")
 
 
+def _every_key(toks: DataFrame, pooled: DataFrame, key: str) -> DataFrame:
+    """``pooled`` for each key of ``toks``: a text without a known word keeps its row, with NULL vectors.
+    (Both sides are partitioned by the key already.)"""
+    return toks.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows").join(pooled, key, "left")
+
+
 def pool_max_mean(toks: DataFrame, wv: DataFrame, key: str = "uid") -> DataFrame:
     """Per text, element-wise max and mean of its known token
     vectors, concatenated as ``[max; mean]``.
@@ -138,13 +140,14 @@ def pool_max_mean(toks: DataFrame, wv: DataFrame, key: str = "uid") -> DataFrame
     s = j.groupBy(key).agg(
         Summarizer.max(F.col("__v")).alias("__max"),
         Summarizer.mean(F.col("__v"), F.col("__n").cast("double")).alias("__mean"))
-    return s.select(key, vector_to_array("__max").alias("max_pool"), vector_to_array("__mean").alias("mean_pool"),
-                    F.concat(vector_to_array("__max"), vector_to_array("__mean")).alias("pooled"))
+    return _every_key(toks, s.select(key, vector_to_array("__max").alias("max_pool"), vector_to_array("__mean").alias("mean_pool"),
+                                     F.concat(vector_to_array("__max"), vector_to_array("__mean")).alias("pooled")), key)
 
 
-def idf_weights(toks: DataFrame, key: str = "uid") -> DataFrame:
-    """Inverse document frequency per word: ``ln(N / df)`` (a weight table for X15)."""
-    n = toks.select(F.countDistinct(key)).scalar()
+def idf_weights(toks: DataFrame, key: str = "uid", texts: DataFrame | None = None) -> DataFrame:
+    """Inverse document frequency per word: ``ln(N / df)`` (a weight table for X15).  N is the number
+    of rows of ``texts``; without it, the distinct keys of the tokens are counted."""
+    n = (toks.select(F.countDistinct(key)) if texts is None else texts.select(F.count(F.lit(1)))).scalar()
     dfc = toks.where(F.col("token") != "").select(key, "token").distinct().groupBy("token") \
         .agg(F.count(F.lit(1)).alias("df"))
     return dfc.select(F.col("token").alias("word"), F.log(n.cast("double") / F.col("df").cast("double")).alias("w"))
@@ -160,8 +163,8 @@ def weighted_pool(toks: DataFrame, wv: DataFrame, weights: DataFrame, key: str =
     j = j.withColumn("__e", F.exp(F.col("w") - F.max("w").over(win)))
     j = j.withColumn("__a", F.col("__e") / F.sum("__e").over(win))
     j = j.select(key, array_to_vector(V.vscale("vec", F.col("__a"))).alias("__wv"))
-    return j.groupBy(key).agg(Summarizer.sum(F.col("__wv")).alias("__s")) \
-        .select(key, vector_to_array("__s").alias("pooled"))
+    g = j.groupBy(key).agg(Summarizer.sum(F.col("__wv")).alias("__s")).select(key, vector_to_array("__s").alias("pooled"))
+    return _every_key(toks, g, key)
 
 
 def piecewise_pool(toks: DataFrame, wv: DataFrame, key: str = "uid", pieces: int = 3) -> DataFrame:
@@ -178,7 +181,7 @@ def piecewise_pool(toks: DataFrame, wv: DataFrame, key: str = "uid", pieces: int
                            F.max(F.size("m")).alias("__d"))
     zero = F.array_repeat(F.lit(0.0), F.col("__d"))
     parts = [F.coalesce(F.element_at("__segs", F.lit(i)), zero) for i in range(pieces)]
-    return g.select(key, F.concat(*parts).alias("pooled"))
+    return _every_key(toks, g.select(key, F.concat(*parts).alias("pooled")), key)
 
 
 def length_buckets(df: DataFrame, text: str = "utterance") -> DataFrame:

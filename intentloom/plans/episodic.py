@@ -24,11 +24,15 @@ def samples(rows: DataFrame, episodes: int = 20, n_way: int = 5, k: int = 5, q:
     return EP.episode_samples(rows, classes, k, q)
 
 
+def query_key():
+    return F.col("class_id").cast("long") * (1 << 32) + F.col("slot")
+
+
 def queries_of(smp: DataFrame) -> DataFrame:
-    """Query rows keyed by (episode, qkey = class_id * 1000 + slot)."""
+    """Query rows keyed by (episode, qkey = class_id * 2**32 + slot; both are 32 bits)."""
     return smp.where(F.col("role") == "query").select(
         "episode", F.col("class_id").alias("q_class"),
-        (F.col("class_id") * 1000 + F.col("slot")).alias("qkey"), "uid", "vec")
+        query_key().alias("qkey"), "uid", "vec")
 
 
 def episode_predictions(smp: DataFrame, weights=None) -> DataFrame:

@@ -162,8 +162,9 @@ g as (select uid, dim, sum(val) as s from x group by uid, dim)
 select uid, round(sum(s), 6) as pooled_sum, round(sqrt(sum(s * s)), 6) as pooled_norm from g group by uid
 """)
 def x15_weighted_pool(spark, d):
-    toks = EN.tokens(views.part_utt(spark, d))
-    out = EN.weighted_pool(toks, views.tok_vec(spark, d), EN.idf_weights(toks))
+    u = views.part_utt(spark, d)
+    toks = EN.tokens(u)
+    out = EN.weighted_pool(toks, views.tok_vec(spark, d), EN.idf_weights(toks, texts=u))
     return out.select("uid", *EN.summarize_vec("pooled"))
 
 

@@ -42,7 +42,7 @@ smp as ({EPS20}),
 pe as (select episode, class_id, dim, avg(x) as x from (select episode, class_id, unnest(range(len(vec))) as dim,
        CAST(unnest(vec) AS DOUBLE) as x from smp where role = 'support') group by all),
 p as (select episode, class_id, list(x order by dim) as proto from pe group by episode, class_id),
-q as (select episode, class_id as q_class, class_id * 1000 + slot as qkey, CAST(vec AS DOUBLE[]) as vec from smp where role = 'query')
+q as (select episode, class_id as q_class, CAST(class_id AS BIGINT) * 4294967296 + slot as qkey, CAST(vec AS DOUBLE[]) as vec from smp where role = 'query')
 """
 
 
@@ -90,7 +90,7 @@ def a15_dispersion(spark, d):
 
 @query("x21_attn_prototype", sql=f"""
 with smp as ({EPS20}),
-q as (select episode, class_id * 1000 + slot as qkey, CAST(vec AS DOUBLE[]) as qv from smp where role = 'query'),
+q as (select episode, CAST(class_id AS BIGINT) * 4294967296 + slot as qkey, CAST(vec AS DOUBLE[]) as qv from smp where role = 'query'),
 s as (select episode, class_id, slot, CAST(vec AS DOUBLE[]) as sv from smp where role = 'support'),
 j as (select q.episode, q.qkey, s.class_id, s.sv,
              list_sum(list_transform(list_zip(s.sv, q.qv), lambda z: tanh(z[1] * z[2]))) as a from q join s using (episode)),
@@ -102,7 +102,7 @@ select episode, qkey, class_id, round(sum(v), 6) as proto_sum, round(sqrt(sum(v
 """)
 def x21_attn_prototype(spark, d):
     smp = episodic.samples(views.vec(spark, d))
-    q = smp.where(F.col("role") == "query").select("episode", (F.col("class_id") * 1000 + F.col("slot")).alias("qkey"), "vec")
+    q = smp.where(F.col("role") == "query").select("episode", episodic.query_key().alias("qkey"), "vec")
     s = smp.where(F.col("role") == "support").select("episode", "class_id", "uid", "vec")
     out = SC.attentive_prototypes(q, s, by=("episode", "class_id"), qkey="qkey")
     return out.select("episode", "qkey", "class_id", F.round(V.vsum("proto"), 6).alias("proto_sum"),

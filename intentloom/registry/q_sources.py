@@ -54,13 +54,20 @@ def s3_csv_custom_columns(spark, d):
 
 
 @query("s4_json_pairs", sql=f"""
-select p_type as label, p_name as utterance, ['val', 'test', 'train'][CAST({HINT('p_partkey')} % 3 + 1 AS INTEGER)] as split
-from part
+with s as (select p_type as label, p_name as utterance, CAST({HINT('p_partkey')} % 3 AS INTEGER) as split_no from part),
+n as (select split_no, count(*) as n from s group by split_no)
+select label, utterance, ['val', 'test', 'train'][split_no + 1] as split,
+       CAST(coalesce((select sum(n) from n b where b.split_no < s.split_no), 0) AS BIGINT) as split_from,
+       CAST((select sum(n) from n b where b.split_no <= s.split_no) AS BIGINT) as split_to
+from s
 """)
 def s4_json_pairs(spark, d):
     path = shared_dir(spark, "s4")
     X.write_json_pairs(views.part_utt(spark, d), path)
-    return R.read_json_pairs(spark, path).select("label", "utterance", "split")
+    r = R.with_ord(R.read_json_pairs(spark, path), keys=("ord_key",))
+    # the splits follow each other over the whole input, whatever file a row is in
+    ends = r.groupBy("split").agg(F.min("ord").alias("split_from"), (F.max("ord") + 1).alias("split_to"))
+    return r.join(F.broadcast(ends), "split").select("label", "utterance", "split", "split_from", "split_to")
 
 
 @query("s5_json_struct", sql="select role as label, md5(text) as text_md5 from conversations")
@@ -81,25 +88,25 @@ def s6_label_list(spark, d):
 
 @query("s7_word_vectors", sql=f"""
 select word, CAST(row_number() over (order by word) - 1 AS INTEGER) as word_id, round({VSUM('vec')}, 6) as vec_sum
-from ({TOK_VEC}) order by word limit 11
+from ({TOK_VEC})
 """)
 def s7_word_vectors(spark, d):
     path = shared_dir(spark, "s7")
     X.write_word_vectors_json(views.tok_vec(spark, d), path)
     from intentloom.functions import vectors as V
-    r = R.read_word_vectors_json(spark, path, nmax=10)
+    r = R.read_word_vectors_json(spark, path)
     return r.select("word", "word_id", F.round(V.vsum("vec"), 6).alias("vec_sum"))
 
 
 @query("s8_word2vec_text", sql=f"""
 select word, CAST(row_number() over (order by word) - 1 AS INTEGER) as word_id, round({VSUM('vec')}, 6) as vec_sum
-from ({TOK_VEC}) order by word limit 10
+from ({TOK_VEC})
 """)
 def s8_word2vec_text(spark, d):
     path = shared_dir(spark, "s8")
     X.write_word2vec_text(views.tok_vec(spark, d), path)
     from intentloom.functions import vectors as V
-    r = R.read_word2vec_text(spark, path, nmax=10)
+    r = R.read_word2vec_text(spark, path)
     return r.select("word", "word_id", F.round(V.vsum("vec"), 6).alias("vec_sum"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions import vectors as V
 from intentloom.operators import labels as L
+from intentloom.operators.joins import counted
 from intentloom.plans import proto_eval
 from intentloom.registry import query
 from intentloom.registry.sqlparts import DIST_SCORES, PROTOS, SUPPORT, VEC
@@ -38,55 +39,56 @@ def x6_l2_dist(spark, d):
 
 
 @query("x8_safe_div", sql=f"""
-select uid, round(CAST(vec[1] AS DOUBLE) / (case when abs(CAST(vec[2] AS DOUBLE)) - 0.5 > 1e-8
-                                                   then abs(CAST(vec[2] AS DOUBLE)) - 0.5 else 1e-8 end), 6) as q
-from ({VEC})
+with e as (select uid, unnest(range(len(vec))) as i, CAST(unnest(vec) AS DOUBLE) as x from ({VEC})),
+p as (select a.uid, a.i, a.x as n, abs(b.x) - 0.05 as d from e a join e b on a.uid = b.uid and b.i = (a.i + 1) % 64)
+select uid, CAST(i AS INTEGER) as i, round(n / (case when d > 1e-8 then d else 1e-8 end) * (case when d > 1e-8 then 1 else 1e-8 end), 6) as q, d > 1e-8 as divided from p
 """)
 def x8_safe_div(spark, d):
     v = views.vec(spark, d)
-    return v.select("uid", F.round(V.safe_div(F.col("vec")[0].cast("double"),
-                                              F.abs(F.col("vec")[1].cast("double")) - 0.5), 6).alias("q"))
+    e = v.select("uid", "vec", F.posexplode("vec").alias("i", "n"))
+    d = F.abs(F.get("vec", (F.col("i") + 1) % F.size("vec")).cast("double")) - 0.05
+    return e.select("uid", F.col("i").cast("int").alias("i"), F.round(  # a floored divisor gives huge values: scaled back
+        V.safe_div(F.col("n").cast("double"), d) * F.when(d > 1e-8, F.lit(1.0)).otherwise(F.lit(1e-8)), 6).alias("q"), (d > 1e-8).alias("divided"))
 
 
 @query("x9_masked_softmax", sql=f"""
-with s as (select uid, list_slice(CAST(vec AS DOUBLE[]), 1, 8) as a from ({VEC})),
-m as (select uid, a, list_transform(a, lambda x: CAST(x > 0 AS INTEGER)) as mk from s),
-e as (select uid, list_transform(list_zip(a, mk), lambda z: exp(z[1] * z[2] - list_max(list_transform(list_zip(a, mk), lambda y: y[1] * y[2]))) * z[2]) as ex from m),
-p as (select uid, list_transform(ex, lambda x: x / (case when list_sum(ex) = 0 then 1 else list_sum(ex) end)) as p from e)
-select uid, CAST(unnest(range(8)) AS INTEGER) as i, round(unnest(p), 6) as p from p
+with s as (select uid, unnest(range(len(vec))) as i, CAST(unnest(vec) AS DOUBLE) as x from ({VEC})),
+m as (select uid, i, CAST(x > 0 AS INTEGER) as mk, x * CAST(x > 0 AS INTEGER) as xm from s),
+e as (select uid, i, exp(xm - max(xm) over (partition by uid)) * mk as ex from m)
+select uid, CAST(i AS INTEGER) as i, round(ex / coalesce(nullif(sum(ex) over (partition by uid), 0), 1), 6) as p from e
 """)
 def x9_masked_softmax(spark, d):
-    v = views.vec(spark, d).select("uid", F.slice("vec", 1, 8).alias("a"))
+    v = views.vec(spark, d).select("uid", F.col("vec").alias("a"))
     p = v.select("uid", V.masked_softmax("a", F.transform("a", lambda x: (x > 0).cast("int"))).alias("p"))
     return p.select("uid", F.posexplode("p").alias("i", "p")).select(
         "uid", F.col("i").cast("int").alias("i"), F.round("p", 6).alias("p"))
 
 
 @query("x10_log_softmax", sql=f"""
-with s as (select uid, list_transform(range(4), lambda h: case when h = 0 then 0.0 else
-              list_sum(list_slice(CAST(vec AS DOUBLE[]), h * 16 + 1, h * 16 + 16)) end) as a from ({VEC})),
-m as (select uid, list_transform(a, lambda x: case when x <> 0 then x else x + ln(1e-45) end) as b from s),
-l as (select uid, list_transform(b, lambda x: x - (list_max(b) + ln(list_sum(list_transform(b, lambda y: exp(y - list_max(b))))))) as lp from m)
-select uid, CAST(unnest(range(4)) AS INTEGER) as i, round(unnest(lp), 6) as logp from l
+with s as (select uid, unnest(range(len(vec))) as i, CAST(unnest(vec) AS DOUBLE) as x from ({VEC})),
+m as (select uid, i, case when abs(x) > 0.05 then x else ln(1e-45) end as b from s),
+z as (select *, max(b) over (partition by uid) as top from m)
+select uid, CAST(i AS INTEGER) as i, round(b - top - ln(sum(exp(b - top)) over (partition by uid)), 6) as logp from z
 """)
 def x10_log_softmax(spark, d):
-    h = views.vec_heads(spark, d)
-    sums = F.transform("heads", lambda a, i: F.when(i == 0, F.lit(0.0)).otherwise(V.vsum(a)))
-    p = h.select("uid", V.nonzero_log_softmax(sums).alias("lp"))
+    v = views.vec(spark, d)
+    a = F.transform(V.as_double("vec"), lambda x: F.when(F.abs(x) > 0.05, x).otherwise(F.lit(0.0)))
+    p = v.select("uid", V.nonzero_log_softmax(a).alias("lp"))
     return p.select("uid", F.posexplode("lp").alias("i", "logp")).select(
         "uid", F.col("i").cast("int").alias("i"), F.round("logp", 6).alias("logp"))
 
 
 @query("x11_one_hot", sql=f"""
 with ids as (select label, CAST(row_number() over (order by label) - 1 AS INTEGER) as label_id from (select distinct label from ({VEC})))
-select v.uid, array_to_string(list_transform(range(10), lambda i: CAST(i = ids.label_id AS INTEGER)), ',') as one_hot
+select v.uid, array_to_string(list_transform(range((select count(*) from ids)), lambda i: CAST(i = ids.label_id AS INTEGER)), ',') as one_hot
 from ({VEC}) v join ids using (label)
 """)
 def x11_one_hot(spark, d):
     v = views.vec(spark, d)
     ids = L.label_ids(L.distinct_labels(v))
+    ids, width = counted(ids)
     j = v.join(ids, "label")
-    return j.select("uid", F.array_join(F.transform(V.one_hot("label_id", 10), lambda x: x.cast("string")), ",").alias("one_hot"))
+    return j.select("uid", F.array_join(F.transform(V.one_hot("label_id", width), lambda x: x.cast("string")), ",").alias("one_hot"))
 
 
 @query("x14_fuse", sql=WITH_PROTO + """

@@ -21,8 +21,8 @@ def HEXINT(hexexpr: str, width: int = 8) -> str:
 UTT = "select doc_id as uid, text as utterance, source as label, doc_id as ord from documents"
 UTT_LANG = "select doc_id as uid, text as utterance, lang as label, doc_id as ord from documents"
 PART_UTT = "select p_partkey as uid, p_name as utterance, p_type as label, p_partkey as ord from part"
-CONV = ("select conv_id * 1000 + turn as uid, text as utterance, role as label, "
-        "conv_id * 1000 + turn as ord from conversations")
+CONV = ("select CAST(conv_id AS BIGINT) * 4294967296 + turn as uid, text as utterance, role as label, "
+        "CAST(conv_id AS BIGINT) * 4294967296 + turn as ord from conversations")
 VEC = "select vec_id as uid, CAST(label AS VARCHAR) as label, embedding as vec from embeddings"
 
 # strip like Python str.strip(), split on single blanks

@@ -72,24 +72,20 @@ def read_csv_header(spark: SparkSession, path: str, text_col: str = "text", labe
 
 def read_json_pairs(spark: SparkSession, path: str, splits=JSON_SPLIT_ORDER, multi_line: bool = False) -> DataFrame:
     """JSON objects ``{split: [[utterance, label], ...]}``; rows of all
-    splits in the given split order, each list in its own order.
+    splits in the given split order over the whole input, each list in its own order.
 
-    Adds ``split`` and an ``ord`` key struct (file order, split order, list
-    position); rank it with ``with_ord`` if dense numbers are needed.
+    Adds ``split`` and an ``ord_key`` struct (split order, file order, list
+    position); rank it with ``with_ord`` if dense numbers are needed.  One scan: the
+    lists are exploded from one array, tagged with their split.
     """
     schema = ", ".join(f"{s} ARRAY<ARRAY<STRING>>" for s in splits)
-    df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    df = arrival_key(df)
-    parts = []
-    for i, s in enumerate(splits):
-        p = df.select("__file", "__block", "__row", F.lit(i).alias("__split_no"), F.lit(s).alias("split"),
-                      F.posexplode_outer(s).alias("__pos", "__pair")).where(F.col("__pair").isNotNull())
-        parts.append(p)
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.select(F.element_at("__pair", 2).alias("label"), F.element_at("__pair", 1).alias("utterance"), "split",
-                    F.struct("__file", "__block", "__row", "__split_no", "__pos").alias("ord_key"))
+    df = arrival_key(spark.read.schema(schema).option("multiLine", multi_line).json(path))
+    lists = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(s).alias("split"), F.col(s).alias("pairs")) for i, s in enumerate(splits)])
+    x = df.select("__file", "__block", "__row", F.explode(lists).alias("__l"))
+    x = x.select("__file", "__block", "__row", F.col("__l.no").alias("__split_no"), F.col("__l.split").alias("split"),
+                 F.posexplode("__l.pairs").alias("__pos", "__pair")).where(F.col("__pair").isNotNull())
+    return x.select(F.get("__pair", F.lit(1)).alias("label"), F.get("__pair", F.lit(0)).alias("utterance"), "split",
+                    F.struct("__split_no", "__file", "__block", "__row", "__pos").alias("ord_key"))
 
 
 def read_json_examples(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -121,10 +117,15 @@ def read_word_vectors_json(spark: SparkSession, path: str, nmax: int | None = No
 
 def read_word2vec_text(spark: SparkSession, path: str, nmax: int | None = None) -> DataFrame:
     """word2vec text: a ``count dim`` header line, then ``word v1 ... vd``.
-    Keeps the first ``nmax`` vectors in file order."""
-    raw = arrival_key(spark.read.text(path))
-    f = raw.withColumn("__f", F.split(strip(F.col("value")), " "))
-    body = f.where(F.size("__f") > 2)
+    Keeps the first ``nmax`` vectors in file order.
+
+    The header is the first line of a file that holds just two whole numbers, so one-value vectors stay."""
+    f = arrival_key(spark.read.text(path)).withColumn("__f", F.split(strip(F.col("value")), " "))
+    at = F.struct("__block", "__row")
+    numbers = (F.size("__f") == 2) & F.forall("__f", lambda x: x.rlike("^[0-9]+$"))
+    heads = f.where(numbers).groupBy("__file").agg(F.min(at).alias("__head"))  # a row per file
+    heads = heads.where(F.col("__head.__block") == 0)
+    body = f.join(heads, "__file", "left").where((F.size("__f") > 1) & (F.col("__head").isNull() | (at != F.col("__head"))))
     if nmax is not None:
         body = body.orderBy("__file", "__block", "__row").limit(nmax)
     body = body.select("__file", "__block", "__row", F.element_at("__f", 1).alias("word"),
@@ -132,10 +133,11 @@ def read_word2vec_text(spark: SparkSession, path: str, nmax: int | None = None)
     return with_ord(body, out="word_id").select("word", "vec", F.col("word_id").cast("int").alias("word_id"))
 
 
-def read_folds(spark: SparkSession, root: str, fmt: str = "tsv") -> DataFrame:
+def read_folds(spark: SparkSession, root: str, fmt: str = "tsv", multi_line: bool = False) -> DataFrame:
     """``root/fold=<n>/...`` folders of one layout read in one scan; the
     ``fold`` partition column comes from the folder names."""
     if fmt == "tsv":
         return (spark.read.schema("label STRING, utterance STRING, fold INT").option("sep", "\t")
-                .option("header", False).csv(root))
+                .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                .option("multiLine", multi_line).option("header", False).csv(root))
     return spark.read.parquet(root)

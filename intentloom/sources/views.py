@@ -58,11 +58,14 @@ def part_utt(spark, d) -> DataFrame:
         F.col("p_type").alias("label"), F.col("p_partkey").alias("ord"))
 
 
+TURNS = 1 << 32
+
+
 def conv(spark, d) -> DataFrame:
-    """conversation turns: label = role, uid = conv_id * 1000 + turn."""
+    """conversation turns: label = role, uid = conv_id * 2**32 + turn (a turn is 32 bits)."""
     return spread(table(spark, d, "conversations"), "conv_id").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), F.col("text").alias("utterance"),
-        F.col("role").alias("label"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+        (F.col("conv_id").cast("long") * TURNS + F.col("turn")).alias("uid"), F.col("text").alias("utterance"),
+        F.col("role").alias("label"), (F.col("conv_id").cast("long") * TURNS + F.col("turn")).alias("ord"))
 
 
 def vec(spark, d) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from intentloom.functions import text as T
 from intentloom.functions import vectors as V
 from intentloom.functions.order import seeded_key
+from intentloom.operators import encode as EN
 from intentloom.operators import evaluate as E
 from intentloom.operators import labels as L
 from intentloom.operators import score as SC
 from intentloom.operators import split as S
 from intentloom.operators.rank import class_rank, global_rank
+from intentloom.sources import readers as R
 
 
 def utts(spark, rows):
@@ -197,3 +199,36 @@ def test_rank_cuts_equal_plain_window(spark, max_rows):
     j = got.join(ref, "uid")
     assert j.count() == 4000
     assert j.where("a <> ra or b <> rb or c").count() == 0
+
+
+def test_json_splits_follow_each_other_over_all_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part{i}.json").write_text(
+            '{"train": [["t%d", "x"], ["u%d", "x"]], "val": [["v%d", "x"]], "test": []}' % (i, i, i))
+    r = R.with_ord(R.read_json_pairs(spark, str(tmp_path), multi_line=True), keys=("ord_key",)).orderBy("ord").collect()
+    assert [x.utterance for x in r] == ["v0", "v1", "v2", "t0", "u0", "t1", "u1", "t2", "u2"]
+    assert r[0].split == "val" and r[-1].split == "train" and [x.ord for x in r] == list(range(9))
+
+
+def test_word2vec_header_is_told_by_its_place(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("3 1\na 0.5\n7 2\nb 1\n")
+    assert [(r.word, r.vec) for r in R.read_word2vec_text(spark, str(tmp_path)).orderBy("word_id").collect()] == \
+        [("a", [0.5]), ("7", [2.0]), ("b", [1.0])]
+
+
+def test_pooling_keeps_texts_without_known_words(spark):
+    u = spark.createDataFrame([(1, "a b"), (2, "zzz"), (3, ""), (4, None)], "uid long, utterance string")
+    wv = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "word string, vec array<double>")
+    toks = EN.tokens(u)
+    for out, want in ((EN.pool_max_mean(toks, wv), [1.0, 2.0, 0.5, 1.0]), (EN.piecewise_pool(toks, wv, pieces=2), [1.0, 0.0, 0.0, 2.0]),
+                      (EN.weighted_pool(toks, wv, EN.idf_weights(toks, texts=u)), [0.5, 1.0])):
+        got = {r.uid: r.pooled for r in out.collect()}
+        assert got == {1: pytest.approx(want), 2: None, 3: None, 4: None}
+
+
+def test_zero_shot_keeps_texts_without_known_words(spark):
+    from intentloom.plans import zero_shot
+    u = spark.createDataFrame([(1, "a b", "l"), (2, "", "m"), (3, None, "m")], "uid long, utterance string, label string")
+    emb = spark.createDataFrame([(0, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    got = {r.uid: (r.label, r.pred, r.score) for r in zero_shot.predictions(spark, u, emb).collect()}
+    assert got == {1: ("l", "l", 1.0), 2: ("m", "l", -2.0), 3: ("m", "l", -2.0)}
