@@ -32,8 +32,3 @@ def hash_int(text_col, width_hex: int = 8) -> Column:
 def hex_to_int(hex_col, width_hex: int = 8) -> Column:
     """Integer value of the first ``width_hex`` digits of an existing hex key."""
     return F.conv(F.substring(_c(hex_col), 1, width_hex), 16, 10).cast("bigint")
-
-
-def hash_bucket(text_col, buckets: int) -> Column:
-    """Stable bucket in [0, buckets) of a text."""
-    return hash_int(text_col) % F.lit(buckets)

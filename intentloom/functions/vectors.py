@@ -54,22 +54,21 @@ def safe_div(n, d, eps: float = 1e-8) -> Column:
     return _c(n) / F.when(d > F.lit(eps), d).otherwise(F.lit(eps))
 
 
-def vadd(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
-
-
 def vscale(a, s) -> Column:
     s = _c(s) if not isinstance(s, (int, float)) else F.lit(float(s))
     return F.transform(_c(a), lambda x: x.cast("double") * s)
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row: inside a lambda over an array, an
+    expression of the row would be computed again for every entry."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(a) -> Column:
     """Numerically stable softmax of an array."""
-    a = as_double(a)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = vsum(e)
-    return F.transform(e, lambda x: x / s)
+    e = let(as_double(a), lambda a: let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m))))
+    return let(e, lambda e: let(vsum(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def masked_softmax(a, mask) -> Column:
@@ -77,19 +76,17 @@ def masked_softmax(a, mask) -> Column:
 
     Masked entries are zeroed before the max is taken, as in the reference.
     """
-    mv = F.zip_with(as_double(a), _c(mask), lambda x, m: x * m.cast("double"))
-    mx = F.array_max(mv)
-    ex = F.zip_with(mv, _c(mask), lambda x, m: F.exp(x - mx) * m.cast("double"))
-    s = vsum(ex)
-    s1 = F.when(s == 0, F.lit(1.0)).otherwise(s)
-    return F.transform(ex, lambda x: x / s1)
+    mask = as_double(mask)
+    mv = F.zip_with(as_double(a), mask, lambda x, m: x * m)
+    ex = let(mv, lambda mv: let(F.array_max(mv), lambda top: F.zip_with(mv, mask, lambda x, m: F.exp(x - top) * m)))
+    return let(ex, lambda ex: let(vsum(ex), lambda s: F.transform(ex, lambda x: x / F.when(s == 0, F.lit(1.0)).otherwise(s))))
 
 
 def log_softmax(a) -> Column:
-    a = as_double(a)
-    m = F.array_max(a)
-    lse = m + F.log(vsum(F.transform(a, lambda x: F.exp(x - m))))
-    return F.transform(a, lambda x: x - lse)
+    def of(a):
+        lse = let(F.array_max(a), lambda m: m + F.log(vsum(F.transform(a, lambda x: F.exp(x - m)))))
+        return let(lse, lambda z: F.transform(a, lambda x: x - z))
+    return let(as_double(a), of)
 
 
 def nonzero_log_softmax(a) -> Column:
@@ -108,7 +105,3 @@ def fuse(a, b) -> Column:
     """[a; b; |a-b|; a*b]."""
     a, b = as_double(a), as_double(b)
     return F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))
-
-
-def round_array(a, digits: int = 6) -> Column:
-    return F.transform(_c(a), lambda x: F.round(x, digits))

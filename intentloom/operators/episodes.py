@@ -4,12 +4,11 @@ one job.
 * ``episode_classes`` (W12/W15): the label list exploded over the episode ids
   (episodes x labels rows, both parameters/label-sized), top-N per episode by
   seeded hash; ``class_id`` = draw order - 1.
-* ``episode_samples`` (W13/W14): every class is shuffled once (skew-safe
-  ``class_rank``); episode e reads the K+Q consecutive ranks starting at a
-  hashed offset, modulo the class size.  Rows repeat only when a class has
-  fewer than K+Q rows (oversampling: each row floor or ceil of (K+Q)/n
-  times).  The join is an equi-join on (label, rank) against a slot table of
-  episodes x N x (K+Q) rows, so no class is ever joined to all its episodes.
+* ``episode_samples`` (W13/W14): every (episode, class) has its own draw without
+  replacement, as ranks within the class (``draw_ranks``), so no class is ever
+  joined to all its episodes.  Only the rows with those ranks, and their few
+  neighbours in the same hash bucket, are shuffled.  Rows repeat only when a class
+  has too few (oversampling: each row floor or ceil of m/n times).
 * ``episode_pairs`` (J8/J9): query x support inside an episode (bounded by
   N*Q x N*K per episode: parameters, not data).
 """
@@ -19,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from intentloom.functions import vectors as V
 from intentloom.functions.order import DEFAULT_SEED, hex_to_int, seeded_key
 from intentloom.operators.joins import checked_broadcast
-from intentloom.operators.rank import class_rank, group_top
-from intentloom.session import cores
+from intentloom.operators.rank import group_top, rows_at_ranks
+from intentloom.session import cores, materialize
 
 
 def episode_classes(labels: DataFrame, episodes: int, n_way: int, extra: int = 0,
@@ -36,21 +36,54 @@ def episode_classes(labels: DataFrame, episodes: int, n_way: int, extra: int = 0
                     (F.col("rn") - 1).cast("int").alias("class_id"))
 
 
+def draw_ranks(classes: DataFrame, sizes: DataFrame, m: int, salt: str, seed: int = DEFAULT_SEED) -> DataFrame:
+    """``classes`` with ``slot`` 0..m-1 and ``__rn``: for each (episode, label), m ranks out of 1..n drawn at random
+    without replacement, in random order; where m >= n, all ranks as often as they fit, and the rest drawn.
+
+    Floyd's sampling, in the row: the i-th of r draws picks from 1..n-r+i, or takes n-r+i itself if its
+    pick is taken already; m steps whatever n is.
+    """
+    n, whole, rest = F.col("__n"), F.floor(F.lit(m) / F.col("__n")), (F.lit(m) % F.col("__n")).cast("long")
+
+    def pick(taken, i):
+        top = n - rest + i
+        t = F.lit(1) + hex_to_int(seeded_key("episode", "label", i, salt=salt, seed=seed), 15) % top
+        return V.let(t, lambda t: F.concat(taken, F.array(F.when(F.array_contains(taken, t), top).otherwise(t))))
+
+    none = F.array().cast("array<bigint>")
+    drawn = F.when(rest > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), rest), none, pick)).otherwise(none)
+    entry = lambda copy, r: F.struct(seeded_key("episode", "label", copy, r, salt=f"{salt}-order", seed=seed).alias("h"), r.alias("r"))
+    copies = F.when(whole > 0, F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), whole), lambda c: F.transform(
+        F.sequence(F.lit(1).cast("long"), n), lambda r: entry(c, r))))).otherwise(F.array().cast("array<struct<h:string,r:bigint>>"))
+    order = F.array_sort(F.concat(copies, F.transform(drawn, lambda r: entry(F.lit(0).cast("long"), r))))
+    return classes.join(sizes, "label").select(*classes.columns, F.posexplode(order).alias("slot", "__e")).select(
+        *classes.columns, "slot", F.col("__e.r").alias("__rn"))
+
+
+def _drawn_rows(rows: DataFrame, classes: DataFrame, m: int, key: str, salt: str, seed: int) -> DataFrame:
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
+    slots = materialize(draw_ranks(classes, sizes, m, salt, seed), "slots")
+    x = rows.withColumn("__h", seeded_key(key, salt="ep-perm", seed=seed))
+    return rows_at_ranks(x, slots, "label", "__h", key).drop("__h", "__rn")
+
+
 def episode_samples(rows: DataFrame, classes: DataFrame, k: int, q: int, key: str = "uid",
-                    seed: int = DEFAULT_SEED) -> DataFrame:
+                    seed: int = DEFAULT_SEED, queries: DataFrame | None = None, exclude_support: bool = True) -> DataFrame:
     """Rows of every episode: ``(episode, class_id, label, role, slot, <rows cols>)``;
-    role 'support' for slots 0..K-1, 'query' for K..K+Q-1."""
-    x = rows.withColumn("__h", seeded_key(key, salt="ep-perm", seed=seed))
-    ranked = class_rank(x, ["label"], "__h", key, out="__rn", total="__n").drop("__h")
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
-    slots = (classes.join(sizes, "label")
-             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k + q - 1))))
-             .withColumn("__off", hex_to_int(seeded_key("episode", "label", salt="ep-off", seed=seed)) % F.col("__n"))
-             .withColumn("__rn", ((F.col("__off") + F.col("slot")) % F.col("__n") + 1).cast("long"))
-             .select("episode", "class_id", "label", "slot", "__rn"))
-    j = ranked.drop("__n").join(checked_broadcast(slots), ["label", "__rn"])
+    role 'support' for slots 0..K-1, 'query' for K..K+Q-1.
+
+    Without ``queries`` both roles come from ``rows``, in one draw of K+Q, so that no query row is
+    a support row of its episode (unless a class has fewer than K+Q rows); ``exclude_support=False`` draws them
+    independently.  With ``queries`` the support is drawn from ``rows`` and the query rows, independently,
+    from that table."""
+    if queries is None and exclude_support:
+        j = _drawn_rows(rows, classes, k + q, key, "ep-draw", seed)
+    else:
+        sup = _drawn_rows(rows, classes, k, key, "ep-support", seed)
+        que = _drawn_rows(rows if queries is None else queries, classes, q, key, "ep-query", seed)
+        j = sup.unionByName(que.withColumn("slot", F.col("slot") + F.lit(k)))
     role = F.when(F.col("slot") < k, F.lit("support")).otherwise(F.lit("query"))
-    return j.withColumn("role", role).withColumn("slot", F.col("slot").cast("int")).drop("__rn")
+    return j.withColumn("role", role).withColumn("slot", F.col("slot").cast("int"))
 
 
 def episode_pairs(samples: DataFrame, cols=("vec",)) -> DataFrame:

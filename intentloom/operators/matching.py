@@ -19,18 +19,13 @@ EPS = 1e-8
 
 
 def _cos(a, b) -> Column:
-    return V.safe_div(V.dot(a, b), V.norm(a) * V.norm(b), EPS)
+    return V.let(a, lambda a: V.let(b, lambda b: V.safe_div(V.dot(a, b), V.norm(a) * V.norm(b), EPS)))
 
 
 def _mean(arr) -> Column:
     return V.vsum(arr) / F.size(arr)
 
 
-def cos_matrix(A, B) -> Column:
-    """att[i][j] = cos(A_i, B_j)."""
-    return F.transform(A, lambda a: F.transform(B, lambda b: _cos(a, b)))
-
-
 def with_norms(M) -> Column:
     """Rows of a matrix paired with their L2 norms (computed once per row)."""
     return F.transform(M, lambda r: F.struct(V.as_double(r).alias("v"), V.norm(r).alias("n")))

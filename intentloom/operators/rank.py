@@ -186,3 +186,28 @@ def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
         st, thr = F.col(f"__st_{name}"), F.col(f"__thr_{name}")
         edge = edge.withColumn(name, (st == 1) | ((st == 2) & (F.col("__off") + F.col("__rn") <= thr)))
     return settled.drop(*helper).unionByName(edge.drop(*helper, "__rn"))
+
+
+def rows_at_ranks(df: DataFrame, wanted: DataFrame, by: str, order_key: str, tiebreak: str, rank: str = "__rn",
+                  prefix_len: int = 4) -> DataFrame:
+    """The rows of ``df`` that have the ranks ``wanted(by, rank, ...)`` in their group, with the columns of ``wanted``.
+
+    Ranks are those of ``class_rank``.  Only the key columns are read for the bucket counts; the wanted
+    ranks are placed among the running counts (a window of at most 16**prefix_len buckets and the wanted
+    ranks per group), and only the rows of the buckets they fall into are shuffled and ranked.
+    """
+    from intentloom.operators.joins import checked_broadcast
+    x = df.withColumn("__b", F.substring(order_key, 1, prefix_len))
+    counts = x.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, (F.coalesce(F.sum("__c").over(before), F.lit(0)) + 1).alias(rank), "__b")
+    marks = starts.unionByName(wanted.select(by, F.col(rank).cast("long").alias(rank)).distinct(), allowMissingColumns=True)
+    so_far = Window.partitionBy(by).orderBy(rank, F.col("__b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.last(F.when(F.col("__b").isNotNull(), F.struct("__b", F.col(rank).alias("start"))), ignorenulls=True).over(so_far)
+    place = marks.withColumn("__p", at).where(F.col("__b").isNull()).select(
+        by, rank, F.col("__p.__b").alias("__b"), (F.col(rank) - F.col("__p.start") + 1).alias("__in"))
+    place = materialize(place, "places")
+    few = x.join(checked_broadcast(place.select(by, "__b").distinct()), [by, "__b"], "left_semi")
+    inside = Window.partitionBy(by, "__b").orderBy(F.col(order_key), F.col(tiebreak))
+    hit = few.withColumn("__in", F.row_number().over(inside).cast("long")).join(checked_broadcast(place), [by, "__b", "__in"])
+    return hit.drop("__b", "__in").join(checked_broadcast(wanted), [by, rank])

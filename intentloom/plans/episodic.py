@@ -14,14 +14,16 @@ from intentloom.functions import vectors as V
 from intentloom.operators import episodes as EP
 from intentloom.operators import score as SC
 from intentloom.operators.joins import checked_broadcast
+from intentloom.session import materialize
 
 TIE_DIGITS = 9
 
 
 def samples(rows: DataFrame, episodes: int = 20, n_way: int = 5, k: int = 5, q: int = 5,
-            extra: int = 0) -> DataFrame:
-    classes = EP.episode_classes(rows.select("label"), episodes, n_way, extra)
-    return EP.episode_samples(rows, classes, k, q)
+            extra: int = 0, queries: DataFrame | None = None, exclude_support: bool = True) -> DataFrame:
+    """``extra`` = ``n_way`` is the joint target (2N classes); classes are those of the query table, if there is one."""
+    classes = EP.episode_classes((rows if queries is None else queries).select("label"), episodes, n_way, extra)
+    return materialize(EP.episode_samples(rows, classes, k, q, queries=queries, exclude_support=exclude_support), "episodes")
 
 
 def query_key():

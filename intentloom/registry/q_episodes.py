@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intentloom.functions import vectors as V
+from intentloom.functions.order import hash_int
 from intentloom.operators import episodes as EP
 from intentloom.operators import evaluate as E
 from intentloom.operators import matching as M
 from intentloom.operators import score as SC
 from intentloom.plans import episodic
 from intentloom.registry import query
-from intentloom.registry.sqlparts import DCOS, DFLOOR, EPISODES, VEC, VEC_HEADS
+from intentloom.registry.sqlparts import DCOS, DFLOOR, EPISODES, HINT, VEC, VEC_HEADS
 from intentloom.sources import views
 
 EPS20 = EPISODES(VEC, 20, 5, 5, 5)
@@ -29,6 +30,33 @@ def w13_episode_samples(spark, d):
     return episodic.samples(views.vec(spark, d)).select("episode", "class_id", "slot", "role", "uid")
 
 
+@query("w12_joint_classes", sql=f"select distinct episode, label, class_id from ({EPISODES(VEC, 20, 8, 5, 5)})")
+def w12_joint_classes(spark, d):
+    """Joint target: as many further classes as there are in the episode (4 and 4 of the 10 labels)."""
+    return episodic.samples(views.vec(spark, d), n_way=4, extra=4).select("episode", "label", "class_id").distinct()
+
+
+HALVES = {h: f"select * from ({VEC}) where {HINT('uid')} % 2 = {i}" for i, h in enumerate(("support", "query"))}
+
+
+@query("w13_two_tables", sql=f"""
+select episode, class_id, slot, role, uid from ({EPISODES(HALVES['support'], 20, 5, 5, 7, queries=HALVES['query'])})
+""")
+def w13_two_tables(spark, d):
+    """Support rows from one half of the table, query rows from the other, drawn independently."""
+    v = views.vec(spark, d)
+    smp = episodic.samples(v.where(hash_int("uid") % 2 == 0), q=7, queries=v.where(hash_int("uid") % 2 == 1))
+    return smp.select("episode", "class_id", "slot", "role", "uid")
+
+
+@query("w13_with_overlap", sql=f"""
+select episode, class_id, slot, role, uid from ({EPISODES(VEC, 20, 5, 5, 5, apart=False)})
+""")
+def w13_with_overlap(spark, d):
+    """Both roles drawn independently from the same rows."""
+    return episodic.samples(views.vec(spark, d), exclude_support=False).select("episode", "class_id", "slot", "role", "uid")
+
+
 @query("w14_oversample", sql=f"""
 select episode, class_id, uid, count(*) as copies from ({EPISODES(VEC, 4, 3, 5, 60)}) group by all
 """)

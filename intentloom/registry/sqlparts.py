@@ -172,23 +172,43 @@ def VNORM(x: str) -> str:
     return f"sqrt(list_reduce(list_transform({x}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda a, b: a + b))"
 
 
-def EPISODES(src: str, E: int, N: int, K: int, Q: int, cols: str = "uid, vec") -> str:
-    """Episode samples (W12/W13/W14): episode, class_id, label, slot, role + cols."""
+def DRAW(src: str, classes: str, m: int, salt: str, cols: str, first: int = 0) -> str:
+    """m rows per (episode, class): drawn without replacement by random picks, in random order; classes of fewer
+    rows repeat all of them (W13/W14)."""
+    order = H(f"{salt}-order", "episode", "label", "c", "rn")
     return f"""
-select sl.episode, sl.class_id, sl.label, CAST(sl.slot AS INTEGER) as slot,
-       case when sl.slot < {K} then 'support' else 'query' end as role, {', '.join('rk.' + c.strip() for c in cols.split(','))}
-from (select c.episode, c.class_id, c.label, s.slot,
-             ({HEXINT(H('ep-off', 'c.episode', 'c.label'))} % z.n + s.slot) % z.n + 1 as rn
-      from (select CAST(episode AS INTEGER) as episode, label, CAST(rn - 1 AS INTEGER) as class_id from (
-              select e.episode, l.label, row_number() over (partition by e.episode order by {H('ep-class', 'e.episode', 'l.label')}, l.label) as rn
-              from (select distinct label from ({src})) l, (select unnest(range({E})) as episode) e) where rn <= {N}) c
-      join (select label, count(*) as n from ({src}) group by label) z using (label),
-      (select unnest(range({K + Q})) as slot) s) sl
+select sl.episode, sl.class_id, sl.label, CAST(sl.slot AS INTEGER) as slot, {', '.join('rk.' + c.strip() for c in cols.split(','))}
+from (
+  with recursive d as (select c.*, z.n, {m} // z.n as whole, {m} % z.n as rest
+                       from ({classes}) c join (select label, count(*) as n from ({src}) group by label) z using (label)),
+  f(episode, label, class_id, n, rest, i, picks) as (
+    select episode, label, class_id, n, rest, 0, []::BIGINT[] from d
+    union all
+    select episode, label, class_id, n, rest, i + 1, list_append(picks, case when list_contains(picks, t) then n - rest + i + 1 else t end)
+    from (select *, 1 + {HEXINT(H(salt, 'episode', 'label', '(i + 1)'), 15)} % (n - rest + i + 1) as t from f where i < rest)),
+  e as (select episode, label, class_id, 0 as c, unnest(picks) as rn from f where i = rest
+        union all select episode, label, class_id, a.c, b.rn from d, range(1, whole + 1) a(c), range(1, n + 1) b(rn) where whole > 0)
+  select *, row_number() over (partition by episode, label order by {order}, rn) - 1 + {first} as slot from e) sl
 join (select *, row_number() over (partition by label order by {H('ep-perm', 'uid')}, uid) as rn from ({src})) rk
   on rk.label = sl.label and rk.rn = sl.rn
 """
 
 
+def EPISODES(src: str, E: int, N: int, K: int, Q: int, cols: str = "uid, vec", queries: str | None = None, apart: bool = True) -> str:
+    """Episode samples (W12/W13/W14): episode, class_id, label, slot, role + cols."""
+    classes = f"""
+select CAST(episode AS INTEGER) as episode, label, CAST(rn - 1 AS INTEGER) as class_id from (
+  select e.episode, l.label, row_number() over (partition by e.episode order by {H('ep-class', 'e.episode', 'l.label')}, l.label) as rn
+  from (select distinct label from ({queries or src})) l, (select unnest(range({E})) as episode) e) where rn <= {N}
+"""
+    if queries is None and apart:
+        drawn = DRAW(src, classes, K + Q, "ep-draw", cols)
+    else:
+        drawn = (f"select * from ({DRAW(src, classes, K, 'ep-support', cols)}) union all "
+                 f"select * from ({DRAW(queries or src, classes, Q, 'ep-query', cols, K)})")
+    return f"select *, case when slot < {K} then 'support' else 'query' end as role from ({drawn})"
+
+
 VEC_HEADS = ("select vec_id as uid, CAST(label AS VARCHAR) as label, "
              "list_transform(range(4), lambda h: list_slice(CAST(embedding AS DOUBLE[]), h * 16 + 1, h * 16 + 16)) as heads "
              "from embeddings")
