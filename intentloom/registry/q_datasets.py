@@ -3,9 +3,10 @@ order), build the dataset split through the preset."""
 
 from __future__ import annotations
 
+from intentloom.functions.order import hash_int
 from intentloom.plans import datasets as DS
 from intentloom.registry import query
-from intentloom.registry.sqlparts import DEDUP, SPLIT
+from intentloom.registry.sqlparts import DEDUP, HINT, SPLIT
 from intentloom.session import shared_dir
 from intentloom.sources import exporters as X
 from intentloom.sources import views
@@ -35,3 +36,28 @@ def ds_atis_json(spark, d):
     X.write_json_examples(views.utt(spark, d), path, rows_per_chunk=97, order="uid")
     sp, _ = DS.build_dataset(spark, "atis", [path], multi_line=False)
     return sp.select("uid", "label", "role", "part", "k")
+
+
+# the splits follow each other (val, test, train), and last-wins dedup sees them in that order
+CLINC_ORD = (f"select * replace (row_number() over (order by no, p_partkey) - 1 as uid), row_number() over (order by no, p_partkey) - 1 as ord "
+             f"from (select 0 as uid, p_name as utterance, p_type as label, p_partkey, {HINT('p_partkey')} % 3 as no from part)")
+BANKING_ORD = CLINC_ORD.replace(" % 3 as no", " % 2 as no")
+
+
+@query("ds_clinc150", sql=f"select uid, label, role, part, k from ({SPLIT(CLINC_ORD, m=50)})")
+def ds_clinc150(spark, d):
+    path = shared_dir(spark, "ds-clinc")
+    X.write_json_pairs(views.part_utt(spark, d), path, rows_per_chunk=97, order="uid")
+    sp, _ = DS.build_dataset(spark, "clinc150", [path], shots=(1, 5), multi_line=False)
+    return sp.select("uid", "label", "role", "part", "k")
+
+
+@query("ds_banking77", sql=f"select uid, label, role, part, k from ({SPLIT(BANKING_ORD, m=27)})")
+def ds_banking77(spark, d):
+    """Two files, train before test."""
+    u = views.part_utt(spark, d)
+    paths = [shared_dir(spark, f"ds-banking-{i}") for i in (0, 1)]
+    for i, p in enumerate(paths):
+        X.write_csv_header(u.where(hash_int("uid") % 2 == i).orderBy("uid"), p)
+    sp, _ = DS.build_dataset(spark, "banking77", paths, shots=(1, 5))
+    return sp.select("uid", "label", "role", "part", "k")

@@ -10,12 +10,18 @@ from intentloom.operators import pairs as P
 from intentloom.operators import score as SC
 from intentloom.plans import split_build
 from intentloom.registry import query
+from intentloom.registry.sqlparts import BOW_TOKENS, HINT, UTT
 from intentloom.sources import views
 
 
-@query("p1_encode_batch")
+@query("p1_encode_batch", sql=f"""
+select uid, CAST({HINT('t')} % 64 AS INTEGER) as dim, CAST(count(*) AS DOUBLE) as value from
+  (select uid, unnest({BOW_TOKENS('utterance')}) as t from ({UTT})) group by all
+""")
 def p1_encode_batch(spark, d):
-    return MD.encode(views.utt(spark, d), MD.numpy_hash_encoder(64), dim=64)
+    """The plug-in's vectors, entry by entry (zeros left out)."""
+    v = MD.encode(views.utt(spark, d), MD.numpy_hash_encoder(64), dim=64)
+    return v.select("uid", F.posexplode("vec").alias("dim", "value")).where("value <> 0").select("uid", "dim", F.col("value").cast("double").alias("value"))
 
 
 @query("m1_seen_classifier")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from intentloom.plans import nli, split_build
 from intentloom.registry import query
-from intentloom.registry.sqlparts import BOW_TOKENS, HINT, REPORT, SPLIT, UTT
+from intentloom.registry.sqlparts import BOW_TOKENS, H, HINT, REPORT, SPLIT, UTT
 from intentloom.sources import views
 
 COS_PRED = f"""
@@ -55,15 +55,13 @@ def nli_inference_pairs(spark, d):
 
 
 @query("nli_training_table", sql=f"""
-with sp as ({SPLIT(UTT)})
-select origin, label, count(*) as n from (
-  select 'train' as origin, label from sp where part = 'train_seen'
-  union all select 'support', label from sp where part = 'support_novel' and k = 5) x
-group by all
+with sp as ({SPLIT(UTT)}), tr as (select uid, label from sp where part = 'train_seen'), su as (select uid, label from sp where part = 'support_novel' and k = 5),
+tp as (select uid, l.label_name, CAST(tr.label = l.label_name AS INTEGER) as label from tr, (select distinct label as label_name from tr) l),
+ng as (select uid, label_name, label, row_number() over (order by {H('neg', 'uid', 'label_name')}, uid, label_name) as rn from tp where label = 0)
+select 'train' as origin, uid, label_name, label from tp where label = 1
+union all select 'train', uid, label_name, label from ng where rn <= 2 * (select count(*) from tp where label = 1)
+union all select 'support', uid, l.label_name, CAST(su.label = l.label_name AS INTEGER) from su, (select distinct label as label_name from su) l
 """)
 def nli_training_table(spark, d):
     sp, _ = split_build.build(views.utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
-    t = nli.training_table(sp)
-    # positives per origin and label equal the subset's row counts
-    return t.where(F.col("label") == 1).groupBy("origin", F.col("label_name").alias("label")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    return nli.training_table(sp).select("origin", "uid", "label_name", "label")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.operators import split as S
@@ -9,6 +12,7 @@ from intentloom.operators import labels as L
 from intentloom.plans import split_build
 from intentloom.registry import query
 from intentloom.registry.sqlparts import DEDUP, H, RANKED, ROLES, SPLIT, SUPPORT, UTT, UTT_LANG
+from intentloom.session import materialize
 
 SPLIT_UTT = SPLIT(UTT)
 
@@ -57,12 +61,14 @@ def u2_support_joint(spark, d):
 
 
 @query("s13_eval_scope", sql=f"""
-select uid, label, part, k from ({SPLIT_UTT}) where part = 'test_novel' or (part = 'support_novel' and k = 1)
+with sp as ({SPLIT_UTT}), sc as (select unnest(['joint', 'novel', 'seen']) as scope)
+select scope, uid, label, part, k from sp, sc
+where (k = 0 and part in ('test_seen', 'test_novel') or k = 1) and (scope = 'joint' or part like '%' || scope)
 """)
 def s13_eval_scope(spark, d):
     sp, _ = split_build.build(views_utt(spark, d), materialized=True, columns=("uid", "label", "role", "part", "k"))
-    test, sup = S.eval_scope(sp, "novel", k=1)
-    return test.unionByName(sup).select("uid", "label", "part", "k")
+    rows = [r.withColumn("scope", F.lit(scope)) for scope in ("joint", "novel", "seen") for r in S.eval_scope(sp, scope, k=1)]
+    return reduce(DataFrame.unionByName, rows).select("scope", "uid", "label", "part", "k")
 
 
 @query("f3_reassign_class", sql=f"""
@@ -98,14 +104,16 @@ def e7_split_audit(spark, d):
 
 
 @query("e7_cross_part_texts", sql=f"""
-with sp as ({SPLIT(UTT_LANG)})
-select distinct a.utterance from sp a join sp b on a.utterance = b.utterance
+with sp as ({SPLIT(UTT_LANG, dedup=UTT_LANG)})
+select distinct md5(a.utterance) as text_md5 from sp a join sp b on a.utterance = b.utterance
 where a.part = 'test_seen' and b.part = 'train_seen'
 """)
 def e7_cross_part_texts(spark, d):
     from intentloom.sources import views
-    sp, _ = split_build.build(views.utt_lang(spark, d), materialized=True)
-    return S.cross_part_texts(sp, "test_seen", "train_seen")
+    # copies are left in: deduplicated rows could not share a text
+    u = views.utt_lang(spark, d)
+    sp = materialize(S.split_sets(u, split_build.roles_of(u, 33, None)))
+    return S.cross_part_texts(sp, "test_seen", "train_seen").select(F.md5("utterance").alias("text_md5"))
 
 
 @query("w9_validation_slice", sql=f"""

@@ -47,15 +47,20 @@ def chunk_of(df: DataFrame, key: str, rows_per_chunk: int):
 
 
 def write_json_pairs(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key: str = "uid",
-                     splits=("val", "test", "train")) -> None:
+                     splits=("val", "test", "train"), order: str | None = None) -> None:
     """S4 layout: objects ``{val: [[utt, label]...], test: [...], train: [...]}``,
-    one per chunk of about ``rows_per_chunk`` rows; a row's split and chunk
-    come from stable hashes."""
-    n = len(splits)
-    x = df.withColumn("__split", F.element_at(F.array(*[F.lit(s) for s in splits]), (hash_int(key) % n + 1).cast("int")))
-    x = x.withColumn("__chunk", chunk_of(df, key, rows_per_chunk))
-    aggs = [F.collect_list(F.when(F.col("__split") == s, F.array("utterance", "label"))).alias(s) for s in splits]
-    x.groupBy("__chunk").agg(*aggs).drop("__chunk").write.mode("overwrite").json(path)
+    one per chunk of about ``rows_per_chunk`` rows; a row's split and (without
+    ``order``) chunk come from stable hashes.  With ``order`` each split's lists read back in that order."""
+    x = df.withColumn("__no", (hash_int(key) % len(splits)).cast("int"))
+    if order is None:
+        x = x.withColumn("__r", F.lit(0).cast("long")).withColumn("__chunk", chunk_of(df, key, rows_per_chunk))
+    else:
+        x = global_rank(x.withColumn("__o", F.col(order)), [F.col("__no"), F.col("__o")], out="__r")
+        x = x.withColumn("__chunk", F.floor((F.col("__r") - 1) / F.lit(rows_per_chunk)))
+    entry = F.struct("__r", F.array("utterance", "label").alias("p"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("__no") == i, entry))), lambda e: e["p"]).alias(s) for i, s in enumerate(splits)]
+    g = x.groupBy("__chunk").agg(*lists)
+    (g if order is None else g.orderBy("__chunk")).drop("__chunk").write.mode("overwrite").json(path)
 
 
 def write_json_examples(df: DataFrame, path: str, rows_per_chunk: int = 10_000, key: str = "uid",
