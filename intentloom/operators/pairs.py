@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.order import DEFAULT_SEED, seeded_key
 from intentloom.operators.joins import candidate_blocks, each_candidate
-from intentloom.operators.rank import rank_cuts
+from intentloom.operators.rank import keep_smallest
 
 
 def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
@@ -44,19 +44,23 @@ def entailment_pairs(df: DataFrame, scope: str = "origin", key: str = "uid",
                     *carry, *extra)
 
 
-def sample_negatives(pairs: DataFrame, ratio: int = 2, key: str = "uid", seed: int = DEFAULT_SEED) -> DataFrame:
+def entailment_positives(df: DataFrame, scope: str = "origin", key: str = "uid", label: str = "label", carry=()) -> DataFrame:
+    """The pairs of ``entailment_pairs(df)`` with label 1: one per labelled row, without generating the others."""
+    rows = df.where(F.col(label).isNotNull() & F.col(scope).isNotNull())
+    return rows.select(key, scope, F.col(label).alias("label_name"), F.lit(1).alias("label"), *carry)
+
+
+def sample_negatives(pairs: DataFrame, ratio: int = 2, key: str = "uid", seed: int = DEFAULT_SEED,
+                     positives: DataFrame | None = None) -> DataFrame:
     """All positives plus ``least(ratio * n_pos, n_neg)`` negatives drawn in
-    seeded random order (exact count; only pairs near the cut are ranked)."""
-    pos = pairs.where(F.col("label") == 1)
+    seeded random order (exact count; only pairs near the cut are ranked).
+
+    ``positives`` (``entailment_positives``) spares two passes over all pairs."""
+    pos = pairs.where(F.col("label") == 1) if positives is None else positives.select(*pairs.columns)
     neg = pairs.where(F.col("label") == 0)
-    counts = pairs.select(F.struct(F.count(F.when(F.col("label") == 1, 1)).alias("pos"),
-                                   F.count(F.when(F.col("label") == 0, 1)).alias("neg"))).scalar()
     h = neg.withColumn("__h", seeded_key(key, "label_name", salt="neg", seed=seed))
-    # keep the `take` smallest hashes: only the pairs of the boundary bucket are ranked
-    cut = {"__keep": lambda n: F.least(counts["pos"] * F.lit(ratio), n)}
-    r = rank_cuts(h, [], "__h", [key, "label_name"], cut, total="__n")
-    kept = r.where(F.col("__keep")).drop("__h", "__keep", "__n")
-    return pos.unionByName(kept)
+    take = pos.select((F.count(F.lit(1)) * F.lit(ratio)).alias("take")).scalar()
+    return pos.unionByName(keep_smallest(h, "__h", [key, "label_name"], take).drop("__h"))
 
 
 def train_mode(train_pairs: DataFrame, support_pairs: DataFrame, num_shots: int,

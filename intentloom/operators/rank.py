@@ -188,6 +188,24 @@ def rank_cuts(df: DataFrame, by: list[str], order_key: str, tiebreak: list[str]
     return settled.drop(*helper).unionByName(edge.drop(*helper, "__rn"))
 
 
+def keep_smallest(df: DataFrame, order_key: str, tiebreak: list[str], take, prefix_len: int = 4) -> DataFrame:
+    """The ``take`` rows (a Column without row references, e.g. a scalar subquery) of least ``order_key``.
+
+    ``df`` is evaluated twice: once for the counts of 16**prefix_len buckets, once for the rows of buckets
+    up to the cut, which are written (as many as the result has, and one bucket more).  Only the
+    bucket with the cut is ranked.
+    """
+    x = df.withColumn("__b1", F.substring(order_key, 1, prefix_len))
+    counts = x.groupBy("__b1").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)  # over 16**prefix_len rows
+    b = counts.select("__b1", (take - F.coalesce(F.sum("__c").over(before), F.lit(0))).alias("__left"), "__c")
+    b = materialize(b.where(F.col("__left") > 0), "cuts")
+    near = materialize(x.join(F.broadcast(b), "__b1"), "near")
+    edge = class_rank(near.where(F.col("__left") < F.col("__c")), ["__b1"], order_key, tiebreak, out="__rn", prefix_len=prefix_len + 4)
+    kept = near.where(F.col("__left") >= F.col("__c")).unionByName(edge.where(F.col("__rn") <= F.col("__left")).drop("__rn"))
+    return kept.drop("__b1", "__left", "__c")
+
+
 def rows_at_ranks(df: DataFrame, wanted: DataFrame, by: str, order_key: str, tiebreak: str, rank: str = "__rn",
                   prefix_len: int = 4) -> DataFrame:
     """The rows of ``df`` that have the ranks ``wanted(by, rank, ...)`` in their group, with the columns of ``wanted``.

@@ -27,7 +27,7 @@ def training_table(split: DataFrame, k: int = 5, ratio: int = 2, seen_class_data
     train = split.where(F.col("part") == "train_seen").select("uid", "label").withColumn("origin", F.lit("train"))
     sup = (split.where((F.col("part") == "support_novel") & (F.col("k") == k)).select("uid", "label")
            .withColumn("origin", F.lit("support")))
-    tp = P.sample_negatives(P.entailment_pairs(train, scope="origin"), ratio=ratio)
+    tp = P.sample_negatives(P.entailment_pairs(train, scope="origin"), ratio=ratio, positives=P.entailment_positives(train))
     sp = P.entailment_pairs(sup, scope="origin")
     return P.train_mode(tp, sp, k, seen_class_data)
 

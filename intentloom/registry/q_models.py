@@ -37,7 +37,7 @@ def m2_pair_classifier(spark, d):
     sp, _ = split_build.build(views.part_utt(spark, d), m=2, materialized=True)
     train = sp.where(F.col("part") == "train_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
     tv = EN.hash_encode(train, 64).withColumnRenamed("vec", "tvec")
-    pairs = P.sample_negatives(P.entailment_pairs(train, scope="origin"))
+    pairs = P.sample_negatives(P.entailment_pairs(train, scope="origin"), positives=P.entailment_positives(train))
     lv = EN.hash_encode(pairs.select(F.col("label_name").alias("uid"), F.col("label_name").alias("utterance"))
                         .distinct(), 64).select(F.col("uid").alias("label_name"), F.col("vec").alias("lvec"))
     feats = MD.pair_features(pairs.join(tv, "uid").join(lv, "label_name"))

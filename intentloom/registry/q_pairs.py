@@ -45,7 +45,7 @@ def j1_entail_pairs(spark, d):
 @query("a13_neg_sample", sql=SUBSETS + SAMPLED + "select uid, label_name, label from sampled")
 def a13_neg_sample(spark, d):
     train, _ = subsets(spark, d)
-    return P.sample_negatives(P.entailment_pairs(train, scope="origin"), ratio=2).select("uid", "label_name", "label")
+    return P.sample_negatives(P.entailment_pairs(train, scope="origin"), ratio=2, positives=P.entailment_positives(train)).select("uid", "label_name", "label")
 
 
 @query("f9_train_mode", sql=SUBSETS + SAMPLED + """
@@ -55,7 +55,7 @@ union all select *, 'none' as mode from sampled
 """)
 def f9_train_mode(spark, d):
     train, sup = subsets(spark, d)
-    tp = P.sample_negatives(P.entailment_pairs(train, scope="origin"), ratio=2)
+    tp = P.sample_negatives(P.entailment_pairs(train, scope="origin"), ratio=2, positives=P.entailment_positives(train))
     sp = P.entailment_pairs(sup, scope="origin")
     out = None
     for mode, shots, flag in (("yes", 5, "yes"), ("no", 5, "no"), ("none", 0, "yes")):

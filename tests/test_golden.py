@@ -232,3 +232,21 @@ def test_zero_shot_keeps_texts_without_known_words(spark):
     emb = spark.createDataFrame([(0, [1.0, 0.5])], "vec_id long, embedding array<double>")
     got = {r.uid: (r.label, r.pred, r.score) for r in zero_shot.predictions(spark, u, emb).collect()}
     assert got == {1: ("l", "l", 1.0), 2: ("m", "l", -2.0), 3: ("m", "l", -2.0)}
+
+
+@pytest.mark.parametrize("take", [0, 1, 37, 100, 1000])
+def test_keep_smallest_equals_a_plain_sort(spark, take):
+    from intentloom.operators.rank import keep_smallest
+    df = spark.range(100).select("id", seeded_key("id", salt="k").alias("h"))
+    want = sorted((r.h, r.id) for r in df.collect())[:take]
+    got = keep_smallest(df, "h", ["id"], F.lit(take), prefix_len=1)
+    assert sorted((r.h, r.id) for r in got.collect()) == want and got.columns == df.columns
+
+
+def test_negatives_from_given_positives_are_the_same(spark):
+    from intentloom.operators import pairs as P
+    df = spark.createDataFrame([(i, "o", None if i % 11 == 0 else f"l{i % 4}") for i in range(60)], "uid long, origin string, label string")
+    pairs = P.entailment_pairs(df)
+    one, two = P.sample_negatives(pairs), P.sample_negatives(pairs, positives=P.entailment_positives(df))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(one) == rows(two) and len(rows(one)) == 54 * 3
