@@ -95,13 +95,15 @@ def hash_encode(df: DataFrame, dim: int = 64, text: str = "utterance", key: str
     """Hashed bag of words: ``vec[i]`` = count of tokens whose md5 bucket is i.
 
     Counts are aggregated per (text, bucket) with a partial aggregate, then the
-    (at most ``dim``) buckets of a text are assembled into a dense vector.
+    (at most ``dim``) buckets of a text are assembled into a dense vector.  A text
+    without tokens (null, empty) has the zero vector, and no row in the long form.
     """
-    t = df.select(key, F.explode(bow_tokens(text)).alias("__t"))
+    t = df.select(key, F.explode_outer(bow_tokens(text)).alias("__t"))
     c = t.groupBy(key, (hash_int("__t") % F.lit(dim)).alias("dim")).agg(F.count(F.lit(1)).alias("value"))
     if long_form:
-        return c
-    g = c.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("__m"))
+        return c.where(F.col("dim").isNotNull())
+    entry = F.when(F.col("dim").isNotNull(), F.struct("dim", "value"))
+    g = c.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
     return g.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                                      lambda i: F.coalesce(F.element_at("__m", i.cast("long")), F.lit(0)).cast("double"))
                     .alias("vec"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -68,7 +68,7 @@ def seen_classifier(train: DataFrame, text: str = "utterance", label: str = "lab
     fitted on the seen training part.  Returns the fitted PipelineModel; its
     ``labels`` metadata maps indices back to names."""
     pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="__y", handleInvalid="keep"),
+        StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip"),  # "keep" would add a class of its own
         Tokenizer(inputCol=text, outputCol="__tok"),
         HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=features),
         IDF(inputCol="__tf", outputCol="__x"),
@@ -78,9 +78,10 @@ def seen_classifier(train: DataFrame, text: str = "utterance", label: str = "lab
 
 
 def classify(model, df: DataFrame, key: str = "uid", label: str = "label") -> DataFrame:
-    """``(key, label, pred)`` with predicted names from the indexer's labels."""
+    """``(key, label, pred)`` with predicted names from the indexer's labels; a null text is read as empty."""
     names = model.stages[0].labels
-    out = model.transform(df.where(F.col("utterance").isNotNull()))
+    judge = PipelineModel(model.stages[1:])  # the truth plays no part
+    out = judge.transform(df.withColumn("utterance", F.coalesce("utterance", F.lit(""))))
     lut = F.array(*[F.lit(n) for n in names])
     return out.select(key, label, F.try_element_at(lut, F.col("__p").cast("int") + 1).alias("pred"))
 

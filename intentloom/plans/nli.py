@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from intentloom.operators import encode as EN
 from intentloom.operators import evaluate as E
+from intentloom.operators import models as MD
 from intentloom.operators import pairs as P
 from intentloom.operators import score as SC
 from intentloom.operators import split as S
+from intentloom.operators.joins import checked_broadcast
 
 
 def training_table(split: DataFrame, k: int = 5, ratio: int = 2, seen_class_data: str = "yes") -> DataFrame:
@@ -54,3 +56,28 @@ def cosine_predictions(split: DataFrame, scope: str = "joint", k: int = 5, dim:
 
 def cosine_report(split: DataFrame, scope: str = "joint", k: int = 5) -> DataFrame:
     return E.class_report(cosine_predictions(split, scope, k))
+
+
+def classifier_scores(split: DataFrame, scope: str = "joint", k: int = 5, dim: int = 64) -> DataFrame:
+    """``(uid, truth, label_name, score)``: the pair classifier (M2), fitted on the training table, over every
+    test row of the scope and every label of its support."""
+    train = training_table(split, k)
+    test, sup = S.eval_scope(split, scope, k)
+    texts = split.where((F.col("part") == "train_seen") | ((F.col("part") == "support_novel") & (F.col("k") == k)))
+    tv = EN.hash_encode(texts.select("uid", "utterance"), dim).withColumnRenamed("vec", "tvec")
+    names = train.select("label_name").unionByName(sup.select(F.col("label").alias("label_name"))).distinct()
+    lv = EN.hash_encode(names.withColumn("uid", F.col("label_name")), dim, text="label_name").select(
+        F.col("uid").alias("label_name"), F.col("vec").alias("lvec"))
+    lv = checked_broadcast(lv)
+    model = MD.pair_classifier(MD.pair_features(train.join(tv, "uid").join(lv, "label_name")))
+    qv = EN.hash_encode(test.select("uid", "utterance"), dim).join(test.select("uid", F.col("label").alias("truth")), "uid")
+    cands = SC.with_scope(sup.select("label").distinct().join(lv.withColumnRenamed("label_name", "label"), "label"), "all")
+    pairs = SC.pair_scores(SC.with_scope(qv, "all"), cands, lambda c: c["lvec"]).select(
+        "uid", "truth", F.col("label").alias("label_name"), F.col("vec").alias("tvec"), F.col("score").alias("lvec"))
+    return MD.entail_prob(model, MD.pair_features(pairs)).select("uid", "truth", "label_name", "score")
+
+
+def classifier_report(split: DataFrame, scope: str = "joint", k: int = 5) -> DataFrame:
+    s = classifier_scores(split, scope, k)
+    best = s.groupBy("uid", "truth").agg(F.min_by("label_name", F.struct(-F.round("score", SC.TIE_DIGITS), F.col("label_name"))).alias("pred"))
+    return E.class_report(best.withColumnRenamed("truth", "label"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intentloom.operators import encode as EN
+from intentloom.operators import evaluate as E
 from intentloom.operators import models as MD
 from intentloom.operators import pairs as P
 from intentloom.operators import score as SC
-from intentloom.plans import split_build
+from intentloom.plans import nli, split_build
 from intentloom.registry import query
-from intentloom.registry.sqlparts import BOW_TOKENS, HINT, UTT
+from intentloom.registry.sqlparts import BOW_TOKENS, HINT, SPLIT, UTT, UTT_LANG
+from intentloom.session import materialize
 from intentloom.sources import views
 
 
@@ -32,6 +34,37 @@ def m1_seen_classifier(spark, d):
     return MD.classify(model, sp.where(F.col("part") == "test_seen"))
 
 
+@query("m1_report_support", sql=f"""
+with sp as ({SPLIT(UTT_LANG, m=1)}), t as (select label from sp where part = 'test_seen')
+select label, count(*) as support, true as known from t group by label
+union all select 'accuracy', count(*), true from t union all select 'macro avg', count(*), true from t union all select 'weighted avg', count(*), true from t
+""")
+def m1_report_support(spark, d):
+    """The classifier's report (E1): every test row is judged, and only labels that were learned are predicted."""
+    sp, _ = split_build.build(views.utt_lang(spark, d), m=1, materialized=True)
+    train = sp.where(F.col("part") == "train_seen")
+    got = materialize(MD.classify(MD.seen_classifier(train), sp.where(F.col("part") == "test_seen")))
+    strange = got.join(F.broadcast(train.select(F.col("label").alias("pred")).distinct()), "pred", "left_anti").select(F.count(F.lit(1)) == 0).scalar()
+    rep = E.class_report(got)
+    sane = rep.select(F.min(F.coalesce(F.col("f1").between(0, 1), F.lit(False)))).scalar()
+    return rep.where(F.col("support") > 0).select("label", "support", (strange & sane).alias("known"))
+
+
+@query("m2_novel_predictions", sql=f"""
+with sp as ({SPLIT(UTT)}), t as (select uid, label from sp where part in ('test_seen', 'test_novel')),
+c as (select count(distinct label) as n from sp where part in ('support_seen', 'support_novel') and k = 5)
+select uid, label, true as is_candidate, n as n_scores from t, c
+""")
+def m2_novel_predictions(spark, d):
+    """Entailment inference with the fitted pair classifier: every test row against every label of the joint support."""
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    scored = materialize(nli.classifier_scores(sp, "joint", 5))
+    best = SC.best_from_scores(scored.select("uid", F.col("label_name").alias("label"), "score"))
+    n = scored.where(F.col("score").between(0, 1)).groupBy("uid", F.col("truth").alias("label")).agg(
+        F.count(F.lit(1)).alias("n_scores"), F.collect_set("label_name").alias("names"))
+    return n.join(best, "uid").select("uid", "label", F.array_contains("names", F.col("pred")).alias("is_candidate"), "n_scores")
+
+
 @query("m2_pair_classifier")
 def m2_pair_classifier(spark, d):
     sp, _ = split_build.build(views.part_utt(spark, d), m=2, materialized=True)

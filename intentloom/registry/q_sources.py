@@ -11,6 +11,7 @@ from intentloom.operators import split as S
 from intentloom.operators import sweeps as W
 from intentloom.plans import split_build
 from intentloom.registry import query
+from intentloom.registry.q_sweeps import LS_STEPS
 from intentloom.registry.sqlparts import DEDUP, HINT, RANKED, SPLIT, TOK_VEC, UTT, VSUM
 from intentloom.session import shared_dir
 from intentloom.sources import exporters as X
@@ -153,3 +154,29 @@ def s11_sweep_sink(spark, d):
     K.write_split(sweep.where(F.col("pct") == 100), path, partition_by=("pct", "part"))
     r = spark.read.parquet(path)
     return r.groupBy(F.col("pct").cast("int").alias("pct"), "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s11_label_space_sink", sql=f"""
+with sp as ({SPLIT(UTT)}), {LS_STEPS}
+select CAST(steps.pct AS INTEGER) as pct, sp.part, sp.label, count(*) as n from sp join steps using (label) group by all
+""")
+def s11_label_space_sink(spark, d):
+    path = shared_dir(spark, "s11-labels")
+    sp, roles = split_build.build(views.utt(spark, d), columns=("uid", "label", "role", "part", "k"))
+    K.write_split(W.label_space_sweep(sp, roles), path, partition_by=("pct", "part"))
+    r = spark.read.parquet(path)
+    return r.groupBy(F.col("pct").cast("int").alias("pct"), "part", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s11_shots_sink", sql=f"""
+select part, k, label, count(*) as n from ({SPLIT(UTT, shots=(1, 5, 10, 20))}) where k in (5, 20) group by all
+""")
+def s11_shots_sink(spark, d):
+    """The shots sweep is written, then rewritten whole with two of its K; the others are gone."""
+    path = shared_dir(spark, "s11-shots")
+    sp, _ = split_build.build(views.utt(spark, d), shots=W.SHOT_STEPS, columns=("uid", "label", "role", "part", "k"), materialized=True)
+    sweep = W.shots_sweep(sp)
+    K.write_split(sweep, path)
+    K.write_split(sweep.where(F.col("k").isin(5, 20)), path, dynamic=False)
+    r = spark.read.parquet(path)
+    return r.groupBy("part", F.col("k").cast("int").alias("k"), "label").agg(F.count(F.lit(1)).alias("n"))
