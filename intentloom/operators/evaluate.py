@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intentloom.operators.joins import candidate_blocks, each_candidate
+from intentloom.operators.joins import candidate_blocks, checked_broadcast, each_candidate
 
 DIGITS = 6
 
@@ -88,6 +88,14 @@ def confusion(pred: DataFrame, labels: DataFrame | None = None, truth: str = "la
         "label", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def unknown_counts(pred: DataFrame, candidates: DataFrame, truth: str = "label", guess: str = "pred") -> DataFrame:
+    """E1's ``(n, n_unknown, n_without)``: rows, rows whose truth is not a candidate label, rows without a
+    prediction.  Such rows are wrong in the report, never an error and never left out."""
+    known = checked_broadcast(candidates.select(F.col("label").alias(truth), F.lit(True).alias("__known")).distinct())
+    return pred.join(known, truth, "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__known").isNull()).alias("n_unknown"),
+                                               F.count_if(F.col(guess).isNull()).alias("n_without"))
+
+
 def accuracy(pred: DataFrame, by=(), truth: str = "label", guess: str = "pred") -> DataFrame:
     """Mean of (pred == truth) per group (or overall); NULL pred = wrong."""
     hit = F.coalesce((F.col(truth) == F.col(guess)).cast("double"), F.lit(0.0))

@@ -58,35 +58,44 @@ def maxsim(att: str = "att") -> Column:
     return _mean(F.transform(att, lambda r: F.array_max(r)))
 
 
-def soft_align(A: str = "A", att: str = "att", Bt: str = "Bt") -> Column:
+def _seen(x, w) -> Column:
+    """A vector under a perspective: weighted per dimension (no weights: as it is)."""
+    return x if w is None else F.zip_with(x, w, lambda p, q: p.cast("double") * q)
+
+
+def maxpool(A, B, w) -> Column:
+    """X20 (max-pool, one perspective w): mean over i of the best cos(w * A_i, w * B_j)."""
+    rows = lambda m: F.transform(m, lambda r: _seen(r, w))
+    return V.let(with_norms(rows(B)), lambda bn: _mean(F.transform(cos_matrix_normed(with_norms(rows(A)), bn), F.array_max)))
+
+
+def soft_align(A: str = "A", att: str = "att", Bt: str = "Bt", w=None) -> Column:
     """For each row A_i, the attentive mean of B
     (``sum_j att_ij B_j / max(sum_j att_ij, eps)``), compared with A_i by
-    cosine; averaged over i."""
+    cosine; averaged over i.  ``w`` weighs both sides of the comparison (X20)."""
     # each attention row's sum is computed once, next to the row, not once
     # per output element
     z = F.arrays_zip(F.col(A).alias("a"), F.col(att).alias("r"), F.transform(att, lambda r: V.vsum(r)).alias("t"))
 
     def one(e):
         h = F.transform(Bt, lambda col: V.safe_div(V.dot(e["r"], col), e["t"], EPS))
-        return _cos(e["a"], h)
+        return _cos(_seen(e["a"], w), _seen(h, w))
     return V.vsum(F.transform(z, one)) / F.size(A)
 
 
-def max_attentive(A: str = "A", att: str = "att", Bt: str = "Bt") -> Column:
+def max_attentive(A: str = "A", att: str = "att", Bt: str = "Bt", w=None) -> Column:
     """X20 (max-attentive): per A_i the element-wise max over j of
-    ``att_ij * B_j``, compared with A_i by cosine; averaged."""
+    ``att_ij * B_j``, compared with A_i by cosine under the perspective w; averaged."""
     def one(a, r):
-        m = F.transform(Bt, lambda col: F.array_max(F.zip_with(r, col, lambda w, x: w * x)))
-        return _cos(a, m)
+        m = F.transform(Bt, lambda col: F.array_max(F.zip_with(r, col, lambda t, x: t * x)))
+        return _cos(_seen(a, w), _seen(m, w))
     return _mean(F.zip_with(A, att, one))
 
 
 def headwise(A, B, w) -> Column:
     """X20 (head-wise, one perspective w): mean over heads i of
     cos(w * A_i, w * B_i) (diagonal only)."""
-    def wv(x):
-        return F.zip_with(x, w, lambda p, q: p.cast("double") * q)
-    return _mean(F.zip_with(A, B, lambda a, b: _cos(wv(a), wv(b))))
+    return _mean(F.zip_with(A, B, lambda a, b: _cos(_seen(a, w), _seen(b, w))))
 
 
 def row_sums(A) -> Column:

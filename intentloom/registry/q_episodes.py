@@ -222,6 +222,28 @@ def x20_multi_perspective(spark, d):
                     F.round(M.max_attentive(), 6).alias("max_attentive"))
 
 
+def _wt(rows):
+    return f"list_transform({rows}, lambda r: list_transform(range(16), lambda k: r[k + 1] * (k + 1) / 16.0))"
+
+
+@query("x20_weighted_matches", sql=f"""
+with {HEAD_PAIRS},
+al as (select *, list_transform(A, lambda a: {ATT_MEAN}) as S, list_transform(A, lambda a: {MAXATT}) as M from pr),
+wt as (select {KEYS}, {_wt('A')} as A, {_wt('B')} as B, {_wt('S')} as S, {_wt('M')} as M from al)
+select {KEYS},
+  round(list_avg(list_transform(A, lambda a: list_max(list_transform(B, lambda b: {DCOS('a', 'b')})))), 6) as maxpool_p1,
+  round(list_avg(list_transform(range(4), lambda i: {DCOS('A[i + 1]', 'S[i + 1]')})), 6) as soft_p1,
+  round(list_avg(list_transform(range(4), lambda i: {DCOS('A[i + 1]', 'M[i + 1]')})), 6) as max_attentive_p1
+from wt
+""")
+def x20_weighted_matches(spark, d):
+    """One weighted perspective on the max-pool, soft and max-attentive matches."""
+    w = F.array(*[F.lit(x) for x in W_P1])
+    p = M.with_alignment(head_pairs(spark, d))
+    return p.select(*KEYS.split(", "), F.round(M.maxpool(F.col("A"), F.col("B"), w), 6).alias("maxpool_p1"),
+                    F.round(M.soft_align(w=w), 6).alias("soft_p1"), F.round(M.max_attentive(w=w), 6).alias("max_attentive_p1"))
+
+
 KL = """
 list_sum(list_transform(list_zip(
    list_transform(ps, lambda x: (case when x <> 0 then exp(x - list_max(ps)) else 0 end) /

@@ -36,6 +36,17 @@ def e2_confusion_blocks(spark, d):
     return E.confusion(proto_eval.nearest_predictions(views.vec(spark, d), 5), block_bytes=200)
 
 
+@query("e1_unknown_counts", sql=f"""
+select count(*) as n, CAST(count(*) filter (where label = '3') AS BIGINT) as n_unknown, CAST(0 AS BIGINT) as n_without from ({VEC})
+""")
+def e1_unknown_counts(spark, d):
+    """Label 3 has no prototype: its rows are predicted all the same, and counted as unknown."""
+    v = SC.with_scope(views.vec(spark, d), "all")
+    protos = SC.with_scope(SC.prototypes(v.where(F.col("label") != "3")), "all")
+    pred = SC.nearest_prototype(v, protos, carry=("label",))
+    return E.unknown_counts(pred, protos)
+
+
 @query("e4_full_eval", sql=f"""
 select round(avg(CAST(label = pred AS DOUBLE)), 6) as acc, count(*) as n from ({NEAREST_VEC()})
 """)
