@@ -194,8 +194,16 @@ def length_buckets(df: DataFrame, text: str = "utterance") -> DataFrame:
     return x.sortWithinPartitions(F.col("len").desc())
 
 
+def length_order(df: DataFrame, text: str = "utterance", key: str = "uid") -> DataFrame:
+    """L3: ``len`` and ``sorted_pos``, the place of each row by length, longest first (a distributed total order)."""
+    return global_rank(df.withColumn("len", T.token_count(text).cast("long")), [F.col("len").desc(), F.col(key)], out="sorted_pos")
+
+
+def restore_order(rows: DataFrame, key: str = "uid") -> DataFrame:
+    """L3: the rows of ``length_order`` (or what an encoder made of them) numbered in their first order again, as ``pos``."""
+    return global_rank(rows, [F.col(key)], out="pos")
+
+
 def summarize_vec(col: str, digits: int = 6):
     """(sum, L2 norm) of a vector column, rounded: compact value checks."""
     return [F.round(V.vsum(col), digits).alias(f"{col}_sum"), F.round(V.norm(col), digits).alias(f"{col}_norm")]
-
-

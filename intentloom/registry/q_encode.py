@@ -183,6 +183,14 @@ def x17_piecewise_pool(spark, d):
     return out.select("uid", *EN.summarize_vec("pooled"))
 
 
+@query("l3_length_order", sql=f"""
+with l as (select uid, CAST(len({TOKENS('utterance')}) AS BIGINT) as len from ({UTT}))
+select uid, len, CAST(row_number() over (order by len desc, uid) AS BIGINT) as sorted_pos, CAST(row_number() over (order by uid) AS BIGINT) as pos from l
+""")
+def l3_length_order(spark, d):
+    return EN.restore_order(EN.length_order(views.utt(spark, d)).select("uid", "len", "sorted_pos")).select("uid", "len", "sorted_pos", "pos")
+
+
 @query("l3_length_buckets", sql=f"""
 select uid, CAST(n AS BIGINT) as len, CAST(ceil(log2(CAST(greatest(n, 1) AS DOUBLE))) AS INTEGER) as bucket
 from (select uid, len({TOKENS('utterance')}) as n from ({UTT}))
