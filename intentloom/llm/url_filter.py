@@ -1,17 +1,19 @@
 """URL filter: explicit rules, and for the rest a path-template tree per host.
 
 Templates grow level by level.  At each node (host and template so far) the next path segments
-are counted.  A segment stays literal if it is frequent there (``min_support`` pages and
-``min_share`` of the node); all others, such as numbers and names that vary from page to page,
-become the wildcard ``*``.  Frequent siblings whose labelled share of bad pages does not
-differ from that of the rest of the node (two-sided test of proportions at ``z``) are merged
-into the wildcard as well.  A finished template is rejected if its share of bad labels,
+are counted.  A segment stays literal if it is frequent there (``min_support`` pages, however
+large the node is); all others, such as numbers and names that vary from page to page, become
+the wildcard ``*``.  Frequent siblings whose labelled share of bad pages does not differ from
+that of the rest of the node (two-sided test of proportions at ``z``) are merged into the
+wildcard as well.  A finished template is rejected if its share of bad labels,
 smoothed towards the corpus' by ``smooth`` pseudo-pages, is above ``reject``.
 
 Plan: only urls are read; every level is one aggregation by (host, template, segment) with
 partial sums, and a join with the few segments that stay literal, so a host with a third of all
-pages is split by segment and never gathered.  Paths deeper than ``max_depth`` share the
-template of their first ``max_depth`` segments and ``**``.
+pages is split by segment and never gathered.  Levels end with the paths, or as soon as no node
+has ``min_support`` pages that go on: from there every segment is a wildcard.  Only if a
+``max_depth`` is given do deeper paths share the template of their first ``max_depth`` segments
+and ``**``.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is judged like
 any other; a null label does not count; empty tables give no rows; repeated rows are judged
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from intentloom.llm.common import stored
 
+_LEVELS = 8  # of the tree in one plan
+
 
 def host_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
@@ -46,34 +50,40 @@ def fitting_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> tu
     return rule, verdict
 
 
-def path_templates(urls: DataFrame, *, min_support: int = 20, min_share: float = 0.01, z: float = 2.58, max_depth: int = 8) -> DataFrame:
+def path_templates(urls: DataFrame, *, min_support: int = 20, z: float = 2.58, max_depth: int | None = None) -> DataFrame:
     """``urls(host, path, bad, ...)`` (bad: 1, 0 or null) with a ``template`` column."""
-    parts = F.array_remove(F.split("path", "/"), "")
-    keep = F.slice(parts, 1, max_depth)
-    rows = stored(urls.withColumn("_seg", F.when(F.size(parts) > max_depth, F.concat(keep, F.array(F.lit("**")))).otherwise(parts))
-                  .withColumn("template", F.lit("")), "url-rows")
+    rows = stored(urls.withColumn("_seg", F.array_remove(F.split("path", "/"), "")).withColumn("template", F.lit("")), "url-rows")
     depth = rows.agg(F.max(F.size("_seg"))).first()[0] or 0
-    for d in range(depth):
+    depth = depth if max_depth is None else min(depth, max_depth)
+    done = 0
+    while done < depth:
+        d = done
         seg = F.get("_seg", F.lit(d))
         child = (rows.filter(F.size("_seg") > d).groupBy("host", "template", seg.alias("_s"))
                  .agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")))
         child = stored(child, "url-children")
         node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+        if node.agg(F.max("all_n")).first()[0] < min_support:
+            break  # deeper nodes are parts of these: no segment is frequent any more
         frequent = child.filter(F.col("n") >= min_support).join(node, ["host", "template"])
         # the branch against the rest of its node
         others, others_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
         p = F.col("all_bad") / F.col("all_lab")
         gap = F.abs(F.col("bad") / F.col("lab") - others_bad / others)
         noise = F.sqrt(p * (1 - p) * (1 / F.col("lab") + 1 / others))
-        stays = (frequent.filter((F.col("n") >= F.col("all_n") * min_share) & (F.col("lab") > 0) & (others > 0) & (gap > z * noise))
+        stays = (frequent.filter((F.col("lab") > 0) & (others > 0) & (gap > z * noise))
                  .select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_s").alias("_literal")))
         stays = stored(stays, "url-literals")
-        name = F.when(seg == "**", F.lit("**")).otherwise(F.coalesce("_literal", F.lit("*")))
         rows = rows.join(stays, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (seg == F.col("_literal")), "left") \
-            .withColumn("template", F.when(F.size("_seg") > d, F.concat("template", F.lit("/"), name)).otherwise(F.col("template"))) \
+            .withColumn("template", F.when(F.size("_seg") > d, F.concat("template", F.lit("/"), F.coalesce("_literal", F.lit("*")))).otherwise(F.col("template"))) \
             .drop("_h", "_t", "_literal")
-    return rows.withColumn("template", F.when(F.col("path").endswith("/") & (F.col("path") != ""), F.concat("template", F.lit("/"))).otherwise(F.col("template"))) \
-        .drop("_seg")
+        done += 1
+        if done % _LEVELS == 0:
+            rows = stored(rows, "url-rows")
+    rest = F.expr(f"repeat('/*', greatest(least(size(_seg), {depth}) - {done}, 0))")
+    deeper = F.lit("") if max_depth is None else F.when(F.size("_seg") > max_depth, F.lit("/**")).otherwise(F.lit(""))
+    slash = F.when(F.col("path").endswith("/") & (F.col("path") != ""), F.lit("/")).otherwise(F.lit(""))
+    return rows.withColumn("template", F.concat("template", rest, deeper, slash)).drop("_seg")
 
 
 def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], *, smooth: float = 10.0, reject: float = 0.5, **tree) -> DataFrame:

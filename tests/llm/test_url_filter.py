@@ -81,3 +81,49 @@ def test_deep_paths_and_empty(spark):
     assert path_templates(deep, max_depth=3).first().template == "/*/*/*/**"
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, bad int"), RULES).count() == 0
     assert judge_urls(deep.select(F.lit(1).alias("page_id"), F.lit(None).cast("string").alias("url"), "bad"), RULES).first().template == ""
+
+
+def brute_tree(pages, min_support=20, z=2.58, smooth=10.0, reject=0.5):
+    """page_id -> (template, verdict) without rules, for ``pages(page_id, url, bad)``, by a tree per host in plain Python."""
+    template, nodes = {}, {}
+    for i, url, bad in pages:
+        host, path = parse(url)
+        nodes.setdefault((host, "", 0), []).append((i, host, path, [s for s in path.split("/") if s], bad))
+    labels = lambda rows: [r[4] for r in rows if r[4] is not None]
+    while nodes:
+        (host, name, d), rows = nodes.popitem()
+        kids = {}
+        for r in rows:
+            if len(r[3]) == d:
+                template[r[0]] = (host, name + ("/" if r[2].endswith("/") else ""), r[4])
+            else:
+                kids.setdefault(r[3][d], []).append(r)
+        every = labels([r for k in kids.values() for r in k])
+        for s, k in kids.items():
+            lab, others, literal = len(labels(k)), len(every) - len(labels(k)), False
+            if len(k) >= min_support and lab and others:
+                p, bad = sum(every) / len(every), sum(labels(k))
+                literal = abs(bad / lab - (sum(every) - bad) / others) > z * (p * (1 - p) * (1 / lab + 1 / others)) ** 0.5
+            nodes.setdefault((host, f"{name}/{s if literal else '*'}", d + 1), []).extend(k)
+    every = [b for _, _, b in pages if b is not None]
+    groups = {}
+    for h, t, b in template.values():
+        groups.setdefault((h, t), []).extend([] if b is None else [b])
+    share = {g: (sum(b) + smooth * sum(every) / len(every)) / (len(b) + smooth) for g, b in groups.items()}
+    return {i: (t, "block" if share[h, t] > reject else "allow") for i, (h, t, _) in template.items()}
+
+
+def test_tree_equals_brute_force(spark):
+    rnd = random.Random(8)
+    urls = [(f"http://hot/{rnd.choice('abcd')}/{i}/view/", int(rnd.random() < 0.05)) for i in range(12000)]
+    urls += [(f"http://hot/offer/{i}/view/", 1) for i in range(90)]  # less than 1 % of the host
+    urls += [(f"http://hot/a/{i}/casino", 1) for i in range(60)]
+    deep = "/".join(f"s{k}" for k in range(10))  # apart only from the 11th segment on
+    urls += [(f"http://deep/{deep}/{'xy'[i % 2]}/{i}/more", i % 2) for i in range(400)]
+    urls += [(f"http://few/{rnd.choice('pq')}/" + "/".join(map(str, range(30))), 1) for _ in range(9)]
+    pages = [(i, u, None if rnd.random() < 0.2 else b) for i, (u, b) in enumerate(urls)]
+    want = brute_tree(pages)
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string, bad int").repartition(5), []).collect()
+    assert {r.page_id: (r.template, r.verdict) for r in got} == want and len(got) == len(pages)
+    verdicts = lambda part: {want[i][1] for i, u, _ in pages if part in u}
+    assert verdicts("/offer/") == verdicts("/casino") == verdicts("/y/") == {"block"} and verdicts("/x/") == {"allow"}
