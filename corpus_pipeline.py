@@ -57,7 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the sequences."""
     import public_tokenizers
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("suffix_array_dedup", suffix_array_dedup),

@@ -39,26 +39,31 @@ def _byte_of() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """A fast encoder with the vocabulary of the byte-level BPE file ``path`` (ids in merge order); its ids equal
-    those of ``tokenizers`` with add_special_tokens=False and encode_special_tokens (see tests)."""
+    """A fast encoder with the vocabulary of the byte-level BPE file ``path`` (ids in merge order).  With
+    ``allowed_special="all"`` its ids equal those of ``tokenizers`` with add_special_tokens=False; ``encode_ordinary``
+    spells added tokens out, as ``tokenizers`` does when its ``encode_special_tokens`` is set (see tests)."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
         model = json.load(open(path, encoding="utf-8"))
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+        if any(t[k] for t in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
-def _cut(path: str, length: int, end: int, keep_ids: bool):
+def _cut(path: str, length: int, end: int, keep_ids: bool, encode_special_tokens: bool):
+    special = set() if encode_special_tokens else "all"
+
     def run(batches):
         enc = encoder(path)
         for b in batches:
             ids_of, rows = b.column("doc_id").to_pylist(), {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(ids_of, b.column("text")):
-                ids = np.append(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()), end).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special=special, disallowed_special=()), end).astype("<u4")
                 n = len(ids)
                 at = n - length * (math.ceil(n / length) - 1)
                 edges = [0, *range(at, n + 1, length)]
@@ -135,10 +140,12 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0, group: int = 8192, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0, group: int = 8192, keep_ids: bool = False,
+         encode_special_tokens: bool = True) -> DataFrame:
     """Every piece of ``docs(doc_id, text)`` with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset
-    (and ``ids``, little-endian unsigned 32-bit, with ``keep_ids``)."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, length, end, keep_ids), _PIECES + ", ids binary")
+    (and ``ids``, little-endian unsigned 32-bit, with ``keep_ids``).  ``encode_special_tokens`` is the flag of
+    ``tokenizers`` (False there): an added token's name in a text is spelt out instead of being that token."""
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, length, end, keep_ids, encode_special_tokens), _PIECES + ", ids binary")
     pieces = stored(pieces if keep_ids else pieces.drop("ids"), "pieces")
     groups = max(1, math.ceil(pieces.count() / group))
     names = list(pieces.columns)

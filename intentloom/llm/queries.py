@@ -131,7 +131,7 @@ def op10(spark, sf_dir):
     import public_tokenizers
 
     from intentloom.llm.packing import pack
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 @query("op8_chosen_path_join", r"""

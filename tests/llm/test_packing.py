@@ -78,3 +78,18 @@ def test_every_row_once_and_tight(seed):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_queries_have_the_default_ids(spark, tmp_path):
+    import corpus_pipeline
+    from intentloom.llm.queries import op10
+    plain = Tokenizer.from_file(PATH)
+    texts = [*ODD, "a <|endoftext|> is text", "<|endoftext|><|endoftext|>", "  <|endoftext|>  \n", "<|endoftext |> <|ENDOFTEXT|>", "x<|endoftext|>y" * 3000]
+    texts += [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    ids = [np.array([*x.ids, 0], "<u4") for x in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert list(ids[len(ODD)]) == [64, 220, 50256, 318, 2420, 0]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (op10(spark, str(tmp_path)).collect(), corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()):
+        assert sum(r.length for r in got) == sum(map(len, ids))
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) for r in got)
