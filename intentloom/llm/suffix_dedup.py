@@ -390,12 +390,51 @@ def repeated_spans(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET
 
     ``[lo, hi)`` are byte places in the UTF-8 text, ``repeat`` names the group, ``first`` marks its
     earliest occurrence; ``tag`` tells rows that repeat a doc_id apart.  Groups are maximal within
-    an anchor's context, so a longer repeat is a chain of overlapping groups.
+    an anchor's context, so a longer repeat is a chain of overlapping groups; in a bucket with more
+    than ``bucket_cap`` contexts the groups are its windows.  Each group lists every occurrence:
+
+    * Trees and windows see the earliest of equal contexts only; its members are repeated here for
+      each copy of that context, moved by as much as the copy lies elsewhere.
+    * A context that lies whole in another one is a tree's group too, with more members, and not
+      listed a second time; nor is one of a hot bucket whose windows are all listed.
     """
-    return _spans(_keyed(docs, ["doc_id"]), min_len, bucket_cap)
+    events, late = _events(_keyed(docs, ["doc_id"]), min_len, bucket_cap)
+    place, blocks = ["doc", "tag"], lambda lo, hi: F.explode(F.sequence(F.shiftright(lo, 7), F.shiftright(hi, 7)))
+    late = stored(late.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS), "suffix-members")
+    # a row that is there twice is one occurrence; copies by context, and the earliest of each
+    whole = stored(events.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS).distinct(), "suffix-wholes")
+    before, after = (F.shiftright("loc", n).bitwiseAND(F.lit(127)) for n in (8, 1))
+    pos = F.shiftright("loc", 15).bitwiseAND(F.lit((1 << 34) - 1))
+    hot = events.filter(F.col("kind") == _ASK_WINDOWS).select(
+        "doc", F.shiftright("loc", 49).cast("int").alias("tag"), (pos - before).alias("lo"), (pos - after + min_len).alias("hi"), F.lit(True).alias("hot"))
+    lead = (whole.filter("first").join(hot, [*place, "lo", "hi"], "left")
+            .select(*place, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("repeat").alias("_whole"), F.col("hot").isNotNull().alias("hot"))
+            .withColumn("_at", blocks(F.col("_lo"), F.col("_hi") - min_len)))
+    # a window lies in one context, so a member finds the one it was taken from
+    members = stored(late.withColumn("_at", F.shiftright("lo", 7)).join(lead, [*place, "_at"])
+                     .filter((F.col("lo") >= F.col("_lo")) & (F.col("hi") <= F.col("_hi")))
+                     .select("_whole", "hot", "repeat", F.col("_hi").alias("end"), F.col("_lo").alias("begin"),
+                             (F.col("lo") - F.col("_lo")).alias("_skip"), (F.col("hi") - F.col("lo")).alias("_size")), "suffix-moves")
+    width = F.col("end") - F.col("begin")
+    twice = members.groupBy("_whole").agg(
+        F.max(F.col("_size") == width).alias("tree"), F.max("hot").alias("hot"), F.count_distinct("_skip").alias("n"), F.max(width - min_len + 1).alias("windows"))
+    twice = twice.filter(F.col("tree") | (F.col("hot") & (F.col("n") == F.col("windows")))).select(F.col("_whole").alias("repeat"))
+    moved = (members.select("_whole", "repeat", "_skip", "_size")
+             .join(whole.filter(~F.col("first")).select("doc", "tag", "lo", F.col("repeat").alias("_whole")), "_whole")
+             .select("doc", "tag", (F.col("lo") + F.col("_skip")).alias("lo"), (F.col("lo") + F.col("_skip") + F.col("_size")).alias("hi"),
+                     "repeat", F.lit(False).alias("first")))
+    return whole.join(twice, "repeat", "left_anti").select(*_SPAN_COLUMNS).unionByName(late).unionByName(moved)
 
 
 def _spans(texts: DataFrame, min_len: int, bucket_cap: int) -> DataFrame:
+    """Spans that cover all repeated bytes: those found with the contexts, and of trees and windows."""
+    events, late = _events(texts, min_len, bucket_cap)
+    return events.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS).unionByName(
+        late.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS))
+
+
+def _events(texts: DataFrame, min_len: int, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
+    """What comes of the contexts (written), and of the trees and windows of their buckets."""
     if min_len < K + 8 or min_len - K > 127:
         raise ValueError("min_len must lie between 40 and 159")
     events = stored(_by_bucket(texts.select("doc", "tag", "text").mapInArrow(_find_contexts(min_len), _ROWS)).mapInArrow(
@@ -427,9 +466,7 @@ def _spans(texts: DataFrame, min_len: int, bucket_cap: int) -> DataFrame:
         for kind, work in kinds.items():
             yield from work(of(kind))
 
-    late = _by_bucket(fetched).mapInArrow(_split_spans(trees_and_windows), _ROWS)
-    return events.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS).unionByName(
-        late.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS))
+    return events, _by_bucket(fetched).mapInArrow(_split_spans(trees_and_windows), _ROWS)
 
 
 def _split_spans(work):

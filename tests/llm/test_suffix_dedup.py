@@ -81,3 +81,47 @@ def test_groups_list_every_occurrence(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def check_groups(rows, spans, m=100):
+    """Each group is one string with every occurrence of it, its first marked; all repeated windows are listed."""
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(1 << 63 if d is None else d, set()).add((t or "").encode())
+    assert all(len(t) == 1 for t in texts.values())
+    texts = {d: t for d, (t,) in ((d, tuple(t)) for d, t in texts.items())}
+    windows, groups, listed = {}, {}, set()
+    for d, t in texts.items():
+        for p in range(len(t) - m + 1):
+            windows.setdefault(t[p:p + m], set()).add((d, p))
+    for r in spans:
+        d = 1 << 63 if r.doc == (1 << 63) - 1 else r.doc
+        groups.setdefault(r.repeat, []).append((d, r.lo, r.hi, r.first))
+        listed |= {(d, p) for p in range(r.lo, r.hi - m + 1)}
+    for g in groups.values():
+        text = {texts[d][lo:hi] for d, lo, hi, _ in g}
+        assert len(text) == 1
+        text, = text
+        want = {(d, p) for d, p in windows[text[:m]] if texts[d][p:p + len(text)] == text}
+        assert len(g) == len(want) > 1 and {(d, lo) for d, lo, _, _ in g} == want
+        assert [(d, lo) for d, lo, _, first in g if first] == [min(want)]
+    assert listed == {w for ws in windows.values() if len(ws) > 1 for w in ws}
+    return groups
+
+
+@pytest.mark.parametrize("cap", [512, 1])
+def test_groups_list_copies_of_contexts(spark, cap):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p = text(130)
+    contexts = [text(90) + p + text(90) for _ in range(3)] + [p, p + text(70)]  # the passage alone lies whole in the others
+    rows = [(i, contexts[i % 5] if i < 40 else text(30) + p + text(20)) for i in range(43)]
+    df = spark.createDataFrame(rows + [rows[7]], "doc_id long, text string").repartition(5)
+    groups = check_groups(rows, repeated_spans(df, bucket_cap=cap).collect())
+    assert max(map(len, groups.values())) == 43 and any(len(g) == 8 for g in groups.values())
+
+
+@pytest.mark.parametrize("cap", [512, 3])
+def test_groups_of_a_corpus(spark, cap):
+    rows = [(d, t) for d, t in corpus(cap) if d is not None and d not in (5, 6) and (t or "")[:20] not in ("a" * 20, "ab" * 10, "\x00" * 20)]
+    check_groups(rows, repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bucket_cap=cap).collect())
