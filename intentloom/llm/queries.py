@@ -150,3 +150,30 @@ select k.x as doc_id, k.class_id, coalesce(d.n_links, 0) as n_links from k left
 def op8(spark, sf_dir):
     from intentloom.llm.jaccard_join import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op11_importance_resampling", r"""
+with tab as (select list(c order by i) as t from (
+       select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) as c from range(256) r(i))),
+d as (select row_number() over () as r, 0 as side, doc_id, text from documents),
+a as (select r, side, text from d union all select row_number() over (), 1, text from benchmark),
+w as (select r, side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from a),
+v as (select w, xor(4294967295, list_reduce(list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), (1 + 2 * i)::int, 2))::bigint),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 10000 as bucket from (select distinct w from w), tab),
+f as (select r, side, bucket, count(*) as c from w join v using (w) group by 1, 2, 3),
+n as (select range as bucket, coalesce(s, 0)::double as s, coalesce(t, 0)::double as t, sum(coalesce(s, 0)) over ()::double as all_s, sum(coalesce(t, 0)) over ()::double as all_t
+      from range(10000) left join (select bucket, sum(c) filter (side = 0) as s, sum(c) filter (side = 1) as t from f group by 1) on bucket = range),
+g as (select bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint as gain from n),
+m as (select r, sum(c)::bigint as n_features, floor(sum(c * gain)::double / sum(c))::bigint as weight from f join g using (bucket) where side = 0 group by r),
+h as (select r, doc_id, (('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double as u from d),
+e as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+             (coalesce(weight, 0) + floor(-1000::double * ln(-ln(u))))::bigint as score from h left join m using (r)),
+k as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) as p,
+             10 * count(*) over (partition by n_features >= 20) // 100 as take from e)
+select doc_id, n_features, weight, score, case when n_features >= 20 and p <= take then p end as rank from k
+""")
+def op11(spark, sf_dir):
+    from intentloom.llm.resampling import importance_resample
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resample(docs, target, 1, 1).select("doc_id", "n_features", "weight", "score", "rank")
