@@ -177,3 +177,9 @@ def op11(spark, sf_dir):
     from intentloom.llm.resampling import importance_resample
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return importance_resample(docs, target, 1, 1).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    from intentloom.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
