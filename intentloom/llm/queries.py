@@ -183,3 +183,47 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     from intentloom.llm.whitening import whiten
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _entropy_sql(number: int, name: str, chars: str, window: int, bits: float) -> str:
+    """Spans of one entropy kind: every window's entropy from its own character counts, then merged."""
+    return f"""
+r{number} as (select r, unnest(regexp_extract_all(text, '[{chars}]{{{window},}}')) as x, unnest(range(1, 1 + len(regexp_extract_all(text, '[{chars}]{{{window},}}')))) as i,
+       unnest(regexp_split_to_array(text, '[{chars}]{{{window},}}')[:-2]) as gap from d),
+o{number} as (select r, x, sum(len(gap) + len(x)) over (partition by r order by i) - len(x) as place from r{number}),
+w{number} as (select x, s, unnest(string_split(substr(x, (s + 1)::int, {window}), '')) as ch from (
+       select x, unnest(range(len(x) - {window - 1})) as s from (select distinct x from r{number}
+         where not regexp_full_match(x, '[0-9]+|[a-z]+|[A-Z]+|[A-Z][a-z]+|.*EXAMPLE.*|(?i:(0123456789)+(abcdef)*)|(?i:.*abcdefghijklmnop.*)')))),
+h{number} as (select x, s from (select x, s, ch, count(*) as c from w{number} group by x, s, ch) group by x, s
+       having log2({window}) - sum(c * log2(c)) / {window} >= {bits} - 1e-9),
+m{number} as (select x, s, sum(new) over (partition by x order by s) as island from (
+       select x, s, (s > coalesce(lag(s) over (partition by x order by s) + {window}, -1))::int as new from h{number})),
+e{number} as (select r, {number} as k, '{name}' as kind, place + a as s, place + b as e
+       from o{number} join (select x, min(s) as a, max(s) + {window} as b from m{number} group by x, island) using (x)),"""
+
+
+def _secret_sql() -> str:
+    from intentloom.llm.secrets import BASE, CLASSES
+    base = [(n, p.replace("(?<![0-9a-f])", "").replace("'", "''"), g, least) for n, p, g, least in BASE]
+    parts = ["with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),"]
+    for k, (name, p, g, least) in enumerate(base):
+        parts.append(f"""
+b{k} as (select r, {k} as k, '{name}' as kind, e - len(x) as s, e, part from (select r, x, part, sum(len(gap) + len(x)) over (partition by r order by i) as e from (
+       select r, unnest(regexp_extract_all(text, '{p}')) as x, unnest(regexp_extract_all(text, '{p}', {g})) as part,
+              unnest(range(1, 1 + len(regexp_extract_all(text, '{p}')))) as i, unnest(regexp_split_to_array(text, '{p}')[:-2]) as gap from d))
+       where len(part) >= {least}),""")
+    parts += [_entropy_sql(k, *c) for k, c in enumerate(CLASSES, len(base))]
+    every = " union all ".join([f"select r, k, kind, s, e from b{k}" for k in range(len(base))] + [f"select r, k, kind, s, e from e{k + len(base)}" for k in range(len(CLASSES))])
+    counts = ", ".join(f"count(*) filter (k = {k}) as n_{n}" for k, (n, *_) in enumerate(base))
+    parts.append(f"""
+a as (select r, {counts}, string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, k) filter (k < {len(base)}) as base,
+             string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, k) as spans, count(*) filter (k >= {len(base)}) as n_entropy from ({every}) group by r)
+select doc_id, {", ".join(f"coalesce(n_{n}, 0) as n_{n}" for n, *_ in base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_entropy, 0) as n_entropy from d left join a using (r)""")
+    return "".join(parts)
+
+
+@query("op12_secret_scan", _secret_sql())
+def op12(spark, sf_dir):
+    from intentloom.llm.secrets import secret_digests
+    return secret_digests(table(spark, sf_dir, "documents"))
