@@ -24,8 +24,8 @@ into buckets that no repeat can straddle:
    of its own, resolved as in 2.  Nothing is dropped.
 
 Defined results: null text is empty; texts shorter than ``min_len`` have no repeats;
-documents are ordered by id (null last), rows that repeat an id by a text hash, and
-rows repeated whole are one document; extra columns play no part.
+documents are ordered by id (null last), rows that share an id by the 64-bit hash of the
+text, which tells them apart; rows repeated whole are one document; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -45,21 +45,21 @@ FLUSH = 1 << 19           # anchors held by a task before it pre-aggregates them
 BUCKET_CAP = 512          # different contexts of a bucket for one interval tree
 CHUNK = 1 << 16           # contexts whose interval trees are built at a time
 _ROWS = ("kind int, bucket long, ctx long, doc long, loc long, bytes binary, "
-         "tag int, lo long, hi long, repeat long, first boolean")
+         "tag long, lo long, hi long, repeat long, first boolean")
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 _CONTEXT, _SPAN, _ASK, _ASK_WINDOWS = range(4)
 _SPAN_COLUMNS = ["doc", "tag", "lo", "hi", "repeat", "first"]
 
-# loc packs where a context lies, in an order that sorts as (tag, pos):
-# tag (14 bits of a text hash) | pos of the anchor (34) | windows before it (7 + 7) | copy flag
+# doc and tag (the text's hash) name a text; loc packs where a context lies in it:
+# pos of the anchor | windows before it (7 + 7) | copy flag
 
 
-def _pack(tag, pos, before, after, dup=0):
-    return ((((((tag << 34) | pos) << 7) | before) << 7 | after) << 1) | dup
+def _pack(pos, before, after, dup=0):
+    return ((((pos << 7) | before) << 7 | after) << 1) | dup
 
 
 def _unpack(loc):
-    return loc >> 49, (loc >> 15) & ((1 << 34) - 1), (loc >> 8) & 127, (loc >> 1) & 127
+    return loc >> 15, (loc >> 8) & 127, (loc >> 1) & 127
 
 
 def _contexts(data: np.ndarray, off: np.ndarray, min_len: int):
@@ -124,12 +124,18 @@ def _rows(kind, doc, bucket=None, ctx=None, loc=None, text=None, tag=None, lo=No
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, kind, np.int32)), long(bucket), long(ctx), long(doc), long(loc),
          pa.nulls(n, pa.binary()) if text is None else text,
-         pa.nulls(n, pa.int32()) if tag is None else pa.array(np.asarray(tag, np.int32)), long(lo), long(hi), long(repeat),
+         long(tag), long(lo), long(hi), long(repeat),
          pa.nulls(n, pa.bool_()) if first is None else pa.array(np.broadcast_to(first, (n,)))], names=_NAMES)
 
 
-def _spans_of(bucket, ctx, doc, loc, first, min_len):
-    tag, pos, before, after = _unpack(loc)
+def _elsewhere(rows, head):
+    """Whether rows lie at another place than those of ``head``, given (bucket, ctx, doc, tag, loc)."""
+    _, _, doc, tag, loc = rows
+    return (doc != doc[head]) | (tag != tag[head]) | (loc >> 15 != loc[head] >> 15)
+
+
+def _spans_of(bucket, ctx, doc, tag, loc, first, min_len):
+    pos, before, after = _unpack(loc)
     return _rows(_SPAN, doc, tag=tag, lo=pos - before, hi=pos - after + min_len, first=first,
                  repeat=mix(bucket.view(np.uint64) ^ mix(ctx.view(np.uint64))))
 
@@ -139,19 +145,19 @@ def _flush(held, min_len):
     A row at the very same place as the earliest is the same occurrence, not a copy."""
     if not held:
         return
-    bucket, ctx, doc, loc = (np.concatenate(x) for x in zip(*held))
+    bucket, ctx, doc, tag, loc = (np.concatenate(x) for x in zip(*held))
     bucket, ctx = bucket.view(np.int64), ctx.view(np.int64)
     held.clear()
-    o = np.lexsort((loc, doc, ctx, bucket))
-    bucket, ctx, doc, loc = bucket[o], ctx[o], doc[o], loc[o]
+    o = np.lexsort((loc, tag, doc, ctx, bucket))
+    bucket, ctx, doc, tag, loc = rows = bucket[o], ctx[o], doc[o], tag[o], loc[o]
     lead = np.ones(len(o), bool)
     lead[1:] = (bucket[1:] != bucket[:-1]) | (ctx[1:] != ctx[:-1])
     head = np.maximum.accumulate(np.where(lead, np.arange(len(o)), 0))
-    copy = ~lead & ((doc != doc[head]) | (loc >> 15 != loc[head] >> 15))
+    copy = ~lead & _elsewhere(rows, head)
     loc[head[copy]] |= 1
-    yield _rows(_CONTEXT, doc[lead], bucket[lead], ctx[lead], loc[lead])
+    yield _rows(_CONTEXT, doc[lead], bucket[lead], ctx[lead], loc[lead], tag=tag[lead])
     if copy.any():
-        yield _spans_of(bucket[copy], ctx[copy], doc[copy], loc[copy], False, min_len)
+        yield _spans_of(*(x[copy] for x in rows), False, min_len)
 
 
 def _find_contexts(min_len):
@@ -160,14 +166,14 @@ def _find_contexts(min_len):
         held, count = [], 0
         for b in batches:
             data, off = bytes_of(b.column("text"))
-            ids, tags = b.column("doc").to_numpy(), b.column("tag").to_numpy().astype(np.int64)
+            ids, tags = b.column("doc").to_numpy(), b.column("tag").to_numpy()
             for i, j, lo, hi in _segments(off, min_len):
                 got = _contexts(data[lo:hi], np.clip(off[i:j + 1], lo, hi) - lo, min_len)
                 if got is None:
                     continue
                 d, a, first, last, gram, ctx = got
                 shift = lo - off[i]  # a part of a long text
-                held.append((gram, ctx, ids[i + d], _pack(tags[i + d], a + shift, a - first, a - last)))
+                held.append((gram, ctx, ids[i + d], tags[i + d], _pack(a + shift, a - first, a - last)))
                 count += len(d)
                 if count >= FLUSH:
                     yield from _flush(held, min_len)
@@ -177,40 +183,40 @@ def _find_contexts(min_len):
 
 
 def _meet(batches, min_len, cap):
-    """Contexts sorted by (bucket, ctx, doc, loc), each bucket whole in one partition: later
+    """Contexts sorted by (bucket, ctx, doc, tag, loc), each bucket whole in one partition: later
     copies of a context become spans; the different contexts of a bucket ask for their text.
     Holds at most ``cap`` contexts of one bucket."""
     last, said = None, True          # the context in hand: its earliest row, and whether that is a span yet
-    carry = np.zeros((0, 4), np.int64)  # different contexts of the bucket in hand
+    carry = np.zeros((0, 5), np.int64)  # different contexts of the bucket in hand
     hot = None                       # the bucket in hand, if it has more than ``cap``
     for b in batches:
-        bucket, ctx, doc, loc = (b.column(x).to_numpy() for x in ("bucket", "ctx", "doc", "loc"))
-        n = len(bucket)
+        held = [b.column(x).to_numpy() for x in ("bucket", "ctx", "doc", "tag", "loc")]
         if last is not None:  # the context in hand goes before the batch
-            bucket, ctx, doc, loc = (np.insert(x, 0, v) for x, v in zip((bucket, ctx, doc, loc), last))
+            held = [np.insert(x, 0, v) for x, v in zip(held, last)]
+        bucket, ctx, doc, tag, loc = held
         lead = np.ones(len(bucket), bool)
         lead[1:] = (bucket[1:] != bucket[:-1]) | (ctx[1:] != ctx[:-1])
         head = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-        copy = ~lead & ((doc != doc[head]) | (loc >> 15 != loc[head] >> 15))
+        copy = ~lead & _elsewhere(held, head)
         if copy.any():
-            yield _spans_of(bucket[copy], ctx[copy], doc[copy], loc[copy], False, min_len)
+            yield _spans_of(*(x[copy] for x in held), False, min_len)
         stays = lead & ((loc & 1) == 1)
         stays[head[copy]] = True
         told = bool(stays[0]) if last is not None else False
         if last is not None and said:
             stays[0] = False
         if stays.any():
-            yield _spans_of(bucket[stays], ctx[stays], doc[stays], loc[stays], True, min_len)
+            yield _spans_of(*(x[stays] for x in held), True, min_len)
         at = np.flatnonzero(lead)
         end = at[-1]
         said = (told or said) if (last is not None and end == 0) else bool(stays[end])
         fresh = at[1:] if last is not None else at
-        last = (bucket[end], ctx[end], doc[end], loc[end])
-        rows = np.stack([bucket[fresh], ctx[fresh], doc[fresh], loc[fresh]], 1)
+        last = [x[end] for x in held]
+        rows = np.stack([x[fresh] for x in held], 1)
         if hot is not None:
             more = int(np.searchsorted(rows[:, 0] != hot, True))
             if more:
-                yield _rows(_ASK_WINDOWS, *_columns(rows[:more]))
+                yield _asked(_ASK_WINDOWS, rows[:more])
             if more == len(rows):
                 continue
             rows, hot = rows[more:], None
@@ -222,20 +228,20 @@ def _meet(batches, min_len, cap):
         open_at = starts[-1]
         each = np.repeat(size, size)[:open_at]
         if ((each > 1) & (each <= cap)).any():
-            yield _rows(_ASK, *_columns(rows[:open_at][(each > 1) & (each <= cap)]))
+            yield _asked(_ASK, rows[:open_at][(each > 1) & (each <= cap)])
         if (each > cap).any():
-            yield _rows(_ASK_WINDOWS, *_columns(rows[:open_at][each > cap]))
+            yield _asked(_ASK_WINDOWS, rows[:open_at][each > cap])
         carry = rows[open_at:]
         if len(carry) > cap:
-            yield _rows(_ASK_WINDOWS, *_columns(carry))
+            yield _asked(_ASK_WINDOWS, carry)
             hot, carry = carry[0, 0], carry[:0]
     if len(carry) > 1:
-        yield _rows(_ASK, *_columns(carry))
+        yield _asked(_ASK, carry)
 
 
-def _columns(rows):
-    bucket, ctx, doc, loc = (np.ascontiguousarray(x) for x in rows.T)
-    return doc, bucket, ctx, loc
+def _asked(kind, rows):
+    bucket, ctx, doc, tag, loc = rows.T
+    return _rows(kind, doc, bucket, ctx, loc, tag=tag)
 
 
 def _fetch(min_len):
@@ -245,12 +251,12 @@ def _fetch(min_len):
         held, count = [], 0
         for b in batches:
             data, off = bytes_of(b.column("text"))
-            ids, tags = b.column("doc").to_numpy(), b.column("tag").to_numpy().astype(np.int64)
+            ids, tags = b.column("doc").to_numpy(), b.column("tag").to_numpy()
             asks = b.column("asks")
             at = np.asarray(asks.offsets, np.int64)
             owner = np.repeat(np.arange(len(ids)), np.diff(at))
             bucket, loc, windows = (asks.values.field(x).to_numpy(zero_copy_only=False)[at[0]:at[-1]] for x in range(3))
-            _, pos, before, after = _unpack(loc)
+            pos, before, after = _unpack(loc)
             cold = np.flatnonzero(~windows)
             for part in np.array_split(cold, len(cold) // CHUNK + 1):
                 if not len(part):
@@ -261,7 +267,7 @@ def _fetch(min_len):
                 idx = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
                 blob = pa.Array.from_buffers(pa.binary(), len(part), [
                     None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[idx])])
-                yield _rows(_ASK, ids[owner[part]], bucket[part], loc=loc[part], text=blob)
+                yield _rows(_ASK, ids[owner[part]], bucket[part], loc=loc[part], text=blob, tag=tags[owner[part]])
             hot = np.flatnonzero(windows)
             for i in np.unique(owner[hot]):
                 mine = hot[owner[hot] == i]
@@ -269,7 +275,7 @@ def _fetch(min_len):
                     h = PrefixHash(data[off[i] + lo:off[i] + hi + min_len])
                     s = np.arange(hi - lo + 1)
                     held.append((mix(h.range_hash(s, s + min_len)), mix(h.range_hash(s + min_len // 3, s + min_len)),
-                                 np.full(len(s), ids[i]), _pack(tags[i], s + lo, 0 * s, 0 * s)))
+                                 np.full(len(s), ids[i]), np.full(len(s), tags[i]), _pack(s + lo, 0 * s, 0 * s)))
                     count += len(s)
                 if count >= FLUSH:
                     yield from _flush(held, min_len)
@@ -294,11 +300,11 @@ def _intervals(lcp, diff, lo, hi, floor):
     return out
 
 
-def repeats_in_buckets(bucket, doc, loc, text, min_len):
+def repeats_in_buckets(bucket, doc, tag, loc, text, min_len):
     """Maximal repeats of bucketed contexts: arrays (repeat, member row, start, depth, first)."""
     n = len(bucket)
     width = min_len - K  # most bytes before an anchor
-    tag, pos, before, after = _unpack(loc)
+    pos, before, after = _unpack(loc)
     data, off = bytes_of(text)
     size = off[1:] - off[:-1]
     x = np.zeros((n, width + min_len), np.uint8)
@@ -355,19 +361,19 @@ def repeats_in_buckets(bucket, doc, loc, text, min_len):
     head[1:] = which[1:] != which[:-1]
     lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
     here = (doc[member] == doc[member[lead]]) & (tag[member] == tag[member[lead]]) & (pos[member] == pos[member[lead]])
-    repeat = mix(bucket[member].view(np.uint64) ^ mix(doc[member[lead]].view(np.uint64) ^ mix(
-        ((pos[member[lead]] * 256 + o) * 256 + depth).view(np.uint64))))
+    repeat = mix(bucket[member].view(np.uint64) ^ mix(doc[member[lead]].view(np.uint64) ^ mix(tag[member[lead]].view(np.uint64) ^ mix(
+        ((pos[member[lead]] * 256 + o) * 256 + depth).view(np.uint64)))))
     return member, pos[member] - o, depth, repeat, here
 
 
 def _trees(batches, min_len):
     """Contexts with bytes, sorted by bucket -> spans of the maximal repeats."""
     def spans(t):
-        bucket, doc, loc = (t.column(c).to_numpy() for c in ("bucket", "doc", "loc"))
-        got = repeats_in_buckets(bucket, doc, loc, t.column("bytes"), min_len)
+        bucket, doc, tag, loc = (t.column(c).to_numpy() for c in ("bucket", "doc", "tag", "loc"))
+        got = repeats_in_buckets(bucket, doc, tag, loc, t.column("bytes"), min_len)
         if got is not None:
             member, start, depth, repeat, first = got
-            yield _rows(_SPAN, doc[member], tag=loc[member] >> 49, lo=start, hi=start + depth, repeat=repeat, first=first)
+            yield _rows(_SPAN, doc[member], tag=tag[member], lo=start, hi=start + depth, repeat=repeat, first=first)
 
     for t in whole_groups(batches, ["bucket"], CHUNK):
         yield from spans(t)
@@ -376,12 +382,12 @@ def _trees(batches, min_len):
 def _by_bucket(rows: DataFrame) -> DataFrame:
     by = F.coalesce(F.col("bucket"), F.xxhash64("doc", "lo"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, by).sortWithinPartitions("kind", "bucket", "ctx", "doc", "loc")
+    return rows.repartition(n, by).sortWithinPartitions("kind", "bucket", "ctx", "doc", "tag", "loc")
 
 
 def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(doc_key().alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 14) - 1)).cast("int").alias("tag"),
+    return docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("tag"),
                        text.alias("text"), F.struct(*carry).alias("carry"))
 
 
@@ -389,7 +395,7 @@ def repeated_spans(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET
     """All occurrences of the maximal repeats of ``docs(doc_id, text)``: ``doc, tag, lo, hi, repeat, first``.
 
     ``[lo, hi)`` are byte places in the UTF-8 text, ``repeat`` names the group, ``first`` marks its
-    earliest occurrence; ``tag`` tells rows that repeat a doc_id apart.  Groups are maximal within
+    earliest occurrence; ``tag`` (the text's hash) tells rows that share a doc_id apart.  Groups are maximal within
     an anchor's context, so a longer repeat is a chain of overlapping groups; in a bucket with more
     than ``bucket_cap`` contexts the groups are its windows.  Each group lists every occurrence:
 
@@ -404,9 +410,9 @@ def repeated_spans(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET
     # a row that is there twice is one occurrence; copies by context, and the earliest of each
     whole = stored(events.filter(F.col("kind") == _SPAN).select(*_SPAN_COLUMNS).distinct(), "suffix-wholes")
     before, after = (F.shiftright("loc", n).bitwiseAND(F.lit(127)) for n in (8, 1))
-    pos = F.shiftright("loc", 15).bitwiseAND(F.lit((1 << 34) - 1))
+    pos = F.shiftright("loc", 15)
     hot = events.filter(F.col("kind") == _ASK_WINDOWS).select(
-        "doc", F.shiftright("loc", 49).cast("int").alias("tag"), (pos - before).alias("lo"), (pos - after + min_len).alias("hi"), F.lit(True).alias("hot"))
+        "doc", "tag", (pos - before).alias("lo"), (pos - after + min_len).alias("hi"), F.lit(True).alias("hot"))
     lead = (whole.filter("first").join(hot, [*place, "lo", "hi"], "left")
             .select(*place, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("repeat").alias("_whole"), F.col("hot").isNotNull().alias("hot"))
             .withColumn("_at", blocks(F.col("_lo"), F.col("_hi") - min_len)))
@@ -440,8 +446,7 @@ def _events(texts: DataFrame, min_len: int, bucket_cap: int) -> tuple[DataFrame,
     events = stored(_by_bucket(texts.select("doc", "tag", "text").mapInArrow(_find_contexts(min_len), _ROWS)).mapInArrow(
         _split_spans(lambda b: _meet(b, min_len, bucket_cap)), _ROWS).drop("bytes"), "suffix-events")
     asks = (events.filter(F.col("kind") >= _ASK)
-            .select("doc", F.shiftright("loc", 49).cast("int").alias("tag"),
-                    F.struct("bucket", "loc", (F.col("kind") == _ASK_WINDOWS).alias("windows")).alias("ask"))
+            .select("doc", "tag", F.struct("bucket", "loc", (F.col("kind") == _ASK_WINDOWS).alias("windows")).alias("ask"))
             .groupBy("doc", "tag").agg(F.collect_list("ask").alias("asks")))
     # all columns of the texts go along, so that this shuffle of texts also serves the final join
     fetched = texts.join(asks, ["doc", "tag"]).mapInArrow(_fetch(min_len), _ROWS)

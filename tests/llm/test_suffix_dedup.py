@@ -4,15 +4,22 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from intentloom.llm.suffix_dedup import repeated_spans, suffix_dedup
 
 
+def tag(text):
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(rows, m=100):
     rows = [(1 << 63 if d is None else d, (t or "").encode(), d) for d, t in rows]
     seen = {}
-    for d, t in sorted({(d, t) for d, t, _ in rows}):
+    for d, t in sorted({(d, t) for d, t, _ in rows}, key=lambda r: (r[0], tag(r[1]))):
         for p in range(len(t) - m + 1):
             seen.setdefault(t[p:p + m], (d, t, p))
     out = []
@@ -125,3 +132,33 @@ def test_groups_list_copies_of_contexts(spark, cap):
 def test_groups_of_a_corpus(spark, cap):
     rows = [(d, t) for d, t in corpus(cap) if d is not None and d not in (5, 6) and (t or "")[:20] not in ("a" * 20, "ab" * 10, "\x00" * 20)]
     check_groups(rows, repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bucket_cap=cap).collect())
+
+
+def small(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    return sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got)
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    rnd = random.Random(3)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(40)
+    text = passage + " " + words(20)
+    while True:  # an unrelated text whose hash ends in the same 14 bits
+        other = words(60)
+        if (tag(other) ^ tag(text)) & 0x3FFF == 0:
+            break
+    for doc_id in (7, None):
+        rows = [(1, "start " + passage), (doc_id, text), (doc_id, other)]
+        got = small(spark, rows)
+        assert got == brute(rows) and sum(r[2] > 0 for r in got) == 1
+
+
+def test_many_texts_without_id(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passages = [words(30) for _ in range(50)]
+    rows = [(None, words(10) + " " + (rnd.choice(passages) if i % 3 else words(20)) + " " + words(10)) for i in range(2000)]
+    rows += rows[:40] + [(3, rows[5][1]), (None, None)]
+    assert small(spark, rows) == brute(rows)
