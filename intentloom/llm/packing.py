@@ -9,6 +9,10 @@ dealt to groups of about ``group`` by a hash of their content, and each group is
 groups are independent and equal in size however skewed ids, lengths or copies are, and each costs
 at most one sequence that is not full.  Only (id, lengths, checksum) move.
 
+Runs of white space of ``_LONG_RUN`` characters or more, which the splitting pattern could only match by backtracking once per
+character, are cut out first, exactly where the pattern must split: before the run, and before its last character if
+other text follows (that character may belong to the next word).  Each is one piece for the merges, so ids stay the same.
+
 Defined results: a null text is empty and gives one piece, the end id alone; repeated rows are packed
 separately; empty tables give no rows; extra columns play no part; reruns agree.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from bisect import bisect_right
 
@@ -28,6 +33,9 @@ from pyspark.sql import functions as F
 from intentloom.llm.common import shuffle_partitions, stored, whole_groups
 
 _ENCODERS: dict = {}
+_LONG_RUN = 10_000
+# fixed values: Unicode's white space, as the pattern's \s has it
+_BLANKS = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG_RUN)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,11 +46,12 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
+def encoder(path: str, whole: bool = False):
     """A fast encoder with the vocabulary of the byte-level BPE file ``path`` (ids in merge order).  With
     ``allowed_special="all"`` its ids equal those of ``tokenizers`` with add_special_tokens=False; ``encode_ordinary``
-    spells added tokens out, as ``tokenizers`` does when its ``encode_special_tokens`` is set (see tests)."""
-    if path not in _ENCODERS:
+    spells added tokens out, as ``tokenizers`` does when its ``encode_special_tokens`` is set (see tests).
+    ``whole``: without the splitting pattern, a text is one piece."""
+    if (path, whole) not in _ENCODERS:
         import public_tokenizers
         import tiktoken
         model = json.load(open(path, encoding="utf-8"))
@@ -51,19 +60,31 @@ def encoder(path: str):
             raise ValueError("added tokens that depend on their neighbours are not supported")
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return _ENCODERS[path]
+        for one, pattern in ((False, public_tokenizers.PATTERN), (True, r"[\s\S]+")):
+            _ENCODERS[path, one] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return _ENCODERS[path, whole]
 
 
-def _cut(path: str, length: int, end: int, keep_ids: bool, encode_special_tokens: bool):
-    special = set() if encode_special_tokens else "all"
+def token_ids(path: str, text: str, encode_special_tokens: bool = False) -> np.ndarray:
+    """The ids of ``tokenizers`` with add_special_tokens=False and the given ``encode_special_tokens``."""
+    enc = encoder(path)
+    names = () if encode_special_tokens else tuple(enc.special_tokens_set)
+    ids = lambda t: enc.encode_to_numpy(t, allowed_special=set(names), disallowed_special=())
+    parts, at = [], 0
+    for run in _BLANKS.finditer(text):
+        alone = run.end() == len(text) or text.startswith(names, run.end())  # an added token ends the text before it
+        end = run.end() if alone else run.end() - 1
+        parts += [ids(text[at:run.start()]), encoder(path, True).encode_to_numpy(text[run.start():end], disallowed_special=())]
+        at = end
+    return np.concatenate([*parts, ids(text[at:])]) if parts else ids(text)
 
+
+def _cut(path: str, length: int, end: int, keep_ids: bool, encode_special_tokens: bool):
     def run(batches):
-        enc = encoder(path)
         for b in batches:
             ids_of, rows = b.column("doc_id").to_pylist(), {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(ids_of, b.column("text")):
-                ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special=special, disallowed_special=()), end).astype("<u4")
+                ids = np.append(token_ids(path, text.as_py() or "", encode_special_tokens), end).astype("<u4")
                 n = len(ids)
                 at = n - length * (math.ceil(n / length) - 1)
                 edges = [0, *range(at, n + 1, length)]

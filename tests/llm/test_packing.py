@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from intentloom.llm.packing import best_two_fit, encoder, pack, sequences
+from intentloom.llm.packing import best_two_fit, encoder, pack, sequences, token_ids
+from intentloom.session import checkpoint_root
 from tests.conftest import SF_SMALL
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,3 +94,62 @@ def test_queries_have_the_default_ids(spark, tmp_path):
     for got in (op10(spark, str(tmp_path)).collect(), corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()):
         assert sum(r.length for r in got) == sum(map(len, ids))
         assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) for r in got)
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 10_000_000])
+@pytest.mark.parametrize("kind", [" ", "\n", "\t", " \n\t　\xa0", "\r\n"])
+def test_long_blank_runs(n, kind):
+    if n > 1_000_000 and kind not in (" ", "\n"):
+        pytest.skip("one size more for the plain kinds only")
+    run = (kind * n)[:n]
+    for special in (False, True):
+        t = Tokenizer.from_file(PATH)
+        t.encode_special_tokens = special
+        around = [run] if n > 1_000_000 else [run, "a" + run + "b", run + "1", "x " + run + "<|endoftext|>" + run + "'s", "é\x1c" + run + "\x1f!" + run]
+        for text in around:
+            assert np.array_equal(token_ids(PATH, text, special), t.encode(text, add_special_tokens=False).ids)
+
+
+def test_blank_runs_through_the_query(spark):
+    from intentloom.llm.queries import QUERIES
+    rows = [(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b"), (3, "few words"), (None, "\t" * 300_000)]
+    folder = checkpoint_root(spark) + "/blank-runs"
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    t = Tokenizer.from_file(PATH)
+    got = QUERIES["op10_best_two_fit"](spark, folder).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {d: len(t.encode(x, add_special_tokens=False).ids) + 1 for d, x in rows}
+
+
+def plain_two_fit(lengths, capacity):
+    """Lengths per bin: fill with the longest that fits, then trade the smallest for the best two, while that helps."""
+    stock, bins = sorted(lengths), []
+    while stock:
+        held, room = [], capacity
+        while fits := [x for x in stock if x <= room]:
+            held.append(fits[-1])
+            stock.remove(fits[-1])
+            room -= fits[-1]
+        while room and held:
+            space = room + min(held)
+            sums = [(stock[i] + stock[j], -i) for i in range(len(stock)) for j in range(i + 1, len(stock)) if stock[i] + stock[j] <= space]
+            if not sums or max(sums)[0] <= min(held):
+                break
+            total = max(sums)[0]
+            pair = next((a, total - a) for a in stock if total - a in stock and (a != total - a or stock.count(a) > 1))
+            stock = sorted([*stock, min(held)])
+            held.remove(min(held))
+            for x in pair:
+                stock.remove(x)
+                held.append(x)
+            room = space - total
+        bins.append(sorted(held))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_equals_the_plain_rule(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([50, 100, 2048])
+    lengths = [rng.randint(1, rng.choice([capacity, capacity // 2, capacity // 5])) for _ in range(120)]
+    got = [sorted(lengths[r] for r in b) for b in best_two_fit(lengths, capacity)]
+    assert got == plain_two_fit(lengths, capacity)
