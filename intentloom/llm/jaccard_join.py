@@ -4,15 +4,14 @@ Sets are word shingles (five words).  Equal sets are joined once.  A set is embe
 sampled tokens: for each of as many hash functions, its token of least hash.  Two sets of
 similarity J share each sampled token with probability J.
 
-* A *run* splits all sets by one sampled token.  A bucket that is still too large is split again
-  by one or (every fourth node) two further tokens, chosen by a hash of the path, so that a pair
-  at the threshold expects to stay together about once per level.
-* Buckets of at most ``limit`` sets are compared by brute force; so are, block against block, buckets
-  that ``depth`` further splits leave large: sets that are alike indeed, which more splits would only
-  copy, at some loss of recall.
-* Runs repeat until the target recall: a pair at the threshold shares no first token in all of
-  ``runs`` with probability (1 - J)^runs; 12 runs miss 4e-9 of such pairs, and about 1e-5 of
-  those that only meet after two further splits.
+* A *run* splits all sets by one sampled token.  A bucket that is still too large is split again by each of
+  ``CHILDREN`` further tokens, chosen by a hash of the path; a pair at the threshold stays together in one of them
+  at least with probability 1 - (1 - J)^CHILDREN.
+* Buckets of at most ``limit`` sets are compared by brute force.  So are, block against block, buckets whose sets are alike
+  indeed (a further token keeps ``_TIGHT`` of their pairs together: splits would copy them and lose links, and gain
+  nothing), and buckets that ``depth`` further splits leave large.
+* Runs repeat until the target recall: ``runs_for`` gives the least number that misses a pair at the threshold, on
+  its longest path of splits, with a probability of ``1 - recall`` at most (12 for 0.8, two splits and 2e-8).
 
 A pair is counted in the first bucket that it shares, so nothing is emitted per pair: buckets
 return each set's number of links and a spanning forest.  Candidates are first screened by
@@ -38,8 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.llm.common import MAX_LONG, PrefixHash, bytes_of, doc_key, mix, shuffle_partitions, stored, whole_groups
+from intentloom.operators.joins import checked_broadcast
 
 COORDS = 64
+CHILDREN = 3
+_TIGHT = 0.6     # share of a bucket's pairs that a further token keeps together, from which it is compared as it is
+_HOT = 1024      # sets of a bucket whose size is sent to all tasks instead of its rows to one
 _PART = 1 << 20  # bytes hashed at a time
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,32 +146,52 @@ def _first_split(runs):
 
 
 def _next_split(runs):
+    """Sets of large buckets -> their place in each of the bucket's ``CHILDREN`` splits."""
     def run(batches):
         for b in batches:
-            low, sid, r = _coords(b.column("embed")), b.column("sid").to_numpy(), b.column("run").to_numpy()
-            node = b.column("node").to_numpy().view(np.uint64)
-            for child in (1, 2):
-                some = np.flatnonzero((child == 1) | (mix(node) % np.uint64(4) == 0))
-                seed = mix(node[some] + np.uint64(child))
-                c = (runs + seed % np.uint64(COORDS - runs)).astype(np.int64)
-                new = mix(seed ^ low[some, c].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(r[some]), pa.array(new.view(np.int64))], names=["sid", "run", "node"])
+            low, sid, r = _coords(b.column("embed")), b.column("sid"), b.column("run")
+            parent = b.column("node").to_numpy()
+            seed = mix(parent.view(np.uint64) + np.uint64(1))
+            for child in range(CHILDREN):  # different tokens: 17 and 34 steps apart among 52
+                c = (runs + (seed + np.uint64(17 * child)) % np.uint64(COORDS - runs)).astype(np.int64)
+                new = mix(mix(seed + np.uint64(child)) ^ low[np.arange(len(c)), c].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([sid, r, pa.array(new.view(np.int64)), pa.array(parent)], names=["sid", "run", "node", "parent"])
     return run
 
 
+def runs_for(threshold: float, recall: float, depth: int) -> int:
+    """Runs that miss a pair at the threshold with a probability of at most ``1 - recall``, after ``depth`` splits."""
+    together = threshold * (1 - (1 - threshold) ** CHILDREN) ** depth
+    return min(COORDS // 2, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+
+
+def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` of buckets of two sets or more, with their size ``n``.  The few large buckets' sizes go to the rows."""
+    large = checked_broadcast(sizes.filter(F.col("n") > _HOT))
+    small = sizes.filter(F.col("n").between(2, _HOT))
+    return rows.join(large, "node").unionByName(rows.join(large, "node", "left_anti").join(small, "node"))
+
+
 def _leaves(sets: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
     """The buckets that are compared: sid, run, node, n (all have two sets or more)."""
-    schema = "sid long, run int, node long"
-    found, rows = None, sets.select("sid", "embed").mapInArrow(_first_split(runs), schema)
-    for level in range(depth + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = stored(rows.join(sizes, "node"), f"paths-{level}")
-        last = level == depth
-        done = shared if last else shared.filter(F.col("n") <= limit)
-        found = done if found is None else found.unionByName(done)
-        if last or not shared.filter(F.col("n") > limit).limit(1).count():
-            break
-        rows = shared.filter(F.col("n") > limit).join(sets.select("sid", "embed"), "sid").select("sid", "embed", "run", "node").mapInArrow(_next_split(runs), schema)
+    names = ["sid", "run", "node", "n"]
+    rows = stored(sets.select("sid", "embed").mapInArrow(_first_split(runs), "sid long, run int, node long"), "paths-0")
+    shared = stored(_sized(rows, rows.groupBy("node").agg(F.count("*").alias("n"))).select(names), "buckets-0")
+    found = shared.filter(F.col("n") <= limit)
+    for level in range(1, depth + 1):
+        large = shared.filter(F.col("n") > limit)
+        if not large.limit(1).count():
+            return found
+        rows = large.join(sets.select("sid", "embed"), "sid").select("sid", "embed", "run", "node").mapInArrow(
+            _next_split(runs), "sid long, run int, node long, parent long")
+        rows = stored(rows, f"paths-{level}")
+        sizes = stored(rows.groupBy("parent", "node").agg(F.count("*").alias("n")), f"sizes-{level}")
+        kept = F.sum(F.col("n").cast("double") * F.col("n")) * CHILDREN / (F.sum("n").cast("double") * F.sum("n"))
+        tight = checked_broadcast(sizes.groupBy("parent").agg(kept.alias("kept")).filter(F.col("kept") >= _TIGHT).select("parent"))
+        found = found.unionByName(large.join(tight.withColumnRenamed("parent", "node"), "node", "left_semi").select(names))
+        split = rows.join(tight, "parent", "left_anti")
+        shared = stored(_sized(split, sizes.join(tight, "parent", "left_anti").select("node", "n")).select(names), f"buckets-{level}")
+        found = found.unionByName(shared.filter(F.col("n") <= limit) if level < depth else shared)
     return found
 
 
@@ -338,9 +361,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, runs: int = 12, limit: int = 64, depth: int = 2, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, runs: int | None = None, limit: int = 64, depth: int = 2, block: int = 256,
+                    recall: float = 1 - 2e-8) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id, n_links (documents at similarity ``threshold`` or
-    more), n_set_links (different shingle sets among them), n_shingles, th (the text's xxhash64, null as empty)."""
+    more), n_set_links (different shingle sets among them), n_shingles, th (the text's xxhash64, null as empty),
+    first (its text is its class's first, by id and th; of repeated rows all).  ``runs`` follow from ``recall`` if not given."""
+    runs = runs or runs_for(threshold, recall, depth)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", doc_key().alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     rows = stored(keyed.mapInArrow(_embed(width), "doc_id long, doc long, th long, n int, sid long, embed binary"), "shingle-sets")
@@ -361,12 +387,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, run
     links = stored(held.mapInArrow(_verify(threshold), "sid long, to long, links long, docs long"), "set-links")
     counts = links.groupBy("sid").agg(F.sum("links").alias("n_set_links"), F.sum("docs").alias("docs"))
     roots = components(links.select(F.col("sid").alias("u"), F.col("to").alias("v")))
-    named = (sets.select("sid", "rep.doc", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    least = named.groupBy("root").agg(F.min("doc").alias("class"))
+    named = (sets.select("sid", "rep", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    least = named.groupBy("root").agg(F.min("rep").alias("class"))
     info = named.join(least, "root").join(counts, "sid", "left").select(
         "sid", "class", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
     info = stored(info, "set-classes")
     # texts without words have no set
+    named = F.coalesce("class.doc", "doc")
     return (rows.select("doc_id", "doc", "th", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(info, "sid", "left")
-            .select("doc_id", F.when(F.coalesce("class", "doc") != F.lit(MAX_LONG), F.coalesce("class", "doc")).alias("class_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), F.col("n").alias("n_shingles"), "th"))
+            .select("doc_id", F.when(named != F.lit(MAX_LONG), named).alias("class_id"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), F.col("n").alias("n_shingles"), "th",
+                    (F.col("class").isNull() | (F.col("class.doc") == F.col("doc")) & (F.col("class.th") == F.col("th"))).alias("first")))

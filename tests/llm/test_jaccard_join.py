@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from intentloom.llm.jaccard_join import components, near_duplicates, shingle_sets
+from intentloom.llm.jaccard_join import components, near_duplicates, runs_for, shingle_sets
 
 
 def sets_of(t, w=5):
@@ -72,6 +72,46 @@ def test_links_and_classes(spark, seed, options):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+def near_group(n, seed):
+    """Texts of 100 words with one word of their own: pairs lie at 86/106 = 0.81 (0.83 to 0.96 where the words are close)."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        ws = list(base)
+        ws[rnd.randrange(4, 96)] = f"x{i}"
+        rows.append((i, " ".join(ws)))
+    return rows
+
+
+@pytest.mark.parametrize("n,mixed", [(600, False), (600, True), (3000, False)])
+def test_no_link_is_lost_in_large_groups(spark, n, mixed):
+    rows = near_group(n, n)
+    want = brute(rows) if n < 1000 else None
+    if mixed:  # the group among many unlike texts that share its beginning, so that buckets are split
+        head = " ".join(rows[0][1].split()[:12]) if "x" not in rows[0][1][:40] else " ".join(f"b{i}" for i in range(12))
+        rows += [(10_000 + i, head + " " + " ".join(f"u{i}_{j}" for j in range(12))) for i in range(2500)]
+        want = want + [(10_000 + i, 10_000 + i, 0) for i in range(2500)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id", "class_id", "n_links").collect()
+    if want is None:  # a text's links by the places of its own word, which decide the similarity
+        at = np.array([next(k for k, w in enumerate(t.split()) if w[0] == "x") for _, t in rows])
+        gap = np.abs(at[:, None] - at[None, :])
+        both = np.where(at[:, None] == at[None, :], 91, 86 + np.maximum(0, 5 - gap))
+        links = (both >= 0.8 * (192 - both)).sum(1) - 1
+        want = [(i, 0, int(links[i])) for i in range(n)]
+    assert sorted(map(tuple, got)) == sorted(want, key=lambda r: r[0])
+
+
+def test_runs_follow_from_the_recall():
+    assert runs_for(0.8, 1 - 2e-8, 2) == 12 and runs_for(0.8, 0.9, 2) < 3 and runs_for(0.5, 0.999, 2) > runs_for(0.8, 0.999, 2)
+
+
+def test_one_row_is_first_in_each_class(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d  e f g"), (None, "p q r s t"), (None, ""), (3, "x y z u v"), (3, "x y z  u v"), (4, "x y z u v"), (9, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("first").collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_shingles) for r in got), key=repr) == sorted([(None, None, 3), (None, None, 1), (None, None, 0), (3, 3, 1), (9, 9, 0)], key=repr)
+
+
 def test_shingles_do_not_cross_texts():
     texts = ["a b c d e f", "", "a b", "a b c d e f g", " a b", "x" * 50]
     raw = [t.encode() for t in texts]
