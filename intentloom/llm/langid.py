@@ -6,13 +6,14 @@ frequency.  An unseen word falls back to its 5-grams that the model knows; if th
 4-grams, and so on.  A text's score is the sum over all its words; the prediction is the best
 language, and ``score`` its posterior probability.
 
-Learning is from a bounded sample of the labelled rows: about ``per_language`` documents of each
-language, by a hash of the text, so that a language with a third of all rows is no larger
-than the others.  Word and n-gram tables keep the ``vocabulary`` and ``grams`` most frequent, which
-bounds the model that tasks receive.  Prediction covers every whole text and reads only the text.
+Learning is from a bounded sample of the labelled rows: the ``per_language`` different texts of each
+language with the least hashes (all, if it has fewer), each counted once however often it is copied.  So every language
+with a text is learned, and one with a third of all rows, or a text with a third of a language's, is no larger
+than the others.  The model holds every word and n-gram of the sample.  Prediction covers every whole text and reads
+only the text.
 
 Defined results: ``und`` with score 0 if the text is null or has no letters, or if nothing was
-learned; rows with null lang or text are not learned from; repeated rows are predicted alike; an
+learned; rows with null lang or text are not learned from; equal scores go to the language that sorts first; repeated rows are predicted alike; an
 empty table gives no rows; extra columns play no part.
 """
 
@@ -70,16 +71,19 @@ def _count(batches):
                                           "entry": pa.array([k[2] for k in keys], pa.string()), "c": pa.array([out[k] for k in keys], pa.int64())})
 
 
-def learn(labelled: DataFrame, per_language: int = 1000, vocabulary: int = 20_000, grams: int = 8_000) -> dict:
-    """The model of ``labelled(text, lang)``: languages, and log frequencies per word and n-gram (bounded)."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    rate = stored(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("rate")), "lang-rates")
-    drawn = rows.join(F.broadcast(rate), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
-    counts = drawn.mapInArrow(_count, "lang string, n int, entry string, c long").groupBy("lang", "n", "entry").agg(F.sum("c").alias("c"))
-    by = W.partitionBy("lang", "n")
-    most = F.when(F.col("n") == 0, vocabulary).otherwise(grams)
-    top = (counts.withColumn("r", F.row_number().over(by.orderBy(F.desc("c"), "entry"))).withColumn("all", F.sum("c").over(by)).filter(F.col("r") <= most))
-    got = top.select("lang", "n", "entry", "c", "all").collect()
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """``lang, text``: of each language the ``per_language`` different texts with the least hashes, once each."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("th"))
+    # a partial limit before the shuffle: a hot language sends per_language hashes per task
+    texts = rows.select("lang", "th").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("th"))).filter(F.col("r") <= per_language)
+    drawn = rows.join(F.broadcast(stored(texts.select("lang", "th"), "lang-sample")), ["lang", "th"], "left_semi")  # per_language rows per language
+    return drawn.groupBy("lang", "th").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def learn(labelled: DataFrame, per_language: int = 1000) -> dict:
+    """The model of ``labelled(text, lang)``: languages, and log frequencies per word and n-gram of the sample."""
+    counts = sample(labelled, per_language).mapInArrow(_count, "lang string, n int, entry string, c long").groupBy("lang", "n", "entry").agg(F.sum("c").alias("c"))
+    got = counts.withColumn("all", F.sum("c").over(W.partitionBy("lang", "n"))).collect()
     langs = sorted({r.lang for r in got})
     at = {lang: i for i, lang in enumerate(langs)}
     totals = {(r.lang, r.n): r["all"] for r in got}
@@ -87,9 +91,11 @@ def learn(labelled: DataFrame, per_language: int = 1000, vocabulary: int = 20_00
     for r in got:
         seen.setdefault((r.n, r.entry), {})[at[r.lang]] = r.c
     tables: dict[int, dict] = {n: {} for n in (0, *ORDERS)}
+    alike: dict[tuple, tuple] = {}  # most entries are rare and share their figures with others
     for (n, entry), c in seen.items():
         # an entry that a language lacks has half a count there
-        tables[n][entry] = tuple(math.log((c.get(i, 0) + 0.5) / (totals.get((lang, n), 0) + 1.0)) for lang, i in at.items())
+        v = tuple(math.log((c.get(i, 0) + 0.5) / (totals.get((lang, n), 0) + 1.0)) for lang, i in at.items())
+        tables[n][entry] = alike.setdefault(v, v)
     return {"langs": langs, "tables": tables}
 
 

@@ -1,10 +1,13 @@
 """Language identification: held-out accuracy, backoff, texts without letters."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from intentloom.llm.langid import Classifier, held_out, identify, learn, letters, score_word
+from intentloom.llm.langid import Classifier, held_out, identify, learn, letters, sample, score_word
 from intentloom.llm.queries import op6
 from tests.conftest import SF_SMALL
 
@@ -56,3 +59,61 @@ def test_memory_is_bounded(spark):
 
 def test_null_id_is_not_held_out(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(held_out().alias("h"), F.lit(1)).first().h == (zlib.crc32(b"") % 3 == 1)
+
+
+def plain_model(rows):
+    """Counts per (order, language) from different texts; order 0 are words."""
+    counts = {}
+    for lang, text in {(lang, t) for lang, t in rows if lang and t}:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            w = "".join(c for c in word if c.isalpha())
+            for n in range(6 if w else 0):
+                grams = [w] if n == 0 else list(w) if n == 1 else [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)]
+                counts.setdefault((n, lang), Counter()).update(grams)
+    return counts
+
+
+def plain_predict(counts, text):
+    langs = sorted({lang for _, lang in counts})
+    known = lambda n, g: any(g in counts.get((n, lang), ()) for lang in langs)
+    log = lambda n, lang, g: math.log((counts.get((n, lang), Counter())[g] + 0.5) / (sum(counts.get((n, lang), Counter()).values()) + 1))
+    total, some = dict.fromkeys(langs, 0.0), False
+    for word, times in Counter(re.findall(r"[^\W\d_]+", (text or "").lower())).items():
+        w = "".join(c for c in word if c.isalpha())
+        some |= bool(w)
+        parts = [(0, w)] if known(0, w) else []
+        for n in (5, 4, 3, 2, 1):
+            if not parts and w:
+                grams = list(w) if n == 1 else [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)]
+                parts = [(n, g) for g in grams if known(n, g)]
+        for lang in langs if parts else ():
+            total[lang] += times * sum(log(n, lang, g) for n, g in parts) / len(parts)
+    if not some or not langs:
+        return "und", 0.0
+    best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(max(total[x] - total[best], -700)) for x in langs)
+
+
+def test_whole_table_equals_the_plain_model(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    learned = [(r.lang, r.text) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    counts = plain_model(learned)
+    texts = {r.doc_id: r.text for r in docs}
+    for r in op6(spark, SF_SMALL).collect():
+        lang, score = plain_predict(counts, texts[r.doc_id])
+        assert (r.lang_pred, round(r.score, 6)) == (lang, round(score, 6)), r.doc_id
+
+
+def test_copies_do_not_hide_a_language(spark):
+    rows = [(f"the text number {i % 3} of few", "en") for i in range(1500)] + [("le chat est ici", "fr")] * 900 + [(f"ein wort und {i} mehr {chr(97 + i % 26)}x", "de") for i in range(400)]
+    for shift in range(4):
+        df = spark.createDataFrame([(f"{t} {shift}", lang) for t, lang in rows], "text string, lang string").repartition(3)
+        drawn = sample(df, 100)
+        assert {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()} == {"en": 3, "fr": 1, "de": 100}
+    assert learn(df, 100)["langs"] == ["de", "en", "fr"]
+
+
+def test_ties_go_to_the_first_language(spark):
+    m = learn(spark.createDataFrame([("aa bb", "zz"), ("aa bb", "yy"), ("aa bb", None)], "text string, lang string"))
+    got = identify(spark.createDataFrame([("aa bb cc",)], "text string"), m).first()
+    assert got.lang_pred == "yy" and abs(got.score - 0.5) < 1e-12
