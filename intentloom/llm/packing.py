@@ -60,8 +60,8 @@ def encoder(path: str, whole: bool = False):
             raise ValueError("added tokens that depend on their neighbours are not supported")
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        for one, pattern in ((False, public_tokenizers.PATTERN), (True, r"[\s\S]+")):
-            _ENCODERS[path, one] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        pattern = r"[\s\S]+" if whole else public_tokenizers.PATTERN
+        _ENCODERS[path, whole] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path, whole]
 
 
