@@ -29,6 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, text) -> list:
+    """The columns of ``docs`` from a struct ``row`` of the others than ``text``, with a new text and its length in ``n_chars``."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from intentloom.llm.common import stored
+from intentloom.llm.common import stored, with_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -118,15 +118,14 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the text that the mix takes, in all of its columns: documents that give nothing go, others
     hold their words as often as they are taken (whole passes keep the text as it is)."""
-    took = mix(docs, **options).filter("taken > 0").dropDuplicates(["doc_id", "th"])
-    took = took.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "th", "size", "passes", "from1", "to1", "from2", "to2")))
+    took = mix(docs.select("doc_id", "text", "source"), **options).filter("taken > 0").dropDuplicates(["doc_id", "th"])
+    took = took.select(F.col("doc_id").alias("took_id"), F.col("th").alias("took_th"), "size", "passes", "from1", "to1", "from2", "to2")
+    # the input's columns travel in one struct, so that no name of theirs meets one of these
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct(*(f"`{c}`" for c in docs.columns if c != "text")).alias("row"))
     ws = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    piece = lambda a, b: F.when(F.col(b) > F.col(a), F.when(F.col(b) - F.col(a) == F.col("_size"), F.col("text")).otherwise(
+    piece = lambda a, b: F.when(F.col(b) > F.col(a), F.when(F.col(b) - F.col(a) == F.col("size"), F.col("text")).otherwise(
         F.array_join(F.slice(ws, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")))
-    whole = F.when(F.col("_passes") > 0, F.array_join(F.array_repeat("text", F.col("_passes").cast("int")), "\n"))
-    text = F.concat_ws("\n", whole, piece("_from2", "_to2"), piece("_from1", "_to1"))
-    joined = docs.join(took, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_th")))
-    new = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.char_length("text").cast("long"))
-    return new.select(*docs.columns)
+    whole = F.when(F.col("passes") > 0, F.array_join(F.array_repeat("text", F.col("passes").cast("int")), "\n"))
+    joined = rows.join(took, F.col("doc_id").eqNullSafe(F.col("took_id")) & (F.col("th") == F.col("took_th")))
+    new = joined.select("row", F.concat_ws("\n", whole, piece("from2", "to2"), piece("from1", "to1")).alias("text"))
+    return new.select(*with_text(docs, F.col("text")))

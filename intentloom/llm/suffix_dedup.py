@@ -545,6 +545,8 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET_C
              .groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     joined = texts.join(spans, ["doc", "tag"], "left").select(
         "carry", "text", F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
-    fields = docs.select(F.struct(*carry).alias("carry")).schema["carry"].dataType.simpleString()
-    out = joined.mapInArrow(_strip(as_text), f"carry {fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string")
+    schema = joined.select("carry").schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if as_text else "binary"), ("kept_sha256", "string")):
+        schema = schema.add(name, kind)
+    out = joined.mapInArrow(_strip(as_text), schema)
     return out.select(*(F.col("carry")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")

@@ -75,3 +75,23 @@ def test_odd_rows_and_empty(spark):
 def test_run(spark):
     got = cp.run(spark, SF_SMALL)
     assert got.select("doc_id", "piece", "sequence_id", "offset").filter(F.col("length") > 2048).count() == 0 and got.count() > 0
+
+
+HELPERS = ("row kept th doc tag carry lo hi spans repeat first score lang_pred n_bytes n_removed n_spans kept_sha256 _th _doc _text _size _passes _from1 size "
+           "passes from1 to1 from2 to2 took_id took_th taken target source_size sid class_id n_links n_set_links n_shingles piece start length ids_crc32 "
+           "sequence_id offset bin_group quota shard seats n copies embed node run parent lang_rank r h").split()
+
+
+def test_any_extra_columns(spark):
+    rows = [(1, "the cat and the dog sat on the mat " * 8, "en", "s", 1), (2, "der hund und die katze " * 9, "de", None, 9), (None, "le chat est sur la table et " * 9, "fr", "s", 3)]
+    rows += [(10 + i, " ".join(f"word{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}" for j in range(80)), "en", "s", 0) for i in range(30)]
+    odd = [*HELPERS, "a.b", "with space"]
+    df = spark.createDataFrame([(*r, *(f"{c}-{r[0]}" for c in odd)) for r in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in odd))
+    docs = df
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF_SMALL)
+        assert docs.columns == df.columns
+        got = docs.collect()
+        assert len(got) >= 10 and all(r[c] == f"{c}-{r.doc_id}" for r in got for c in odd) and all(r.n_chars == len(r.text) or r.text in [x[1] for x in rows] for r in got)
+    assert cp.packing(spark, docs, SF_SMALL).count() >= 10
