@@ -5,12 +5,13 @@ DataFrame; ``run`` writes each stage's result as Parquet below ``spark.checkpoin
 back as the next one's documents.  All stages but the last return the columns of documents.
 
 1. language ID: texts without letters, or whose language is uncertain, go.
-2. n-gram Jaccard join: one document of each group of near copies stays (the least doc_id).
+2. n-gram Jaccard join: one document of each group of near copies stays (the least doc_id, then the least text hash).
 3. suffix-array dedup: repeated passages are cut out of the texts; emptied texts go.
 4. mixing: texts hold their words as often as the mix takes them; what it does not take goes.
 5. packing: the pieces of all documents in sequences of at most 2048 tokens.
 
-Rows without a doc_id or that repeat one are kept apart by their text.  Empty tables give empty results.
+Rows without a doc_id or that repeat one are kept apart by their text (its 64-bit hash).  All other columns, whatever their
+names, travel in one struct and come out as they went in.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentloom.llm.common import doc_key, stored, table
+from intentloom.llm.common import doc_key, stored, table, with_text
 from intentloom.llm.jaccard_join import near_duplicates
 from intentloom.llm.langid import identify, learn
 from intentloom.llm.mixing import mixed_documents
@@ -30,23 +31,22 @@ MIN_SCORE = 0.5  # posterior probability below which a language is uncertain
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, by a model of the documents' own labels."""
-    judged = identify(docs, learn(docs))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    judged = identify(docs.select("text", F.struct("*").alias("row")), learn(docs), ["row"])
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies."""
-    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        doc_key().alias("_doc"), F.col("th").alias("_th")).distinct()
-    keyed = docs.withColumns({"_doc": doc_key(), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(stay, ["_doc", "_th"], "left_semi").dropDuplicates(["_doc", "_th"]).select(*docs.columns)
+    """The first document, by id and then by text, of each class of near copies."""
+    stay = near_duplicates(docs).filter("first").select(doc_key().alias("doc"), "th").distinct()
+    rows = docs.select(doc_key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.struct("*").alias("row"))
+    return rows.join(stay, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat an earlier passage of 100 bytes or more."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = suffix_dedup(docs, carry=others, as_text=True).filter((F.col("n_removed") == 0) | (F.trim("kept") != ""))
-    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(f"`{c}`" for c in docs.columns if c != "text")).alias("row"))
+    cut = suffix_dedup(rows, carry=["row"], as_text=True).filter((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    return cut.select(*with_text(docs, F.col("kept")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
