@@ -68,38 +68,45 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return t, t.count()
 
 
-def candidate_blocks(df: DataFrame, cols: list[str], block_bytes: int | None = None) -> list[DataFrame]:
-    """``df`` as one-row tables with an ``ARRAY<STRUCT<cols>>`` column ``__arr`` of about ``block_bytes`` each.
+def candidate_blocks(df: DataFrame, cols: list[str], block_bytes: int | None = None, by: str | None = None) -> list[DataFrame]:
+    """``df`` as tables of about ``block_bytes`` each with a column ``__arr``, an ``ARRAY<STRUCT<cols>>``.
 
-    Rows are dealt to blocks by a hash of their values, so a scope that holds most candidates is
-    split like any other."""
+    A table has one row; where ``by`` (a scope) is given and takes several values, it has one row ``(by, __arr)``
+    per value, so that a row meets the candidates of its own scope only.  Rows are dealt to blocks by a hash of
+    their values, so a scope that holds most candidates is split like any other."""
     t = materialize(df.select(*cols))
     n = max(1, math.ceil(table_bytes(t) / (block_bytes or BLOCK_BYTES)))
+    keys = [by] if by and t.select(by).distinct().limit(2).count() > 1 else []
     block = F.pmod(F.xxhash64(*cols), F.lit(n))
-    return [(t if n == 1 else t.where(block == i)).agg(F.collect_list(F.struct(*cols)).alias("__arr")) for i in range(n)]
+    return [(t if n == 1 else t.where(block == i)).groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("__arr")) for i in range(n)]
 
 
-def best_candidate(rows: DataFrame, blocks: list[DataFrame], choose, out: str = "__best") -> DataFrame:
+def with_block(rows: DataFrame, block: DataFrame, by: str | None = None) -> DataFrame:
+    """``rows`` with ``__cands``, the block's candidates (of the row's own scope): bounded bytes, so a broadcast."""
+    if len(block.columns) == 1:
+        return rows.withColumn("__cands", block.scalar())
+    return rows.join(F.broadcast(block.withColumnRenamed("__arr", "__cands")), by, "left")
+
+
+def best_candidate(rows: DataFrame, blocks: list[DataFrame], choose, out: str = "__best", by: str | None = None) -> DataFrame:
     """``rows`` with ``out``: the least of the structs that ``choose(candidates)`` finds in each block (null: none).
 
-    Every row is judged in place: none is lost, repeated or merged, and nothing is joined or
+    Every row is judged in place: none is lost, repeated or merged, and no query row is
     shuffled.  Between blocks the rows are written, so a plan holds one block."""
     for i, block in enumerate(blocks):
         if i:
             rows = materialize(rows)
-        x = rows.withColumn("__cands", block.scalar())
         found = choose(F.col("__cands"))
-        rows = x.withColumn(out, F.least(F.col(out), found) if i else found).drop("__cands")
+        rows = with_block(rows, block, by).withColumn(out, F.least(F.col(out), found) if i else found).drop("__cands")
     return rows
 
 
-def each_candidate(rows: DataFrame, blocks: list[DataFrame], mine, select) -> DataFrame:
+def each_candidate(rows: DataFrame, blocks: list[DataFrame], mine, select, by: str | None = None) -> DataFrame:
     """One row per row and candidate in ``mine(candidates)``, as ``select(table with the candidate __c)`` gives it
     (a generator, not a join).  With several blocks, each one's pairs are written to the shared folder."""
     if len(blocks) > 1:
         rows = materialize(rows)
-    parts = [select(rows.withColumn("__cands", b.scalar()).withColumn("__c", F.explode(mine(F.col("__cands")))).drop("__cands"))
-             for b in blocks]
+    parts = [select(with_block(rows, b, by).withColumn("__c", F.explode(mine(F.col("__cands")))).drop("__cands")) for b in blocks]
     if len(parts) == 1:
         return parts[0]
     path = shared_dir(rows.sparkSession, "pairs")

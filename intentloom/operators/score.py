@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentloom.functions import vectors as V
+from intentloom.operators import metric_index as MI
 from intentloom.operators.joins import best_candidate, candidate_blocks, each_candidate
 
 TIE_DIGITS = 9  # distances are rounded before comparing so ties are engine-independent
@@ -49,32 +50,40 @@ def _best(queries: DataFrame, cands: DataFrame, score_of, smaller_is_better: boo
         order = (lambda c: score_of(c)) if smaller_is_better else (lambda c: -score_of(c))
         return F.array_min(F.transform(mine, lambda c: F.struct(order(c).alias("o"), c["label"].alias("label"))))
 
-    b = best_candidate(q, candidate_blocks(cands, cands.columns, block_bytes), choose)
+    b = best_candidate(q, candidate_blocks(cands, cands.columns, block_bytes, scope_col), choose, by=scope_col)
     found = F.col("__best.o") if smaller_is_better else -F.col("__best.o")
     return b.select(key, *carry, F.col("__best.label").alias("pred"), found.alias("score"))
 
 
 def nearest_prototype(queries: DataFrame, protos: DataFrame, scope_col: str = "scope",
                       key: str = "uid", vec: str = "vec", proto: str = "proto", carry=(),
-                      block_bytes: int | None = None) -> DataFrame:
+                      block_bytes: int | None = None, index: bool = False) -> DataFrame:
     """J6 + W6: Euclidean distance of each query to every prototype of its scope;
-    predicted label = smallest distance, ties to the lowest label.
+    predicted label = smallest distance, ties to the lowest label.  ``index`` (for large label sets)
+    measures only the prototypes that the triangle inequality leaves open (``metric_index``): the same rows.
 
     Returns ``(key, carry..., pred, score)``, one row per query row: repeated keys stay apart, and a
     query whose scope has no candidate gets a NULL prediction.
     """
     p = protos.select(scope_col, F.col("label"), F.col(proto).alias("__p"))
+    if index:
+        near = MI.nearest(queries, p, lambda c: F.round(V.l2_dist(vec, c["__p"]), TIE_DIGITS), lambda d: d, scope_col, key, vec, carry=carry, block_bytes=block_bytes)
+        return near.withColumnRenamed("order", "score").drop("visited", "balls")
     return _best(queries, p, lambda c: F.round(V.l2_dist(vec, c["__p"]), TIE_DIGITS), True, scope_col, key, vec, carry, block_bytes)
 
 
 def zero_shot_cosine(queries: DataFrame, label_vecs: DataFrame, scope_col: str = "scope",
                      key: str = "uid", vec: str = "vec", lvec: str = "lvec", carry=(),
-                     block_bytes: int | None = None) -> DataFrame:
+                     block_bytes: int | None = None, index: bool = False) -> DataFrame:
     """J7 + W6: cosine of each query to every label-name vector of its scope;
     best = largest cosine (a zero or NULL vector scores -2), ties to the lowest label.
-    Rows as in ``nearest_prototype``."""
+    Rows and ``index`` as in ``nearest_prototype``."""
     p = label_vecs.select(scope_col, F.col("label"), F.col(lvec).alias("__l"))
     score_of = lambda c: F.round(F.coalesce(V.cosine(vec, c["__l"]), F.lit(-2.0)), TIE_DIGITS)
+    if index:
+        near = MI.nearest(queries, p.withColumn("__p", MI.unit("__l")), lambda c: -score_of(c), lambda d: d * d / 2 - 1, scope_col, key, vec,
+                          point=MI.unit(vec), carry=carry, block_bytes=block_bytes)
+        return near.withColumn("score", -F.col("order")).drop("order", "visited", "balls")
     return _best(queries, p, score_of, False, scope_col, key, vec, carry, block_bytes)
 
 
@@ -87,10 +96,10 @@ def pair_scores(queries: DataFrame, cands: DataFrame, scorer, scope_col: str = "
     per query (a generator, not a join)."""
     cand_cols = list(cand_cols or [c for c in cands.columns if c not in (scope_col, "label")])
     keep = [c for c in queries.columns if c != scope_col]
-    return each_candidate(queries, candidate_blocks(cands, [scope_col, "label", *cand_cols], block_bytes),
+    return each_candidate(queries, candidate_blocks(cands, [scope_col, "label", *cand_cols], block_bytes, scope_col),
                           lambda a: F.transform(F.filter(a, lambda c: c[scope_col] == F.col(scope_col)),
                                                 lambda c: F.struct(c["label"].alias("label"), scorer(c).alias("score"))),
-                          lambda x: x.select(*keep, "__c.label", "__c.score"))
+                          lambda x: x.select(*keep, "__c.label", "__c.score"), scope_col)
 
 
 def label_ranking(scores: DataFrame, key: str = "uid", higher_is_better: bool = True,

@@ -37,15 +37,15 @@ def test_blocks_hold_every_candidate_once(cands):
 
 
 def test_nearest_prototype_at_any_size(queries, cands):
-    one, many = (rows_of(SC.nearest_prototype(queries, cands, carry=("label",), block_bytes=b)) for b in BOUNDS)
-    assert one == many and len(one) == 7
+    one, many, *indexed = (rows_of(SC.nearest_prototype(queries, cands, carry=("label",), block_bytes=b, index=i)) for i in (False, True) for b in BOUNDS)
+    assert one == many and len(one) == 7 and indexed == [one, one]
     by = {(r[0], r[1]): r[2] for r in one}
     assert by[2, "a"] == "a" and by[3, "a"] is None and by[4, "a"] is None and by[1, "b"] is not None
 
 
 def test_zero_shot_at_any_size(queries, cands):
-    one, many = (rows_of(SC.zero_shot_cosine(queries, cands, lvec="proto", carry=("label",), block_bytes=b)) for b in BOUNDS)
-    assert one == many and len(one) == 7
+    one, many, *indexed = (rows_of(SC.zero_shot_cosine(queries, cands, lvec="proto", carry=("label",), block_bytes=b, index=i)) for i in (False, True) for b in BOUNDS)
+    assert one == many and len(one) == 7 and indexed == [one, one]
     assert [r[2:] for r in one if r[0] in (5, 6)] == [("l00", -2.0)] * 2  # ties of -2 go to the lowest label
 
 
