@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentloom.functions import vectors as V
+from intentloom.operators.joins import best_candidate, candidate_blocks
+from intentloom.operators.score import TIE_DIGITS
 
 
 def encode(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
@@ -101,3 +103,44 @@ def entail_prob(model, pairs: DataFrame) -> DataFrame:
     """P(entailed) per pair as ``score``."""
     return model.transform(pairs).withColumn("score", vector_to_array("probability")[1]) \
         .drop("rawPrediction", "probability", "prediction")
+
+
+def pair_weights(model) -> tuple[list[float], float]:
+    """Coefficients (over X14's features) and intercept of a fitted pair classifier."""
+    return [float(c) for c in model.coefficients], float(model.intercept)
+
+
+def best_entailed(queries: DataFrame, cands: DataFrame, weights: list[float], intercept: float, scope_col: str = "scope", key: str = "uid",
+                  vec: str = "vec", lvec: str = "lvec", carry=(), block_bytes: int | None = None) -> DataFrame:
+    """P2 + M2 + W6 in the row: the label that the linear pair model holds most likely entailed, and its probability.
+
+    The model's sum over [a; b; |a-b|; a*b] falls into a text part (once per row), a label part (once per label, and
+    carried with it) and a joint part.  With |b| counted in the label part, the joint part has terms only where the
+    text's vector is not zero: w3 (|a-b| - |b|) + (w4 b) a.  So no pair is emitted: labels travel in blocks
+    of bounded bytes, and each row keeps the best of its scope, ties (of probabilities at 9 digits) to the lowest label.
+
+    A null vector counts as zero.  Returns ``(key, carry..., pred, score)``, one row per query row; without a candidate both are null.
+    """
+    d = len(weights) // 4
+    if len(weights) != 4 * d:
+        raise ValueError("weights must cover the four parts of a pair's features")
+    w_text, w_label, w_gap, w_both = (weights[i * d:(i + 1) * d] for i in range(4))
+    lit = lambda w: F.lit([float(x) for x in w])
+    b = V.as_double(lvec)
+    bias = V.dot(b, lit(w_label)) + V.dot(F.transform(b, F.abs), lit(w_gap)) + F.lit(intercept)
+    labels = cands.select(scope_col, "label", b.alias("__b"), F.zip_with(b, lit(w_both), lambda x, w: x * w).alias("__wb"), bias.alias("__bias"))
+    carry = [c for c in carry if c != key]
+    q = queries.select(*dict.fromkeys([key, *carry, scope_col]), F.coalesce(V.as_double(vec), lit([0.0] * d)).alias("__a"))
+    some = F.filter(F.transform("__a", lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.get(lit(w_gap), i).alias("w"))), lambda t: t["x"] != 0)
+
+    def choose(arr):
+        def of(text, terms):
+            joint = lambda c: F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["w"] * (
+                F.abs(t["x"] - F.get(c["__b"], t["i"])) - F.abs(F.get(c["__b"], t["i"]))) + t["x"] * F.get(c["__wb"], t["i"]))
+            sure = lambda c: F.round(1.0 / (1.0 + F.exp(-(text + c["__bias"] + joint(c)))), TIE_DIGITS)
+            mine = F.filter(arr, lambda c: c[scope_col] == F.col(scope_col))
+            return F.array_min(F.transform(mine, lambda c: F.struct((-sure(c)).alias("o"), c["label"].alias("label"))))
+        return V.let(V.dot("__a", lit(w_text)), lambda text: V.let(some, lambda terms: of(text, terms)))
+
+    out = best_candidate(q, candidate_blocks(labels, labels.columns, block_bytes, scope_col), choose, by=scope_col)
+    return out.select(key, *carry, F.col("__best.label").alias("pred"), (-F.col("__best.o")).alias("score"))

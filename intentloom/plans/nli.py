@@ -58,9 +58,8 @@ def cosine_report(split: DataFrame, scope: str = "joint", k: int = 5) -> DataFra
     return E.class_report(cosine_predictions(split, scope, k))
 
 
-def classifier_scores(split: DataFrame, scope: str = "joint", k: int = 5, dim: int = 64) -> DataFrame:
-    """``(uid, truth, label_name, score)``: the pair classifier (M2), fitted on the training table, over every
-    test row of the scope and every label of its support."""
+def _fitted(split: DataFrame, scope: str, k: int, dim: int):
+    """The pair classifier (M2) fitted on the training table, the scope's test vectors and its support's label vectors."""
     train = training_table(split, k)
     test, sup = S.eval_scope(split, scope, k)
     texts = split.where((F.col("part") == "train_seen") | ((F.col("part") == "support_novel") & (F.col("k") == k)))
@@ -72,12 +71,26 @@ def classifier_scores(split: DataFrame, scope: str = "joint", k: int = 5, dim: i
     model = MD.pair_classifier(MD.pair_features(train.join(tv, "uid").join(lv, "label_name")))
     qv = EN.hash_encode(test.select("uid", "utterance"), dim).join(test.select("uid", F.col("label").alias("truth")), "uid")
     cands = SC.with_scope(sup.select("label").distinct().join(lv.withColumnRenamed("label_name", "label"), "label"), "all")
-    pairs = SC.pair_scores(SC.with_scope(qv, "all"), cands, lambda c: c["lvec"]).select(
+    return model, SC.with_scope(qv, "all"), cands
+
+
+def classifier_scores(split: DataFrame, scope: str = "joint", k: int = 5, dim: int = 64) -> DataFrame:
+    """``(uid, truth, label_name, score)``: the pair classifier over every test row of the scope and every
+    label of its support, one row per pair (for rankings; ``classifier_predictions`` emits no pairs)."""
+    model, qv, cands = _fitted(split, scope, k, dim)
+    pairs = SC.pair_scores(qv, cands, lambda c: c["lvec"]).select(
         "uid", "truth", F.col("label").alias("label_name"), F.col("vec").alias("tvec"), F.col("score").alias("lvec"))
     return MD.entail_prob(model, MD.pair_features(pairs)).select("uid", "truth", "label_name", "score")
 
 
+def classifier_predictions(split: DataFrame, scope: str = "joint", k: int = 5, dim: int = 64, block_bytes: int | None = None) -> DataFrame:
+    """``(uid, label, pred, score)``: the label of the support that the fitted pair classifier holds most likely entailed,
+    for every test row of the scope, judged in its own row."""
+    model, qv, cands = _fitted(split, scope, k, dim)
+    best = MD.best_entailed(qv, cands, *MD.pair_weights(model), carry=("truth",), block_bytes=block_bytes)
+    return best.withColumnRenamed("truth", "label")
+
+
 def classifier_report(split: DataFrame, scope: str = "joint", k: int = 5) -> DataFrame:
-    s = classifier_scores(split, scope, k)
-    best = s.groupBy("uid", "truth").agg(F.min_by("label_name", F.struct(-F.round("score", SC.TIE_DIGITS), F.col("label_name"))).alias("pred"))
-    return E.class_report(best.withColumnRenamed("truth", "label"))
+    """E1 of the fitted entailment model over every test row of the scope."""
+    return E.class_report(classifier_predictions(split, scope, k))

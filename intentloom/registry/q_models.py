@@ -9,6 +9,7 @@ from intentloom.operators import evaluate as E
 from intentloom.operators import models as MD
 from intentloom.operators import pairs as P
 from intentloom.operators import score as SC
+from intentloom.operators import split as S
 from intentloom.plans import nli, split_build
 from intentloom.registry import query
 from intentloom.registry.sqlparts import BOW_TOKENS, HINT, SPLIT, UTT, UTT_LANG
@@ -65,6 +66,39 @@ def m2_novel_predictions(spark, d):
     return n.join(best, "uid").select("uid", "label", F.array_contains("names", F.col("pred")).alias("is_candidate"), "n_scores")
 
 
+@query("m2_classifier_report")
+def m2_classifier_report(spark, d):
+    """The report of the fitted entailment model over every test row of the joint scope, without emitting a pair."""
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    return nli.classifier_report(sp, "joint", 5)
+
+
+# weights in eighths: every sum is exact, so the two engines' probabilities agree to the last digit that counts
+PAIR_WEIGHTS = [((i * m) % 13 - 6) / 8 for m in (5, 7, 11, 3) for i in range(64)]
+
+
+@query("m2_row_scores", sql=f"""
+with sp as ({SPLIT(UTT)}), t as (select uid, label, utterance from sp where part in ('test_seen', 'test_novel')),
+c as (select distinct label as cand from sp where part in ('support_seen', 'support_novel') and k = 5),
+te as (select uid, CAST({HINT('w')} % 64 AS BIGINT) as i, CAST(count(*) AS DOUBLE) as a from (select uid, unnest({BOW_TOKENS('utterance')}) as w from t) group by all),
+ce as (select cand, CAST({HINT('w')} % 64 AS BIGINT) as i, CAST(count(*) AS DOUBLE) as b from (select cand, unnest({BOW_TOKENS('cand')}) as w from c) group by all),
+w as (select i, ((i * 5) % 13 - 6) / 8.0::double as w1, ((i * 7) % 13 - 6) / 8.0::double as w2, ((i * 11) % 13 - 6) / 8.0::double as w3, ((i * 3) % 13 - 6) / 8.0::double as w4 from range(64) r(i)),
+td as (select t.uid, w.i, coalesce(te.a, 0.0::double) as a from t cross join w left join te on te.uid = t.uid and te.i = w.i),
+cd as (select c.cand, w.*, coalesce(ce.b, 0.0::double) as b from c cross join w left join ce on ce.cand = c.cand and ce.i = w.i),
+m as (select uid, cand, sum(w1 * a + w2 * b + w3 * abs(a - b) + w4 * a * b) + 0.25::double as z from td join cd using (i) group by uid, cand),
+p as (select uid, cand, round(1 / (1 + exp(-z)), 9) as s from m)
+select t.uid, t.label, arg_min(cand, struct_pack(ns := -s, c := cand)) as pred, round(max(s), 6) as score from p join t using (uid) group by all
+""")
+def m2_row_scores(spark, d):
+    """P2 in the row with given weights over [a; b; |a-b|; a*b]: every test row against every label of the joint support."""
+    sp, _ = split_build.build(views.utt(spark, d), materialized=True)
+    test, sup = S.eval_scope(sp, "joint", 5)
+    q = test.select("uid", "label").join(EN.hash_encode(test.select("uid", "utterance")), "uid")
+    c = EN.hash_encode(sup.select("label").distinct(), text="label", key="label").withColumnRenamed("vec", "lvec")
+    best = MD.best_entailed(SC.with_scope(q, "all"), SC.with_scope(c, "all"), PAIR_WEIGHTS, 0.25, carry=("label",))
+    return best.withColumn("score", F.round("score", 6))
+
+
 @query("m2_pair_classifier")
 def m2_pair_classifier(spark, d):
     sp, _ = split_build.build(views.part_utt(spark, d), m=2, materialized=True)

@@ -76,3 +76,43 @@ def test_the_query_side_is_scanned_once(spark):
     load_all()
     p = QUERIES["j6_nearest_proto"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("Join") == 1 and p.count("embeddings.parquet") <= 1 and "LeftAnti" in p
+
+
+@pytest.mark.parametrize("block_bytes", [None, 2000])
+def test_pair_model_in_the_row_equals_the_pair_form(spark, block_bytes):
+    import math
+    import random
+    from intentloom.operators import models as MD
+    rnd = random.Random(5)
+    d = 6
+    weights, intercept = [rnd.uniform(-2, 2) for _ in range(4 * d)], 0.3
+    vec = lambda: [float(rnd.choice([0, 0, 1, 2, -1.5])) for _ in range(d)]
+    texts = [(i, rnd.choice("st"), "t", vec()) for i in range(60)] + [(60, "s", "t", None), (61, "none", "t", vec()), (62, None, "t", vec()), (5, "s", "u", vec())]
+    names = [("s", f"l{i:02d}", vec()) for i in range(40)] + [("s", "twin", [0.0] * d), ("s", "a twin", [0.0] * d), ("t", "only", vec())]
+
+    def sure(a, b):
+        x = [*a, *b, *(abs(p - q) for p, q in zip(a, b)), *(p * q for p, q in zip(a, b))]
+        return round(1 / (1 + math.exp(-(sum(w * v for w, v in zip(weights, x)) + intercept))), 9)
+
+    want = []
+    for uid, scope, label, a in texts:
+        scored = sorted((-sure(a or [0.0] * d, b), n) for s, n, b in names if s == scope)
+        want.append((uid, label, scored[0][1] if scored else None, -scored[0][0] if scored else None))
+    got = MD.best_entailed(spark.createDataFrame(texts, "uid long, scope string, label string, vec array<double>"),
+                           spark.createDataFrame(names, "scope string, label string, lvec array<double>"), weights, intercept, carry=("label",), block_bytes=block_bytes)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_fitted_pair_model_gives_the_same_predictions_without_pairs(spark):
+    from intentloom.plans import nli, split_build
+    from intentloom.sources import views
+    from tests.conftest import SF_SMALL
+    sp, _ = split_build.build(views.utt(spark, SF_SMALL), materialized=True)
+    best = nli.classifier_scores(sp, "joint", 5).groupBy("uid", "truth").agg(
+        F.min_by("label_name", F.struct(-F.round("score", SC.TIE_DIGITS), F.col("label_name"))).alias("pred"))
+    rows = nli.classifier_predictions(sp, "joint", 5)
+    assert sorted(map(tuple, best.collect())) == sorted((r.uid, r.label, r.pred) for r in rows.collect())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan.split("Scan")[0]
+    report = {r.label: r for r in nli.classifier_report(sp, "joint", 5).collect()}
+    assert report["accuracy"].support == rows.count() and report["weighted avg"].f1 > 0
