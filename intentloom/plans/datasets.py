@@ -53,10 +53,8 @@ def read_layout(spark: SparkSession, layout: str, paths: list[str], multi_line:
             df = R.read_json_examples(spark, p, multi_line=multi_line)
         else:
             text_col, label_col = ("text", "category") if layout == "csv_text_category" else ("1", "0")
-            df = R.arrival_key(spark.read.option("header", True).option("multiLine", True)
-                               .option("escape", '"').csv(p))
-            df = df.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("utterance"),
-                           F.struct("__file", "__block", "__row").alias("ord_key"))
+            df = R.keyed_csv(spark, p, text_col, label_col, multi_line)
+            df = df.select("label", "utterance", F.struct("__file", "__block", "__row").alias("ord_key"))
         parts.append(df.select("label", "utterance", F.struct(F.lit(i).alias("f"), "ord_key").alias("__k")))
     u = parts[0]
     for p in parts[1:]:

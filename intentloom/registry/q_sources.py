@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from intentloom.functions.order import hash_int
 from intentloom.operators import labels as L
 from intentloom.operators import split as S
 from intentloom.operators import sweeps as W
@@ -78,6 +79,52 @@ def s5_json_struct(spark, d):
     return R.read_json_examples(spark, path).select("label", F.md5("utterance").alias("text_md5"))
 
 
+@query("s4_json_documents", sql=f"""
+select p_type as label, p_name as utterance, ['val', 'test', 'train'][CAST({HINT('p_partkey')} % 3 AS INTEGER) + 1] as split from part
+""")
+def s4_json_documents(spark, d):
+    """One document per file, over many lines, read in splits."""
+    path = shared_dir(spark, "s4d")
+    x = views.part_utt(spark, d).withColumn("no", (hash_int("uid") % 3).cast("int")).withColumn("chunk", (hash_int("uid") % 4).cast("int"))
+    lists = [F.collect_list(F.when(F.col("no") == i, F.array("utterance", "label"))).alias(s) for i, s in enumerate(("val", "test", "train"))]
+    X.write_documents(x.groupBy("chunk").agg(*lists).select("chunk", F.struct("val", "test", "train").alias("doc")), path)
+    return R.read_json_pairs(spark, path, multi_line=True).select("label", "utterance", "split")
+
+
+@query("s5_json_documents", sql="select role as label, md5(text) as text_md5 from conversations")
+def s5_json_documents(spark, d):
+    """One document per file, over many lines, read in splits."""
+    path = shared_dir(spark, "s5d")
+    x = views.conv(spark, d).withColumn("chunk", (F.crc32(F.col("utterance").cast("binary")) % 4).cast("int"))
+    examples = F.collect_list(F.struct(F.col("utterance").alias("text"), F.col("label").alias("intent"))).alias("common_examples")
+    X.write_documents(x.groupBy("chunk").agg(examples).select("chunk", F.struct(F.struct("common_examples").alias("rasa_nlu_data")).alias("doc")), path)
+    return R.read_json_examples(spark, path, multi_line=True).select("label", F.md5("utterance").alias("text_md5"))
+
+
+@query("s7_json_documents", sql=f"select word, round({VSUM('vec')}, 6) as vec_sum from ({TOK_VEC})")
+def s7_json_documents(spark, d):
+    """One array per file, over many lines, read in splits."""
+    from intentloom.functions import vectors as V
+    path = shared_dir(spark, "s7d")
+    x = views.tok_vec(spark, d).withColumn("chunk", (hash_int("word") % 3).cast("int"))
+    X.write_documents(x.groupBy("chunk").agg(F.collect_list(F.struct("word", "vec")).alias("doc")), path)
+    return R.read_word_vectors_json(spark, path, multi_line=True).select("word", F.round(V.vsum("vec"), 6).alias("vec_sum"))
+
+
+@query("s1_quarantine", sql=f"""
+select label, count(*) filter (h % 9 <> 0) as n_rows, count(*) filter (h % 9 = 0) as n_rejects
+from (select p_type as label, {HINT('p_partkey')} as h from part) group by label
+""")
+def s1_quarantine(spark, d):
+    """Rows with a field too many go to the rejects, all others are read."""
+    path = shared_dir(spark, "s1q")
+    bad = F.when(hash_int("uid") % 9 == 0, F.lit("\tone more")).otherwise(F.lit(""))
+    views.part_utt(spark, d).select(F.concat("label", F.lit("\t"), "utterance", bad).alias("value")).write.text(path)
+    rows, rejects = R.read_tsv_checked(spark, path)
+    both = rows.select("label", F.lit(0).alias("bad")).unionByName(rejects.select(F.split_part("record", F.lit("\t"), F.lit(1)).alias("label"), F.lit(1).alias("bad")))
+    return both.groupBy("label").agg(F.count_if(F.col("bad") == 0).alias("n_rows"), F.count_if(F.col("bad") == 1).alias("n_rejects"))
+
+
 @query("s6_label_list", sql=f"""
 select label, CAST(row_number() over (order by label) - 1 AS INTEGER) as label_id from (select distinct label from ({UTT}))
 """)

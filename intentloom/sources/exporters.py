@@ -81,6 +81,12 @@ def write_json_examples(df: DataFrame, path: str, rows_per_chunk: int = 10_000,
     g.select(F.struct(F.col("ex").alias("common_examples")).alias("rasa_nlu_data")).write.mode("overwrite").json(path)
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """One JSON document per file, over many lines (the reference's form): ``docs(chunk, doc)``, ``doc`` a struct or an array."""
+    text = F.to_json("doc", {"pretty": "true"})
+    docs.select("chunk", text.alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
+
+
 def write_label_list(labels: DataFrame, path: str) -> None:
     """S6 layout: one label per line."""
     labels.select(F.col("label").alias("value")).write.mode("overwrite").text(path)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from intentloom.functions.text import strip
 from intentloom.operators.rank import global_rank
+from intentloom.session import materialize
+from intentloom.sources import splits as SP
 
 JSON_SPLIT_ORDER = ("val", "test", "train")
 
@@ -59,15 +61,74 @@ def read_lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFra
 def read_csv_header(spark: SparkSession, path: str, text_col: str = "text", label_col: str = "category",
                     ordered: bool = False, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; project the named text and label columns
-    (``text``/``category``, or ``"1"``/``"0"`` for the custom layout).  Without
-    ``multi_line`` large files are split over tasks."""
-    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    if ordered:
-        df = arrival_key(df)
-    out = df.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("utterance"),
-                    *([c for c in ("__file", "__block", "__row") if ordered]))
-    return with_ord(out) if ordered else out
+    (``text``/``category``, or ``"1"``/``"0"`` for the custom layout).  ``multi_line`` reads newlines inside
+    quotes: records are found across the splits of a file (``sources.splits``), so large files are many tasks either way."""
+    df = keyed_csv(spark, path, text_col, label_col, multi_line)
+    return with_ord(df) if ordered else df.select("label", "utterance")
+
+
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def keyed_csv(spark: SparkSession, path: str, text_col: str, label_col: str, multi_line: bool) -> DataFrame:
+    """``read_csv_header`` with the columns of ``arrival_key``."""
+    if multi_line:
+        r = SP.csv_records(spark, path).where("__gid > 0").where(F.trim("record") != "")  # a file's first record is its header
+        schema = ", ".join(f"`{c}` STRING" for c in _header(spark, path))
+        df = r.select("__file", F.lit(0).cast("long").alias("__block"), F.col("__gid").alias("__row"), F.from_csv("record", F.lit(schema), CSV).alias("__r"))
+        df = df.select("__file", "__block", "__row", "__r.*")
+    else:
+        df = arrival_key(spark.read.option("header", True).options(**CSV).csv(path))
+    return df.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("utterance"), "__file", "__block", "__row")
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.options(**CSV).option("header", True).csv(path).columns
+
+
+class MalformedRows(ValueError):
+    """A strict read met rows that do not fit the layout."""
+
+
+def _parted(r: DataFrame, bad, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)`` of a table written once; strict: an error that names the number and the first of the rejects."""
+    r = materialize(r, "checked")
+    rejects = r.where(bad)
+    if strict and (n := rejects.count()):
+        raise MalformedRows(f"{n} malformed rows, such as {rejects.orderBy('file', 'record_no').first()}")
+    return r.where(~bad), rejects
+
+
+def read_tsv_checked(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S1 with a quarantine: ``(rows, rejects)``.  A row with more than two fields, at which the usual parsers stop, or with a
+    quote that nothing closes, is no row but a reject ``(file, record_no, record, n_fields)``; fewer fields leave nulls.
+    ``strict`` raises ``MalformedRows`` instead."""
+    r = SP.csv_records(spark, path, "\t").where(F.trim("record") != "")
+    r = r.select(F.col("__file").alias("file"), F.col("__gid").alias("record_no"), "record", SP.field_count(F.col("record"), "\t").alias("n_fields"),
+                 SP.left_open(F.col("record"), "\t").alias("open"))
+    good, rejects = _parted(r, (F.col("n_fields") > 2) | F.col("open"), strict)
+    row = F.from_csv("record", F.lit("label STRING, utterance STRING"), {**CSV, "sep": "\t"})
+    return good.select(row.alias("r")).select("r.*"), rejects.drop("open")
+
+
+def read_csv_checked(spark: SparkSession, path: str, text_col: str = "text", label_col: str = "category", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S3 with a quarantine, as ``read_tsv_checked``; a row may have as many fields as the header."""
+    names = _header(spark, path)
+    r = SP.csv_records(spark, path).where("__gid > 0").where(F.trim("record") != "")
+    r = r.select(F.col("__file").alias("file"), F.col("__gid").alias("record_no"), "record", SP.field_count(F.col("record"), ",").alias("n_fields"),
+                 SP.left_open(F.col("record"), ",").alias("open"))
+    good, rejects = _parted(r, (F.col("n_fields") > len(names)) | F.col("open"), strict)
+    row = F.from_csv("record", F.lit(", ".join(f"`{c}` STRING" for c in names)), CSV)
+    return good.select(row.alias("r")).select(F.col("r")[label_col].alias("label"), F.col("r")[text_col].alias("utterance")), rejects.drop("open")
+
+
+def read_json_checked(spark: SparkSession, path: str, schema: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S4, S5 (one document per line) with a quarantine: ``(documents, rejects)``, the rejects being lines that are no JSON of
+    ``schema``: ``(file, record_no, record)``."""
+    df = arrival_key(spark.read.schema(schema + ", __bad STRING").option("columnNameOfCorruptRecord", "__bad").json(path))
+    df = df.select(F.col("__file").alias("file"), F.struct("__block", "__row").alias("record_no"), F.col("__bad").alias("record"), *(c for c in df.columns if not c.startswith("__")))
+    good, rejects = _parted(df, F.col("record").isNotNull(), strict)
+    return good.drop("file", "record_no", "record"), rejects.select("file", "record_no", "record")
 
 
 def read_json_pairs(spark: SparkSession, path: str, splits=JSON_SPLIT_ORDER, multi_line: bool = False) -> DataFrame:
@@ -76,10 +137,16 @@ def read_json_pairs(spark: SparkSession, path: str, splits=JSON_SPLIT_ORDER, mul
 
     Adds ``split`` and an ``ord_key`` struct (split order, file order, list
     position); rank it with ``with_ord`` if dense numbers are needed.  One scan: the
-    lists are exploded from one array, tagged with their split.
+    lists are exploded from one array, tagged with their split.  ``multi_line``: each file
+    is one document, of any size, read by many tasks (``sources.splits``).
     """
+    if multi_line:
+        e = SP.json_elements(spark, path, 2, "[").where(F.col("list").isin(*splits)).withColumn("__pair", F.from_json("element", "array<string>"))
+        no = F.array_position(F.lit(list(splits)), F.col("list")).cast("int") - 1
+        return e.select(F.get("__pair", F.lit(1)).alias("label"), F.get("__pair", F.lit(0)).alias("utterance"), F.col("list").alias("split"),
+                        F.struct(no.alias("__split_no"), "__file", F.lit(0).cast("long").alias("__block"), F.col("__gid").alias("__row"), F.lit(0).alias("__pos")).alias("ord_key"))
     schema = ", ".join(f"{s} ARRAY<ARRAY<STRING>>" for s in splits)
-    df = arrival_key(spark.read.schema(schema).option("multiLine", multi_line).json(path))
+    df = arrival_key(spark.read.schema(schema).json(path))
     lists = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(s).alias("split"), F.col(s).alias("pairs")) for i, s in enumerate(splits)])
     x = df.select("__file", "__block", "__row", F.explode(lists).alias("__l"))
     x = x.select("__file", "__block", "__row", F.col("__l.no").alias("__split_no"), F.col("__l.split").alias("split"),
@@ -89,9 +156,13 @@ def read_json_pairs(spark: SparkSession, path: str, splits=JSON_SPLIT_ORDER, mul
 
 
 def read_json_examples(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """``{rasa_nlu_data: {common_examples: [{text, intent}, ...]}}``."""
+    """``{rasa_nlu_data: {common_examples: [{text, intent}, ...]}}``; ``multi_line`` as for S4."""
+    if multi_line:
+        e = SP.json_elements(spark, path, 3, "{").where("list = 'common_examples'").withColumn("e", F.from_json("element", "text STRING, intent STRING"))
+        return e.select(F.col("e.intent").alias("label"), F.col("e.text").alias("utterance"),
+                        F.struct("__file", F.lit(0).cast("long").alias("__block"), F.col("__gid").alias("__row"), F.lit(0).alias("__pos")).alias("ord_key"))
     schema = "rasa_nlu_data STRUCT<common_examples: ARRAY<STRUCT<text: STRING, intent: STRING>>>"
-    df = arrival_key(spark.read.schema(schema).option("multiLine", multi_line).json(path))
+    df = arrival_key(spark.read.schema(schema).json(path))
     ex = df.select("__file", "__block", "__row",
                    F.posexplode("rasa_nlu_data.common_examples").alias("__pos", "e"))
     return ex.select(F.col("e.intent").alias("label"), F.col("e.text").alias("utterance"),
@@ -107,8 +178,12 @@ def read_word_vectors_json(spark: SparkSession, path: str, nmax: int | None = No
                            multi_line: bool = False) -> DataFrame:
     """JSON arrays (or objects) of ``{word, vec}``.  With ``nmax`` it keeps
     the first **nmax + 1** entries in file order, as the reference's loop does
-    (it breaks only when i > nmax).  Adds ``word_id`` in file order (W4)."""
-    df = arrival_key(spark.read.schema("word STRING, vec ARRAY<FLOAT>").option("multiLine", multi_line).json(path))
+    (it breaks only when i > nmax).  Adds ``word_id`` in file order (W4).  ``multi_line``: one array per file, as for S4."""
+    if multi_line:
+        e = SP.json_elements(spark, path, 1, "{").withColumn("e", F.from_json("element", "word STRING, vec ARRAY<FLOAT>"))
+        df = e.select("e.*", "__file", F.lit(0).cast("long").alias("__block"), F.col("__gid").alias("__row"))
+    else:
+        df = arrival_key(spark.read.schema("word STRING, vec ARRAY<FLOAT>").json(path))
     df = df.where(F.col("word").isNotNull())
     if nmax is not None:
         df = df.orderBy("__file", "__block", "__row").limit(nmax + 1)
