@@ -98,13 +98,34 @@ def brute_tree(pages, min_support=20, z=2.58, smooth=10.0, reject=0.5):
                 template[r[0]] = (host, name + ("/" if r[2].endswith("/") else ""), r[4])
             else:
                 kids.setdefault(r[3][d], []).append(r)
-        every = labels([r for k in kids.values() for r in k])
+        often = {s: k for s, k in kids.items() if len(k) >= min_support and labels(k)}
+        classes = {}
         for s, k in kids.items():
-            lab, others, literal = len(labels(k)), len(every) - len(labels(k)), False
-            if len(k) >= min_support and lab and others:
-                p, bad = sum(every) / len(every), sum(labels(k))
-                literal = abs(bad / lab - (sum(every) - bad) / others) > z * (p * (1 - p) * (1 / lab + 1 / others)) ** 0.5
-            nodes.setdefault((host, f"{name}/{s if literal else '*'}", d + 1), []).extend(k)
+            lab = labels(k)
+            classes.setdefault(sum(lab) * 1000 // len(lab) if s in often else -1, []).append(s)
+        pool = [[set(ss), labels([r for s in ss for r in kids[s]]), step < 0] for step, ss in sorted(classes.items())]
+        pool = sorted((c for c in pool if c[1]), key=lambda c: sum(c[1]) / len(c[1]))
+        while len(pool) > 1:
+            best = None
+            for i in range(len(pool) - 1):
+                a, b = pool[i][1], pool[i + 1][1]
+                p = (sum(a) + sum(b)) / (len(a) + len(b))
+                gap, noise = abs(sum(a) / len(a) - sum(b) / len(b)), (p * (1 - p) * (1 / len(a) + 1 / len(b))) ** 0.5
+                far = gap / noise if noise else (0.0 if gap == 0 else float("inf"))
+                if best is None or far < best[0] - 1e-12:
+                    best = (far, i)
+            if best[0] > z:
+                break
+            i = best[1]
+            pool[i:i + 2] = [[pool[i][0] | pool[i + 1][0], pool[i][1] + pool[i + 1][1], pool[i][2] or pool[i + 1][2]]]
+        star = next((c for c in pool if c[2]), max(pool, key=lambda c: sum(len(kids[s]) for s in c[0])) if pool else None)
+        name_of = {}
+        for n, c in enumerate(pool):
+            for s in c[0] if c is not star else ():
+                name_of[s] = s if len(c[0]) == 1 else f"*{n}"
+        total = sum(map(len, kids.values()))
+        for s, k in kids.items():
+            nodes.setdefault((host, f"{name}/{name_of.get(s, '*') if total >= min_support else '*'}", d + 1), []).extend(k)
     every = [b for _, _, b in pages if b is not None]
     groups = {}
     for h, t, b in template.values():
@@ -127,3 +148,37 @@ def test_tree_equals_brute_force(spark):
     assert {r.page_id: (r.template, r.verdict) for r in got} == want and len(got) == len(pages)
     verdicts = lambda part: {want[i][1] for i, u, _ in pages if part in u}
     assert verdicts("/offer/") == verdicts("/casino") == verdicts("/y/") == {"block"} and verdicts("/x/") == {"allow"}
+
+
+def test_alike_siblings_are_judged_together(spark):
+    # three branches of 60 pages with 8 of 8 bad labels each, two clean ones, and many pages that vary
+    rows = [(f"http://h/{s}/{i}", 1 if i < 8 else None) for s in ("x", "y", "z") for i in range(60)]
+    rows += [(f"http://h/{s}/{i}", 0 if i < 30 else None) for s in ("c", "d") for i in range(60)]
+    rows += [(f"http://h/page{i}/v", int(i % 4 == 0) if i % 2 else None) for i in range(400)] + [("http://h/*/q", 1)] * 30
+    pages = [(i, u, b) for i, (u, b) in enumerate(rows)]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, bad int"), []).collect()}
+    bad = {got[i].template for i, u, _ in pages if u.split("/")[3] in "xyz"}
+    clean = {got[i].template for i, u, _ in pages if u.split("/")[3] in "cd"}
+    assert len(bad) == len(clean) == 1 and bad != clean
+    assert {got[i].verdict for i, u, _ in pages if u.split("/")[3] in "xyz"} == {"block"} and {got[i].verdict for i, u, _ in pages if u.split("/")[3] in "cd"} == {"allow"}
+    want = brute_tree([p for p in pages if "/*/" not in p[1]])
+    rest = judge_urls(spark.createDataFrame([p for p in pages if "/*/" not in p[1]], "page_id long, url string, bad int"), []).collect()
+    assert {r.page_id: (r.template, r.verdict) for r in rest} == want
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    import intentloom.llm.url_filter as m
+    rounds = []
+    monkeypatch.setattr(m, "stored", lambda df, name, f=m.stored: rounds.append(name) or f(df, name))
+    deep = "/".join(f"s{k % 7}" for k in range(5000))
+    pages = [(i, f"http://deep/{deep}/{'xy'[i % 2]}/{i}", i % 2) for i in range(120)]
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string, bad int"), []).collect()
+    assert rounds.count("url-children") < 25
+    assert {r.verdict for r in got if r.page_id % 2} == {"block"} and {r.verdict for r in got if not r.page_id % 2} == {"allow"}
+    assert all(r.template.count("/") == 5002 and r.template.startswith("/*" * 5000) for r in got)
+
+
+def test_clashing_names_and_long_urls(spark):
+    names = "template _seg _at _deep _s n lab step cluster wild segments _name _h _t bad_share rule verdict path host all_n stride share".split()
+    df = spark.createDataFrame([(1, "http://a.b/" + "x" * 200_000 + "/y", 1, *names), (2, None, None, *names)], "page_id long, url string, bad int, " + ", ".join(f"{c} string" for c in names))
+    assert sorted((r.page_id, len(r.path), r.template) for r in judge_urls(df, []).collect()) == [(1, 200_003, "/*/*"), (2, 0, "")]
