@@ -82,20 +82,22 @@ def sample(labelled: DataFrame, per_language: int) -> DataFrame:
 
 def learn(labelled: DataFrame, per_language: int = 1000) -> dict:
     """The model of ``labelled(text, lang)``: languages, and log frequencies per word and n-gram of the sample."""
-    counts = sample(labelled, per_language).mapInArrow(_count, "lang string, n int, entry string, c long").groupBy("lang", "n", "entry").agg(F.sum("c").alias("c"))
-    got = counts.withColumn("all", F.sum("c").over(W.partitionBy("lang", "n"))).collect()
-    langs = sorted({r.lang for r in got})
-    at = {lang: i for i, lang in enumerate(langs)}
-    totals = {(r.lang, r.n): r["all"] for r in got}
-    seen: dict = {}
-    for r in got:
-        seen.setdefault((r.n, r.entry), {})[at[r.lang]] = r.c
+    counts = stored(sample(labelled, per_language).mapInArrow(_count, "lang string, n int, entry string, c long").groupBy("lang", "n", "entry").agg(
+        F.sum("c").alias("c")), "lang-counts")
+    totals = {(r.lang, r.n): r.c for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
+    langs = sorted({lang for lang, _ in totals})
+    if not langs:
+        return {"langs": [], "tables": {n: {} for n in (0, *ORDERS)}}
+    per = counts.groupBy("n", "entry").agg(*(F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("c"))), F.lit(0)).alias(f"c{i}") for i, lang in enumerate(langs)))
     tables: dict[int, dict] = {n: {} for n in (0, *ORDERS)}
     alike: dict[tuple, tuple] = {}  # most entries are rare and share their figures with others
-    for (n, entry), c in seen.items():
-        # an entry that a language lacks has half a count there
-        v = tuple(math.log((c.get(i, 0) + 0.5) / (totals.get((lang, n), 0) + 1.0)) for lang, i in at.items())
-        tables[n][entry] = alike.setdefault(v, v)
+    for b in per.toArrow().to_batches(1 << 16):
+        names, entries = b.column("n").to_pylist(), b.column("entry").to_pylist()
+        for n, entry, *c in zip(names, entries, *(b.column(f"c{i}").to_pylist() for i in range(len(langs)))):
+            v = alike.get((n, *c))
+            if v is None:  # an entry that a language lacks has half a count there
+                v = alike[(n, *c)] = tuple(math.log((x + 0.5) / (totals.get((lang, n), 0) + 1.0)) for lang, x in zip(langs, c))
+            tables[n][entry] = v
     return {"langs": langs, "tables": tables}
 
 
