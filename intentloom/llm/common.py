@@ -44,6 +44,21 @@ def doc_key(doc_id="doc_id"):
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(MAX_LONG))
 
 
+_HOT_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``found(key, n, ...)``, which has one row per key and counts the rows of the key in ``n``.
+
+    Keys that hold more than one in ``_HOT_KEYS`` of the ``total`` rows, so at most that many, are broadcast and their rows stay
+    where they are; all others meet in a shuffle, in which no key is large.  Both are written tables, read twice."""
+    hot = F.col("n") > max(total // _HOT_KEYS, 1)
+    often = F.broadcast(found.filter(hot))
+    some = rows.filter(F.col(key).isNotNull())
+    return (some.join(often, key).unionByName(some.join(often.select(key), key, "left_anti").join(found.filter(~hot), key, "left"))
+            .unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True))
+
+
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(data, offsets)`` of a string or binary Arrow column (nulls as empty)."""
     if isinstance(col, pa.ChunkedArray):

@@ -6,11 +6,11 @@ the sorted documents are cut into shards of equal row counts (law ``rows``: at m
 apart).  Neighbours on the curve are near in every dimension, so a shard's min/max of each
 dimension is narrow and files can be skipped by any of them.  Copies of a text take the
 place of their earliest document and so lie side by side; a group is only divided where a
-cut falls into it.
+cut falls into it.  Strings are placed by the rank of their whole value among the different values.
 
 Plan: texts are read once for size and checksums; all else moves narrow rows.  The order is a
 range partitioning on (index, text hash, doc_id), so a cell or text that holds a third of all
-rows is still divided, and a row's global rank is its place in its partition plus the sizes
+rows is still divided, no join gathers the rows of one text or source, and a row's global rank is its place in its partition plus the sizes
 of the partitions before it (one row per partition).
 
 Defined results: a null text has size 16 and checksum 0 and is not equal to an empty text's
@@ -26,15 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from intentloom.llm.common import doc_key, shuffle_partitions, stored
+from intentloom.llm.common import doc_key, lookup, shuffle_partitions, stored
 
 _ROW_BITS = 33  # of monotonically_increasing_id
 
 
-def text_rank(col: Column) -> Column:
-    """Strings as numbers in code-point order (their first six bytes)."""
-    h = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(h, 16, 10).cast("double")
+def text_rank(rows: DataFrame, name: str, out: str, total: int) -> DataFrame:
+    """``rows`` (a written table) with ``out``: the place of the string ``name`` among the different values in code-point
+    order, as a double (null: null).  Whole values count, however much of their beginnings they share."""
+    values = stored(rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")), "values")
+    places = stored(ranked(values, [name], out).select(name, "n", F.col(out).cast("double").alias(out)), "places")
+    return lookup(rows, places, name, total).drop("n")
 
 
 def quantise(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
@@ -99,13 +101,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 4) -> DataFram
     text = F.coalesce("text", F.lit(""))
     narrow = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.crc32(text.cast("binary")).alias("text_crc32"),
                                 F.xxhash64(text, F.col("text").isNull()).alias("th"), "lang", "source"), "shard-rows")
+    total = narrow.count()
     # a text's place is that of its earliest document
-    group = (narrow.groupBy("th").agg(F.min(F.struct(doc_key().alias("id"), "lang", "source")).alias("g"), F.count("*").alias("copies"))
-             .filter("copies > 1").select("th", "g"))
+    group = stored(narrow.groupBy("th").agg(F.min(F.struct(doc_key().alias("id"), "lang", "source")).alias("g"), F.count("*").alias("n")).filter("n > 1"), "shard-texts")
     own = F.coalesce("g", F.struct(doc_key().alias("id"), "lang", "source"))
-    rows = narrow.join(group, "th", "left").withColumn("g", own).select(
-        "doc_id", "bytes", "text_crc32", "th", F.col("g.id").cast("double").alias("d_id"), text_rank(F.col("g.lang")).alias("d_lang"),
-        text_rank(F.col("g.source")).alias("d_source"), F.col("bytes").cast("double").alias("d_size"))
+    rows = lookup(narrow, group, "th", total).withColumn("g", own).select(
+        "doc_id", "bytes", "text_crc32", "th", F.col("g.id").cast("double").alias("d_id"), F.col("g.lang").alias("lang"), F.col("g.source").alias("source"),
+        F.col("bytes").cast("double").alias("d_size"))
+    rows = text_rank(stored(rows, "shard-places"), "lang", "d_lang", total)
+    rows = text_rank(stored(rows, "shard-places"), "source", "d_source", total).drop("lang", "source")
+    rows = stored(rows, "shard-places")
     dims = ["d_lang", "d_source", "d_size", "d_id"]
     rows = hilbert_index(quantise(rows, dims, bits), dims, bits)
     s, n, r = F.lit(shards).cast("long"), F.col("total"), F.col("rank")

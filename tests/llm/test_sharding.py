@@ -1,6 +1,7 @@
 """Hilbert shards: the law, gapless slots, the curve itself, pruning."""
 
 import itertools
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -62,3 +63,60 @@ def test_files_prune(spark):
 
 def test_empty(spark):
     assert hilbert_shards(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def plain_index(cell, bits):
+    x, n = list(cell), len(cell)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        t ^= (q - 1) if x[-1] & q else 0
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_order_of_the_quantised_rows(spark):
+    import math
+    rnd = random.Random(6)
+    source = lambda i: rnd.choice([None, *(f"https://a.long/common/beginning/{k:03d}" for k in range(30))])
+    rows = [(i, f"text {i} " * rnd.randrange(1, 50), rnd.choice(["en-long-name-a", "en-long-name-b", None]), source(i)) for i in range(300)]
+    rows += [(1000 + i, rows[i % 5][1], "zz", "other") for i in range(120)] + [(None, "no id", "de", None), (7, "again", "de", "x")]
+    got = hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4), 8).collect()
+    key = lambda r: (1 << 63) - 1 if r[0] is None else r[0]
+    first = {}
+    for r in sorted(rows, key=key):
+        first.setdefault(r[1], r)
+    place = lambda col, v: -math.inf if v is None else float(sorted({r[col] for r in rows if r[col] is not None}).index(v))
+    dims = [[place(2, first[r[1]][2]), place(3, first[r[1]][3]), float(len(r[1])), float(key(first[r[1]]))] for r in rows]
+    cells = []
+    for d in range(4):
+        v = sorted(x[d] for x in dims)
+        cuts = [v[math.ceil(p * len(v) / 16) - 1] for p in range(1, 16)]
+        cells.append([sum(x[d] > c for c in cuts) for x in dims])
+    want = {}
+    for r, *cell in zip(rows, *cells):
+        want.setdefault((r[0], len(r[1]) + 16), []).append(plain_index(cell, 4))
+    have = {}
+    for r in got:
+        have.setdefault((r.doc_id, r["size"]), []).append(r.hilbert)
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    order = [r.hilbert for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
+def test_prunes_by_the_end_of_long_names(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id").alias("text"), F.lit("en").alias("lang"),
+                                  F.concat(F.lit("common-crawl-"), F.xxhash64("id") % 8 + 2010).alias("source"))
+    bounds = write_shards(df, shared_dir(spark, "hilbert"), 32).collect()
+    assert len([b for b in bounds if b.min_source <= "common-crawl-2012" <= b.max_source]) <= len(bounds) * 0.6
