@@ -10,7 +10,7 @@ than a shingle has one shingle, all its words; a null or empty text has the empt
 sketches have likeness 1.
 
 ``with_next`` gives each document the next one (descending id, null first; after the last the first):
-ids are cut into blocks at approximate quantiles, one shuffle brings each block's texts together, a
+ids (and, for an id with very many rows, hashes of the texts) are cut into blocks at approximate quantiles, one shuffle brings each block's texts together, a
 window looks one row ahead, and only each block's last row gets its neighbour from a table with one
 row per block.
 """
@@ -80,19 +80,27 @@ def as_text(a: Column) -> Column:
 
 
 def _blocks(keys: DataFrame, n: int):
-    """A column expression's steps that number ``_key`` by ``n`` (a power of two) quantile blocks."""
+    """A column expression's steps that number ``(_key, _th)`` by ``n`` (a power of two) blocks, in their order: cut at
+    quantiles of the key, and a key that holds several quantiles (such as null) is dealt to as many blocks by its hash."""
     at = [i / n for i in range(1, n)]
     cuts = keys.agg(F.percentile_approx("_key", at, max(10_000, 4 * n)).alias("c")).first()["c"] or []
     cuts = sorted(cuts) + [MAX_LONG] * (n - 1 - len(cuts))
     edges = F.array(*(F.lit(int(c)) for c in cuts))
 
-    def put(df: DataFrame) -> DataFrame:
-        df, step = df.withColumn("_block", F.lit(0)), n // 2
-        while step:  # binary search
-            b = F.col("_block")
-            df = df.withColumn("_block", F.when(F.element_at(edges, b + step) < F.col("_key"), b + step).otherwise(b))
+    def below(df: DataFrame, out: str, strict: bool) -> DataFrame:
+        """Adds the number of edges below the key (or up to it): binary search."""
+        df, step = df.withColumn(out, F.lit(0)), n // 2
+        while step:
+            b, edge = F.col(out), F.element_at(edges, F.col(out) + step)
+            df = df.withColumn(out, F.when((edge < F.col("_key")) if strict else (edge <= F.col("_key")), b + step).otherwise(b))
             step //= 2
         return df
+
+    def put(df: DataFrame) -> DataFrame:
+        df = below(below(df, "_block", True), "_upto", False)
+        spread = F.greatest(F.col("_upto") - F.col("_block"), F.lit(1))
+        share = F.col("_th") / F.lit(2.0 ** 64) + 0.5  # rises with the hash, from 0 to 1
+        return df.withColumn("_block", F.col("_block") + F.least(F.floor(share * spread), spread - 1).cast("int")).drop("_upto")
     return put
 
 

@@ -78,3 +78,20 @@ def test_one_row_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = fingerprints(spark.createDataFrame([(7, "a b c d e f")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_rows_of_one_id_are_dealt_to_blocks(spark):
+    import xxhash
+    from intentloom.llm.common import doc_key
+    from intentloom.llm.fingerprints import _blocks
+    rows = [(None, f"text {i} " * (3 + i % 5)) for i in range(500)] + [(i, f"numbered {i} words and more") for i in range(60)] + [(7, f"again {i} of seven") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tag = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (1 << 63 if r[0] is None else r[0], tag(r[1])), reverse=True)
+    follow = {t: order[(i + 1) % len(order)][1] for i, (_, t) in enumerate(order)}
+    half = lambda t: t[:len(t) - len(t) // 2] + follow[t][:len(t) // 2]
+    want = sorted((len(t), hashlib.sha256(half(t).encode()).hexdigest()) for _, t in rows)
+    assert sorted((r.n_chars, r.edited_sha256) for r in fingerprints(df).collect()) == want
+    keyed = df.select(doc_key().alias("_key"), F.xxhash64("text").alias("_th"))
+    sizes = [r["count"] for r in _blocks(keyed, 16)(keyed).groupBy("_block").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 3 * len(rows) / 16
