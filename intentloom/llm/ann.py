@@ -10,8 +10,8 @@ candidates of all tables merge, and their cosines are computed exactly in double
 
 Plan: equal vectors are searched once (a vector that a third of all rows share is one
 row).  Buckets over ``block`` rows are cut into blocks, so no bucket is one task's work;
-queries travel once per block group with all of their probes that fall into it, and each
-group returns only the k best of each query.  The index covers every row; nothing is fitted.
+queries travel once per block group with all of their probes that fall into it, in blocks of
+``query_block`` queries (the group's rows come once per block of queries), and each group returns only the k best of each query.  The index covers every row; nothing is fitted.
 Queries that find fewer than ``k`` rows are searched exactly, in blocks of rows.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows
@@ -150,12 +150,17 @@ def _search(k: int):
     return run
 
 
-def _grouped(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return rows.groupBy("dim", "part").cogroup(queries.groupBy("dim", "part")).applyInArrow(_search(k), _HITS)
+def _grouped(rows: DataFrame, queries: DataFrame, k: int, query_blocks: int) -> DataFrame:
+    """Each part's rows meet its queries block by block, so that both sides of a task are bounded."""
+    if query_blocks > 1:
+        rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        queries = queries.withColumn("qb", F.pmod("qid", F.lit(query_blocks)).cast("int"))
+    by = ["dim", "part"] + ["qb"] * (query_blocks > 1)
+    return rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(_search(k), _HITS)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8,
-            width: int = 8, cell: float = 2.0, probes: int = 120, block: int = 4096, seed: int = 7) -> DataFrame:
+            width: int = 8, cell: float = 2.0, probes: int = 120, block: int = 4096, query_block: int = 16_384, seed: int = 7) -> DataFrame:
     """The ``k`` nearest rows found (largest cosine) of each row where ``is_query``: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on the id column's name ``vec_id``.
@@ -191,7 +196,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id",
               .select("qid", "dim", slot.alias("slot"), part.alias("part"))
               .groupBy("qid", "dim", "part").agg(F.collect_list("slot").alias("slots")))
     wanted = probed.join(asked.select("qid", "vec"), "qid").select("dim", "part", "qid", "vec", "slots")
-    hits = stored(_grouped(rows, wanted, k + 1), "ann-hits")
+    query_blocks = math.ceil(asked.count() / query_block)
+    hits = stored(_grouped(rows, wanted, k + 1, query_blocks), "ann-hits")
 
     # queries that found too few rows: all rows, in blocks
     have = (hits.select("qid", "uid").distinct().join(members.select("uid", F.size("ids").alias("m")), "uid")
@@ -203,7 +209,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id",
         all_rows = members.select("dim", F.pmod("uid", F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("long").alias("slot"), "uid", "vec")
         every = lacking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) \
             .select("dim", "part", "qid", "vec", F.array(F.lit(0).cast("long")).alias("slots"))
-        hits = hits.unionByName(_grouped(all_rows, every, k + 1))
+        hits = hits.unionByName(_grouped(all_rows, every, k + 1, math.ceil(lacking.count() / query_block)))
 
     # the k + 1 best of each distinct query vector, then each query without itself
     flat = (hits.groupBy("qid", "uid").agg(F.max("score").alias("score")).join(members.select("uid", "ids"), "uid")

@@ -59,3 +59,10 @@ def test_few_rows_give_all(spark):
 
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_queries_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.standard_normal(6 + i % 2).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, nearest(df, F.col("vec_id") % 5 == 0, query_block=b, block=64).collect())) for b in (16_384, 7))
+    assert one == many and len(one) == 400
