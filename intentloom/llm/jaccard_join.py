@@ -42,6 +42,7 @@ from intentloom.operators.joins import checked_broadcast
 COORDS = 64
 CHILDREN = 3
 _TIGHT = 0.6     # share of a bucket's pairs that a further token keeps together, from which it is compared as it is
+_BLOCK_TOKENS = 1 << 21  # shingles of a block of a large bucket, besides its bound in sets
 _HOT = 1024      # sets of a bucket whose size is sent to all tasks instead of its rows to one
 _PART = 1 << 20  # bytes hashed at a time
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -138,24 +139,24 @@ def _first_split(runs):
     def run(batches):
         for b in batches:
             low = _coords(b.column("embed")).astype(np.uint64)
-            sid = b.column("sid").to_numpy()
             for r in range(runs):
                 node = mix(low[:, r] ^ np.uint64((r + 1) << 40))
-                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.full(len(sid), r, np.int32)), pa.array(node.view(np.int64))], names=["sid", "run", "node"])
+                yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("size"), pa.array(np.full(len(low), r, np.int32)), pa.array(node.view(np.int64))],
+                                                 names=["sid", "size", "run", "node"])
     return run
 
 
-def _next_split(runs):
-    """Sets of large buckets -> their place in each of the bucket's ``CHILDREN`` splits."""
+def _next_split(runs, children):
+    """Sets of large buckets -> their place in each of ``children`` splits of the bucket."""
     def run(batches):
         for b in batches:
-            low, sid, r = _coords(b.column("embed")), b.column("sid"), b.column("run")
+            low, sid, size, r = _coords(b.column("embed")), b.column("sid"), b.column("size"), b.column("run")
             parent = b.column("node").to_numpy()
             seed = mix(parent.view(np.uint64) + np.uint64(1))
-            for child in range(CHILDREN):  # different tokens: 17 and 34 steps apart among 52
+            for child in children:  # different tokens: 17 and 34 steps apart among 52
                 c = (runs + (seed + np.uint64(17 * child)) % np.uint64(COORDS - runs)).astype(np.int64)
                 new = mix(mix(seed + np.uint64(child)) ^ low[np.arange(len(c)), c].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([sid, r, pa.array(new.view(np.int64)), pa.array(parent)], names=["sid", "run", "node", "parent"])
+                yield pa.RecordBatch.from_arrays([sid, size, r, pa.array(new.view(np.int64)), pa.array(parent)], names=["sid", "size", "run", "node", "parent"])
     return run
 
 
@@ -166,31 +167,32 @@ def runs_for(threshold: float, recall: float, depth: int) -> int:
 
 
 def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``rows`` of buckets of two sets or more, with their size ``n``.  The few large buckets' sizes go to the rows."""
+    """``rows`` of buckets of two sets or more, with their sizes ``n`` and ``tokens``.  The few large buckets' sizes go to the rows."""
     large = checked_broadcast(sizes.filter(F.col("n") > _HOT))
     small = sizes.filter(F.col("n").between(2, _HOT))
     return rows.join(large, "node").unionByName(rows.join(large, "node", "left_anti").join(small, "node"))
 
 
 def _leaves(sets: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
-    """The buckets that are compared: sid, run, node, n (all have two sets or more)."""
-    names = ["sid", "run", "node", "n"]
-    rows = stored(sets.select("sid", "embed").mapInArrow(_first_split(runs), "sid long, run int, node long"), "paths-0")
-    shared = stored(_sized(rows, rows.groupBy("node").agg(F.count("*").alias("n"))).select(names), "buckets-0")
+    """The buckets that are compared: sid, run, node, n, tokens (all have two sets or more)."""
+    names = ["sid", "run", "node", "n", "tokens"]
+    total = [F.count("*").alias("n"), F.sum("size").alias("tokens")]
+    rows = stored(sets.select("sid", "size", "embed").mapInArrow(_first_split(runs), "sid long, size int, run int, node long"), "paths-0")
+    shared = stored(_sized(rows, rows.groupBy("node").agg(*total)).select(names), "buckets-0")
     found = shared.filter(F.col("n") <= limit)
     for level in range(1, depth + 1):
         large = shared.filter(F.col("n") > limit)
         if not large.limit(1).count():
             return found
-        rows = large.join(sets.select("sid", "embed"), "sid").select("sid", "embed", "run", "node").mapInArrow(
-            _next_split(runs), "sid long, run int, node long, parent long")
-        rows = stored(rows, f"paths-{level}")
-        sizes = stored(rows.groupBy("parent", "node").agg(F.count("*").alias("n")), f"sizes-{level}")
-        kept = F.sum(F.col("n").cast("double") * F.col("n")) * CHILDREN / (F.sum("n").cast("double") * F.sum("n"))
-        tight = checked_broadcast(sizes.groupBy("parent").agg(kept.alias("kept")).filter(F.col("kept") >= _TIGHT).select("parent"))
-        found = found.unionByName(large.join(tight.withColumnRenamed("parent", "node"), "node", "left_semi").select(names))
-        split = rows.join(tight, "parent", "left_anti")
-        shared = stored(_sized(split, sizes.join(tight, "parent", "left_anti").select("node", "n")).select(names), f"buckets-{level}")
+        schema = "sid long, size int, run int, node long, parent long"
+        large = stored(large.join(sets.select("sid", "size", "embed"), "sid").select("sid", "size", "embed", *names[1:]), f"large-{level}")
+        probe = large.mapInArrow(_next_split(runs, [0]), schema).groupBy("parent", "node").agg(F.count("*").cast("double").alias("n"))
+        kept = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))
+        tight = checked_broadcast(probe.groupBy(F.col("parent").alias("node")).agg(kept.alias("kept")).filter(F.col("kept") >= _TIGHT).select("node"))
+        found = found.unionByName(large.join(tight, "node", "left_semi").select(names))
+        loose = large.join(tight, "node", "left_anti").select("sid", "size", "embed", "run", "node")
+        rows = stored(loose.mapInArrow(_next_split(runs, range(CHILDREN)), schema).drop("parent"), f"paths-{level}")
+        shared = stored(_sized(rows, rows.groupBy("node").agg(*total)).select(names), f"buckets-{level}")
         found = found.unionByName(shared.filter(F.col("n") <= limit) if level < depth else shared)
     return found
 
@@ -199,10 +201,10 @@ _KEY = ["node", "bi", "bj"]
 
 
 def _blocked(leaves: DataFrame, block: int) -> DataFrame:
-    """Buckets over ``block`` sets become pairs of blocks: adds own block ``b`` and the pair ``bi <= bj``."""
-    nb = F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(1).cast("int")
+    """Buckets over ``block`` sets (or very many shingles) become pairs of blocks: adds own block ``b`` and the pair ``bi <= bj``."""
+    nb = F.least(F.ceil(F.greatest(F.col("n") / block, F.col("tokens") / _BLOCK_TOKENS)), F.col("n")).cast("int")
     return (leaves.withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-            .withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("nb", "o", "n"))
+            .withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("nb", "o", "n", "tokens"))
 
 
 def _groups(t: pa.Table):
@@ -361,7 +363,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, runs: int | None = None, limit: int = 64, depth: int = 2, block: int = 256,
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, runs: int | None = None, limit: int = 256, depth: int = 2, block: int = 512,
                     recall: float = 1 - 2e-8) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id, n_links (documents at similarity ``threshold`` or
     more), n_set_links (different shingle sets among them), n_shingles, th (the text's xxhash64, null as empty),
