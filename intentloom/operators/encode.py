@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from intentloom.functions import text as T
 from intentloom.functions import vectors as V
 from intentloom.functions.order import hash_int
-from intentloom.operators.joins import checked_broadcast
+from intentloom.operators.joins import checked_broadcast, hot_join
 from intentloom.operators.rank import global_rank
 
 PAD_ID = 0
@@ -66,15 +66,14 @@ def vocab_ids(toks: DataFrame, min_count: int = 1, first_id: int = 2, nmax: int
     return r.select("word", "n", (F.col("__r") + F.lit(first_id - 1)).cast("int").alias("word_id"))
 
 
-def token_ids(toks: DataFrame, vocab: DataFrame, key: str = "uid", unknown_id: int = UNKNOWN_ID) -> DataFrame:
+def token_ids(toks: DataFrame, vocab: DataFrame, key: str = "uid", unknown_id: int = UNKNOWN_ID, max_bytes: int | None = None) -> DataFrame:
     """Id sequence per text, unknown words -> ``unknown_id``.
 
-    The vocabulary is broadcast after a size check (above the bound it is a
-    shuffle join whose hot words AQE splits).  Returns ``(key, ids ARRAY<INT>)``
+    The vocabulary is broadcast after a size check; above the bound only the entries of hot words are,
+    and the others meet in a shuffle (``hot_join``).  Returns ``(key, ids ARRAY<INT>)``
     in token order.
     """
-    v = checked_broadcast(vocab.select(F.col("word").alias("token"), "word_id"))
-    j = toks.join(v, "token", "left").withColumn("id", F.coalesce(F.col("word_id"), F.lit(unknown_id)))
+    j = hot_join(toks, vocab.select(F.col("word").alias("token"), "word_id"), "token", max_bytes=max_bytes).withColumn("id", F.coalesce(F.col("word_id"), F.lit(unknown_id)))
     g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("__s"))
     return g.select(key, F.transform("__s", lambda s: s["id"].cast("int")).alias("ids"))
 
@@ -117,19 +116,20 @@ def hashed_word_vectors(words: DataFrame, emb: DataFrame, word: str = "word") ->
         .join(emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id")
 
 
-def word_vectors(toks: DataFrame, wv: DataFrame, key: str = "uid") -> DataFrame:
-    """Token -> vector (left join: unknown words get a NULL vector)."""
-    v = checked_broadcast(wv.select(F.col("word").alias("token"), "vec"))
-    return toks.join(v, "token", "left")
+def word_vectors(toks: DataFrame, wv: DataFrame, key: str = "uid", max_bytes: int | None = None) -> DataFrame:
+    """Token -> vector (left join: unknown words get a NULL vector), at any size of the table (``hot_join``)."""
+    return hot_join(toks, wv.select(F.col("word").alias("token"), "vec"), "token", max_bytes=max_bytes)
 
 
-def _every_key(toks: DataFrame, pooled: DataFrame, key: str) -> DataFrame:
-    """``pooled`` for each key of ``toks``: a text without a known word keeps its row, with NULL vectors.
-    (Both sides are partitioned by the key already.)"""
+def _every_key(toks: DataFrame, pooled: DataFrame, key: str, texts: DataFrame | None = None) -> DataFrame:
+    """``pooled`` for each key of ``texts`` (without: of ``toks``): a text without a known word keeps its row, with NULL vectors.
+    From the texts only the keys are read, and no text is split again."""
+    if texts is not None:
+        return texts.select(key).join(pooled, key, "left")
     return toks.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows").join(pooled, key, "left")
 
 
-def pool_max_mean(toks: DataFrame, wv: DataFrame, key: str = "uid") -> DataFrame:
+def pool_max_mean(toks: DataFrame, wv: DataFrame, key: str = "uid", texts: DataFrame | None = None) -> DataFrame:
     """Per text, element-wise max and mean of its known token
     vectors, concatenated as ``[max; mean]``.
 
@@ -143,7 +143,7 @@ def pool_max_mean(toks: DataFrame, wv: DataFrame, key: str = "uid") -> DataFrame
         Summarizer.max(F.col("__v")).alias("__max"),
         Summarizer.mean(F.col("__v"), F.col("__n").cast("double")).alias("__mean"))
     return _every_key(toks, s.select(key, vector_to_array("__max").alias("max_pool"), vector_to_array("__mean").alias("mean_pool"),
-                                     F.concat(vector_to_array("__max"), vector_to_array("__mean")).alias("pooled")), key)
+                                     F.concat(vector_to_array("__max"), vector_to_array("__mean")).alias("pooled")), key, texts)
 
 
 def idf_weights(toks: DataFrame, key: str = "uid", texts: DataFrame | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions import vectors as V
 from intentloom.functions.order import DEFAULT_SEED, hex_to_int, seeded_key
-from intentloom.operators.joins import checked_broadcast
+from intentloom.operators.joins import broadcast_written, checked_broadcast
 from intentloom.operators.rank import group_top, rows_at_ranks
 from intentloom.session import cores, materialize
 
@@ -86,9 +86,9 @@ def episode_samples(rows: DataFrame, classes: DataFrame, k: int, q: int, key: st
     return j.withColumn("role", role).withColumn("slot", F.col("slot").cast("int"))
 
 
-def episode_pairs(samples: DataFrame, cols=("vec",)) -> DataFrame:
+def episode_pairs(samples: DataFrame, cols=("vec",), written: bool = False) -> DataFrame:
     """Each query row with each support row of its episode, and
-    ``same`` = 1 when both have the same class."""
+    ``same`` = 1 when both have the same class.  ``written``: the samples are a written table, which need not be written again."""
     cols = list(cols)
     q = samples.where(F.col("role") == "query").select(
         "episode", F.col("class_id").alias("q_class"), F.col("slot").alias("q_slot"), F.col("uid").alias("q_uid"),
@@ -101,4 +101,4 @@ def episode_pairs(samples: DataFrame, cols=("vec",)) -> DataFrame:
     # cores explicitly (AQE would coalesce the small input into one task) and
     # broadcast the support rows (episodes x N x K, checked).
     q = q.repartition(cores(samples.sparkSession), "episode", "q_class", "q_slot")
-    return q.join(checked_broadcast(s), "episode").withColumn("same", (F.col("q_class") == F.col("s_class")).cast("int"))
+    return q.join(broadcast_written(s) if written else checked_broadcast(s), "episode").withColumn("same", (F.col("q_class") == F.col("s_class")).cast("int"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentloom.operators.joins import candidate_blocks, checked_broadcast, each_candidate
+from intentloom.operators.rank import null_safe_join
 
 DIGITS = 6
 
@@ -109,6 +110,32 @@ def mean_std(df: DataFrame, value: str, by=(), prefix: str = "") -> DataFrame:
                                F.count(F.lit(1)).alias(f"{prefix}count"))
 
 
+def moments(df: DataFrame, value: str, by=()) -> DataFrame:
+    """A mergeable state per group: count, mean and sum of squared deviations (``n, mean, m2``) of a value."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+
+
+def merge_moments(states: DataFrame, by=()) -> DataFrame:
+    """The states of parts (of runs, of days) as one per group, exact up to rounding: parts need not be kept."""
+    total = states.groupBy(*by).agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"))
+    if by:  # a row per group
+        x = null_safe_join(states.select(*by, F.col("n").alias("__n"), F.col("mean").alias("__m"), "m2"), total, list(by))
+    else:
+        x = states.select(F.col("n").alias("__n"), F.col("mean").alias("__m"), "m2").withColumn("n", total.select("n").scalar()).withColumn("mean", total.select("mean").scalar())
+    return x.groupBy(*by, "n", "mean").agg(F.sum(F.col("m2") + F.col("__n") * F.pow(F.col("__m") - F.col("mean"), 2)).alias("m2"))
+
+
+def finish_moments(states: DataFrame, by=()) -> DataFrame:
+    """``mean, std`` (population) ``, count`` of states."""
+    return states.select(*by, _r(F.col("mean")).alias("mean"), _r(F.sqrt(F.try_divide(F.col("m2"), F.col("n")))).alias("std"), F.col("n").alias("count"))
+
+
+def episode_accuracy(preds: DataFrame, episode: str = "episode", truth: str = "q_class", guess: str = "pred", by=()) -> DataFrame:
+    """E3 from any predictions: the accuracy of every episode, ``(by, episode, acc, n)``; no prediction counts as wrong."""
+    return accuracy(preds, [*by, episode], truth, guess)
+
+
 def batch_mean(df: DataFrame, value: str, batch: str = "batch", by=()) -> DataFrame:
     """Mean of per-batch means (not the global mean), per ``by``."""
     per = df.groupBy(*by, batch).agg(F.avg(value).alias("__bm"))

@@ -52,10 +52,42 @@ def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     nothing stays cached.  Above the bound Spark plans a shuffle join, with AQE splitting skewed
     partitions.
     """
-    t = materialize(df)
+    return broadcast_written(materialize(df), max_bytes)
+
+
+def broadcast_written(t: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``checked_broadcast`` of a table that is written already (or a few columns of one): measured, not written again."""
     return F.broadcast(t) if table_bytes(t) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes) else t
 
 
+HOT_SHARE = 1000  # a key with more than one in so many rows is hot: there are at most that many
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", max_bytes: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``, at any size of the table and any skew of the rows.
+
+    Within the broadcast bound the table is broadcast.  Above it, the hot keys of the rows are found with a mergeable sketch of
+    frequent items (one pass with partial sketches; a sketch's estimates only decide how a key travels): their
+    entries, at most ``HOT_SHARE``, are broadcast, so hot rows stay where they are, and all other rows meet the table in a
+    shuffle join in which no key is large.  Rows without a key match nothing and are not shuffled either."""
+    if how not in ("left", "inner"):
+        raise ValueError("left or inner")
+    t = materialize(table)
+    if table_bytes(t) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes):
+        return rows.join(F.broadcast(t), key, how)
+    rows = materialize(rows)
+    some = rows.where(F.col(key).isNotNull())
+    sketch = some.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, {HOT_SHARE}, {8 * HOT_SHARE})").alias("top"))
+    hot = materialize(sketch.select("n", F.explode("top").alias("x")).where(F.col("x.count") * HOT_SHARE > F.col("n")).select(F.col("x.item").alias(key)))
+    often = F.broadcast(hot)  # HOT_SHARE rows at most
+    near = some.join(F.broadcast(t.join(often, key, "left_semi")), key, "inner")
+    if how == "left":  # hot keys that the table lacks
+        near = near.unionByName(some.join(often.join(t.select(key), key, "left_anti").hint("broadcast"), key, "left_semi"), allowMissingColumns=True)
+    far = some.join(often, key, "left_anti").join(t, key, how)
+    out = near.unionByName(far)
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def sized_broadcast(df: DataFrame, n_rows: int, max_rows: int = 200_000) -> DataFrame:
     """Broadcast narrow rows when a bound on their number known without running them (e.g. labels x
     buckets, from an earlier count) is within ``max_rows``."""

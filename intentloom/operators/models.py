@@ -46,6 +46,50 @@ def encode(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.nd
     return df.select(key, text).mapInPandas(run, schema)
 
 
+def encode_by_length(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, budget: int = 8192,
+                     text: str = "utterance", key: str = "uid", out: str = "vec") -> DataFrame:
+    """P1 with L3: ``encode`` in batches of texts of like length, ``(key, out, batch_rows, batch_width, n_tokens)``.
+
+    Texts are dealt to tasks in ranges of their length and come sorted; a batch takes texts, across Arrow batches, as long as
+    rows x longest text stays within ``budget`` tokens (or holds one text).  What padding costs is the share of
+    rows x width that is not tokens (``padding_share``).  Rows are keyed, so their order plays no part in the result."""
+    key_type = df.schema[key].dataType
+    schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.FloatType())), T.StructField("batch_rows", T.IntegerType()),
+                           T.StructField("batch_width", T.IntegerType()), T.StructField("n_tokens", T.IntegerType())])
+    n = F.size(F.filter(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda t: t != ""))
+    rows = df.select(key, text, n.alias("__n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "__n", F.xxhash64(key)).sortWithinPartitions("__n")
+
+    def run(batches):
+        fn = make_encoder()
+
+        def encoded(keys, texts, sizes):
+            m = np.asarray(fn(texts), dtype=np.float32).reshape(len(texts), dim)
+            return pd.DataFrame({key: pd.Series(keys, dtype=object), out: list(m), "batch_rows": np.int32(len(texts)), "batch_width": np.int32(max(sizes)),
+                                 "n_tokens": np.array(sizes, np.int32)})
+
+        keys, texts, sizes = [], [], []
+        for pdf in batches:
+            for k, t, size in zip(pdf[key].tolist(), pdf[text].fillna("").tolist(), pdf["__n"].tolist()):
+                if texts and (len(texts) + 1) * max(size, 1) > budget:  # sorted: the new text is the longest
+                    yield encoded(keys, texts, sizes)
+                    keys, texts, sizes = [], [], []
+                keys.append(k)
+                texts.append(t)
+                sizes.append(size)
+        if texts:
+            yield encoded(keys, texts, sizes)
+
+    return rows.mapInPandas(run, schema)
+
+
+def padding_share(encoded: DataFrame) -> DataFrame:
+    """One row: rows, tokens, and the share of the batches' rows x width that is padding."""
+    return encoded.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens"),
+                       F.try_divide(F.sum(F.col("batch_width") - F.col("n_tokens")), F.sum("batch_width")).alias("padding"))
+
+
 def numpy_hash_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """A ready encoder factory: lower-cased blank tokens counted into ``dim``
     md5 buckets (same vectors as ``encode.hash_encode``)."""

@@ -208,13 +208,13 @@ def keep_smallest(df: DataFrame, order_key: str, tiebreak: list[str], take, pref
 
 def rows_at_ranks(df: DataFrame, wanted: DataFrame, by: str, order_key: str, tiebreak: str, rank: str = "__rn",
                   prefix_len: int = 4) -> DataFrame:
-    """The rows of ``df`` that have the ranks ``wanted(by, rank, ...)`` in their group, with the columns of ``wanted``.
+    """The rows of ``df`` that have the ranks ``wanted(by, rank, ...)``, a written table, in their group, with the columns of ``wanted``.
 
     Ranks are those of ``class_rank``.  Only the key columns are read for the bucket counts; the wanted
     ranks are placed among the running counts (a window of at most 16**prefix_len buckets and the wanted
     ranks per group), and only the rows of the buckets they fall into are shuffled and ranked.
     """
-    from intentloom.operators.joins import checked_broadcast
+    from intentloom.operators.joins import MAX_BROADCAST_BYTES, table_bytes
     x = df.withColumn("__b", F.substring(order_key, 1, prefix_len))
     counts = x.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -225,7 +225,10 @@ def rows_at_ranks(df: DataFrame, wanted: DataFrame, by: str, order_key: str, tie
     place = marks.withColumn("__p", at).where(F.col("__b").isNull()).select(
         by, rank, F.col("__p.__b").alias("__b"), (F.col(rank) - F.col("__p.start") + 1).alias("__in"))
     place = materialize(place, "places")
-    few = x.join(checked_broadcast(place.select(by, "__b").distinct()), [by, "__b"], "left_semi")
+    # one measure for both: the places are the different ranks that are wanted, with a bucket and a number
+    small = table_bytes(wanted) + 32 * wanted.count() <= MAX_BROADCAST_BYTES
+    hint = F.broadcast if small else (lambda t: t)
+    few = x.join(hint(place.select(by, "__b").distinct()), [by, "__b"], "left_semi")
     inside = Window.partitionBy(by, "__b").orderBy(F.col(order_key), F.col(tiebreak))
-    hit = few.withColumn("__in", F.row_number().over(inside).cast("long")).join(checked_broadcast(place), [by, "__b", "__in"])
-    return hit.drop("__b", "__in").join(checked_broadcast(wanted), [by, rank])
+    hit = few.withColumn("__in", F.row_number().over(inside).cast("long")).join(hint(place), [by, "__b", "__in"])
+    return hit.drop("__b", "__in").join(hint(wanted), [by, rank])

@@ -10,10 +10,12 @@ from intentloom.functions import vectors as V
 from intentloom.operators import encode as EN
 from intentloom.operators import pairs as P
 from intentloom.operators import score as SC
+from intentloom.operators import subwords as SW
 from intentloom.plans import split_build
 from intentloom.registry import query
 from intentloom.registry.sqlparts import (ANYVEC, BOW_TOKENS, CONV, HASHED_IDS, HINT, IDSTR, PART_UTT, SPLIT,
                                           TOK_VEC, TOKENS, TOKROWS, UTT, VSUM)
+from intentloom.session import materialize
 from intentloom.sources import views
 
 
@@ -146,7 +148,7 @@ select uid, round(sum(mx), 6) as max_pool_sum, round(sqrt(sum(mx * mx)), 6) as m
 """)
 def a12_pool_max_mean(spark, d):
     p = views.part_utt(spark, d)
-    pooled = EN.pool_max_mean(EN.tokens(p), views.tok_vec(spark, d))
+    pooled = EN.pool_max_mean(EN.tokens(p), views.tok_vec(spark, d), texts=p)
     return pooled.select("uid", *EN.summarize_vec("max_pool"), *EN.summarize_vec("mean_pool"))
 
 
@@ -233,3 +235,65 @@ def p2_pair_scoring(spark, d):
                          higher_is_better=True)
     return r.select("uid", F.col("t").alias("label"), F.col("label").alias("label_name"),
                     F.round("score", 6).alias("score"), "rank")
+
+
+def PIECES(tokens: str) -> str:
+    """A stand-in vocabulary from tokens: their first 1 to 3 characters, and all pieces of 1 or 2 characters further on."""
+    return f"""
+raw as ({tokens}), words as (select distinct token from raw where token <> ''),
+piece as (select distinct piece from (
+            select substr(token, 1, unnest([1, 2, 3])) as piece from words
+            union all select '##' || substr(token, unnest(range(2, 1 + len(token)))::int, 1) from words
+            union all select '##' || substr(token, unnest(range(2, len(token)))::int, 2) from words where len(token) <= 12)),
+pieces as (select piece, CAST(1000 + row_number() over (order by piece) AS INTEGER) as id from piece),
+cuts as (select token, s, l, case when s > 0 then '##' else '' end || substr(token, (s + 1)::int, l) as piece
+         from (select token, unnest(range(len(token))) as s from words where len(token) <= 100), (select unnest([1, 2, 3]) as l) where s + l <= len(token)),
+best as (select token, s, max(l) as l, arg_max(id, l) as id from cuts join pieces using (piece) group by token, s),
+walk(token, at_, ids) as (select token, 0::bigint, []::INTEGER[] from words
+         union all select w.token, w.at_ + b.l, list_append(w.ids, b.id) from walk w join best b on b.token = w.token and b.s = w.at_),
+done as (select words.token, coalesce(any_value(ids) filter (at_ = len(words.token)), [100]) as ids from words left join walk using (token) group by words.token)"""
+
+
+def stand_in_pieces(toks):
+    """``PIECES`` as a table ``(piece, piece_id)``."""
+    from intentloom.operators.rank import global_rank
+    w = toks.where(F.col("token") != "").select("token").distinct()
+    n = F.char_length("token")
+    first = w.select(F.explode(F.array(*(F.substring("token", 1, i) for i in (1, 2, 3)))).alias("piece"))
+    one = w.where(n > 1).select(F.explode(F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(1))))).alias("piece"))
+    two = w.where((n > 2) & (n <= 12)).select(F.explode(F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(2))))).alias("piece"))
+    p = first.union(one).union(two).distinct()
+    return global_rank(p, [F.col("piece")], "r").select("piece", (F.col("r") + 1000).cast("int").alias("piece_id"))
+
+
+@query("x13_subword_tail", sql=f"""
+with recursive {PIECES(TOKROWS(UTT))},
+t as (select uid, flatten(list(coalesce(ids, []::INTEGER[]) order by pos)) as ids from raw left join done using (token) group by uid)
+select uid, {IDSTR("list_resize(list_concat([101], case when len(ids) > 46 then list_slice(ids, len(ids) - 45, len(ids)) else ids end, [102]), 48, 0)")} as ids from t
+""")
+def x13_subword_tail(spark, d):
+    """Single texts as subword ids: the token budget counts pieces."""
+    toks = materialize(EN.tokens(views.utt(spark, d)), "tokens")
+    ids = SW.subword_ids(toks, stand_in_pieces(toks))
+    return ids.select("uid", idstr(T.tail_encode("ids", 48)).alias("ids"))
+
+
+@query("x12_subword_pairs", sql=f"""
+with recursive {PIECES(TOKROWS("select p_partkey as uid, p_name as utterance from part") + " union all " + TOKROWS("select distinct -1 as uid, p_type as utterance from part"))},
+lab as (select x.uid as label_name, flatten(list(ids order by pos)) as lid from ({TOKROWS("select distinct p_type from part", "p_type", "p_type")}) x join done using (token) group by x.uid),
+s as (select uid, flatten(list(ids order by pos)) as sid from raw join done using (token) where uid >= 0 group by uid),
+e as (select uid, label_name, lid, case when len(sid) + len(lid) > 61 then list_slice(sid, 1, greatest(61 - len(lid), 0)) else sid end as s2 from s, lab),
+f as (select uid, label_name, list_concat([101], s2, [102], lid, [102]) as full_ from e)
+select uid, label_name, {IDSTR('list_resize(full_, 64, 0)')} as input_ids, CAST(least(len(full_), 64) AS INTEGER) as len from f
+""")
+def x12_subword_pairs(spark, d):
+    """Entailment pairs as subword ids: texts and label names cut once, pairs within 64 pieces."""
+    u = views.part_utt(spark, d).select("uid", "utterance", "label")
+    names = u.select("label").distinct()
+    toks = materialize(EN.tokens(u), "tokens")
+    ltoks = materialize(EN.tokens(names, text="label", key="label"), "label-tokens")
+    pieces = materialize(stand_in_pieces(toks.select("token").unionByName(ltoks.select("token"))), "pieces")
+    sid = SW.subword_ids(toks, pieces).withColumnRenamed("ids", "sid")
+    lid = SW.subword_ids(ltoks, pieces, key="label").withColumnRenamed("ids", "lid")
+    pairs = SC.pair_scores(SC.with_scope(sid, "all"), SC.with_scope(lid, "all"), lambda c: T.pair_encode("sid", c["lid"], 64))
+    return pairs.select("uid", F.col("label").alias("label_name"), idstr(F.col("score.input_ids")).alias("input_ids"), F.col("score.len").cast("int").alias("len"))

@@ -8,11 +8,13 @@ from intentloom.functions import vectors as V
 from intentloom.functions.order import hash_int
 from intentloom.operators import episodes as EP
 from intentloom.operators import evaluate as E
+from intentloom.operators import match_kernel as MK
 from intentloom.operators import matching as M
 from intentloom.operators import score as SC
 from intentloom.plans import episodic
 from intentloom.registry import query
 from intentloom.registry.sqlparts import DCOS, DFLOOR, EPISODES, HINT, VEC, VEC_HEADS
+from intentloom.session import materialize
 from intentloom.sources import views
 
 EPS20 = EPISODES(VEC, 20, 5, 5, 5)
@@ -161,7 +163,7 @@ KEYS = "episode, q_class, q_slot, s_class, s_slot"
 
 def head_pairs(spark, d):
     smp = episodic.samples(views.vec_heads(spark, d).withColumnRenamed("heads", "vec"))
-    return EP.episode_pairs(smp, cols=("vec",)).withColumnRenamed("s_vec", "A").withColumnRenamed("q_vec", "B")
+    return EP.episode_pairs(smp, cols=("vec",), written=True).withColumnRenamed("s_vec", "A").withColumnRenamed("q_vec", "B")
 
 
 @query("x19_maxsim", sql=f"""
@@ -172,9 +174,13 @@ select {KEYS},
 from pr
 """)
 def x19_maxsim(spark, d):
-    p = M.with_alignment(head_pairs(spark, d))
-    return p.select(*KEYS.split(", "), F.round(M.maxsim("att"), 6).alias("maxsim_s"),
-                    F.round(M.maxsim("attT"), 6).alias("maxsim_q"))
+    return matched(head_pairs(spark, d), {"maxsim_s": ("maxsim_s", None), "maxsim_q": ("maxsim_q", None)})
+
+
+def matched(pairs, scores):
+    """Rounded kernel scores of each pair."""
+    s = MK.match_scores(pairs, KEYS.split(", "), scores)
+    return s.select(*KEYS.split(", "), *(F.round(n, 6).alias(n) for n in scores))
 
 
 ATT_MEAN = ("list_transform(range(16), lambda k: list_sum(list_transform(B, lambda b: {cab} * b[k + 1])) / "
@@ -188,6 +194,16 @@ select {KEYS},
 from pr
 """)
 def x18_soft_align(spark, d):
+    return matched(head_pairs(spark, d), {"soft_align": ("soft_align", None)})
+
+
+@query("x18_soft_align_columns", sql=f"""
+select {KEYS},
+  round(list_avg(list_transform(A, lambda a: {DCOS('a', ATT_MEAN)})), 6) as soft_align
+from (with {HEAD_PAIRS} select * from pr)
+""")
+def x18_soft_align_columns(spark, d):
+    """The same as column expressions, for plans that must not leave the JVM."""
     p = M.with_alignment(head_pairs(spark, d))
     return p.select(*KEYS.split(", "), F.round(M.soft_align(), 6).alias("soft_align"))
 
@@ -214,12 +230,7 @@ select {KEYS},
 from pr
 """)
 def x20_multi_perspective(spark, d):
-    p = M.with_alignment(head_pairs(spark, d))
-    w0 = F.array(*[F.lit(x) for x in W_P0])
-    w1 = F.array(*[F.lit(x) for x in W_P1])
-    return p.select(*KEYS.split(", "), F.round(M.headwise("A", "B", w0), 6).alias("headwise_p0"),
-                    F.round(M.headwise("A", "B", w1), 6).alias("headwise_p1"),
-                    F.round(M.max_attentive(), 6).alias("max_attentive"))
+    return matched(head_pairs(spark, d), {"headwise_p0": ("headwise", W_P0), "headwise_p1": ("headwise", W_P1), "max_attentive": ("max_attentive", None)})
 
 
 def _wt(rows):
@@ -238,10 +249,7 @@ from wt
 """)
 def x20_weighted_matches(spark, d):
     """One weighted perspective on the max-pool, soft and max-attentive matches."""
-    w = F.array(*[F.lit(x) for x in W_P1])
-    p = M.with_alignment(head_pairs(spark, d))
-    return p.select(*KEYS.split(", "), F.round(M.maxpool(F.col("A"), F.col("B"), w), 6).alias("maxpool_p1"),
-                    F.round(M.soft_align(w=w), 6).alias("soft_p1"), F.round(M.max_attentive(w=w), 6).alias("max_attentive_p1"))
+    return matched(head_pairs(spark, d), {"maxpool_p1": ("maxpool", W_P1), "soft_p1": ("soft_align", W_P1), "max_attentive_p1": ("max_attentive", W_P1)})
 
 
 KL = """
@@ -279,9 +287,42 @@ select episode, q_class, q_slot, arg_min(s_class, struct_pack(ns := -score, c :=
        round(max(score), 6) as score from cs group by all
 """)
 def a11_match_mean(spark, d):
-    p = M.with_alignment(head_pairs(spark, d))
-    ps = p.select("episode", "q_class", "q_slot", "s_class", M.maxsim("att").alias("m"))
+    return match_predictions(spark, d)
+
+
+def match_predictions(spark, d):
+    """Each query's class by the mean match score over the class's support rows."""
+    ps = MK.match_scores(head_pairs(spark, d), KEYS.split(", "), {"m": ("maxsim_s", None)})
     cs = ps.groupBy("episode", "q_class", "q_slot", "s_class").agg(F.round(F.avg("m"), 9).alias("score"))
     return cs.groupBy("episode", "q_class", "q_slot").agg(
         F.min_by("s_class", F.struct(-F.col("score"), F.col("s_class"))).alias("pred"),
         F.round(F.max("score"), 6).alias("score"))
+
+
+MATCH_PRED = f"""
+with {HEAD_PAIRS},
+ps as (select {KEYS},
+        list_avg(list_transform(A, lambda a: list_max(list_transform(B, lambda b: {DCOS('a', 'b')})))) as m from pr),
+cs as (select episode, q_class, q_slot, s_class, round(avg(m), 9) as score from ps group by all),
+best as (select episode, q_class, q_slot, arg_min(s_class, struct_pack(ns := -score, c := s_class)) as pred from cs group by all),
+acc as (select episode, avg(CAST(pred = q_class AS DOUBLE)) as acc, count(*) as n from best group by episode)
+"""
+
+
+@query("e3_match_accuracy", sql=MATCH_PRED + "select CAST(episode AS INTEGER) as episode, round(acc, 6) as acc, n from acc")
+def e3_match_accuracy(spark, d):
+    """Episodic accuracy of the match scores."""
+    a = E.episode_accuracy(match_predictions(spark, d))
+    return a.select(F.col("episode").cast("int").alias("episode"), F.round("acc", 6).alias("acc"), "n")
+
+
+@query("e3_match_summary", sql=MATCH_PRED + """
+select CAST(episode % 3 AS INTEGER) as run, round(avg(acc), 6) as mean, round(stddev_pop(acc), 6) as std, count(*) as count from acc group by all
+union all select null, round(avg(acc), 6), round(stddev_pop(acc), 6), count(*) from acc
+""")
+def e3_match_summary(spark, d):
+    """Mean and deviation of the match scores' accuracy per run (an episode's number modulo 3), and over all runs from the runs' states."""
+    a = E.episode_accuracy(match_predictions(spark, d)).withColumn("run", (F.col("episode") % 3).cast("int"))
+    runs = materialize(E.moments(a, "acc", ["run"]), "moments")
+    every = E.finish_moments(E.merge_moments(runs)).withColumn("run", F.lit(None).cast("int"))
+    return E.finish_moments(runs, ["run"]).unionByName(every)

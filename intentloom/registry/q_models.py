@@ -27,6 +27,16 @@ def p1_encode_batch(spark, d):
     return v.select("uid", F.posexplode("vec").alias("dim", "value")).where("value <> 0").select("uid", "dim", F.col("value").cast("double").alias("value"))
 
 
+@query("p1_length_batches", sql=f"""
+with t as (select uid, unnest({BOW_TOKENS('utterance')}) as t from ({UTT}))
+select uid, CAST({HINT('t')} % 64 AS INTEGER) as dim, CAST(count(*) AS DOUBLE) as value from t group by all
+""")
+def p1_length_batches(spark, d):
+    """The plug-in in batches of texts of like length within a padding budget: the same vectors, whatever the batches."""
+    v = MD.encode_by_length(views.utt(spark, d), MD.numpy_hash_encoder(64), dim=64)
+    return v.select("uid", F.posexplode("vec").alias("dim", "value")).where("value <> 0").select("uid", "dim", F.col("value").cast("double").alias("value"))
+
+
 @query("m1_seen_classifier")
 def m1_seen_classifier(spark, d):
     sp, _ = split_build.build(views.utt_lang(spark, d), m=1, materialized=True)
