@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from intentloom.llm.common import stored
+from intentloom.operators.joins import checked_broadcast
 
 ORDERS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,8 +75,12 @@ def _count(batches):
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """``lang, text``: of each language the ``per_language`` different texts with the least hashes, once each."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("th"))
-    # a partial limit before the shuffle: a hot language sends per_language hashes per task
-    texts = rows.select("lang", "th").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("th"))).filter(F.col("r") <= per_language)
+    texts = stored(rows.select("lang", "th").distinct(), "lang-texts")
+    # only hashes that can be among the least are ranked, a few thousand a language: four times as many as are drawn
+    least = F.lit(4.0 * per_language) / F.col("n")
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    texts = texts.join(checked_broadcast(sizes), "lang").filter(F.col("th") / F.lit(2.0 ** 64) + 0.5 < least)
+    texts = texts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("th"))).filter(F.col("r") <= per_language)
     drawn = rows.join(F.broadcast(stored(texts.select("lang", "th"), "lang-sample")), ["lang", "th"], "left_semi")  # per_language rows per language
     return drawn.groupBy("lang", "th").agg(F.first("text").alias("text")).select("lang", "text")
 
