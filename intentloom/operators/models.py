@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer, Tokenizer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, StringIndexer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,11 +125,10 @@ def seen_classifier(train: DataFrame, text: str = "utterance", label: str = "lab
 
 def classify(model, df: DataFrame, key: str = "uid", label: str = "label") -> DataFrame:
     """``(key, label, pred)`` with predicted names from the indexer's labels; a null text is read as empty."""
-    names = model.stages[0].labels
-    judge = PipelineModel(model.stages[1:])  # the truth plays no part
-    out = judge.transform(df.withColumn("utterance", F.coalesce("utterance", F.lit(""))))
-    lut = F.array(*[F.lit(n) for n in names])
-    return out.select(key, label, F.try_element_at(lut, F.col("__p").cast("int") + 1).alias("pred"))
+    text = model.stages[1].getInputCol()  # the column it was fitted on
+    names = IndexToString(inputCol="__p", outputCol="pred", labels=model.stages[0].labels)
+    judge = PipelineModel([*model.stages[1:], names])  # the truth plays no part
+    return judge.transform(df.select(key, label, F.coalesce(F.col(text), F.lit("")).alias(text))).select(key, label, "pred")
 
 
 def pair_features(pairs: DataFrame, text_vec: str = "tvec", label_vec: str = "lvec") -> DataFrame:

@@ -250,3 +250,17 @@ def test_negatives_from_given_positives_are_the_same(spark):
     one, two = P.sample_negatives(pairs), P.sample_negatives(pairs, positives=P.entailment_positives(df))
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(one) == rows(two) and len(rows(one)) == 54 * 3
+
+
+def test_seen_classifier_learns(spark):
+    """M1 over whole languages: held-out accuracy, whatever the text column is called."""
+    from intentloom.operators import evaluate as E
+    from intentloom.operators import models as MD
+    from intentloom.plans import split_build
+    from intentloom.sources import views
+    from tests.conftest import SF_SMALL
+    sp, _ = split_build.build(views.utt_lang(spark, SF_SMALL), m=1, materialized=True)
+    train, test = (sp.where(F.col("part") == p).withColumnRenamed("utterance", "words") for p in ("train_seen", "test_seen"))
+    got = MD.classify(MD.seen_classifier(train, text="words"), test)
+    r = E.accuracy(got).first()
+    assert r.n == test.count() > 20 and r.acc > 0.85
