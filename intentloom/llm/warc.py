@@ -40,6 +40,7 @@ from intentloom.session import shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+_HOT = 10_000
 CELL = 1 << 22  # bytes of a cell, for putting cut records together
 
 
@@ -62,10 +63,15 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # and with their size known from the files, so a small table needs no shuffle of payloads
     first = stored(p.filter(F.col("payload_bytes") >= min_bytes)
                    .groupBy(F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_bytes"))
-                   .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-repeated")
-    return (p.join(first, (p.sha1 == first._sha1) & (p.payload_bytes == first._bytes), "left")
-            .withColumn("refers_to", F.when(F.col("first_id") < F.coalesce("page_id", F.lit((1 << 63) - 1)), F.col("first_id")))
-            .drop("_sha1", "_bytes", "first_id"))
+                   .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"), "warc-repeated")
+    # payloads that hold more than one in _HOT of those rows, so at most that many, are broadcast; their pages are then dealt by page
+    hot = F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) // _HOT
+    often = first.filter(hot).select(F.col("_sha1").alias("_hot"), F.col("_bytes").alias("_hot_bytes"), F.col("first_id").alias("_hot_id"))
+    rows = p.join(F.broadcast(often), (F.col("sha1") == F.col("_hot")) & (F.col("payload_bytes") == F.col("_hot_bytes")), "left")
+    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id").cast("string"))))
+    rows = rows.join(first.filter(~hot), (F.col("_key") == F.col("_sha1")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    earlier = F.coalesce("_hot_id", "first_id")
+    return rows.withColumn("refers_to", F.when(earlier < F.coalesce("page_id", F.lit((1 << 63) - 1)), earlier)).select(*p.columns, "refers_to")
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "none") -> None:

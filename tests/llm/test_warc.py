@@ -72,3 +72,17 @@ def test_truncated_file(spark, tmp_path):
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert round_trip(empty).count() == 0
+
+
+def test_hot_payloads_beside_others(spark, monkeypatch):
+    import intentloom.llm.warc as m
+    monkeypatch.setattr(m, "_HOT", 4)
+    rows = [(i, "u", "hot") for i in range(5, 400)] + [(1000 + i, "u", f"pair {i // 2}") for i in range(200)] + [(2000 + i, "u", f"own {i}") for i in range(50)]
+    rows += [(None, "u", "hot"), (None, None, "pair 3"), (3000, "u", None), (3001, "u", ""), (3, "u", "own 7")]
+    got = m.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    least = {}
+    for i, _, h in rows:
+        if i is not None:
+            least[h or ""] = min(i, least.get(h or "", i))
+    want = sorted(((i, h or "", least.get(h or "") if least.get(h or "") is not None and (i is None or least[h or ""] < i) else None) for i, _, h in rows), key=repr)
+    assert sorted(((r.page_id, r.payload, r.refers_to) for r in got), key=repr) == want
