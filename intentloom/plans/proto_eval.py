@@ -35,10 +35,10 @@ def _support_and_rest(vecs: DataFrame, k: int):
     return sup, score.with_scope(vecs.join(sup.select("uid"), "uid", "left_anti"), "all")
 
 
-def nearest_predictions(vecs: DataFrame, k: int = 5, block_bytes: int | None = None) -> DataFrame:
-    """``(uid, label, pred, score)`` for every row not drawn as support."""
+def nearest_predictions(vecs: DataFrame, k: int = 5, block_bytes: int | None = None, index: bool = False) -> DataFrame:
+    """``(uid, label, pred, score)`` for every row not drawn as support; ``index`` for large label sets."""
     sup, queries = _support_and_rest(vecs, k)
-    best = score.nearest_prototype(queries, score.with_scope(prototypes_of(sup), "all"), carry=("label",), block_bytes=block_bytes)
+    best = score.nearest_prototype(queries, score.with_scope(prototypes_of(sup), "all"), carry=("label",), block_bytes=block_bytes, index=index)
     return best.withColumn("score", F.round("score", 6))
 
 

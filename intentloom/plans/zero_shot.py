@@ -35,10 +35,10 @@ def _vectors(utts: DataFrame, emb: DataFrame):
     return qv, lv
 
 
-def predictions(spark: SparkSession, utts: DataFrame, emb: DataFrame) -> DataFrame:
-    """J7 + W6: ``(uid, label, pred, score)``."""
+def predictions(spark: SparkSession, utts: DataFrame, emb: DataFrame, index: bool = False) -> DataFrame:
+    """J7 + W6: ``(uid, label, pred, score)``; ``index`` for large label sets."""
     qv, lv = _vectors(utts, emb)
-    best = SC.zero_shot_cosine(SC.with_scope(qv, "all"), SC.with_scope(lv, "all"), carry=("label",))
+    best = SC.zero_shot_cosine(SC.with_scope(qv, "all"), SC.with_scope(lv, "all"), carry=("label",), index=index)
     return best.withColumn("score", F.round("score", 6))
 
 

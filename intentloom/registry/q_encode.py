@@ -223,6 +223,16 @@ def j7_zero_shot_cosine(spark, d):
     return zero_shot.predictions(spark, views.part_utt(spark, d), views.table(spark, d, "embeddings"))
 
 
+@query("j7_indexed", sql=f"""
+with {ZS}
+select uid, label, arg_min(cand, struct_pack(ns := -s, c := cand)) as pred, round(max(s), 6) as score from s group by uid, label
+""")
+def j7_indexed(spark, d):
+    """Through the metric index on unit vectors: the same rows."""
+    from intentloom.plans import zero_shot
+    return zero_shot.predictions(spark, views.part_utt(spark, d), views.table(spark, d, "embeddings"), index=True)
+
+
 @query("p2_pair_scoring", sql=f"""
 with {ZS}
 select uid, label, cand as label_name, round(s, 6) as score,
