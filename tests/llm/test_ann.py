@@ -66,3 +66,13 @@ def test_queries_in_blocks(spark):
     df = spark.createDataFrame([(i, rng.standard_normal(6 + i % 2).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
     one, many = (sorted(map(tuple, nearest(df, F.col("vec_id") % 5 == 0, query_block=b, block=64).collect())) for b in (16_384, 7))
     assert one == many and len(one) == 400
+
+
+def test_many_vectors_on_one_direction(spark):
+    rng = np.random.default_rng(4)
+    one = rng.standard_normal(8)
+    rows = [(i, (one * 2.0 ** (i % 40)).tolist()) for i in range(800)] + [(1000 + i, rng.standard_normal(8).tolist()) for i in range(50)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=64).collect()
+    for q in range(0, 800, 50):
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [v for _, v, _ in mine] == [i for i in range(6) if i != q][:5] and all(s == pytest.approx(1.0) for *_, s in mine)
