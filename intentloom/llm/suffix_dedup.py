@@ -34,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,9 @@ from intentloom.llm.common import PrefixHash, bytes_of, doc_key, mix, stored, wh
 
 K = 32                    # bytes of an anchor string
 SEGMENT = 1 << 20         # bytes hashed at a time
-FLUSH = 1 << 19           # anchors held by a task before it pre-aggregates them
+FLUSH = 1 << 18           # anchors held by a task before it pre-aggregates them
 BUCKET_CAP = 512          # different contexts of a bucket for one interval tree
+STRIP = 1 << 22           # bytes of texts that are stripped at a time
 CHUNK = 1 << 16           # contexts whose interval trees are built at a time
 _ROWS = ("kind int, bucket long, ctx long, doc long, loc long, bytes binary, "
          "tag long, lo long, hi long, repeat long, first boolean")
@@ -500,7 +502,13 @@ def _strip(as_text):
     """Texts with their spans -> what is left."""
     def run(batches):
         for b in batches:
-            yield _stripped(b, as_text)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < b.num_rows:  # some rows at a time, or one longer text: marks take many times a text's bytes
+                done = size[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(size, done + STRIP, "right")))
+                yield _stripped(b.slice(i, j - i), as_text)
+                i = j
     return run
 
 

@@ -162,3 +162,10 @@ def test_many_texts_without_id(spark):
     rows = [(None, words(10) + " " + (rnd.choice(passages) if i % 3 else words(20)) + " " + words(10)) for i in range(2000)]
     rows += rows[:40] + [(3, rows[5][1]), (None, None)]
     assert small(spark, rows) == brute(rows)
+
+
+def test_texts_are_stripped_in_parts(spark, monkeypatch):
+    import intentloom.llm.suffix_dedup as m
+    monkeypatch.setattr(m, "STRIP", 300)
+    rows = corpus(21)
+    assert small(spark, rows) == brute(rows)
