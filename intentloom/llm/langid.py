@@ -21,10 +21,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +40,27 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_BYTES = 32 << 20  # of the scores that a task remembers
 
 
+class Entries:
+    """The entries of one order with their per-language figures, in flat arrays: the entries' 64-bit hashes, ascending, and for
+    each the number of its tuple among the different ones.  About 12 bytes an entry, in every task that predicts."""
+
+    def __init__(self, entries: list[str] = (), rows: list[int] = (), values: list[tuple] = ()):
+        hashes = np.array([xxhash.xxh64_intdigest(e) for e in entries], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.rows, self.values = array("Q", hashes[order].tobytes()), array("I", np.array(rows, np.uint32)[order].tobytes()), values
+
+    def get(self, entry: str):
+        h = xxhash.xxh64_intdigest(entry)
+        i = bisect_left(self.hashes, h)
+        return self.values[self.rows[i]] if i < len(self.hashes) and self.hashes[i] == h else None
+
+    def __contains__(self, entry: str) -> bool:
+        return self.get(entry) is not None
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
 def letters(text: str) -> list[str]:
     """Runs of letters, lower case."""
     return _WORD.findall(text.lower())
@@ -92,17 +116,20 @@ def learn(labelled: DataFrame, per_language: int = 1000) -> dict:
     totals = {(r.lang, r.n): r.c for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({lang for lang, _ in totals})
     if not langs:
-        return {"langs": [], "tables": {n: {} for n in (0, *ORDERS)}}
+        return {"langs": [], "tables": {n: Entries() for n in (0, *ORDERS)}}
     per = counts.groupBy("n", "entry").agg(*(F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("c"))), F.lit(0)).alias(f"c{i}") for i, lang in enumerate(langs)))
-    tables: dict[int, dict] = {n: {} for n in (0, *ORDERS)}
-    alike: dict[tuple, tuple] = {}  # most entries are rare and share their figures with others
+    found: dict[int, tuple] = {n: ([], []) for n in (0, *ORDERS)}
+    alike: dict[tuple, int] = {}  # most entries are rare and share their figures with others
+    values: list[tuple] = []
     for b in per.toArrow().to_batches(1 << 16):
-        names, entries = b.column("n").to_pylist(), b.column("entry").to_pylist()
-        for n, entry, *c in zip(names, entries, *(b.column(f"c{i}").to_pylist() for i in range(len(langs)))):
-            v = alike.get((n, *c))
-            if v is None:  # an entry that a language lacks has half a count there
-                v = alike[(n, *c)] = tuple(math.log((x + 0.5) / (totals.get((lang, n), 0) + 1.0)) for lang, x in zip(langs, c))
-            tables[n][entry] = v
+        orders, entries = b.column("n").to_pylist(), b.column("entry").to_pylist()
+        for n, entry, *c in zip(orders, entries, *(b.column(f"c{i}").to_pylist() for i in range(len(langs)))):
+            row = alike.setdefault((n, *c), len(values))
+            if row == len(values):  # an entry that a language lacks has half a count there
+                values.append(tuple(math.log((x + 0.5) / (totals.get((lang, n), 0) + 1.0)) for lang, x in zip(langs, c)))
+            found[n][0].append(entry)
+            found[n][1].append(row)
+    tables = {n: Entries(entries, rows, values) for n, (entries, rows) in found.items()}
     return {"langs": langs, "tables": tables}
 
 
@@ -129,7 +156,7 @@ class Classifier:
 
     def __init__(self, model: dict):
         self.model, self.langs = model, model["langs"]
-        self.most = min(1 << 20, _CACHE_BYTES // (8 * max(1, len(self.langs))))
+        self.most = min(1 << 18, _CACHE_BYTES // (8 * max(1, len(self.langs))))
         self._forget(0)
 
     def _forget(self, need: int):
