@@ -120,3 +120,14 @@ def test_prunes_by_the_end_of_long_names(spark):
                                   F.concat(F.lit("common-crawl-"), F.xxhash64("id") % 8 + 2010).alias("source"))
     bounds = write_shards(df, shared_dir(spark, "hilbert"), 32).collect()
     assert len([b for b in bounds if b.min_source <= "common-crawl-2012" <= b.max_source]) <= len(bounds) * 0.6
+
+
+def test_hot_keys_beside_others(spark, monkeypatch):
+    import intentloom.llm.common as m
+    monkeypatch.setattr(m, "_HOT_KEYS", 4)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 5 == 0 else f"k{i % 30}") for i in range(300)], "i long, k string")
+    found = spark.createDataFrame([("hot", 150, 1), *((f"k{i}", 5, i + 2) for i in range(0, 30, 4))], "k string, n long, v int")
+    got = {r.i: (r.k, r.v) for r in m.lookup(rows, found, "k", 300).collect()}
+    value = {r.k: r.v for r in found.collect()}
+    assert got == {r.i: (r.k, value.get(r.k)) for r in rows.collect()} and m.lookup(rows, found, "k", 300).count() == 300
+    test_law_with_copies_nulls_and_clashing_columns(spark)
