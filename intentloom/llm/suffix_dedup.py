@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.llm.common import PrefixHash, bytes_of, doc_key, mix, stored, whole_groups
+from intentloom.operators.joins import MAX_BROADCAST_BYTES, table_bytes
 
 K = 32                    # bytes of an anchor string
 SEGMENT = 1 << 20         # bytes hashed at a time
@@ -52,7 +53,7 @@ _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 _CONTEXT, _SPAN, _ASK, _ASK_WINDOWS = range(4)
 _SPAN_COLUMNS = ["doc", "tag", "lo", "hi", "repeat", "first"]
 
-# doc and tag (the text's hash) name a text; loc packs where a context lies in it:
+# doc and tag (the text's hash where the doc's id is shared) name a text; loc packs where a context lies in it:
 # pos of the anchor | windows before it (7 + 7) | copy flag
 
 
@@ -388,16 +389,22 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Texts with their ``doc`` and ``tag``: the text's hash where other rows share the id, else 0 (which costs nothing to send).
+    If the ids that are shared are too many to broadcast, all rows have the hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("tag"),
-                       text.alias("text"), F.struct(*carry).alias("carry"))
+    rows = docs.select(doc_key().alias("doc"), text.alias("text"), F.struct(*carry).alias("carry"))
+    shared = stored(rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc", F.lit(True).alias("shared")), "shared-ids")
+    if table_bytes(shared) > MAX_BROADCAST_BYTES:
+        return rows.select("doc", F.xxhash64("text").alias("tag"), "text", "carry")
+    tag = F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.join(F.broadcast(shared), "doc", "left").select("doc", tag.alias("tag"), "text", "carry")
 
 
 def repeated_spans(docs: DataFrame, min_len: int = 100, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """All occurrences of the maximal repeats of ``docs(doc_id, text)``: ``doc, tag, lo, hi, repeat, first``.
 
     ``[lo, hi)`` are byte places in the UTF-8 text, ``repeat`` names the group, ``first`` marks its
-    earliest occurrence; ``tag`` (the text's hash) tells rows that share a doc_id apart.  Groups are maximal within
+    earliest occurrence; ``tag`` (the text's hash, 0 for an id of its own) tells rows that share a doc_id apart.  Groups are maximal within
     an anchor's context, so a longer repeat is a chain of overlapping groups; in a bucket with more
     than ``bucket_cap`` contexts the groups are its windows.  Each group lists every occurrence:
 
