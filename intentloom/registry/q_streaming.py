@@ -30,7 +30,7 @@ select label, pred, count(*) as n from ({NEAREST.format(queries=VEC, protos=PROT
 def st_running_confusion(spark, d):
     static = views.table(spark, d, "embeddings")
     protos = proto_eval.prototypes_of(proto_eval.support_of(views.vec(spark, d), 5))
-    raw = scoring.parquet_stream(spark, d, static.schema, glob="embeddings.parquet")
+    raw = scoring.parquet_stream(spark, d, static.schema, glob="embeddings.parquet", max_bytes=scoring.batch_bytes(spark))
     stream = raw.select(F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec"))
     out = shared_dir(spark, "stream-confusion")
     scoring.running_confusion(spark, stream, protos, out, shared_dir(spark, "stream-confusion-ckpt"))

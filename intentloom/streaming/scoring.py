@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from intentloom.functions import vectors as V
 from intentloom.operators import score as SC
 from intentloom.operators.joins import candidate_blocks
-from intentloom.session import materialize
+from intentloom.session import cores, materialize
+
+SLOT_BYTES = 32 << 20  # of a batch's files, per task slot
 
 
 def score_stream(spark: SparkSession, stream: DataFrame, protos: DataFrame, out_path: str,
@@ -35,12 +37,21 @@ def score_stream(spark: SparkSession, stream: DataFrame, protos: DataFrame, out_
 
 
 def parquet_stream(spark: SparkSession, directory: str, schema, glob: str | None = None,
-                   max_files: int = 1) -> DataFrame:
-    """A file stream over ``directory`` (new parquet files become batches)."""
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(directory)
+                   max_files: int = 1, max_bytes: int | None = None) -> DataFrame:
+    """A file stream over ``directory`` (new parquet files become batches), or over what ``glob`` matches in it:
+    single files, or tables written as folders of files.
+
+    The pattern is part of the path: a filter on file names would pass over every file of a folder.  ``max_bytes``
+    (in place of ``max_files``) bounds a batch by the size of its files, so a table of many small files does not
+    become as many batches."""
+    r = spark.readStream.schema(schema)
+    r = r.option("maxFilesPerTrigger", max_files) if max_bytes is None else r.option("maxBytesPerTrigger", max_bytes)
+    return r.parquet(f"{directory.rstrip('/')}/{{{glob}}}" if glob else directory)
+
+
+def batch_bytes(spark: SparkSession) -> int:
+    """Bytes of files per batch that keep every task slot busy."""
+    return cores(spark) * SLOT_BYTES
 
 
 def running_confusion(spark: SparkSession, stream: DataFrame, protos: DataFrame, out_path: str,

@@ -28,3 +28,28 @@ def test_running_confusion_over_three_batches(spark, tmp_path):
     ref = E.pair_counts(v.select("uid", "label").join(best, "uid"))
     want = {(r.label, r.pred): r.n for r in ref.collect()}
     assert got == want and sum(got.values()) == emb.count()
+
+
+def test_stream_reads_a_table_in_a_folder_of_files(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
+                                  (F.col("id") % 2).cast("int").alias("label"))
+    protos = spark.createDataFrame([("0", [0.0, 1.0]), ("1", [39.0, 1.0])], "label string, proto array<double>")
+    folder, single = str(tmp_path / "folder"), str(tmp_path / "single")
+    rows.repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "single" / "embeddings.parquet")
+    rows.limit(1).write.parquet(f"{folder}/embeddings.parquet.old")  # another table
+
+    def stream(d, **bound):
+        raw = scoring.parquet_stream(spark, d, rows.schema, glob="embeddings.parquet", **bound)
+        return raw.select(F.col("vec_id").alias("uid"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec"))
+
+    for i, (d, bound, batches) in enumerate([(folder, {}, 3), (folder, {"max_bytes": 1 << 20}, 1), (single, {}, 1)]):
+        out, counts = str(tmp_path / f"out{i}"), str(tmp_path / f"counts{i}")
+        scoring.score_stream(spark, stream(d, **bound), protos, out, str(tmp_path / f"a{i}"))
+        got = spark.read.parquet(out)
+        assert sorted((r.uid, r.pred) for r in got.collect()) == [(u, "0" if u < 20 else "1") for u in range(40)]
+        assert got.select("batch_id").distinct().count() == batches
+        scoring.running_confusion(spark, stream(d, **bound), protos, counts, str(tmp_path / f"b{i}"))
+        assert {(r.label, r.pred): r.n for r in spark.read.parquet(counts).collect()} == {(a, b): 10 for a in "01" for b in "01"}
