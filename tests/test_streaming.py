@@ -53,3 +53,13 @@ def test_stream_reads_a_table_in_a_folder_of_files(spark, tmp_path):
         assert got.select("batch_id").distinct().count() == batches
         scoring.running_confusion(spark, stream(d, **bound), protos, counts, str(tmp_path / f"b{i}"))
         assert {(r.label, r.pred): r.n for r in spark.read.parquet(counts).collect()} == {(a, b): 10 for a in "01" for b in "01"}
+
+
+def test_stream_query_over_a_folder_of_files(spark, tmp_path):
+    from intentloom.registry.q_streaming import st_stream_nearest
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
+                                  (F.col("id") >= 30).cast("int").alias("label"))
+    rows.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = st_stream_nearest(spark, str(tmp_path))
+    assert sorted(r.uid for r in got.collect()) == list(range(60)) and got.columns == ["uid", "label", "pred", "score"]
+    assert got.where("uid in (0, 59) and label = pred").count() == 2
