@@ -269,10 +269,12 @@ def stand_in_pieces(toks):
     from intentloom.operators.rank import global_rank
     w = toks.where(F.col("token") != "").select("token").distinct()
     n = F.char_length("token")
-    first = w.select(F.explode(F.array(*(F.substring("token", 1, i) for i in (1, 2, 3)))).alias("piece"))
-    one = w.where(n > 1).select(F.explode(F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(1))))).alias("piece"))
-    two = w.where((n > 2) & (n <= 12)).select(F.explode(F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(2))))).alias("piece"))
-    p = first.union(one).union(two).distinct()
+    none = F.array().cast("array<string>")
+    first = F.array(*(F.substring("token", 1, i) for i in (1, 2, 3)))
+    one = F.when(n > 1, F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(1))))).otherwise(none)
+    two = F.when((n > 2) & (n <= 12), F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(2))))).otherwise(none)
+    # written: the order below reads it twice
+    p = materialize(w.select(F.explode(F.array_distinct(F.concat(first, one, two))).alias("piece")).distinct(), "pieces")
     return global_rank(p, [F.col("piece")], "r").select("piece", (F.col("r") + 1000).cast("int").alias("piece_id"))
 
 

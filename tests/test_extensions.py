@@ -57,6 +57,21 @@ def test_greedy_subwords(spark):
     assert SW.subword_ids(EN.tokens(df), vocab.limit(0)).where("uid = 1").first().ids == [100] * 3
 
 
+def test_subwords_are_cut_in_place(spark):
+    """A small vocabulary: one shuffle of runs, no join of words; rows in any order and repeated keys give the rows of the table form."""
+    vocab = spark.createDataFrame([("a", 1), ("##b", 2), ("##bb", 3), ("c", 4), ("c", 5)], "piece string, piece_id int")
+    long = " ".join(["abbb", "c", "", "q"] * 6000)  # more than an Arrow batch
+    toks = EN.tokens(spark.createDataFrame([(1, "abb c"), (1, "c ab zz"), (2, long), (None, "ab"), (3, "a" * 101)], "uid long, utterance string"))
+    lost = spark.createDataFrame([(2, 30000, None), (4, 0, None)], "uid long, pos int, token string")
+    toks = toks.unionByName(lost)
+    got = [{r.uid: r.ids for r in SW.subword_ids(t, vocab, max_bytes=bound).collect()} for t, bound in
+           ((toks, None), (toks, 0), (toks.repartition(5).sortWithinPartitions(F.xxhash64("pos", "uid")), None))]
+    assert got[0] == got[1] == got[2]
+    assert got[0] == {1: [1, 3, 5, 1, 2, 5, 100], 2: [1, 3, 2, 5, 100] * 6000, 3: [100], 4: [], None: [1, 2]}
+    plan = SW.subword_ids(toks, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_hot_join_above_the_bound(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice(["the", "the", f"w{rnd.randrange(400)}", "lost", None])) for i in range(9000)]
