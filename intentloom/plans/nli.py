@@ -23,6 +23,7 @@ from intentloom.operators import pairs as P
 from intentloom.operators import score as SC
 from intentloom.operators import split as S
 from intentloom.operators.joins import checked_broadcast
+from intentloom.session import materialize
 
 
 def training_table(split: DataFrame, k: int = 5, ratio: int = 2, seen_class_data: str = "yes") -> DataFrame:
@@ -59,17 +60,20 @@ def cosine_report(split: DataFrame, scope: str = "joint", k: int = 5) -> DataFra
 
 
 def _fitted(split: DataFrame, scope: str, k: int, dim: int):
-    """The pair classifier (M2) fitted on the training table, the scope's test vectors and its support's label vectors."""
-    train = training_table(split, k)
+    """The pair classifier (M2) fitted on the training table, the scope's test vectors and its support's label vectors.
+
+    Fitting reads its rows several times (size of the features, moments, blocks), so the training table and the vectors are
+    written once: no pass draws pairs or splits texts again."""
+    train = materialize(training_table(split, k), "pairs")
     test, sup = S.eval_scope(split, scope, k)
     texts = split.where((F.col("part") == "train_seen") | ((F.col("part") == "support_novel") & (F.col("k") == k)))
-    tv = EN.hash_encode(texts.select("uid", "utterance"), dim).withColumnRenamed("vec", "tvec")
+    tv = materialize(EN.hash_encode(texts.select("uid", "utterance"), dim), "vectors").withColumnRenamed("vec", "tvec")
     names = train.select("label_name").unionByName(sup.select(F.col("label").alias("label_name"))).distinct()
     lv = EN.hash_encode(names.withColumn("uid", F.col("label_name")), dim, text="label_name").select(
         F.col("uid").alias("label_name"), F.col("vec").alias("lvec"))
     lv = checked_broadcast(lv)
     model = MD.pair_classifier(MD.pair_features(train.join(tv, "uid").join(lv, "label_name")))
-    qv = EN.hash_encode(test.select("uid", "utterance"), dim).join(test.select("uid", F.col("label").alias("truth")), "uid")
+    qv = materialize(EN.hash_encode(test.select("uid", "utterance"), dim), "vectors").join(test.select("uid", F.col("label").alias("truth")), "uid")
     cands = SC.with_scope(sup.select("label").distinct().join(lv.withColumnRenamed("label_name", "label"), "label"), "all")
     return model, SC.with_scope(qv, "all"), cands
 

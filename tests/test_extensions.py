@@ -129,3 +129,18 @@ def test_step_prototypes(spark):
             v = [x for name, i, x in rows if name == lab and i <= k]
             assert got[k, lab] == (len(v), pytest.approx(np.mean(v, axis=0).tolist()))
     assert len(got) == 9
+
+
+def test_fitting_reads_written_vectors(spark, monkeypatch):
+    """M2: the training table and the vectors are written once; no pass of the fit splits texts or draws pairs again."""
+    from intentloom.operators import models as MD
+    from intentloom.plans import nli, split_build
+    rows = [(i, f"{'abc'[i % 3]} word{i} {'abc'[i % 3]}x", f"l{i % 3}", i) for i in range(60)]
+    sp, _ = split_build.build(spark.createDataFrame(rows, "uid long, utterance string, label string, ord long"), materialized=True)
+    seen, fit = [], MD.pair_classifier
+    monkeypatch.setattr(MD, "pair_classifier", lambda f: seen.append(f) or fit(f))
+    qv = nli._fitted(sp, "joint", 5, 8)[1]
+    for df in (seen[0], qv):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "HashAggregate" not in plan
+    assert nli.classifier_report(sp, "joint", 5).count() == 6
