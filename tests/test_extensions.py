@@ -144,3 +144,14 @@ def test_fitting_reads_written_vectors(spark, monkeypatch):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "HashAggregate" not in plan
     assert nli.classifier_report(sp, "joint", 5).count() == 6
+
+
+def test_pair_scores_of_the_fitted_model_are_whole(spark):
+    from intentloom.plans import nli, split_build
+    rows = [(i, f"{'abc'[i % 3]} word{i}", f"l{i % 3}", i) for i in range(60)]
+    sp, _ = split_build.build(spark.createDataFrame(rows, "uid long, utterance string, label string, ord long"), materialized=True)
+    scores = nli.classifier_scores(sp, "joint", 5, 8)
+    n = sp.where(F.col("part").isin("test_seen", "test_novel")).count()
+    assert scores.count() == 3 * n and scores.where(F.col("score").between(0, 1)).count() == 3 * n
+    # no text is split between the written vectors and the pairs
+    assert "split(" not in scores._jdf.queryExecution().executedPlan().toString()
