@@ -102,6 +102,6 @@ def one_hot(y, n_classes: int) -> Column:
 
 
 def fuse(a, b) -> Column:
-    """[a; b; |a-b|; a*b]."""
-    a, b = as_double(a), as_double(b)
+    """[a; b; |a-b|; a*b].  A cast of arrays that hold doubles already costs nothing."""
+    a, b = _c(a).cast("array<double>"), _c(b).cast("array<double>")
     return F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))

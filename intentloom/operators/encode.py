@@ -9,11 +9,16 @@ text) instead of exploding vectors to one row per dimension.
 
 from __future__ import annotations
 
+import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from intentloom.functions import text as T
 from intentloom.functions import vectors as V
@@ -89,23 +94,46 @@ def bow_tokens(text) -> "F.Column":
                     lambda t: t != "")
 
 
+SLICE_BYTES = 8 << 20  # of texts that a task splits at a time
+
+
+def _bucket_counts(dim: int, names: list[str]):
+    """For ``mapInArrow`` over ``(key, lower-cased text)``: ``(key, counts)``, how many words of the text fall into each md5
+    bucket.  Texts are stripped as ``text.strip`` does; a slice of a batch hashes each of its different words once."""
+    def run(batches):
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+            start = np.flatnonzero(np.diff(size // SLICE_BYTES, prepend=-1)).tolist()
+            for i, j in zip(start, [*start[1:], b.num_rows]):
+                words = pc.split_pattern(pc.ascii_trim_whitespace(b.column(1).slice(i, j - i)).cast(pa.binary()), b" ")
+                flat = words.flatten().dictionary_encode()
+                here = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+                heads = np.frombuffer(b"".join(hashlib.md5(w).digest()[:4] for w in here), ">u4").astype(np.int64)
+                bucket = np.where([w != b"" for w in here], heads % dim, -1)[flat.indices.to_numpy()]
+                row = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+                some = bucket >= 0
+                counts = np.bincount(row[some] * dim + bucket[some], minlength=(j - i) * dim)
+                ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))], names)
+    return run
+
+
 def hash_encode(df: DataFrame, dim: int = 64, text: str = "utterance", key: str = "uid",
                 long_form: bool = False) -> DataFrame:
     """Hashed bag of words: ``vec[i]`` = count of tokens whose md5 bucket is i.
 
-    Counts are aggregated per (text, bucket) with a partial aggregate, then the
-    (at most ``dim``) buckets of a text are assembled into a dense vector.  A text
+    Words are split and counted where the text is, in Arrow batches, so no word is shuffled: a text
+    sends its ``dim`` counts, and those of texts that share a key are added.  A text
     without tokens (null, empty) has the zero vector, and no row in the long form.
     """
-    t = df.select(key, F.explode_outer(bow_tokens(text)).alias("__t"))
-    c = t.groupBy(key, (hash_int("__t") % F.lit(dim)).alias("dim")).agg(F.count(F.lit(1)).alias("value"))
+    col = F.col(text) if isinstance(text, str) else text
+    schema = S.StructType([S.StructField(key, df.schema[key].dataType), S.StructField("__n", S.ArrayType(S.LongType()))])
+    t = df.select(F.col(key), F.lower(col).alias("__t")).mapInArrow(_bucket_counts(dim, [key, "__n"]), schema)
+    c = t.groupBy(key).agg(*[F.sum(F.get("__n", F.lit(i))).alias(f"__n{i}") for i in range(dim)])
     if long_form:
-        return c.where(F.col("dim").isNotNull())
-    entry = F.when(F.col("dim").isNotNull(), F.struct("dim", "value"))
-    g = c.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
-    return g.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                     lambda i: F.coalesce(F.element_at("__m", i.cast("long")), F.lit(0)).cast("double"))
-                    .alias("vec"))
+        return c.select(key, F.posexplode(F.array(*[f"__n{i}" for i in range(dim)])).alias("dim", "value")) \
+            .where(F.col("value") > 0).select(key, F.col("dim").cast("long").alias("dim"), "value")
+    return c.select(key, F.array(*[F.coalesce(F.col(f"__n{i}"), F.lit(0)).cast("double") for i in range(dim)]).alias("vec"))
 
 
 def hashed_word_vectors(words: DataFrame, emb: DataFrame, word: str = "word") -> DataFrame:

@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, StringIndexer, Tokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,10 +143,19 @@ def pair_classifier(train_pairs: DataFrame, iters: int = 10):
     return lr.fit(train_pairs.withColumn("__y", F.col("label").cast("double")))
 
 
-def entail_prob(model, pairs: DataFrame) -> DataFrame:
-    """P(entailed) per pair as ``score``."""
-    return model.transform(pairs).withColumn("score", vector_to_array("probability")[1]) \
-        .drop("rawPrediction", "probability", "prediction")
+def entail_prob(model, pairs: DataFrame, text_vec: str = "tvec", label_vec: str = "lvec") -> DataFrame:
+    """P(entailed) per pair as ``score``: the model over X14's features, which are formed of the pair's two vectors a batch at
+    a time, not as an ML vector per pair."""
+    weights, intercept = pair_weights(model)
+    w = np.array(weights).reshape(4, -1)
+
+    @F.arrow_udf("double")
+    def prob(text: pa.Array, label: pa.Array) -> pa.Array:
+        a, b = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), w.shape[1]) for v in (text, label))
+        z = a @ w[0] + b @ w[1] + np.abs(a - b) @ w[2] + (a * b) @ w[3] + intercept
+        return pa.array(1.0 / (1.0 + np.exp(-z)))
+
+    return pairs.withColumn("score", prob(*(F.col(c).cast("array<double>") for c in (text_vec, label_vec))))
 
 
 def pair_weights(model) -> tuple[list[float], float]:

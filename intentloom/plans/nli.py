@@ -84,7 +84,7 @@ def classifier_scores(split: DataFrame, scope: str = "joint", k: int = 5, dim: i
     model, qv, cands = _fitted(split, scope, k, dim)
     pairs = SC.pair_scores(qv, cands, lambda c: c["lvec"]).select(
         "uid", "truth", F.col("label").alias("label_name"), F.col("vec").alias("tvec"), F.col("score").alias("lvec"))
-    return MD.entail_prob(model, MD.pair_features(pairs)).select("uid", "truth", "label_name", "score")
+    return MD.entail_prob(model, pairs).select("uid", "truth", "label_name", "score")
 
 
 def classifier_predictions(split: DataFrame, scope: str = "joint", k: int = 5, dim: int = 64, block_bytes: int | None = None) -> DataFrame:

@@ -122,6 +122,6 @@ def m2_pair_classifier(spark, d):
     test = sp.where(F.col("part") == "test_seen").select("uid", "utterance", "label").withColumn("origin", F.lit("t"))
     tp = P.entailment_pairs(test, scope="origin")
     tt = EN.hash_encode(test, 64).withColumnRenamed("vec", "tvec")
-    scored = MD.entail_prob(model, MD.pair_features(tp.join(tt, "uid").join(lv, "label_name")))
+    scored = MD.entail_prob(model, tp.join(tt, "uid").join(lv, "label_name"))
     best = SC.best_from_scores(scored.select("uid", F.col("label_name").alias("label"), "score"))
     return test.select("uid", "label").join(best, "uid")

@@ -155,3 +155,28 @@ def test_pair_scores_of_the_fitted_model_are_whole(spark):
     assert scores.count() == 3 * n and scores.where(F.col("score").between(0, 1)).count() == 3 * n
     # no text is split between the written vectors and the pairs
     assert "split(" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hash_encode_counts_words_in_place(spark, monkeypatch):
+    """No row per word; texts that share a key (null too) are added, whatever the slices a batch is cut into."""
+    import hashlib
+
+    import pyarrow as pa
+    from intentloom.operators import encode as EN
+    rows = [(1, "A b  a\tc "), (1, " \n b c\x0b"), (2, None), (None, "x y"), (None, "x \u00c4 \u00e4\u00d6"), (3, ""), (4, "   "), (5, "a\x85 b")]
+    df = spark.createDataFrame(rows, "uid long, utterance string").repartition(3)
+    want = {k: [0] * 8 for k, _ in rows}
+    for k, t in rows:
+        for w in (t or "").lower().strip(" \t\n\x0b\f\r").split(" "):
+            if w:
+                want[k][int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+    enc, long = EN.hash_encode(df, 8), EN.hash_encode(df, 8, long_form=True)
+    assert "Generate" not in enc._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.uid), r.vec) for r in enc.collect()) == sorted((str(k), v) for k, v in want.items())
+    assert sorted((str(r.uid), r.dim, r.value) for r in long.collect()) == sorted((str(k), i, n) for k, v in want.items() for i, n in enumerate(v) if n)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([t and t.lower() for _, t in rows])], ["k", "t"])
+    whole = pa.Table.from_batches(EN._bucket_counts(8, ["k", "n"])([batch]))
+    monkeypatch.setattr(EN, "SLICE_BYTES", 4)
+    cut = list(EN._bucket_counts(8, ["k", "n"])([batch, batch.slice(0, 0)]))
+    assert len(cut) > 2 and pa.Table.from_batches(cut).to_pylist() == whole.to_pylist()
